@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.functions.vectors import confidence_tier
 
-PACK_SCHEMA = ("pblock long, p_ids array<string>, p_regions array<string>, "
-               "p_vendors array<string>, p_extra array<double>, p_mat binary, p_dim int")
-QPACK_SCHEMA = ("qblock long, q_ids array<long>, q_regions array<string>, q_vendors array<string>, "
+PACK_SCHEMA = ("pblock long, p_ids array<string>, p_keys array<array<string>>, "
+               "p_extra array<double>, p_mat binary, p_dim int")
+QPACK_SCHEMA = ("qblock long, q_ids array<long>, q_keys array<array<string>>, "
                 "q_limits array<int>, q_mat binary, q_dim int")
+DEFAULT_FILTERS = ("region", "vendor")
 CAND_SCHEMA = "query_id long, product_id string, sim double, path int, extra double, q_limit int"
 
 PATH_FILTERED = 0
@@ -52,6 +53,7 @@ class MatchConfig:
     score_chunk_cells: int = 4 << 20      # query x product cells scored per matrix product
     min_score: float | None = None        # keep only candidates with sim above this
     order_extra: bool = False             # rank by ``extra`` ascending instead of score
+    filters: tuple = DEFAULT_FILTERS      # equality filters: query column = product column
 
 
 def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,8 @@ def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
     return mat, ok
 
 
-def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None) -> pd.DataFrame | None:
+def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None,
+                filters: tuple) -> pd.DataFrame | None:
     """One pack row from a frame of products; unusable vectors are left out."""
     mat, ok = _unit_rows(pdf["embedding"])
     pdf, mat = pdf[ok], mat[ok]
@@ -80,15 +83,14 @@ def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None) -> pd.Dat
     return pd.DataFrame({
         "pblock": [pblock],
         "p_ids": [pdf["product_id"].tolist()],
-        "p_regions": [pdf["region"].tolist()],
-        "p_vendors": [pdf["vendor"].tolist()],
+        "p_keys": [[pdf[f].tolist() for f in filters]],
         "p_extra": [extra],
         "p_mat": [mat.tobytes()],
         "p_dim": [mat.shape[1]],
     })
 
 
-def _pack_products(block_rows: int, extra_col: str | None):
+def _pack_products(block_rows: int, extra_col: str | None, filters: tuple):
     """mapInPandas body: cut each partition into packs of at most ``block_rows``."""
     def pack(it):
         from pyspark import TaskContext
@@ -103,37 +105,41 @@ def _pack_products(block_rows: int, extra_col: str | None):
                 n += take
                 start += take
                 if n >= block_rows:
-                    out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col)
+                    out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
                     seq, buf, n = seq + 1, [], 0
                     if out is not None:
                         yield out
         if buf:
-            out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col)
+            out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
             if out is not None:
                 yield out
     return pack
 
 
-def _pack_group(extra_col: str | None):
+def _pack_group(extra_col: str | None, filters: tuple):
     """applyInPandas body for the grid path: one bounded hash group -> one pack."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _pack_frame(pdf, int(pdf["pgroup"].iloc[0]), extra_col)
+        out = _pack_frame(pdf, int(pdf["pgroup"].iloc[0]), extra_col, filters)
         return out if out is not None else pd.DataFrame(
-            {c: [] for c in ["pblock", "p_ids", "p_regions", "p_vendors", "p_extra", "p_mat", "p_dim"]})
+            {c: [] for c in ["pblock", "p_ids", "p_keys", "p_extra", "p_mat", "p_dim"]})
     return pack
 
 
-def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_queries(filters: tuple):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_query_frame(pdf, filters)
+    return pack
+
+
+def _pack_query_frame(pdf: pd.DataFrame, filters: tuple) -> pd.DataFrame:
     mat, ok = _unit_rows(pdf["embedding"])
     pdf, mat = pdf[ok], mat[ok]
     if not len(pdf):
-        return pd.DataFrame({c: [] for c in ["qblock", "q_ids", "q_regions", "q_vendors",
-                                             "q_limits", "q_mat", "q_dim"]})
+        return pd.DataFrame({c: [] for c in ["qblock", "q_ids", "q_keys", "q_limits", "q_mat", "q_dim"]})
     return pd.DataFrame({
         "qblock": [int(pdf["qblock"].iloc[0])],
         "q_ids": [pdf["query_id"].astype("int64").tolist()],
-        "q_regions": [pdf["region"].tolist()],
-        "q_vendors": [pdf["vendor"].tolist()],
+        "q_keys": [[pdf[f"f_{f}"].tolist() for f in filters]],
         "q_limits": [pdf["q_limit"].astype("int64").tolist()],
         "q_mat": [mat.tobytes()],
         "q_dim": [mat.shape[1]],
@@ -189,10 +195,11 @@ def _score(cfg: MatchConfig):
                 q_ids = np.asarray(row.q_ids, dtype=np.int64)
                 q_lim = np.asarray(row.q_limits, dtype=np.int64)
                 extra = np.asarray(row.p_extra if row.p_extra is not None else [], dtype=np.float64)
-                pr_c, qr_c = _codes(row.p_regions, row.q_regions)
-                pv_c, qv_c = _codes(row.p_vendors, row.q_vendors)
-                q_no_r = np.array([x is None or x == "" for x in row.q_regions], dtype=bool)
-                q_no_v = np.array([x is None or x == "" for x in row.q_vendors], dtype=bool)
+                keys = []
+                for p_vals, q_vals in zip(row.p_keys, row.q_keys):
+                    p_c, q_c = _codes(p_vals, q_vals)
+                    q_none = np.array([x is None or x == "" for x in q_vals], dtype=bool)
+                    keys.append((p_c, q_c, q_none))
                 step = max(1, cfg.score_chunk_cells // max(1, P.shape[0]))
                 outs = []
                 for s in range(0, Q.shape[0], step):
@@ -200,9 +207,10 @@ def _score(cfg: MatchConfig):
                     S = Q[s:e] @ P.T
                     above = S > cfg.min_score if cfg.min_score is not None else np.ones(S.shape, bool)
                     if cfg.use_filters:
-                        m_r = q_no_r[s:e, None] | (qr_c[s:e, None] == pr_c[None, :])
-                        m_v = q_no_v[s:e, None] | (qv_c[s:e, None] == pv_c[None, :])
-                        out = _local_topk(S, m_r & m_v & above, cfg.cap, ids, q_ids[s:e], q_lim[s:e],
+                        mask = above.copy()
+                        for p_c, q_c, q_none in keys:
+                            mask &= q_none[s:e, None] | (q_c[s:e, None] == p_c[None, :])
+                        out = _local_topk(S, mask, cfg.cap, ids, q_ids[s:e], q_lim[s:e],
                                           PATH_FILTERED, extra, cfg.order_extra)
                         if out is not None:
                             outs.append(out)
@@ -228,22 +236,24 @@ def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig |
     cfg = cfg or MatchConfig()
     lim = F.coalesce(F.col("q_limit").cast("int"), F.lit(cfg.k)) if "q_limit" in queries.columns \
         else F.lit(cfg.k)
+    fcols = [(F.col(f).cast("string") if f in queries.columns else F.lit(None).cast("string"))
+             .alias(f"f_{f}") for f in cfg.filters]
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding",
-                       F.col("region").cast("string").alias("region"),
-                       F.col("vendor").cast("string").alias("vendor"), lim.alias("q_limit"))
+                       *fcols, lim.alias("q_limit"))
     q = q.where(F.size("embedding") > 0)
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     nq = max(1, math.ceil(n_q / cfg.query_block_rows))
     q = q.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-    qpack = q.groupBy("qblock").applyInPandas(_pack_queries, QPACK_SCHEMA)
+    qpack = q.groupBy("qblock").applyInPandas(_pack_queries(cfg.filters), QPACK_SCHEMA)
 
-    cols = ["product_id", "embedding", "region", "vendor"] + ([extra_col] if extra_col else [])
-    cat = catalog.select(*cols)
+    cat = catalog.select("product_id", "embedding",
+                         *[F.col(f).cast("string").alias(f) for f in cfg.filters],
+                         *([extra_col] if extra_col else []))
     q_bytes = n_q * (dim * 8 + 64)
     if q_bytes <= cfg.max_broadcast_bytes:
         # Query packs are small and checked: broadcast them; products never shuffle.
-        ppack = cat.mapInPandas(_pack_products(cfg.block_rows, extra_col), PACK_SCHEMA)
+        ppack = cat.mapInPandas(_pack_products(cfg.block_rows, extra_col, cfg.filters), PACK_SCHEMA)
         ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
         joined = ppack.join(F.broadcast(qpack), "qblock")
     else:
@@ -253,7 +263,7 @@ def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig |
         n_p = cat.count()
         nb = max(1, math.ceil(n_p / cfg.block_rows))
         cat = cat.withColumn("pgroup", F.pmod(F.xxhash64("product_id"), F.lit(nb)))
-        ppack = cat.groupBy("pgroup").applyInPandas(_pack_group(extra_col), PACK_SCHEMA)
+        ppack = cat.groupBy("pgroup").applyInPandas(_pack_group(extra_col, cfg.filters), PACK_SCHEMA)
         ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
         qrep = qpack.withColumn("pblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
         joined = ppack.join(qrep, ["qblock", "pblock"])

@@ -26,10 +26,160 @@ SELECT m.query_id, m.rank, m.product_id, p.material_name, p.unit_price, p.unit,
 FROM m_ranked m JOIN v_products p USING (product_id)"""
 
 
+DISPLAY_STRING_COLUMNS = ["product_id", "material_name", "description", "unit_price", "unit", "region",
+                          "vendor", "vat_rate", "updated_at", "source"]
+
+
+def match_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response rows with null-safe string rendering of every catalog field."""
+    cat = views.products(spark, sf_dir)
+    hits = M.attach_products(M.top_k(views.queries(spark, sf_dir), cat), cat)
+    return hits.select("query_id", "rank",
+                       *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DISPLAY_STRING_COLUMNS],
+                       "similarity_score", "confidence_tier")
+
+
+def _display_sql() -> str:
+    cols = ", ".join(f"coalesce(CAST(p.{c} AS VARCHAR), '') AS {c}" for c in DISPLAY_STRING_COLUMNS)
+    return f"""WITH {OV.products()}, {OV.queries()}, {OV.ranked_matches()}
+SELECT m.query_id, m.rank, {cols}, round(m.sim, 4) AS similarity_score, {OV.tier('m.sim')} AS confidence_tier
+FROM m_ranked m JOIN v_products p USING (product_id)"""
+
+
+def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best single product per lookup (k = 1), with the same filters and degrade."""
+    cat = views.products(spark, sf_dir)
+    cfg = M.MatchConfig(cap=1, fallback_k=1)
+    hits = M.top_k(views.queries(spark, sf_dir), cat, cfg)
+    return M.attach_products(hits, cat).select("query_id", "product_id", "material_name",
+                                               "similarity_score", "confidence_tier", "degraded")
+
+
+def _best_sql() -> str:
+    return f"""WITH {OV.products()}, {OV.queries()}, {OV.ranked_matches(cap=1, fallback_k=1)}
+SELECT m.query_id, m.product_id, p.material_name, round(m.sim, 4) AS similarity_score,
+       {OV.tier('m.sim')} AS confidence_tier, m.degraded
+FROM m_ranked m JOIN v_products p USING (product_id)"""
+
+
+def match_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per lookup: whether the filtered search came back empty and the fallback answered."""
+    cat = views.products(spark, sf_dir)
+    hits = M.top_k(views.queries(spark, sf_dir), cat)
+    return (hits.groupBy("query_id")
+                .agg(F.max("degraded").alias("degraded"), F.count("*").alias("n_results"),
+                     F.round(F.max("sim"), 4).alias("best_score")))
+
+
+def _degraded_sql() -> str:
+    return f"""WITH {OV.products()}, {OV.queries()}, {OV.ranked_matches()}
+SELECT query_id, bool_or(degraded) AS degraded, count(*) AS n_results, round(max(sim), 4) AS best_score
+FROM m_ranked GROUP BY query_id"""
+
+
+def match_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups with an empty text give no rows; they are reported with a reason."""
+    return M.empty_queries(views.queries(spark, sf_dir))
+
+
+def _empty_sql() -> str:
+    return f"""WITH {OV.queries()}
+SELECT query_id, 'empty_query' AS reason FROM v_queries WHERE coalesce(query, '') = '' OR len(embedding) = 0"""
+
+
+def _filter_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = views.queries(spark, sf_dir)
+    return (q.withColumn("unit", F.when(F.col("query_id") % 4 == 1, F.lit("€/m²")))
+             .withColumn("quality_score", F.when(F.col("query_id") % 6 == 2,
+                                                 (F.col("query_id") % 10).cast("string"))))
+
+
+FILTERS_4 = ("region", "vendor", "unit", "quality_score")
+
+
+def match_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-5 with the extra optional equality filters on unit and quality score."""
+    cat = views.products(spark, sf_dir)
+    cfg = M.MatchConfig(filters=FILTERS_4)
+    hits = M.top_k(_filter_queries(spark, sf_dir), cat, cfg)
+    return M.attach_products(hits, cat).select("query_id", "rank", "product_id", "unit", "quality_score",
+                                               "similarity_score", "degraded")
+
+
+def _filters_sql() -> str:
+    fq = """v_fq AS (SELECT *, CASE WHEN query_id % 4 = 1 THEN '€/m²' END AS unit,
+       CASE WHEN query_id % 6 = 2 THEN CAST(query_id % 10 AS VARCHAR) END AS quality_score FROM v_queries)"""
+    ranked = OV.ranked_matches(queries_cte="v_fq").replace(
+        "(q.vendor IS NULL OR q.vendor = '' OR p.vendor = q.vendor)",
+        "(q.vendor IS NULL OR q.vendor = '' OR p.vendor = q.vendor) AND "
+        "(q.unit IS NULL OR q.unit = '' OR p.unit = q.unit) AND "
+        "(q.quality_score IS NULL OR q.quality_score = '' OR p.quality_score = q.quality_score)")
+    return f"""WITH {OV.products()}, {OV.queries()}, {fq}, {ranked}
+SELECT m.query_id, m.rank, m.product_id, p.unit, p.quality_score, round(m.sim, 4) AS similarity_score, m.degraded
+FROM m_ranked m JOIN v_products p USING (product_id)"""
+
+
+THRESHOLD = 0.6
+CHEAPEST_K = 3
+
+
+def cheapest_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per lookup: the 3 cheapest products in its region with similarity above 0.6."""
+    cat = views.products(spark, sf_dir)
+    cfg = M.MatchConfig(cap=CHEAPEST_K, degrade=False, min_score=THRESHOLD, order_extra=True,
+                        filters=("region",))
+    hits = M.top_k(views.queries(spark, sf_dir), cat, cfg, extra_col="price_value")
+    return hits.select("query_id", "rank", "product_id", F.col("extra").alias("price_value"),
+                       F.round("sim", 4).alias("similarity_score"))
+
+
+def _cheapest_sql() -> str:
+    sim = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))"
+    return f"""WITH {OV.products()}, {OV.queries()},
+c AS (
+  SELECT q.query_id, q.q_limit, p.product_id, p.price_value, {sim} AS sim
+  FROM v_queries q JOIN v_products p
+    ON (q.region IS NULL OR q.region = '' OR p.region = q.region)
+  WHERE len(q.embedding) > 0 AND p.price_value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price_value, product_id) AS rn
+      FROM c WHERE sim > {THRESHOLD})
+SELECT query_id, CAST(rn AS INTEGER) AS rank, product_id, price_value, round(sim, 4) AS similarity_score
+FROM r WHERE rn <= least(q_limit, {CHEAPEST_K})"""
+
+
+def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result counts by confidence tier and product region over all lookups."""
+    cat = views.products(spark, sf_dir)
+    hits = M.attach_products(M.top_k(views.queries(spark, sf_dir), cat), cat, ["region"])
+    return (hits.groupBy("region", "confidence_tier")
+                .agg(F.count("*").alias("n_results"), F.round(F.avg("similarity_score"), 4).alias("avg_score")))
+
+
+def _tiers_sql() -> str:
+    return f"""WITH {OV.products()}, {OV.queries()}, {OV.ranked_matches()}
+SELECT p.region, {OV.tier('m.sim')} AS confidence_tier, count(*) AS n_results,
+       round(avg(round(m.sim, 4)), 4) AS avg_score
+FROM m_ranked m JOIN v_products p USING (product_id) GROUP BY 1, 2"""
+
+
 QUERIES = {
     "match_topk": match_topk,
+    "match_display": match_display,
+    "match_best": match_best,
+    "match_degraded": match_degraded,
+    "match_empty_query": match_empty_query,
+    "match_filters": match_filters,
+    "cheapest_above_threshold": cheapest_above_threshold,
+    "confidence_tiers": confidence_tiers,
 }
 
 SQL = {
     "match_topk": _topk_sql(),
+    "match_display": _display_sql(),
+    "match_best": _best_sql(),
+    "match_degraded": _degraded_sql(),
+    "match_empty_query": _empty_sql(),
+    "match_filters": _filters_sql(),
+    "cheapest_above_threshold": _cheapest_sql(),
+    "confidence_tiers": _tiers_sql(),
 }
