@@ -93,3 +93,25 @@ def ranked_matches(queries_cte: str = "v_queries", products_cte: str = "v_produc
   SELECT query_id, CAST(rn AS INTEGER) AS rank, product_id, sim, (path = 1) AS degraded
   FROM {name}_r
   WHERE rn <= CASE WHEN path = 0 THEN least(q_limit, {cap}) ELSE {fallback_k} END)"""
+
+
+def _pick_sql(options: list[str], key: str) -> str:
+    items = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+    return f"([{items}])[({key} % {len(options)}) + 1]"
+
+
+def transcripts() -> str:
+    from tessera.sources.views import T_CITIES, T_INTROS, T_TASKS, T_VENDORS
+    k = "o.o_orderkey"
+    return f"""
+v_transcripts AS (
+  SELECT o.o_orderkey AS proposal_id,
+         {_pick_sql(T_INTROS, k)} || {_pick_sql(T_TASKS, k)}
+         || CASE WHEN {k} % 37 > 0 THEN ', about ' || CAST({k} % 37 AS VARCHAR) || ' m2'
+                 ELSE ', size unknown' END
+         || {_pick_sql(T_VENDORS, k)}
+         || CASE WHEN o.o_custkey % 9 = 0 THEN ' with a price comparison' ELSE '' END
+         || {_pick_sql(T_CITIES, 'c.c_nationkey')}
+         || CASE WHEN {k} % 4 = 0 THEN ' on a tight budget' ELSE '' END
+         || '.' AS transcript
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""

@@ -107,3 +107,42 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(empty, F.array().cast("array<double>"))
                      .otherwise(V.blend(F.col("embedding"), F.col("nxt_emb"), 0.5)).alias("embedding"),
                 ))
+
+
+# Transcript phrase pools (ours): picked by key mod pool size.
+T_INTROS = ["Need to ", "Client wants to ", "Quote to "]
+T_TASKS = [
+    "retile the bathroom floor with white ceramic tile",
+    "repaint the living room walls with matte paint",
+    "redo the shower plumbing and replace the toilet",
+    "remove the old tiles, install a new vanity and sink",
+    "finish a kitchen renovation with oak parquet flooring and wood plinth",
+    "fix the terrace: cement, joint and waterproof glue",
+]
+T_VENDORS = ["", " from Castorama", " from Leroy Merlin", " at ManoMano", " from Bricodepot"]
+T_CITIES = [" in Paris", " in Lyon", " in Marseille", " near Cairo", ""]
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job transcripts, one per order (proposal_id = o_orderkey).
+
+    Text = intro + task + area + vendor + [price comparison] + city + [budget] + '.'
+    with pools picked by o_orderkey (intro mod 3, task mod 6, area mod 37 with 0
+    meaning none, vendor mod 5, budget when mod 4 = 0, comparison when
+    o_custkey mod 9 = 0) and the city by c_nationkey mod 5.
+    """
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    k = F.col("o_orderkey")
+    area_n = k % 37
+    text = F.concat(
+        _pick(T_INTROS, k), _pick(T_TASKS, k),
+        F.when(area_n > 0, F.concat(F.lit(", about "), area_n.cast("string"), F.lit(" m2")))
+         .otherwise(F.lit(", size unknown")),
+        _pick(T_VENDORS, k),
+        F.when(F.col("o_custkey") % 9 == 0, F.lit(" with a price comparison")).otherwise(F.lit("")),
+        _pick(T_CITIES, F.col("c_nationkey")),
+        F.when(k % 4 == 0, F.lit(" on a tight budget")).otherwise(F.lit("")),
+        F.lit("."))
+    return (orders.join(cust, orders.o_custkey == cust.c_custkey)
+                  .select(k.alias("proposal_id"), text.alias("transcript")))
