@@ -146,3 +146,106 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("."))
     return (orders.join(cust, orders.o_custkey == cust.c_custkey)
                   .select(k.alias("proposal_id"), text.alias("transcript")))
+
+
+SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+SITEMAP_SIZE = 50          # urls per sitemap file
+INDEX_SIZE = 1000          # sitemaps per index file
+
+
+def _supplier_url(supplier: Column) -> Column:
+    from tessera import fixed
+    expr = F.lit(None).cast("string")
+    for name, url, _, _ in fixed.SUPPLIERS:
+        expr = F.when(supplier == F.lit(name), F.lit(url)).otherwise(expr)
+    return expr
+
+
+def price_display(price: Column) -> Column:
+    """French display of a price: '901,01', with a '.' thousands group from 1000 on."""
+    whole = F.floor(price).cast("long")
+    cents = F.lpad((F.round(price * 100).cast("long") % 100).cast("string"), 2, "0")
+    return F.when(whole >= 1000,
+                  F.concat((whole / 1000).cast("long").cast("string"), F.lit("."),
+                           F.lpad((whole % 1000).cast("string"), 3, "0"), F.lit(","), cents)) \
+            .otherwise(F.concat(whole.cast("string"), F.lit(","), cents))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored product pages: the page table with a price block spliced before </article>.
+
+    page_id mod 4: 0 span.price, 1 .product-price with 'soit', 2 price in plain
+    text only, 3 no price. An add-to-cart button when page_id mod 3 = 0.
+    Supplier by page_id mod 3, status 404 when page_id mod 17 = 0, sitemap
+    number page_id div 50.
+    """
+    from tessera import fixed
+    pg = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
+    p = pg.join(part, pg.page_id == part.p_partkey, "left")
+    i = F.col("page_id")
+    txt = price_display(F.col("p_retailprice"))
+    block = (F.when(i % 4 == 0, F.concat(F.lit('<span class="price">'), txt, F.lit(" €/m2</span>")))
+              .when(i % 4 == 1, F.concat(F.lit('<div class="product-price">soit '), txt, F.lit(" € / m2</div>")))
+              .when(i % 4 == 2, F.concat(F.lit("<p>Prix "), txt, F.lit(" € / m2</p>")))
+              .otherwise(F.lit("")))
+    block = F.coalesce(block, F.lit(""))
+    cart = F.when(i % 3 == 0, F.lit("<button>Ajouter au panier</button>")).otherwise(F.lit(""))
+    supplier = _pick([s[0] for s in fixed.SUPPLIERS], i)
+    sitemap_no = F.expr("page_id div 50")
+    return p.select(
+        "page_id", "url",
+        F.replace(F.col("html"), F.lit("</article>"), F.concat(block, cart, F.lit("</article>"))).alias("html"),
+        supplier.alias("supplier"),
+        F.when(i % 17 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        sitemap_no.alias("sitemap_no"),
+        F.concat(_supplier_url(supplier), F.lit("sitemaps/"), supplier, F.lit("-"),
+                 sitemap_no.cast("string"), F.lit(".xml")).alias("sitemap"),
+        i.alias("seq"))
+
+
+def _xml_escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sitemap files (url, body, supplier): url sitemaps of at most 50 pages
+    and index files of at most 1000 sitemaps, namespaced XML."""
+    pg = pages(spark, sf_dir)
+    urlsets = (pg.groupBy("supplier", "sitemap", "sitemap_no")
+                 .agg(F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("items"))
+                 .select(F.col("sitemap").alias("url"), "supplier", "sitemap_no",
+                         F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="{SITEMAP_NS}">'),
+                                  F.array_join(F.transform("items", lambda x: F.concat(
+                                      F.lit("<url><loc>"), _xml_escape(x["url"]), F.lit("</loc></url>"))), ""),
+                                  F.lit("</urlset>")).alias("body")))
+    idx_no = F.expr(f"sitemap_no div {INDEX_SIZE}")
+    sup_url = _supplier_url(F.col("supplier"))
+    index = (urlsets.withColumn("index_no", idx_no)
+                    .groupBy("supplier", "index_no")
+                    .agg(F.array_sort(F.collect_list(F.struct("sitemap_no", "url"))).alias("items"))
+                    .select(F.concat(sup_url, F.lit("sitemaps/"), F.col("supplier"), F.lit("-index-"),
+                                     F.col("index_no").cast("string"), F.lit(".xml")).alias("url"),
+                            "supplier",
+                            F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{SITEMAP_NS}">'),
+                                     F.array_join(F.transform("items", lambda x: F.concat(
+                                         F.lit("<sitemap><loc>"), x["url"], F.lit("</loc></sitemap>"))), ""),
+                                     F.lit("</sitemapindex>")).alias("body"),
+                            F.col("index_no")))
+    return urlsets.select("url", "supplier", "body").unionByName(index.select("url", "supplier", "body"))
+
+
+def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots.txt per supplier: a user-agent line plus one 'Sitemap:' line per index file."""
+    pg = pages(spark, sf_dir)
+    idx = pg.select("supplier", F.expr(f"sitemap_no div {INDEX_SIZE}").alias("index_no")).distinct()
+    sup_url = _supplier_url(F.col("supplier"))
+    lines = idx.select("supplier", "index_no",
+                       F.concat(F.lit("Sitemap: "), sup_url, F.lit("sitemaps/"), F.col("supplier"),
+                                F.lit("-index-"), F.col("index_no").cast("string"), F.lit(".xml")).alias("line"))
+    return (lines.groupBy("supplier")
+                 .agg(F.array_sort(F.collect_list(F.struct("index_no", "line"))).alias("items"))
+                 .select("supplier", F.concat(sup_url, F.lit("robots.txt")).alias("url"),
+                         F.concat(F.lit("User-agent: *\nDisallow: /checkout\n"),
+                                  F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("body")))
