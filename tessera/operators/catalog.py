@@ -68,19 +68,39 @@ def plain_text(html: Column) -> Column:
     return decode_entities(strip_tags(t))
 
 
+def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns evaluated once per row.
+
+    The optimizer inlines a projected expression into every later reference;
+    for large regex chains over page bodies that multiplies the work and the
+    generated code. A one-row ``inline`` (a Generate node) stops the inlining.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
+
+
+def clean_text(raw: Column) -> Column:
+    """Element text as shown: inner tags removed, entities decoded, trimmed."""
+    return F.trim(decode_entities(strip_tags(raw)))
+
+
 def element_text(html: Column, sel: str) -> Column:
     _, inner = selector_regex(sel)
-    return F.trim(decode_entities(strip_tags(F.regexp_extract(html, inner, 1))))
+    return clean_text(F.regexp_extract(html, inner, 1))
 
 
 def first_selector_text(html: Column, selectors: list[str]) -> Column:
-    """Text of the first selector that matches an element (possibly ''), else null."""
-    expr = None
+    """Text of the first selector that matches an element (possibly ''), else null.
+
+    The CASE picks the raw inner markup; cleaning runs once on the pick, which
+    keeps the generated code small.
+    """
+    raw = None
     for sel in selectors:
-        exists, _ = selector_regex(sel)
+        exists, inner = selector_regex(sel)
         cond = F.regexp_like(html, F.lit(exists))
-        expr = F.when(cond, element_text(html, sel)) if expr is None else expr.when(cond, element_text(html, sel))
-    return expr
+        val = F.regexp_extract(html, inner, 1)
+        raw = F.when(cond, val) if raw is None else raw.when(cond, val)
+    return clean_text(raw)
 
 
 def base_url(u: Column) -> Column:
@@ -169,11 +189,14 @@ def clean_unit(u: Column) -> Column:
 
 def first_price(text: Column) -> Column:
     """First price match as 'number €unit' (number with trailing ',' then '.' trimmed), else null."""
-    unit = F.regexp_extract(text, PRICE_RE, 2)
-    num = F.regexp_extract(text, PRICE_RE, 1)
-    num = F.btrim(F.btrim(num, F.lit(",")), F.lit("."))
-    return F.when(F.regexp_extract(text, PRICE_RE, 0) != "",
-                  F.concat(num, F.lit(" €"), clean_unit(unit)))
+    return price_from_match(F.regexp_extract(text, PRICE_RE, 0))
+
+
+def price_from_match(m: Column) -> Column:
+    """Format one whole price match (group 0) as 'number €unit'; '' or null gives null."""
+    num = F.btrim(F.btrim(F.regexp_extract(m, PRICE_RE, 1), F.lit(",")), F.lit("."))
+    unit = F.regexp_extract(m, PRICE_RE, 2)
+    return F.when(F.coalesce(m, F.lit("")) != "", F.concat(num, F.lit(" €"), clean_unit(unit)))
 
 
 def price_parts(price: Column) -> tuple[Column, Column]:
@@ -189,15 +212,20 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
     name, price and url must be non-empty, the rest go to rejects.
     """
     sup = F.broadcast(suppliers.select("supplier", F.col("url").alias("supplier_url")))
-    p = pages.join(sup, "supplier", "left")
     html, url = F.col("html"), F.col("url")
-    selected = price_text(html)
-    price = F.coalesce(first_price(selected), first_price(plain_text(html)))
-    amount, unit = price_parts(price)
-    rows = (p.where(is_product_page(url, html))
+    # Each large-text step runs once per page (``materialize``); later steps
+    # work on the short match strings.
+    p = pages.where(is_product_page(url, html)).join(sup, "supplier", "left")
+    p = materialize(p, _sel_m=F.regexp_extract(F.coalesce(price_text(html), F.lit("")), PRICE_RE, 0),
+                    _title=product_title(html))
+    p = materialize(p, _m=F.when(F.col("_sel_m") != "", F.col("_sel_m"))
+                           .otherwise(F.regexp_extract(plain_text(html), PRICE_RE, 0)))
+    p = materialize(p, _price=price_from_match(F.col("_m")))
+    amount, unit = price_parts(F.col("_price"))
+    rows = (p
               .select("page_id", "supplier", "sitemap", "sitemap_no", "seq",
                       F.concat_ws("|", F.col("supplier"), F.md5(url)).alias("product_id"),
-                      product_title(html).alias("material_name"),
+                      F.col("_title").alias("material_name"),
                       F.lit(None).cast("string").alias("description"),
                       amount.alias("unit_price"), unit.alias("unit"),
                       region_from_host(F.col("supplier_url")).alias("region"),

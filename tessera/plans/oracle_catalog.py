@@ -66,14 +66,19 @@ def plain_text(h: str) -> str:
     return decode(strip_tags(t))
 
 
+def clean_text(raw: str) -> str:
+    return f"trim({decode(strip_tags(raw))})"
+
+
 def element_text(h: str, sel: str) -> str:
     _, inner = C.selector_regex(sel)
-    return f"trim({decode(strip_tags(f'regexp_extract({h}, {q(inner)}, 1)'))})"
+    return clean_text(f"regexp_extract({h}, {q(inner)}, 1)")
 
 
 def first_selector_text(h: str, selectors) -> str:
-    whens = " ".join(f"WHEN {regexp_like(h, C.selector_regex(s)[0])} THEN {element_text(h, s)}" for s in selectors)
-    return f"CASE {whens} END"
+    whens = " ".join(f"WHEN {regexp_like(h, C.selector_regex(s)[0])} THEN regexp_extract({h}, {q(C.selector_regex(s)[1])}, 1)"
+                     for s in selectors)
+    return clean_text(f"CASE {whens} END")
 
 
 def is_product(url: str, h: str) -> str:
