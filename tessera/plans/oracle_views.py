@@ -115,3 +115,19 @@ v_transcripts AS (
          || CASE WHEN {k} % 4 = 0 THEN ' on a tight budget' ELSE '' END
          || '.' AS transcript
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+
+def feedback() -> str:
+    from tessera.sources.views import VERDICT_BY_EVENT
+    whens = " ".join(f"WHEN event_type = '{e}' THEN '{v}'" for e, v in VERDICT_BY_EVENT)
+    return f"""
+fb_no AS (SELECT count(*) AS n FROM orders),
+v_feedback AS (
+  SELECT event_id, event_id % (SELECT n FROM fb_no) AS proposal_id,
+         md5('quote:' || CAST(event_id % (SELECT n FROM fb_no) AS VARCHAR)) AS quote_id,
+         md5('quote:' || CAST(event_id % (SELECT n FROM fb_no) AS VARCHAR)) || ':0' AS task_id,
+         CASE WHEN user_id % 10 = 7 THEN 'supplier' WHEN user_id % 2 = 0 THEN 'contractor' ELSE 'client' END
+           AS user_type,
+         CASE WHEN event_id % 23 = 0 THEN NULL ELSE CASE {whens} END END AS verdict,
+         props AS comment, ts AS created_at
+  FROM events)"""

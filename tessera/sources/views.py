@@ -249,3 +249,33 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .select("supplier", F.concat(sup_url, F.lit("robots.txt")).alias("url"),
                          F.concat(F.lit("User-agent: *\nDisallow: /checkout\n"),
                                   F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("body")))
+
+
+VERDICT_BY_EVENT = [("purchase", "accepted"), ("signup", "accepted"), ("error", "rejected"),
+                    ("view", "rejected"), ("click", "modified")]
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback records, one per event, on the quote of order ``event_id mod |orders|``.
+
+    verdict by event type, user type by user_id parity ('supplier', which is
+    invalid, when user_id mod 10 = 7), no verdict when event_id mod 23 = 0,
+    comment = props, created_at = ts.
+    """
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    n_orders = row_count(spark, sf_dir, "orders")
+    verdict = F.lit(None).cast("string")
+    for et, v in reversed(VERDICT_BY_EVENT):
+        verdict = F.when(F.col("event_type") == et, F.lit(v)).otherwise(verdict)
+    pid = F.col("event_id") % n_orders
+    qid = F.md5(F.concat(F.lit("quote:"), pid.cast("string")))
+    return ev.select(
+        "event_id",
+        pid.alias("proposal_id"),
+        qid.alias("quote_id"),
+        F.concat(qid, F.lit(":0")).alias("task_id"),
+        F.when(F.col("user_id") % 10 == 7, F.lit("supplier"))
+         .when(F.col("user_id") % 2 == 0, F.lit("contractor")).otherwise(F.lit("client")).alias("user_type"),
+        F.when(F.col("event_id") % 23 == 0, F.lit(None).cast("string")).otherwise(verdict).alias("verdict"),
+        F.col("props").alias("comment"),
+        F.col("ts").alias("created_at"))
