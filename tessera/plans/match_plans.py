@@ -183,3 +183,32 @@ SQL = {
     "cheapest_above_threshold": _cheapest_sql(),
     "confidence_tiers": _tiers_sql(),
 }
+
+
+def _ann_inputs(spark, sf_dir):
+    cat = views.products(spark, sf_dir)
+    q = views.queries(spark, sf_dir).select("query_id", "embedding")
+    return cat, q
+
+
+ANN_NPROBE = 4
+
+
+def ann_topk(spark, sf_dir):
+    """Approximate top-5 per lookup over an IVF index (KMeans cells, 4 probed)."""
+    from tessera.operators import ann
+    cat, q = _ann_inputs(spark, sf_dir)
+    hits = ann.ann_top_k(q, cat, k=5, nprobe=ANN_NPROBE)
+    return hits.select("query_id", "rank", "product_id", F.round("sim", 4).alias("similarity_score"))
+
+
+def ann_recall(spark, sf_dir):
+    """Recall@5 of the approximate search against the exact unfiltered top-5, per lookup."""
+    from tessera.operators import ann
+    cat, q = _ann_inputs(spark, sf_dir)
+    approx = ann.ann_top_k(q, cat, k=5, nprobe=ANN_NPROBE)
+    exact = M.top_k(q, cat, M.MatchConfig(use_filters=False, degrade=False, filters=()))
+    return ann.recall_at_k(approx, exact)
+
+
+QUERIES.update({"ann_topk": ann_topk, "ann_recall": ann_recall})
