@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.plan import materialize
 from tessera.functions.text import title_words
 
 WS = r"[\s\x{00A0}]"
@@ -68,16 +69,6 @@ def plain_text(html: Column) -> Column:
     return decode_entities(strip_tags(t))
 
 
-def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
-    """Add columns evaluated once per row.
-
-    The optimizer inlines a projected expression into every later reference;
-    for large regex chains over page bodies that multiplies the work and the
-    generated code. A one-row ``inline`` (a Generate node) stops the inlining.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
-
-
 def clean_text(raw: Column) -> Column:
     """Element text as shown: inner tags removed, entities decoded, trimmed."""
     return F.trim(decode_entities(strip_tags(raw)))

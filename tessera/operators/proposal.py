@@ -102,54 +102,92 @@ def quote_id(proposal_id):
     return F.md5(F.concat(F.lit("quote:"), proposal_id.cast("string")))
 
 
+def task_totals_expr(tasks, city, vat_rules=None) -> dict:
+    """Per-proposal task totals straight from the task array (no explode, no shuffle)."""
+    mult = P.city_multiplier(F.coalesce(city, F.lit(fixed.PROPOSAL_DEFAULT_CITY)))
+    hours = F.transform(tasks, lambda t: P.estimate_hours(t["task_name"], t["area_m2"]))
+    labour = F.transform(hours, lambda h: P.labour_cost(h, mult))
+    vat = F.transform(tasks, lambda t: P.vat_rate(t["task_name"], vat_rules))
+    zero = F.lit(0.0).cast("double")
+    return {
+        "n_tasks": F.size(tasks).cast("long"),
+        "total_hours": F.aggregate(hours, zero, lambda a, x: a + x),
+        "labor_cost": F.aggregate(labour, zero, lambda a, x: a + x),
+        "vat_rate": F.coalesce(F.greatest(F.array_max(vat), zero), zero),
+    }
+
+
+LINE_FIELDS = ["mat_pos", "material", "product_id", "sim", "degraded", "material_name", "price_value",
+               "product_region", "product_vendor"]
+
+
 def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixed.PROPOSAL_MARGIN,
              vat_rules=None) -> tuple[DataFrame, DataFrame]:
     """(proposals, quote_lines).
 
-    Margin term as coded: matched material count x (1 + margin) x (1 + task VAT),
-    before de-dup and without the price. Total = ceil(prices + margin term + labour).
+    Shuffles: the lookup join (broadcast at runtime when the distinct lookups
+    are small) and one groupBy on proposal_id; task totals are array
+    expressions on each row. Margin term as coded: matched material count x
+    (1 + margin) x (1 + task VAT), before de-dup and without the price.
+    Total = ceil(prices + margin term + labour).
     """
-    base = parsed.select("proposal_id", "renovation_type")
-    tt = task_totals(parsed, vat_rules)
-    lines = matched_lines(parsed, catalog, encode)
-    lt = line_totals(lines)
-    p = base.join(tt, "proposal_id", "left").join(lt, "proposal_id", "left")
-    vat = F.coalesce(F.col("vat_rate"), F.lit(0.0))
-    n_mat = F.coalesce(F.col("n_materials"), F.lit(0))
+    tt = task_totals_expr(F.col("tasks"), F.col("city"), vat_rules)
+    base = parsed.select("proposal_id", "renovation_type", "region", "vendor", "materials",
+                         *[v.alias(k) for k, v in tt.items()])
+    # one row per (proposal, material); proposals without materials keep one null row
+    lines = base.select("*", F.posexplode_outer("materials").alias("mat_pos", "material")).drop("materials")
+    lines = lines.withColumn("lookup_text", F.concat_ws(" ", F.col("vendor"), F.col("material")))
+    best = best_products(lines.where(F.col("material").isNotNull()), catalog, encode)
+    display = catalog.select("product_id", "material_name", "price_value",
+                             F.col("region").alias("product_region"), F.col("vendor").alias("product_vendor"))
+    best = best.join(display, "product_id")
+    keyed = lines.withColumn("lookup", F.when(F.col("material").isNotNull(),
+                                              lookup_key(F.col("lookup_text"), F.col("region"))))
+    matched = keyed.join(best, "lookup", "left")
+    line = F.when(F.col("product_id").isNotNull(), F.struct(*[F.col(c) for c in LINE_FIELDS]))
+    grouped = matched.groupBy("proposal_id").agg(
+        F.first("renovation_type").alias("renovation_type"),
+        *[F.first(k).alias(k) for k in tt],
+        F.array_sort(F.collect_list(line)).alias("lines"))   # sorted by mat_pos
+    # first line per product in material order
+    uniq = F.filter("lines", lambda x, i: ~F.exists(F.slice("lines", 1, i),
+                                                    lambda y: y["product_id"] == x["product_id"]))
+    g = grouped.withColumn("uniq", uniq)
+    prices_raw = F.aggregate(F.transform("uniq", lambda x: F.coalesce(x["price_value"], F.lit(0.0))),
+                             F.lit(0.0).cast("double"), lambda a, x: a + x)
+    n_mat = F.size("lines").cast("long")
+    n_uniq = F.size("uniq")
+    conf = F.when(n_uniq > 0, F.round(F.aggregate(F.transform("uniq", lambda x: F.round(x["sim"], 4)),
+                                                  F.lit(0.0).cast("double"), lambda a, x: a + x) / n_uniq, 2)) \
+            .otherwise(F.lit(0.0))
+    vat = F.col("vat_rate")
     margin_term = n_mat.cast("double") * F.lit(1.0 + margin) * (F.lit(1.0) + vat)
-    hours = F.coalesce(F.col("total_hours"), F.lit(0.0))
-    labour = F.coalesce(F.col("labor_cost"), F.lit(0.0))
-    prices = F.coalesce(F.col("prices_sum"), F.lit(0.0))
-    days = F.ceil(hours / 24.0)
-    proposals = p.select(
+    days = F.ceil(F.col("total_hours") / 24.0)
+    proposals = g.select(
         "proposal_id",
         quote_id(F.col("proposal_id")).alias("quote_id"),
         F.coalesce(F.col("renovation_type"), F.lit(fixed.PROPOSAL_DEFAULT_LABEL)).alias("label"),
-        F.coalesce(F.col("n_tasks"), F.lit(0)).alias("n_tasks"),
-        hours.alias("total_hours"),
-        F.round(labour, 2).alias("labor_cost"),
-        vat.alias("vat_rate"),
+        "n_tasks", "total_hours",
+        F.round("labor_cost", 2).alias("labor_cost"),
+        "vat_rate",
         n_mat.alias("n_materials"),
         F.round(margin_term, 4).alias("margin_protected_price"),
-        F.round(prices, 2).alias("prices_sum"),
-        F.coalesce(F.col("confidence_score"), F.lit(0.0)).alias("confidence_score"),
-        F.coalesce(F.col("materials"), F.lit("")).alias("materials"),
+        F.round(prices_raw, 2).alias("prices_sum"),
+        conf.alias("confidence_score"),
+        F.array_join(F.transform("uniq", lambda x: x["material_name"]), "|").alias("materials"),
         days.alias("duration_days"),
         F.concat(days.cast("string"), F.lit(" day")).alias("estimated_duration"),
         # the exact total is a multiple of 0.01: round away summation noise before the ceiling
-        F.ceil(F.round(prices + margin_term + labour, 6)).cast("long").alias("total_estimate"),
-        F.coalesce(F.col("price_missing"), F.lit(False)).alias("price_missing"),
+        F.ceil(F.round(prices_raw + margin_term + F.col("labor_cost"), 6)).cast("long").alias("total_estimate"),
+        F.exists("uniq", lambda x: x["price_value"].isNull()).alias("price_missing"),
     )
     qid = quote_id(F.col("proposal_id"))
-    quote_lines = dedup_lines(lines).select(
-        qid.alias("quote_id"),
-        F.concat(qid, F.lit(":0")).alias("task_id"),
-        "proposal_id", "product_id", "material",
-        F.round("sim", 4).alias("similarity_score"),
-        "price_value",
-        F.col("product_region").alias("region"),
-        F.col("product_vendor").alias("vendor"),
-        "degraded")
+    quote_lines = (g.select("proposal_id", F.explode("uniq").alias("l"))
+                    .select(qid.alias("quote_id"), F.concat(qid, F.lit(":0")).alias("task_id"), "proposal_id",
+                            F.col("l.product_id").alias("product_id"), F.col("l.material").alias("material"),
+                            F.round("l.sim", 4).alias("similarity_score"), F.col("l.price_value").alias("price_value"),
+                            F.col("l.product_region").alias("region"), F.col("l.product_vendor").alias("vendor"),
+                            F.col("l.degraded").alias("degraded")))
     return proposals, quote_lines
 
 

@@ -26,6 +26,8 @@ QUALITY_WORDS = [("high", ["better quality", "premium", "high-end"]), ("low", ["
 UNIT_WORDS = [("€/m²", ["m2", "m²", "sqm"]), ("€/litre", ["litre", "liter"])]
 
 AREA_PATTERN = r"(\d+)\s?m[²2]"
+# any material keyword as a substring (keywords are plain words, quoted for safety)
+MATERIAL_RE = "|".join("\\Q" + w + "\\E" for w in fixed.MATERIAL_KEYWORDS)
 CITY_PATTERN = "(" + "|".join(fixed.LABOUR_CITIES) + ")"
 
 
@@ -50,9 +52,8 @@ def place_mention(text: Column) -> Column:
 
 def material_phrases(text: Column) -> Column:
     """Distinct, sorted clauses of the lowercased text that contain a material word."""
-    words = F.array(*[F.lit(w) for w in fixed.MATERIAL_KEYWORDS])
     parts = F.transform(F.split(F.lower(text), CLAUSE_SPLIT), lambda x: F.trim(x))
-    keep = F.filter(parts, lambda x: (x != "") & F.exists(words, lambda w: F.contains(x, w)))
+    keep = F.filter(parts, lambda x: (x != "") & F.regexp_like(x, F.lit(MATERIAL_RE)))
     return F.array_sort(F.array_distinct(keep))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.plan import materialize
 from tessera.functions.text import parse_price_fr
 from tessera.sources.tables import read_table
 
@@ -144,8 +145,8 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(T_CITIES, F.col("c_nationkey")),
         F.when(k % 4 == 0, F.lit(" on a tight budget")).otherwise(F.lit("")),
         F.lit("."))
-    return (orders.join(cust, orders.o_custkey == cust.c_custkey)
-                  .select(k.alias("proposal_id"), text.alias("transcript")))
+    base = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_custkey", "c_nationkey")
+    return materialize(base, transcript=text).select(k.alias("proposal_id"), "transcript")
 
 
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -193,9 +194,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cart = F.when(i % 3 == 0, F.lit("<button>Ajouter au panier</button>")).otherwise(F.lit(""))
     supplier = _pick([s[0] for s in fixed.SUPPLIERS], i)
     sitemap_no = F.expr("page_id div 50")
+    p = materialize(p.withColumnRenamed("html", "raw_html"),
+                    html=F.replace(F.col("raw_html"), F.lit("</article>"), F.concat(block, cart, F.lit("</article>"))))
     return p.select(
-        "page_id", "url",
-        F.replace(F.col("html"), F.lit("</article>"), F.concat(block, cart, F.lit("</article>"))).alias("html"),
+        "page_id", "url", "html",
         supplier.alias("supplier"),
         F.when(i % 17 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
         sitemap_no.alias("sitemap_no"),
