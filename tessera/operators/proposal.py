@@ -13,6 +13,7 @@ transcripts is scored once. Both branches aggregate on ``proposal_id``.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,8 @@ def best_products(lines: DataFrame, catalog: DataFrame, encode) -> DataFrame:
     """
     lookups = (lines.select(lookup_key(F.col("lookup_text"), F.col("region")).alias("lookup"),
                             "lookup_text", "region").dropDuplicates(["lookup"]))
-    lookups = encode(lookups, "lookup_text").withColumn("query_id", F.xxhash64("lookup"))
+    lookups = encode(lookups, "lookup_text").withColumn("query_id", F.xxhash64("lookup")) \
+                     .persist(StorageLevel.MEMORY_AND_DISK)
     cfg = M.MatchConfig(cap=1, fallback_k=1, filters=("region",))
     hits = M.top_k(lookups.select("query_id", "embedding", "region"), catalog, cfg)
     return (hits.join(lookups.select("query_id", "lookup"), "query_id")
@@ -137,6 +139,8 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
     # one row per (proposal, material); proposals without materials keep one null row
     lines = base.select("*", F.posexplode_outer("materials").alias("mat_pos", "material")).drop("materials")
     lines = lines.withColumn("lookup_text", F.concat_ws(" ", F.col("vendor"), F.col("material")))
+    # parsed once: the lines feed the distinct lookups (scored first) and the main join
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     best = best_products(lines.where(F.col("material").isNotNull()), catalog, encode)
     display = catalog.select("product_id", "material_name", "price_value",
                              F.col("region").alias("product_region"), F.col("vendor").alias("product_vendor"))
