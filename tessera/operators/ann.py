@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import match as M
 
 
-def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 20):
+def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 10):
     """Fit KMeans on the unit-normalised product vectors.
 
     Returns (cells, centroids): cells (product_id, cell), centroids (product_id
@@ -33,8 +34,10 @@ def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 2
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
+    # iterative fit: keep the (id, unit vector) rows once instead of recomputing the catalog per pass
     data = (catalog.where(F.size("embedding") > 0)
-                   .select("product_id", array_to_vector(unit).alias("features")))
+                   .select("product_id", array_to_vector(unit).alias("features"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(data)
     cells = model.transform(data).select("product_id", F.col("cell").cast("long").alias("cell"))
