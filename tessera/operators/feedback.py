@@ -82,11 +82,16 @@ def calibration_curve(fl: DataFrame) -> DataFrame:
 
 
 def price_zscores(products: DataFrame) -> DataFrame:
-    """z-score of each price within its (category, region)."""
-    w = Window.partitionBy("category", "region")
-    mean = F.avg("price_value").over(w)
-    sd = F.stddev_samp("price_value").over(w)
-    return products.withColumn("z", F.round(F.try_divide(F.col("price_value") - mean, sd), 4))
+    """z-score of each price within its (category, region).
+
+    Group statistics come from a partial (map-side) aggregation joined back,
+    not from a window over each group, so a group holding a large share of
+    the rows is never buffered in one task.
+    """
+    stats = products.groupBy("category", "region").agg(F.avg("price_value").alias("_mean"),
+                                                       F.stddev_samp("price_value").alias("_sd"))
+    z = F.round(F.try_divide(F.col("price_value") - F.col("_mean"), F.col("_sd")), 4)
+    return products.join(stats, ["category", "region"], "left").withColumn("z", z).drop("_mean", "_sd")
 
 
 def price_anomalies(products: DataFrame, z: float = ANOMALY_Z) -> DataFrame:
@@ -104,9 +109,37 @@ def rejection_signals(fl: DataFrame, products: DataFrame) -> DataFrame:
                     (confidence_tier(F.col("similarity_score")) == "high").alias("confidence_miscalibrated"))
 
 
+def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
+                 band: float = 0.001, accuracy: int = 1_000_000) -> DataFrame:
+    """Exact median (mean of the two middle values for even counts) per group, distributed.
+
+    1. approximate quantiles at 0.5 +- band bracket the median (the rank
+       error of ``percentile_approx`` is below n / accuracy < band * n);
+    2. rows below the bracket are only counted; rows inside it (about
+       2 * band of the group) are ranked by a window;
+    3. the middle positions are read off. No step holds a whole group.
+    """
+    v = F.col(value)
+    base = df.where(v.isNotNull() & ~F.isnan(v))
+    q = base.groupBy(group).agg(
+        F.count("*").alias("_n"),
+        F.percentile_approx(value, [0.5 - band, 0.5 + band], accuracy).alias("_q"))
+    q = q.select(group, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    j = base.select(group, value).join(q, group)
+    below = j.where(v < F.col("_lo")).groupBy(group).agg(F.count("*").alias("_below"))
+    band_rows = j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+    w = Window.partitionBy(group).orderBy(value)
+    ranked = (band_rows.join(below, group, "left")
+                       .withColumn("_pos", F.coalesce(F.col("_below"), F.lit(0)) + F.row_number().over(w)))
+    mid_lo = F.floor((F.col("_n") + 1) / 2)
+    mid_hi = F.ceil((F.col("_n") + 1) / 2)
+    mids = ranked.where((F.col("_pos") == mid_lo) | (F.col("_pos") == mid_hi))
+    return mids.groupBy(group).agg(F.avg(value).alias(alias))
+
+
 def vendor_price_ratio(products: DataFrame) -> DataFrame:
     """Vendor mean price over the category median (exact median), per (vendor, category)."""
-    med = products.groupBy("category").agg(F.median("price_value").alias("category_median"))
+    med = exact_median(products, "category", "price_value", "category_median")
     vm = products.groupBy("vendor", "category").agg(F.avg("price_value").alias("vendor_mean"),
                                                     F.count("*").alias("n"))
     return (vm.join(med, "category")

@@ -273,22 +273,29 @@ def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig |
 def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFrame:
     """Global top-k per query from local candidates.
 
-    Keeps the filtered path when it produced anything, else the fallback
-    path (flagged ``degraded``); the filtered path is cut at
+    One window on ``query_id`` ordered by (path, key, product_id) with a
+    literal bound K = max(cap, fallback_k): Spark plans a WindowGroupLimit,
+    so at most K rows per query and map task cross the shuffle however many
+    packs produced candidates. The filtered path comes first in that order,
+    so the rows kept are the filtered ones when there are any, else the
+    fallback ones (flagged ``degraded``). The filtered path is then cut at
     ``min(limit, cap)``, the fallback at ``fallback_k``.
     """
     cfg = cfg or MatchConfig()
-    w_all = Window.partitionBy("query_id")
+    big_k = max(cfg.cap, cfg.fallback_k)
     key = F.col("extra").asc() if cfg.order_extra else F.round("sim", 4).desc()
     w_rank = Window.partitionBy("query_id").orderBy(F.col("path").asc(), key, F.col("product_id").asc())
-    ranked = (cands.withColumn("best_path", F.min("path").over(w_all))
-                   .where(F.col("path") == F.col("best_path"))
-                   .withColumn("rank", F.row_number().over(w_rank)))
+    # a limit of 0 or below returns nothing on the filtered path, which is what sends a lookup
+    # to the fallback in the behaviour reproduced
+    cands = cands.where((F.col("path") != PATH_FILTERED) | (F.col("q_limit") > 0))
+    top = cands.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= F.lit(big_k))
+    # same partitioning (query_id) as the window above: no further shuffle
+    top = top.withColumn("best_path", F.min("path").over(Window.partitionBy("query_id")))
     k_eff = F.when(F.col("path") == PATH_FILTERED, F.least(F.col("q_limit"), F.lit(cfg.cap))) \
              .otherwise(F.lit(cfg.fallback_k))
-    return (ranked.where(F.col("rank") <= k_eff)
-                  .select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", "sim", "extra",
-                          ((F.col("path") == PATH_FALLBACK) & F.lit(cfg.use_filters)).alias("degraded")))
+    return (top.where((F.col("path") == F.col("best_path")) & (F.col("rank") <= k_eff))
+               .select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", "sim", "extra",
+                       ((F.col("path") == PATH_FALLBACK) & F.lit(cfg.use_filters)).alias("degraded")))
 
 
 def top_k(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig | None = None,

@@ -93,3 +93,24 @@ def test_similarity_bounds_and_symmetry(spark):
     rows = df.select(cosine(F.col("a"), F.col("b")).alias("ab"), cosine(F.col("b"), F.col("a")).alias("ba")).collect()
     assert -1.0 <= rows[0]["ab"] <= 1.0 and rows[0]["ab"] == pytest.approx(rows[0]["ba"])
     assert rows[1]["ab"] is None  # zero norm: null, not an error
+
+
+def test_zero_limit_degrades(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    q0 = q.withColumn("q_limit", F.lit(0))
+    got = collect(M.top_k(q0, cat))
+    assert all(degraded and len(ids) == 5 for ids, degraded in got.values())
+
+
+def test_hot_region_is_not_a_hot_task(spark):
+    """A region holding most of the catalog: packs are cut by position, not by region."""
+    rng = np.random.default_rng(5)
+    P = rng.normal(size=(400, 8)).astype(np.float32)
+    prods = [(f"p{i:04d}", P[i].tolist(), "HOT" if i % 10 else "COLD", "v") for i in range(400)]
+    cat = spark.createDataFrame(prods, "product_id string, embedding array<float>, region string, vendor string")
+    q = spark.createDataFrame([(1, rng.normal(size=8).tolist(), "HOT", None, 5)],
+                              "query_id long, embedding array<double>, region string, vendor string, q_limit int")
+    packs = cat.repartition(4).mapInPandas(M._pack_products(64, None, ("region", "vendor")), M.PACK_SCHEMA)
+    sizes = [len(r["p_ids"]) for r in packs.select("p_ids").collect()]
+    assert max(sizes) <= 64 and sum(sizes) == 400
+    assert M.top_k(q, cat).count() == 5
