@@ -267,3 +267,25 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "product_id") -> Data
     both = target.unionByName(batch, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(F.col("batch_id").desc(), F.col("seq").desc())
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def load_products(rows: DataFrame, target: DataFrame | None, batch_id: int, encode=None) -> DataFrame:
+    """Bulk load: embed each record (name + ':' + description), stamp the load time and
+    upsert into the catalog by product id, in one job.
+
+    rows: product records (``catalog_io.PRODUCT_SCHEMA``) with a ``seq`` column in
+    file order; target: the current catalog (or None). ``encode(df, text_col)``
+    adds ``embedding``; the default is the hashing encoder.
+    """
+    from tessera.operators import embed as E
+    from tessera.sources import catalog_io as IO
+    encode = encode or (lambda df, col: E.hashing_encoder(df, col))
+    text = E.embedding_text(F.col("material_name"), F.col("description"))
+    if "seq" not in rows.columns:
+        raise ValueError("rows need a 'seq' column (file order) so the last duplicate wins")
+    staged = encode(rows.withColumn("_text", text), "_text").drop("_text")
+    staged = IO.conform(staged.withColumn("updated_at", F.current_timestamp()),
+                        extra=[F.lit(batch_id).alias("batch_id"), F.col("seq")])
+    if target is None:
+        return dedup_last(staged, "product_id", ["batch_id", "seq"])
+    return upsert(target, staged)

@@ -35,11 +35,11 @@ def read_products_json(spark: SparkSession, path: str, multi_line: bool = False)
     return reader.json(path)
 
 
-def conform(df: DataFrame, schema: T.StructType = CATALOG_SCHEMA) -> DataFrame:
-    """Project and cast to the table schema (missing columns become nulls)."""
+def conform(df: DataFrame, schema: T.StructType = CATALOG_SCHEMA, extra=()) -> DataFrame:
+    """Project and cast to the table schema (missing columns become nulls), plus ``extra`` columns."""
     cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields]
-    return df.select(*cols)
+    return df.select(*cols, *extra)
 
 
 def preview(df: DataFrame, n: int = 3, order_by: str = "product_id") -> DataFrame:
