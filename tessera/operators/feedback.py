@@ -59,8 +59,8 @@ def accepted(verdict: Column) -> Column:
 
 
 def rollup(fl: DataFrame) -> DataFrame:
-    """Counts and acceptance by region, vendor, user type with subtotals (ROLLUP)."""
-    return (fl.rollup("region", "vendor", "user_type")
+    """Counts and acceptance by material, region, vendor, user type with subtotals (ROLLUP)."""
+    return (fl.rollup("material", "region", "vendor", "user_type")
               .agg(F.count("*").alias("n"), F.round(F.avg(accepted(F.col("verdict"))), 6).alias("acceptance_rate")))
 
 
@@ -168,3 +168,13 @@ def stale(products: DataFrame, max_age_days: int = 30) -> DataFrame:
     newest = products.select(F.max("updated_at")).scalar()
     age = F.datediff(F.to_date(newest), F.to_date("updated_at"))
     return products.select("product_id", "updated_at", age.alias("age_days")).where(F.col("age_days") > max_age_days)
+
+
+def adjust_confidence(quote_lines: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """Fold feedback back into confidence: score x (region, vendor) multiplier, capped at 1,
+    with the tier recomputed; pairs without feedback keep their score."""
+    m = multipliers.select("region", "vendor", "multiplier")
+    j = quote_lines.join(m, ["region", "vendor"], "left")
+    adj = F.round(F.least(F.lit(1.0), F.col("similarity_score") * F.coalesce(F.col("multiplier"), F.lit(1.0))), 4)
+    return j.select("quote_id", "product_id", "similarity_score", adj.alias("adjusted_score"),
+                    confidence_tier(adj).alias("adjusted_tier"))
