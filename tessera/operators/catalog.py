@@ -116,7 +116,6 @@ def robots_sitemaps(robots: DataFrame, body_col: str = "body") -> DataFrame:
                  .drop(body_col, "line"))
 
 
-SITEMAP_NS_FREE = "url array<struct<loc:string>>"
 
 
 def sitemap_children(body: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 from tessera import fixed
 from tessera.operators import catalog as C
 from tessera.plans.oracle_rules import q
-from tessera.sources.views import INDEX_SIZE, SHOP_URL  # noqa: F401
 
 
 def pick(options, key):
