@@ -26,7 +26,7 @@ from tessera.operators import match as M
 def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 10):
     """Fit KMeans on the unit-normalised product vectors.
 
-    Returns (cells, centroids): cells (product_id, cell), centroids (product_id
+    Returns (cells, centroids): cells (product_id, cell, unit vector), centroids (product_id
     = cell id as text, embedding, region, vendor) small enough to score exactly.
     """
     from pyspark.ml.clustering import KMeans
@@ -40,7 +40,10 @@ def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 1
                    .persist(StorageLevel.MEMORY_AND_DISK))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(data)
-    cells = model.transform(data).select("product_id", F.col("cell").cast("long").alias("cell"))
+    from pyspark.ml.functions import vector_to_array
+    # (product_id, unit vector, cell) from the persisted fit input: the catalog is not read again
+    cells = model.transform(data).select("product_id", F.col("cell").cast("long").alias("cell"),
+                                         vector_to_array("features").alias("embedding"))
     spark = catalog.sparkSession
     centers = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "product_id string, embedding array<double>") \
@@ -65,7 +68,7 @@ def ann_top_k(queries: DataFrame, catalog: DataFrame, k: int = 5, nlist: int | N
     subs = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
                                     .cast("long").alias("nsub")))
     cfg = M.MatchConfig(cap=k, use_filters=False, degrade=False, filters=())
-    prod = (catalog.select("product_id", "embedding").join(cells, "product_id").join(subs, "cell")
+    prod = (cells.join(subs, "cell")
                    .withColumn("sub", F.pmod(F.xxhash64("product_id"), F.col("nsub")))
                    .withColumn("pgroup", F.col("cell") * (1 << 20) + F.col("sub")))
     ppack = prod.groupBy("pgroup").applyInPandas(M._pack_group(None, ()), M.PACK_SCHEMA)
