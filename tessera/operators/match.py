@@ -267,7 +267,9 @@ def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig |
         ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
         qrep = qpack.withColumn("pblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
         joined = ppack.join(qrep, ["qblock", "pblock"])
-    return joined.mapInPandas(_score(cfg), CAND_SCHEMA)
+    cands = joined.mapInPandas(_score(cfg), CAND_SCHEMA)
+    cands._rows_bound = n_q * max(cfg.cap, cfg.fallback_k)  # checked bound on the final result rows
+    return cands
 
 
 def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFrame:
@@ -302,9 +304,14 @@ def top_k(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig | None = None
           extra_col: str | None = None) -> DataFrame:
     """(query_id, rank, product_id, sim, degraded) for every query with a usable vector."""
     cfg = cfg or MatchConfig()
-    return rank_candidates(match_candidates(queries, catalog, cfg, extra_col), cfg)
+    cands = match_candidates(queries, catalog, cfg, extra_col)
+    hits = rank_candidates(cands, cfg)
+    hits._rows_bound = cands._rows_bound
+    return hits
 
 
+MAX_BROADCAST_HITS = 2_000_000  # result rows; about 100 bytes each before the display columns
+
 DISPLAY_COLUMNS = ["material_name", "description", "unit_price", "unit", "region", "vendor",
                    "vat_rate", "quality_score", "updated_at", "source"]
 
@@ -313,6 +320,11 @@ def attach_products(hits: DataFrame, catalog: DataFrame, columns: list[str] | No
     """Join the display columns back on product_id and add score and tier."""
     columns = columns or DISPLAY_COLUMNS
     display = catalog.select("product_id", *columns)
+    bound = getattr(hits, "_rows_bound", None)
+    if bound is not None and bound <= MAX_BROADCAST_HITS:
+        # at most queries x k rows, counted when the plan was built: broadcast them and
+        # stream the catalog through instead of shuffling it on product_id
+        hits = F.broadcast(hits)
     return (hits.join(display, "product_id")
                 .withColumn("similarity_score", F.round("sim", 4))
                 .withColumn("confidence_tier", confidence_tier(F.col("sim"))))
