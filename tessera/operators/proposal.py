@@ -63,8 +63,16 @@ def best_products(lines: DataFrame, catalog: DataFrame, encode) -> DataFrame:
                      .persist(StorageLevel.MEMORY_AND_DISK)
     cfg = M.MatchConfig(cap=1, fallback_k=1, filters=("region",))
     hits = M.top_k(lookups.select("query_id", "embedding", "region"), catalog, cfg)
-    return (hits.join(lookups.select("query_id", "lookup"), "query_id")
+    best = (hits.join(lookups.select("query_id", "lookup"), "query_id")
                 .select("lookup", "product_id", "sim", "degraded"))
+    best._rows_bound = hits._rows_bound   # one row per distinct lookup, counted
+    return best
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` when its counted row bound allows it, else leave the join to the planner."""
+    bound = getattr(df, "_rows_bound", None)
+    return F.broadcast(df) if bound is not None and bound <= M.MAX_BROADCAST_HITS else df
 
 
 def matched_lines(parsed: DataFrame, catalog: DataFrame, encode) -> DataFrame:
@@ -144,10 +152,12 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
     best = best_products(lines.where(F.col("material").isNotNull()), catalog, encode)
     display = catalog.select("product_id", "material_name", "price_value",
                              F.col("region").alias("product_region"), F.col("vendor").alias("product_vendor"))
-    best = best.join(display, "product_id")
+    bound = best._rows_bound
+    best = _small(best).join(display, "product_id")
+    best._rows_bound = bound
     keyed = lines.withColumn("lookup", F.when(F.col("material").isNotNull(),
                                               lookup_key(F.col("lookup_text"), F.col("region"))))
-    matched = keyed.join(best, "lookup", "left")
+    matched = keyed.join(_small(best), "lookup", "left")
     line = F.when(F.col("product_id").isNotNull(), F.struct(*[F.col(c) for c in LINE_FIELDS]))
     grouped = matched.groupBy("proposal_id").agg(
         F.first("renovation_type").alias("renovation_type"),
