@@ -233,10 +233,16 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
 
 
 def dedup_last(df: DataFrame, key: str = "product_id", order: list[str] | None = None) -> DataFrame:
-    """One row per key, the last in ``order`` wins."""
+    """One row per key, the last in ``order`` wins.
+
+    A ``max_by`` aggregation rather than a ranking window: it combines map-side,
+    so a key repeated in a third of the rows is reduced in every task before
+    the shuffle instead of being sorted in one.
+    """
     order = order or ["seq"]
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    cols = df.columns
+    last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(key).agg(last.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
 
 
 def row_budget(products: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -246,10 +252,15 @@ def row_budget(products: DataFrame, budgets: DataFrame) -> DataFrame:
     products: (supplier, sitemap, sitemap_order, seq, product_id, ...)
     budgets: (supplier, min_products)
     """
+    from tessera.operators.pricing import bounded_rows
+    # budgets are configuration (one row per supplier): the largest one is a literal bound,
+    # which lets Spark cut each sitemap's rows map-side (WindowGroupLimit) before the shuffle
+    top = max([r["min_products"] for r in bounded_rows(budgets.select("min_products"))] or [0])
     b = F.broadcast(budgets.select("supplier", "min_products"))
     p = products.join(b, "supplier")
     w = Window.partitionBy("supplier", "sitemap").orderBy("seq")
-    kept = p.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("min_products"))
+    kept = (p.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(top))
+             .where(F.col("_rn") <= F.col("min_products")))
     counts = kept.groupBy("supplier", "sitemap", "sitemap_order", "min_products").agg(F.count("*").alias("_n"))
     ws = Window.partitionBy("supplier").orderBy("sitemap_order").rowsBetween(Window.unboundedPreceding, -1)
     take = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(ws), F.lit(0)))
@@ -264,8 +275,7 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "product_id") -> Data
     last row wins, as rows applied one after another would.
     """
     both = target.unionByName(batch, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col("batch_id").desc(), F.col("seq").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return dedup_last(both, key, ["batch_id", "seq"])
 
 
 def load_products(rows: DataFrame, target: DataFrame | None, batch_id: int, encode=None) -> DataFrame:
