@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.html import html_unescape
 from tessera.functions.plan import materialize
 from tessera.functions.text import title_words
 
@@ -18,7 +19,7 @@ PRICE_RE = fixed.PRICE_PATTERN.replace(r"\s", WS)
 
 # HTML entities decoded in page text (the ones the page store uses plus the
 # XML basics); '&amp;' goes last so the decode is a single pass.
-ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+ENTITIES = [("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
@@ -159,10 +160,27 @@ def is_product_page(url: Column, html: Column) -> Column:
     return url_hit | (has_h1 & has_price) | cart
 
 
+def product_title_raw(html: Column) -> Column:
+    """First existing title selector's text (tags removed, entities kept); when empty, the page title."""
+    raw = None
+    for sel in fixed.TITLE_SELECTORS:
+        exists, inner = selector_regex(sel)
+        cond = F.regexp_like(html, F.lit(exists))
+        val = F.regexp_extract(html, inner, 1)
+        raw = F.when(cond, val) if raw is None else raw.when(cond, val)
+    first = F.trim(strip_tags(raw))
+    page_title = F.trim(strip_tags(F.regexp_extract(html, selector_regex("title")[1], 1)))
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(page_title, F.lit("")))
+
+
+def decode_title(raw: Column) -> Column:
+    """Entities decoded with the full HTML5 table (Python, on the short title only)."""
+    return F.trim(html_unescape(raw))
+
+
 def product_title(html: Column) -> Column:
-    """First existing title selector's text; when empty, the page title."""
-    first = first_selector_text(html, fixed.TITLE_SELECTORS)
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(element_text(html, "title"), F.lit("")))
+    """Title text: ``product_title_raw`` then the full entity decode."""
+    return decode_title(product_title_raw(html))
 
 
 def price_text(html: Column) -> Column:
@@ -207,7 +225,7 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
     # work on the short match strings.
     p = pages.where(is_product_page(url, html)).join(sup, "supplier", "left")
     p = materialize(p, _sel_m=F.regexp_extract(F.coalesce(price_text(html), F.lit("")), PRICE_RE, 0),
-                    _title=product_title(html))
+                    _title_raw=product_title_raw(html))
     p = materialize(p, _m=F.when(F.col("_sel_m") != "", F.col("_sel_m"))
                            .otherwise(F.regexp_extract(plain_text(html), PRICE_RE, 0)))
     p = materialize(p, _price=price_from_match(F.col("_m")))
@@ -215,7 +233,7 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
     rows = (p
               .select("page_id", "supplier", "sitemap", "sitemap_no", "seq",
                       F.concat_ws("|", F.col("supplier"), F.md5(url)).alias("product_id"),
-                      F.col("_title").alias("material_name"),
+                      decode_title(F.col("_title_raw")).alias("material_name"),
                       F.lit(None).cast("string").alias("description"),
                       amount.alias("unit_price"), unit.alias("unit"),
                       region_from_host(F.col("supplier_url")).alias("region"),

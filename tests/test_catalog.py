@@ -63,3 +63,10 @@ def test_sitemap_index_recursion(spark):
     roots = spark.createDataFrame([("x", 0, "https://x.fr/index.xml")], "supplier string, sitemap_order long, sitemap_url string")
     got = sorted(r["url"] for r in C.expand_sitemaps(roots, bodies).collect())
     assert got == ["https://x.fr/p/1", "https://x.fr/p/2"]
+
+
+def test_title_entities_full_table_single_pass(spark):
+    html = "<html><head><title>x</title></head><body><h1>Carrelage &eacute;maill&#233; &amp;eacute; 2&nbsp;m</h1></body></html>"
+    df = spark.createDataFrame([(html,)], "html string")
+    got = df.select(C.product_title(F.col("html")).alias("t")).first()["t"]
+    assert got == "Carrelage émaillé &eacute; 2 m"
