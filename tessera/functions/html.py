@@ -1,16 +1,24 @@
 """HTML text helpers that need Python's full entity table."""
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_UDF = None
 
-@F.pandas_udf("string")
-def html_unescape(s: pd.Series) -> pd.Series:
-    """Decode every HTML5 named and numeric character reference (Arrow-batched).
 
-    Used on short extracted texts (titles); page-sized text keeps the JVM-side
-    fixed entity list.
-    """
+def _unescape_series(s):
     import html
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else x)
+
+
+def html_unescape(col: Column) -> Column:
+    """Decode every HTML5 named and numeric character reference (Arrow-batched pandas UDF).
+
+    Used on short extracted texts (titles); page-sized text keeps the JVM-side
+    fixed entity list. The UDF is created on first use, when a session exists.
+    """
+    global _UDF
+    if _UDF is None:
+        _UDF = F.pandas_udf(_unescape_series, "string")
+    return _UDF(col)
