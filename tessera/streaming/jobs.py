@@ -55,19 +55,30 @@ def run_available(writer, timeout_s: int = 600):
 
 
 def daily_feedback_counts(spark: SparkSession, src: str, schema, out: str, ckpt: str,
-                          watermark: str = "1 day") -> DataFrame:
-    """Tumbling daily counts per verdict with a watermark (final state via complete mode)."""
+                          watermark: str = "1 day", mode: str = "complete") -> DataFrame:
+    """Tumbling daily counts per verdict with a watermark.
+
+    ``complete``: the final state equals the batch counts. ``append``: a day is
+    written once the watermark passes its end, rows later than the watermark
+    are dropped, and days still open at the end are withheld.
+    """
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
                    .withColumn("created_ts", F.col("created_at").cast("timestamp"))
                    .withWatermark("created_ts", watermark))
     counts = stream.groupBy(F.window("created_ts", "1 day"), "verdict").agg(F.count("*").alias("n"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        # complete mode: each batch is the full result; overwrite is idempotent
-        batch.select(F.to_date(F.col("window.start")).alias("day"), "verdict", "n") \
-             .write.mode("overwrite").parquet(out)
-    run_available(counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(sink))
-    return spark.read.parquet(out)
+        rows = batch.select(F.to_date(F.col("window.start")).alias("day"), "verdict", "n")
+        if mode == "complete":
+            rows.write.mode("overwrite").parquet(out)          # each batch is the full result
+        else:
+            rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")   # idempotent on replay
+    run_available(counts.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(sink))
+    try:
+        res = spark.read.parquet(out)
+    except Exception:  # noqa: BLE001 - nothing emitted yet
+        return spark.createDataFrame([], "day date, verdict string, n long")
+    return res.drop("epoch") if "epoch" in res.columns else res
 
 
 def dedup_valid_feedback(spark: SparkSession, src: str, schema, out: str, ckpt: str,
