@@ -115,9 +115,10 @@ def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
 
     1. approximate quantiles at 0.5 +- band bracket the median (the rank
        error of ``percentile_approx`` is below n / accuracy < band * n);
-    2. rows below the bracket are only counted; rows inside it (about
-       2 * band of the group) are ranked by a window;
-    3. the middle positions are read off. No step holds a whole group.
+    2. rows below the bracket are only counted; the distinct values inside it
+       (at most about 2 * band of the group, fewer with ties) are ranked by a
+       running count;
+    3. the values at the middle positions are read off. No step holds a whole group.
     """
     v = F.col(value)
     base = df.where(v.isNotNull() & ~F.isnan(v))
@@ -128,13 +129,17 @@ def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
     j = base.select(group, value).join(q, group)
     below = j.where(v < F.col("_lo")).groupBy(group).agg(F.count("*").alias("_below"))
     band_rows = j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = (band_rows.join(below, group, "left")
-                       .withColumn("_pos", F.coalesce(F.col("_below"), F.lit(0)) + F.row_number().over(w)))
+    # distinct values in the band with their counts: a run of equal prices is one row
+    vals = band_rows.groupBy(group, value, "_n").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (vals.join(below, group, "left")
+                  .withColumn("_last", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(w))
+                  .withColumn("_first", F.col("_last") - F.col("_c") + 1))
     mid_lo = F.floor((F.col("_n") + 1) / 2)
     mid_hi = F.ceil((F.col("_n") + 1) / 2)
-    mids = ranked.where((F.col("_pos") == mid_lo) | (F.col("_pos") == mid_hi))
-    return mids.groupBy(group).agg(F.avg(value).alias(alias))
+    lo_val = F.max(F.when((F.col("_first") <= mid_lo) & (mid_lo <= F.col("_last")), v))
+    hi_val = F.max(F.when((F.col("_first") <= mid_hi) & (mid_hi <= F.col("_last")), v))
+    return ranked.groupBy(group).agg(((lo_val + hi_val) / 2).alias(alias))
 
 
 def vendor_price_ratio(products: DataFrame) -> DataFrame:

@@ -29,3 +29,13 @@ def test_price_display_parses_back(spark, cents):
     df = spark.createDataFrame([(c / 100.0,) for c in cents], "p double")
     out = df.select("p", parse_price_fr(price_display(F.col("p"))).alias("q")).collect()
     assert all(abs(r["p"] - r["q"]) < 1e-9 for r in out)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=20), min_size=1, max_size=60))
+def test_exact_median_matches_numpy(spark, values):
+    import numpy as np
+    from tessera.operators.feedback import exact_median
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, p double")
+    got = exact_median(df, "g", "p").first()["median"]
+    assert got == float(np.median(values))
