@@ -226,7 +226,35 @@ def _score(cfg: MatchConfig):
     return score
 
 
-def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig | None = None,
+class PackedCatalog:
+    """Product packs built once and kept (persisted) for many lookups: a stream of lookup
+    batches or repeated requests scores against the same packs without re-reading or
+    re-packing the catalog. ``source`` stays available for the grid path."""
+
+    def __init__(self, catalog: DataFrame, cfg: MatchConfig | None = None, extra_col: str | None = None):
+        from pyspark import StorageLevel
+        self.cfg = cfg or MatchConfig()
+        self.extra_col = extra_col
+        self.source = catalog
+        cat = _catalog_columns(catalog, self.cfg, extra_col)
+        self.packs = (cat.mapInPandas(_pack_products(self.cfg.block_rows, extra_col, self.cfg.filters), PACK_SCHEMA)
+                         .persist(StorageLevel.MEMORY_AND_DISK))
+
+    def compatible(self, cfg: MatchConfig, extra_col: str | None) -> bool:
+        return (tuple(cfg.filters) == tuple(self.cfg.filters) and extra_col == self.extra_col
+                and cfg.block_rows == self.cfg.block_rows)
+
+    def unpersist(self) -> None:
+        self.packs.unpersist()
+
+
+def _catalog_columns(catalog: DataFrame, cfg: MatchConfig, extra_col: str | None) -> DataFrame:
+    return catalog.select("product_id", "embedding",
+                          *[F.col(f).cast("string").alias(f) for f in cfg.filters],
+                          *([extra_col] if extra_col else []))
+
+
+def match_candidates(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
                      extra_col: str | None = None) -> DataFrame:
     """Local top-k candidates per (query, product pack).
 
@@ -247,13 +275,14 @@ def match_candidates(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig |
     q = q.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
     qpack = q.groupBy("qblock").applyInPandas(_pack_queries(cfg.filters), QPACK_SCHEMA)
 
-    cat = catalog.select("product_id", "embedding",
-                         *[F.col(f).cast("string").alias(f) for f in cfg.filters],
-                         *([extra_col] if extra_col else []))
+    packed = catalog if isinstance(catalog, PackedCatalog) and catalog.compatible(cfg, extra_col) else None
+    source = catalog.source if isinstance(catalog, PackedCatalog) else catalog
+    cat = _catalog_columns(source, cfg, extra_col)
     q_bytes = n_q * (dim * 8 + 64)
     if q_bytes <= cfg.max_broadcast_bytes:
         # Query packs are small and checked: broadcast them; products never shuffle.
-        ppack = cat.mapInPandas(_pack_products(cfg.block_rows, extra_col, cfg.filters), PACK_SCHEMA)
+        ppack = packed.packs if packed is not None else \
+            cat.mapInPandas(_pack_products(cfg.block_rows, extra_col, cfg.filters), PACK_SCHEMA)
         ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
         joined = ppack.join(F.broadcast(qpack), "qblock")
     else:
@@ -300,7 +329,7 @@ def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFra
                        ((F.col("path") == PATH_FALLBACK) & F.lit(cfg.use_filters)).alias("degraded")))
 
 
-def top_k(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig | None = None,
+def top_k(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
           extra_col: str | None = None) -> DataFrame:
     """(query_id, rank, product_id, sim, degraded) for every query with a usable vector."""
     cfg = cfg or MatchConfig()

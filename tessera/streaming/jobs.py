@@ -124,8 +124,11 @@ def lookup_stream(spark: SparkSession, src: str, schema, catalog: DataFrame, out
                   finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stream of lookups scored against the static catalog inside foreachBatch
     (ranking windows are not allowed on streams, they are per batch here)."""
+    # the catalog is packed once and reused by every micro-batch
+    packed = M.PackedCatalog(catalog, cfg)
+
     def score(batch: DataFrame, epoch: int) -> None:
-        hits = M.top_k(batch, catalog, cfg)
+        hits = M.top_k(batch, packed, cfg)
         res = finish(hits) if finish else hits
         res.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     run_available(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).writeStream

@@ -114,3 +114,12 @@ def test_hot_region_is_not_a_hot_task(spark):
     sizes = [len(r["p_ids"]) for r in packs.select("p_ids").collect()]
     assert max(sizes) <= 64 and sum(sizes) == 400
     assert M.top_k(q, cat).count() == 5
+
+
+def test_packed_catalog_reuse_equals_fresh(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    packed = M.PackedCatalog(cat, M.MatchConfig(block_rows=64))
+    a = collect(M.top_k(q, packed, M.MatchConfig(block_rows=64)))
+    b = collect(M.top_k(q, cat, M.MatchConfig(block_rows=64)))
+    assert a == b == brute(P, Q, prods, qs)
+    packed.unpersist()
