@@ -61,6 +61,10 @@ def best_products(lines: DataFrame, catalog: DataFrame, encode) -> DataFrame:
                             "lookup_text", "region").dropDuplicates(["lookup"]))
     lookups = encode(lookups, "lookup_text").withColumn("query_id", F.xxhash64("lookup")) \
                      .persist(StorageLevel.MEMORY_AND_DISK)
+    # 64-bit ids for the distinct lookups: refuse to go on if two lookups ever share one
+    ids = lookups.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("d")).first()
+    if ids["n"] != ids["d"]:
+        raise RuntimeError("lookup id collision; use a wider key")
     cfg = M.MatchConfig(cap=1, fallback_k=1, filters=("region",))
     hits = M.top_k(lookups.select("query_id", "embedding", "region"), catalog, cfg)
     best = (hits.join(lookups.select("query_id", "lookup"), "query_id")

@@ -123,3 +123,13 @@ def test_packed_catalog_reuse_equals_fresh(spark):
     b = collect(M.top_k(q, cat, M.MatchConfig(block_rows=64)))
     assert a == b == brute(P, Q, prods, qs)
     packed.unpersist()
+
+
+def test_plan_cuts_topk_map_side_and_keeps_catalog_in_place(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    df = entry.queries()["match_topk"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan                    # partial top-k before the shuffle
+    assert "hashpartitioning(product_id" not in plan     # the catalog is never shuffled
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
