@@ -106,7 +106,7 @@ def line_totals(lines: DataFrame) -> DataFrame:
         F.count("*").alias("n_products"),
         F.sum("price_value").alias("prices_sum"),
         F.max(F.col("price_value").isNull()).alias("price_missing"),
-        F.round(F.avg(F.round("sim", 4)), 2).alias("confidence_score"),
+        (F.round(F.avg(F.round(F.col("sim") * 10000).cast("long")) / 100.0) / 100.0).alias("confidence_score"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mat_pos", "material_name"))),
                                  lambda x: x["material_name"]), "|").alias("materials"))
     return counts.join(agg, "proposal_id")
@@ -175,9 +175,11 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
                              F.lit(0.0).cast("double"), lambda a, x: a + x)
     n_mat = F.size("lines").cast("long")
     n_uniq = F.size("uniq")
-    conf = F.when(n_uniq > 0, F.round(F.aggregate(F.transform("uniq", lambda x: F.round(x["sim"], 4)),
-                                                  F.lit(0.0).cast("double"), lambda a, x: a + x) / n_uniq, 2)) \
-            .otherwise(F.lit(0.0))
+    # mean of the 4-decimal scores, rounded to 2: summed in integer units of 1e-4 so that a
+    # half-way mean is exactly representable and rounds the same way on every engine
+    units = F.aggregate(F.transform("uniq", lambda x: F.round(x["sim"] * 10000).cast("long")),
+                        F.lit(0).cast("long"), lambda a, x: a + x)
+    conf = F.when(n_uniq > 0, F.round(units.cast("double") / n_uniq / 100.0) / 100.0).otherwise(F.lit(0.0))
     vat = F.col("vat_rate")
     margin_term = n_mat.cast("double") * F.lit(1.0 + margin) * (F.lit(1.0) + vat)
     days = F.ceil(F.col("total_hours") / 24.0)

@@ -118,7 +118,7 @@ v_lookq AS (
         """v_lt AS (
   SELECT c.proposal_id, c.n_materials, a.prices_sum, a.confidence_score, a.materials
   FROM (SELECT proposal_id, count(*) AS n_materials FROM v_matched GROUP BY 1) c
-  JOIN (SELECT proposal_id, sum(price_value) AS prices_sum, round(avg(round(sim, 4)), 2) AS confidence_score,
+  JOIN (SELECT proposal_id, sum(price_value) AS prices_sum, round(CAST(sum(CAST(round(sim * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 100.0) / 100.0 AS confidence_score,
                string_agg(material_name, '|' ORDER BY mat_pos) AS materials
         FROM v_qlines GROUP BY 1) a USING (proposal_id))""",
         f"""v_props AS (
