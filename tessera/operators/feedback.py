@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.numeric import mean_rounded
 from tessera.functions.vectors import confidence_tier
 
 # Prior for the smoothed acceptance rate (ours): (accepted + a) / (n + a + b).
@@ -145,12 +146,13 @@ def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
 def vendor_price_ratio(products: DataFrame) -> DataFrame:
     """Vendor mean price over the category median (exact median), per (vendor, category)."""
     med = exact_median(products, "category", "price_value", "category_median")
-    vm = products.groupBy("vendor", "category").agg(F.avg("price_value").alias("vendor_mean"),
+    vm = products.groupBy("vendor", "category").agg(F.avg("price_value").alias("_mean"),
+                                                    mean_rounded("price_value", 4, 2).alias("vendor_mean"),
                                                     F.count("*").alias("n"))
     return (vm.join(med, "category")
-              .select("vendor", "category", "n", F.round("vendor_mean", 4).alias("vendor_mean"),
+              .select("vendor", "category", "n", "vendor_mean",
                       F.round("category_median", 4).alias("category_median"),
-                      F.round(F.try_divide(F.col("vendor_mean"), F.col("category_median")), 6).alias("ratio")))
+                      F.round(F.try_divide(F.col("_mean"), F.col("category_median")), 6).alias("ratio")))
 
 
 def normalize_unit(unit: Column) -> Column:
@@ -163,9 +165,9 @@ def normalize_unit(unit: Column) -> Column:
 def region_price(products: DataFrame) -> DataFrame:
     """Regional price level: region mean over the overall mean."""
     overall = products.select(F.avg("price_value")).scalar()
-    g = products.groupBy("region").agg(F.count("*").alias("n"), F.avg("price_value").alias("avg_price"))
-    return g.select("region", "n", F.round("avg_price", 4).alias("avg_price"),
-                    F.round(F.col("avg_price") / overall, 6).alias("multiplier"))
+    g = products.groupBy("region").agg(F.count("*").alias("n"), F.avg("price_value").alias("_mean"),
+                                       mean_rounded("price_value", 4, 2).alias("avg_price"))
+    return g.select("region", "n", "avg_price", F.round(F.col("_mean") / overall, 6).alias("multiplier"))
 
 
 def stale(products: DataFrame, max_age_days: int = 30) -> DataFrame:

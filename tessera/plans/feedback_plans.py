@@ -137,13 +137,16 @@ SQL = {
     "price_anomaly": _P + ", " + _Z + f""" SELECT product_id, category, region, price_value, z,
         coalesce(abs(z) > {R.d(2)}, false) AS is_anomaly FROM v_z""",
     "vendor_price_ratio": _P + """, med AS (SELECT category, median(price_value) AS category_median FROM v_products GROUP BY 1),
-        vm AS (SELECT vendor, category, avg(price_value) AS vendor_mean, count(*) AS n FROM v_products GROUP BY 1, 2)
-        SELECT vendor, category, n, round(vendor_mean, 4) AS vendor_mean, round(category_median, 4) AS category_median,
-               round(vendor_mean / NULLIF(category_median, 0), 6) AS ratio FROM vm JOIN med USING (category)""",
+        vm AS (SELECT vendor, category, avg(price_value) AS m,
+                      round(avg(CAST(round(price_value * 100) AS BIGINT)) * 100) / 10000.0 AS vendor_mean,
+                      count(*) AS n FROM v_products GROUP BY 1, 2)
+        SELECT vendor, category, n, vendor_mean, round(category_median, 4) AS category_median,
+               round(m / NULLIF(category_median, 0), 6) AS ratio FROM vm JOIN med USING (category)""",
     "unit_normalize": _P + " SELECT product_id, unit, CASE " + " ".join(
         f"WHEN unit = '{a}' THEN '{n}'" for a, n in FB.UNIT_ALIASES) + " ELSE unit END AS unit_normalized FROM v_products",
     "region_price": _P + """, o AS (SELECT avg(price_value) AS m FROM v_products)
-        SELECT region, count(*) AS n, round(avg(price_value), 4) AS avg_price,
+        SELECT region, count(*) AS n,
+               round(avg(CAST(round(price_value * 100) AS BIGINT)) * 100) / 10000.0 AS avg_price,
                round(avg(price_value) / (SELECT m FROM o), 6) AS multiplier FROM v_products GROUP BY 1""",
     "stale_products": _P + """, mx AS (SELECT max(updated_at) AS m FROM v_products)
         SELECT product_id, updated_at, CAST(date_diff('day', CAST(updated_at AS DATE), CAST((SELECT m FROM mx) AS DATE))

@@ -152,13 +152,15 @@ def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = views.products(spark, sf_dir)
     hits = M.attach_products(M.top_k(views.queries(spark, sf_dir), cat), cat, ["region"])
     return (hits.groupBy("region", "confidence_tier")
-                .agg(F.count("*").alias("n_results"), F.round(F.avg("similarity_score"), 4).alias("avg_score")))
+                .agg(F.count("*").alias("n_results"),
+                     # mean of the 4-decimal scores in integer 1e-4 units: exact half-way ties
+                     (F.round(F.avg(F.round(F.col("sim") * 10000).cast("long"))) / 10000.0).alias("avg_score")))
 
 
 def _tiers_sql() -> str:
     return f"""WITH {OV.products()}, {OV.queries()}, {OV.ranked_matches()}
 SELECT p.region, {OV.tier('m.sim')} AS confidence_tier, count(*) AS n_results,
-       round(avg(round(m.sim, 4)), 4) AS avg_score
+       round(avg(CAST(round(m.sim * 10000) AS BIGINT))) / 10000.0 AS avg_score
 FROM m_ranked m JOIN v_products p USING (product_id) GROUP BY 1, 2"""
 
 
