@@ -16,14 +16,15 @@ def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least the cluster's default parallelism.
 
-    Only when it has fewer partitions than that (a small table in one file):
-    CPU-heavy row work after it then uses every core. A large input already
-    has more partitions than cores and passes through untouched, no shuffle.
+    Only when its driving input (``probe``, a plain scan; else ``df`` itself)
+    has fewer partitions than that (a small table in one file): CPU-heavy row
+    work after it then uses every core. A large input already has more
+    partitions than cores and passes through untouched, no shuffle.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if (probe if probe is not None else df).rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df

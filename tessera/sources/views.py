@@ -70,7 +70,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("p_type").alias("category"),
                 F.col("p_partkey").alias("partkey"),
             ))
-    return spread(out.withColumn("price_value", parse_price_fr(F.col("unit_price"))))
+    return spread(out.withColumn("price_value", parse_price_fr(F.col("unit_price"))), probe=part)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.lit(" on a tight budget")).otherwise(F.lit("")),
         F.lit("."))
     base = spread(orders.join(cust, orders.o_custkey == cust.c_custkey)
-                        .select("o_orderkey", "o_custkey", "c_nationkey"))
+                        .select("o_orderkey", "o_custkey", "c_nationkey"), probe=orders)
     return materialize(base, transcript=text).select(k.alias("proposal_id"), "transcript")
 
 
@@ -184,7 +184,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera import fixed
     pg = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
-    p = spread(pg.join(part, pg.page_id == part.p_partkey, "left"))
+    p = spread(pg.join(part, pg.page_id == part.p_partkey, "left"), probe=pg)
     i = F.col("page_id")
     txt = price_display(F.col("p_retailprice"))
     block = (F.when(i % 4 == 0, F.concat(F.lit('<span class="price">'), txt, F.lit(" €/m2</span>")))
