@@ -14,3 +14,13 @@ def mean_rounded(col: str, digits: int, unit_digits: int) -> Column:
     """
     units = F.round(F.col(col) * (10 ** unit_digits)).cast("long")
     return F.round(F.avg(units) * (10 ** (digits - unit_digits))) / float(10 ** digits)
+
+
+def ratio_rounded(num: Column, den: Column, digits: int) -> Column:
+    """num / den rounded to ``digits`` decimals as round(num * 10^digits / den) / 10^digits.
+
+    For integer-valued num and den a half-way result is an exact binary value,
+    so every engine rounds it the same way.
+    """
+    scale = float(10 ** digits)
+    return F.round(num.cast("double") * F.lit(scale) / den.cast("double")) / F.lit(scale)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.numeric import mean_rounded
+from tessera.functions.numeric import mean_rounded, ratio_rounded
 from tessera.functions.vectors import confidence_tier
 
 # Prior for the smoothed acceptance rate (ours): (accepted + a) / (n + a + b).
@@ -62,7 +62,8 @@ def accepted(verdict: Column) -> Column:
 def rollup(fl: DataFrame) -> DataFrame:
     """Counts and acceptance by material, region, vendor, user type with subtotals (ROLLUP)."""
     return (fl.rollup("material", "region", "vendor", "user_type")
-              .agg(F.count("*").alias("n"), F.round(F.avg(accepted(F.col("verdict"))), 6).alias("acceptance_rate")))
+              .agg(F.count("*").alias("n"),
+                   ratio_rounded(F.sum(accepted(F.col("verdict"))), F.count("*"), 6).alias("acceptance_rate")))
 
 
 def adaptive_multiplier(fl: DataFrame, a: float = PRIOR_ACCEPT, b: float = PRIOR_REJECT) -> DataFrame:
@@ -72,14 +73,17 @@ def adaptive_multiplier(fl: DataFrame, a: float = PRIOR_ACCEPT, b: float = PRIOR
     rate = (F.col("n_accepted") + F.lit(a)) / (F.col("n") + F.lit(a + b))
     prior = F.lit(a / (a + b))
     return g.select("region", "vendor", "n", F.col("n_accepted").cast("long").alias("n_accepted"),
-                    F.round(rate, 6).alias("smoothed_rate"), F.round(rate / prior, 6).alias("multiplier"))
+                    ratio_rounded(F.col("n_accepted") + F.lit(a), F.col("n") + F.lit(a + b), 6).alias("smoothed_rate"),
+                    ratio_rounded((F.col("n_accepted") + F.lit(a)) * F.lit(a + b), (F.col("n") + F.lit(a + b)) * F.lit(a),
+                                  6).alias("multiplier"))
 
 
 def calibration_curve(fl: DataFrame) -> DataFrame:
     """Acceptance per similarity decile (bucket = floor(score * 10))."""
     return (fl.withColumn("bucket", F.floor(F.col("similarity_score") * 10).cast("int"))
               .groupBy("bucket").agg(F.count("*").alias("n"),
-                                     F.round(F.avg(accepted(F.col("verdict"))), 6).alias("acceptance_rate")))
+                                     ratio_rounded(F.sum(accepted(F.col("verdict"))), F.count("*"), 6)
+                                     .alias("acceptance_rate")))
 
 
 def price_zscores(products: DataFrame) -> DataFrame:

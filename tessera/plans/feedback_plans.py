@@ -113,22 +113,25 @@ SQL = {
         SELECT event_id, quote_id, task_id, user_type, verdict, comment AS comments, created_at,
                CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM v_fbv""",
     "feedback_rollup": _FL + f""" SELECT material, region, vendor, user_type, count(*) AS n,
-        round(avg({_ACC}), 6) AS acceptance_rate FROM v_fl GROUP BY ROLLUP (material, region, vendor, user_type)""",
+        round(sum({_ACC}) * {R.d(1000000)} / CAST(count(*) AS DOUBLE)) / {R.d(1000000)} AS acceptance_rate
+        FROM v_fl GROUP BY ROLLUP (material, region, vendor, user_type)""",
     "adaptive_multiplier": _FL + f""", g AS (SELECT region, vendor, count(*) AS n, sum({_ACC}) AS n_accepted
         FROM v_fl GROUP BY ALL)
         SELECT region, vendor, n, CAST(n_accepted AS BIGINT) AS n_accepted,
-               round((n_accepted + {R.d(1)}) / (n + {R.d(2)}), 6) AS smoothed_rate,
-               round(((n_accepted + {R.d(1)}) / (n + {R.d(2)})) / {R.d(0.5)}, 6) AS multiplier FROM g""",
+               round((n_accepted + {R.d(1)}) * {R.d(1000000)} / (CAST(n AS DOUBLE) + {R.d(2)})) / {R.d(1000000)}
+                 AS smoothed_rate,
+               round((n_accepted + {R.d(1)}) * {R.d(2)} * {R.d(1000000)} / ((CAST(n AS DOUBLE) + {R.d(2)}) * {R.d(1)})) / {R.d(1000000)} AS multiplier FROM g""",
     "adjusted_confidence": _FL + f""", g AS (SELECT region, vendor, count(*) AS n, sum({_ACC}) AS n_accepted
         FROM v_fl GROUP BY ALL),
-        m AS (SELECT region, vendor, round(((n_accepted + {R.d(1)}) / (n + {R.d(2)})) / {R.d(0.5)}, 6) AS multiplier FROM g),
+        m AS (SELECT region, vendor, round((n_accepted + {R.d(1)}) * {R.d(2)} * {R.d(1000000)} / ((CAST(n AS DOUBLE) + {R.d(2)}) * {R.d(1)})) / {R.d(1000000)} AS multiplier FROM g),
         l AS (SELECT md5('quote:' || CAST(proposal_id AS VARCHAR)) AS quote_id, product_id, round(sim, 4) AS similarity_score,
                      product_region AS region, product_vendor AS vendor FROM v_qlines),
         a AS (SELECT l.*, round(least({R.d(1)}, l.similarity_score * coalesce(m.multiplier, {R.d(1)})), 4) AS adjusted_score
               FROM l LEFT JOIN m USING (region, vendor))
         SELECT quote_id, product_id, similarity_score, adjusted_score, {OV.tier('adjusted_score')} AS adjusted_tier FROM a""",
     "calibration_curve": _FL + f""" SELECT CAST(floor(similarity_score * 10) AS INTEGER) AS bucket, count(*) AS n,
-        round(avg({_ACC}), 6) AS acceptance_rate FROM v_fl GROUP BY 1""",
+        round(sum({_ACC}) * {R.d(1000000)} / CAST(count(*) AS DOUBLE)) / {R.d(1000000)} AS acceptance_rate
+        FROM v_fl GROUP BY 1""",
     "rejection_signals": _FL + ", " + _Z + f""" SELECT f.event_id, f.quote_id, f.product_id,
         f.similarity_score < {R.d(0.6)} AS material_mismatch,
         coalesce(abs(z.z) > {R.d(2)}, false) AS price_anomaly,
