@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.plans import registry
 from conftest import SF_CHECK
 
 ROWS_ONLY = {"ann_topk", "ann_recall", "embed_catalog"}
@@ -14,7 +15,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_but_the_rows_only_ones():
-    qs, sql = entry.queries(), entry.oracle_sql()
+    qs, sql = registry.queries(), registry.oracle_sql()
     assert set(qs) - set(sql) == ROWS_ONLY
     assert set(sql) <= set(qs)
 
