@@ -8,6 +8,7 @@ from tessera.llm.bpe import read_ranks, token_digests
 from tessera.llm.chat import chat_format
 from tessera.llm.common import table
 from tessera.llm.decontaminate import edit_matches
+from tessera.llm.jaccard import linked_components
 from tessera.llm.license_scan import license_scan
 from tessera.llm.line_chunks import line_dedup
 from tessera.llm.neural_lm import lm_scores
@@ -22,6 +23,10 @@ def op1_chat_collapse(spark, sf_dir):
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op2_jaccard_tiles(spark, sf_dir):
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
 def op3_block_names(spark, sf_dir):
     return block_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_neural_lm(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_collapse, op3_block_names, op4_edit_matches, op5_quality, op6_line_chunks, op7_license_scan, op8_byte_bpe, op9_warc_revisits,
-    op10_neural_lm)}
+    op1_chat_collapse, op2_jaccard_tiles, op3_block_names, op4_edit_matches, op5_quality, op6_line_chunks, op7_license_scan,
+    op8_byte_bpe, op9_warc_revisits, op10_neural_lm)}
