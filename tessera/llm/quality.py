@@ -33,6 +33,7 @@ DIM = 8
 GRAMS = (3, 4)
 SAMPLE = 3000
 EPOCHS = 6
+LEAST_STEPS = 6000  # small samples are gone through more often
 RATE = 0.3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -87,8 +88,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tupl
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, EPOCHS * len(rows)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(rows))))
+    steps, done = max(1, epochs * len(rows)), 0
+    for _ in range(epochs if rows else 0):
         for r in rng.permutation(len(rows)):
             label, index, share = rows[r]
             rate = RATE * (1 - done / steps)
