@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20  # of text; a worker holds some twenty times as much in arrays
 BUCKETS_A_PARTITION = 8
 LEVEL = 1
 CHANGED = "a block has no texts or no values: the table's rows changed between two passes; write it first"

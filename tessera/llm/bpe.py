@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -30,7 +31,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, BLANK, MARK = range(5)
 BETWEEN = 0x110000
 SAFE = re.compile(r"\S ")
-PIECE = 1 << 20
+PIECE = 1 << 19
 # Odd multipliers of the two hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 DIGESTS = "doc_id bigint, n_tokens bigint, ids binary"
@@ -135,7 +136,7 @@ class Splitter:
             powers = np.cumprod(np.full(most, base, np.uint64))
             hashes.append(np.add.reduceat(values * powers[place], begin))
         real = kinds[begin] != MARK
-        begin, length = begin[real], length[real]
+        begin, length = begin[real].astype(np.int32), length[real].astype(np.int32)
         each = np.diff(np.searchsorted(begin, ends), prepend=0)
         self.seen.append((joined, begin, length, each, hashes[0][real], hashes[1][real]))
         self.waiting, self.size = [], 0
@@ -145,13 +146,12 @@ class Splitter:
         if not self.seen:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), []
         joined, begin, length, each, first, second = zip(*self.seen)
-        offsets = np.cumsum([0] + [len(b) for b in begin])
+        offsets = np.cumsum([0] + [len(b) for b in begin]).tolist()
         first, second = np.concatenate(first), np.concatenate(second)
         begin, length = np.concatenate(begin), np.concatenate(length)
-        part = np.searchsorted(offsets, np.arange(len(begin)), side="right") - 1
 
         def word(i):
-            return joined[part[i]][begin[i]: begin[i] + length[i]]
+            return joined[bisect_right(offsets, i) - 1][begin[i]: begin[i] + length[i]]
 
         _, index, codes, times = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
         if not np.array_equal(second, second[index][codes]):
