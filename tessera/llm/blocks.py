@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 6 << 20  # of text; a worker holds some twenty times as much in arrays
+BLOCK_BYTES = 4 << 20  # of text; a worker holds some twenty times as much in arrays
 BUCKETS_A_PARTITION = 8
 LEVEL = 1
 CHANGED = "a block has no texts or no values: the table's rows changed between two passes; write it first"
@@ -99,7 +99,9 @@ def cut(batches, text_at: int, splitter: Callable, block_bytes: int) -> Iterator
                 for w in words:
                     mark.update(w)
                     mark.update(b"\x00")
+                split = None
                 yield Block(f"{place}-{n}-{mark.hexdigest()}", rows, codes, lengths, words)
+                del rows, codes, lengths, words
                 n, start, size, split = n + 1, i + 1, 0, splitter()
 
 

@@ -167,6 +167,17 @@ class Splitter:
         return place[codes], np.diff(upto, prepend=0), [words[i].encode() for i in rank.tolist()]
 
 
+ENCODERS: dict = {}
+
+
+def whole_encoder(table):
+    """Encodes a string as one pre-token; built once a worker for a broadcast vocabulary."""
+    if table.value is not ENCODERS.get("ranks"):
+        ENCODERS["ranks"] = table.value
+        ENCODERS["one"] = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=table.value, special_tokens={}).encode_ordinary
+    return ENCODERS["one"]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     spark = docs.sparkSession
@@ -178,7 +189,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = blocks.B
         return Splitter(class_table())
 
     def work(group: pa.Table) -> pa.Table:
-        one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=table.value, special_tokens={}).encode_ordinary
+        one = whole_encoder(table)
         ids: dict[bytes, list[int]] = {}
         out = {"block": [], "bucket": [], "counts": [], "ids": []}
         for block, bucket, lengths, words in zip(*(group.column(c).to_pylist() for c in ("block", "bucket", "lengths", "words"))):
