@@ -2,8 +2,9 @@
 
 A test item that occurs in a text with at most k edits, cut into k + 1 pieces, has
 at least one piece that occurs unchanged. One automaton finds all exact piece
-hits; around each hit, Myers' bit-parallel algorithm looks for the item within
-its error budget (a tenth of its characters). Windows of one item that touch are
+hits; around each hit, Myers' bit-parallel algorithm looks for ever larger parts
+of the item, at last for all of it within its error budget (a tenth of its
+characters). Windows of one item that touch are
 checked as one. Texts and items are compared in lower case (A-Z) with white space
 runs as one space.
 
@@ -39,21 +40,22 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
 
 
 class Pattern:
-    """One item for Myers' search: the least edit distance of the item to any part of a window."""
+    """One string for Myers' search: the least edit distance of it to any part of a window."""
 
-    def __init__(self, item: str, budget: float):
-        self.item, self.k = item, int(len(item) * budget)
+    def __init__(self, item: str):
+        self.item = item
         self.masks: dict[str, int] = {}
         for i, c in enumerate(item):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def distance(self, window: str) -> int:
-        m, masks = len(self.item), self.masks
+    def distance(self, window: str, enough: int = 0) -> int:
+        """The least distance; the search ends where it is ``enough`` or less."""
+        m, get = len(self.item), self.masks.get
         full, top = (1 << m) - 1, 1 << m - 1
         plus, minus, score = full, 0, m
         best = m
         for c in window:
-            eq = masks.get(c, 0)
+            eq = get(c, 0)
             xv = eq | minus
             xh = (((eq & plus) + plus) ^ plus) | eq
             ph = minus | (full & ~(xh | plus))
@@ -64,7 +66,7 @@ class Pattern:
                 score -= 1
                 if score < best:
                     best = score
-                    if best == 0:
+                    if best <= enough:
                         break
             # Without a carry into bit 0 a match may begin anywhere in the window.
             ph = ph << 1 & full
@@ -74,33 +76,70 @@ class Pattern:
         return best
 
 
+class Tree:
+    """The pieces of an item joined two by two up to the item.
+
+    If a node of c pieces occurs with at most c - 1 edits, one of its two parts does so too with its own count. So a piece hit
+    counts only if each node above it is found around the hit within its budget; most chance hits end at the first node.
+    """
+
+    def __init__(self, item: str, budget: float):
+        self.k = int(len(item) * budget)
+        self.root = Pattern(item)
+        self.leaves: list[tuple[str, int, list]] = []
+        self.grow(pieces(item, self.k), len(item), [])
+
+    def grow(self, parts: list[tuple[int, str]], end: int, above: list) -> None:
+        if len(parts) == 1:
+            self.leaves.append((parts[0][1], parts[0][0], above))
+            return
+        start = parts[0][0]
+        here = above
+        if above or end - start < len(self.root.item):  # the item itself is checked last, with joined windows
+            here = [(Pattern(self.root.item[start:end]), start, end, len(parts) - 1), *above]
+        half = len(parts) // 2
+        self.grow(parts[:half], parts[half][0], here)
+        self.grow(parts[half:], end, here)
+
+
+def confirmed(text: str, at: int, offset: int, above: list) -> bool:
+    """Whether every node above a piece hit is found around it."""
+    for pattern, start, end, edits in above:
+        window = text[max(0, at - (offset - start) - edits): at + (end - offset) + edits]
+        if pattern.distance(window, edits) > edits:
+            return False
+    return True
+
+
 def build(items: list[tuple[int, str]], budget: float):
-    """Patterns and the automaton of their pieces."""
-    patterns = [(item_id, Pattern(text, budget)) for item_id, text in items]
+    """Trees and the automaton of their pieces."""
+    trees = [(item_id, Tree(text, budget)) for item_id, text in items]
     automaton, places = ahocorasick.Automaton(), {}
-    for p, (_, pattern) in enumerate(patterns):
-        for offset, piece in pieces(pattern.item, pattern.k):
-            places.setdefault(piece, []).append((p, offset))
+    for p, (_, tree) in enumerate(trees):
+        for piece, offset, above in tree.leaves:
+            places.setdefault(piece, []).append((p, offset, above))
     for piece, found in places.items():
         automaton.add_word(piece, (len(piece), found))
     automaton.make_automaton()
-    return patterns, automaton
+    return trees, automaton
 
 
-def matches(text: str, patterns, automaton) -> dict[int, int]:
+def matches(text: str, trees, automaton) -> dict[int, int]:
     """item_id to its least distance, for the items within budget."""
-    hits: dict[int, list[int]] = {}
+    hits: dict[int, set[int]] = {}
     for end, (length, found) in automaton.iter(text):
-        for p, offset in found:
-            hits.setdefault(p, []).append(end - length + 1 - offset)
+        at = end - length + 1
+        for p, offset, above in found:
+            if at - offset not in hits.get(p, ()) and confirmed(text, at, offset, above):
+                hits.setdefault(p, set()).add(at - offset)
     out: dict[int, int] = {}
     for p, starts in hits.items():
-        item_id, pattern = patterns[p]
-        m, k = len(pattern.item), pattern.k
+        item_id, tree = trees[p]
+        m, k = len(tree.root.item), tree.k
         best, at = k + 1, None
-        for start in sorted(set(starts)) + [None]:
+        for start in sorted(starts) + [None]:
             if at is not None and (start is None or start - k > at[1]):
-                best = min(best, pattern.distance(text[at[0]: at[1]]))
+                best = min(best, tree.root.distance(text[at[0]: at[1]]))
                 at = None
                 if best == 0:
                     break
@@ -130,10 +169,10 @@ def shards(benchmark: DataFrame):
 def search(rows: DataFrame, items: list[tuple[int, str]], budget: float) -> DataFrame:
     """``rows`` with ``_found``: the matching items of this shard as (item, distance)."""
     def make():
-        patterns, automaton = build(items, budget)
+        trees, automaton = build(items, budget)
 
         def work(texts):
-            found = [sorted(matches(plain(t), patterns, automaton).items()) if items else [] for t in texts]
+            found = [sorted(matches(plain(t), trees, automaton).items()) if items else [] for t in texts]
             return [pa.array([[{"item": i, "distance": d} for i, d in f] for f in found],
                              pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())])))]
 
