@@ -35,7 +35,8 @@ def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 1
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
     # iterative fit: keep the (id, unit vector) rows once instead of recomputing the catalog per pass
-    data = (catalog.where(F.size("embedding") > 0)
+    # a zero vector has no direction and no cosine: it is in no cell, as it is in no exact result
+    data = (catalog.where((F.size("embedding") > 0) & F.exists("embedding", lambda x: x != 0))
                    .select("product_id", array_to_vector(unit).alias("features"))
                    .persist(StorageLevel.MEMORY_AND_DISK))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",

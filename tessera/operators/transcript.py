@@ -47,7 +47,7 @@ def place_mention(text: Column) -> Column:
     Positions are combined with ``least`` (nulls ignored), so the rule is plain
     generated code with no lambda functions.
     """
-    keys = [F.when(F.instr(text, F.lit(p)) > 0, F.instr(text, F.lit(p)) * 1000 + i)
+    keys = [F.when(F.instr(text, F.lit(p)) > 0, F.instr(text, F.lit(p)).cast("long") * 1000 + i)
             for i, (p, _) in enumerate(GAZETTEER)]
     best = F.least(*keys)
     idx = (best % 1000).cast("int") + 1
