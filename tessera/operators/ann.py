@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from tessera.operators import match as M
 
 
+FIT_ROWS = 256  # sampled rows a cell for the KMeans fit
+
+
 def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 10):
     """Fit KMeans on the unit-normalised product vectors.
 
@@ -35,12 +38,14 @@ def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 1
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
     # iterative fit: keep the (id, unit vector) rows once instead of recomputing the catalog per pass
-    # a zero vector has no direction and no cosine: it is in no cell, as it is in no exact result
-    data = (catalog.where((F.size("embedding") > 0) & F.exists("embedding", lambda x: x != 0))
-                   .select("product_id", array_to_vector(unit).alias("features"))
-                   .persist(StorageLevel.MEMORY_AND_DISK))
+    # a vector without a direction, or of another length, is in no cell (``match.vector_rejects`` lists them)
+    data = (M.with_vector_reason(catalog).where(F.col("reason").isNull())
+             .select("product_id", array_to_vector(unit).alias("features"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    # The fit reads a bounded sample (FIT_ROWS for each cell), so its cost follows the cells; every row is indexed.
+    share = FIT_ROWS * nlist / max(1, data.count())
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(data)
+                   predictionCol="cell").fit(data.sample(share, seed) if share < 1 else data)
     from pyspark.ml.functions import vector_to_array
     # (product_id, unit vector, cell) from the persisted fit input: the catalog is not read again
     cells = model.transform(data).select("product_id", F.col("cell").cast("long").alias("cell"),
@@ -58,9 +63,9 @@ def ann_top_k(queries: DataFrame, catalog: DataFrame, k: int = 5, nlist: int | N
     """Approximate (query_id, rank, product_id, sim) over the probed cells only (no filters)."""
     if nlist is None:
         n = catalog.count()
-        nlist = max(2, min(4096, int(math.sqrt(max(n, 1)))))
+        nlist = max(2, int(math.sqrt(max(n, 1))))
     cells, centroids = index or build_index(catalog, nlist)
-    probe_cfg = M.MatchConfig(cap=nprobe, use_filters=False, degrade=False, filters=())
+    probe_cfg = M.MatchConfig(k=nprobe, cap=nprobe, use_filters=False, degrade=False, filters=())
     probes = M.top_k(queries.select("query_id", "embedding"), centroids, probe_cfg) \
               .select("query_id", F.col("product_id").cast("long").alias("cell"))
 
@@ -68,7 +73,7 @@ def ann_top_k(queries: DataFrame, catalog: DataFrame, k: int = 5, nlist: int | N
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
     subs = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
                                     .cast("long").alias("nsub")))
-    cfg = M.MatchConfig(cap=k, use_filters=False, degrade=False, filters=())
+    cfg = M.MatchConfig(k=k, cap=k, use_filters=False, degrade=False, filters=())
     prod = (cells.join(subs, "cell")
                    .withColumn("sub", F.pmod(F.xxhash64("product_id"), F.col("nsub")))
                    .withColumn("pgroup", F.col("cell") * (1 << 20) + F.col("sub")))

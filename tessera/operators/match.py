@@ -56,38 +56,29 @@ class MatchConfig:
     filters: tuple = DEFAULT_FILTERS      # equality filters: query column = product column
 
 
-def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """Stack vectors into a float64 matrix of unit rows; flag the unusable ones."""
-    rows = [np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in vectors]
-    dim = max((r.shape[0] for r in rows), default=0)
-    mat = np.zeros((len(rows), dim), dtype=np.float64)
-    ok = np.zeros(len(rows), dtype=bool)
-    for i, r in enumerate(rows):
-        if r.shape[0] == dim and dim > 0:
-            mat[i] = r
-            ok[i] = True
-    norms = np.linalg.norm(mat, axis=1)
-    ok &= norms > 0
-    mat[ok] /= norms[ok, None]
-    return mat, ok
-
-
-def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None,
-                filters: tuple) -> pd.DataFrame | None:
-    """One pack row from a frame of products; unusable vectors are left out."""
-    mat, ok = _unit_rows(pdf["embedding"])
-    pdf, mat = pdf[ok], mat[ok]
-    if not len(pdf):
-        return None
-    extra = pdf[extra_col].astype("float64").tolist() if extra_col else []
-    return pd.DataFrame({
-        "pblock": [pblock],
-        "p_ids": [pdf["product_id"].tolist()],
-        "p_keys": [[pdf[f].tolist() for f in filters]],
-        "p_extra": [extra],
-        "p_mat": [mat.tobytes()],
-        "p_dim": [mat.shape[1]],
-    })
+def _length_groups(pdf: pd.DataFrame):
+    """(rows, float64 matrix of their unit vectors) per vector length; unusable vectors are left out.
+
+    A pack holds vectors of one length, so no row depends on its neighbours. Vectors of
+    different lengths have no cosine; ``vector_rejects`` lists what is left out, with a reason.
+    """
+    lengths = pdf["embedding"].map(lambda v: 0 if v is None else len(v))
+    for dim, rows in pdf.groupby(lengths, sort=True):
+        if dim == 0:
+            continue
+        mat = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])  # a null element is NaN
+        norms = np.linalg.norm(mat, axis=1)
+        ok = (norms > 0) & np.isfinite(norms)
+        if ok.any():
+            yield rows[ok], mat[ok] / norms[ok, None]
+
+
+def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None, filters: tuple) -> pd.DataFrame:
+    """Pack rows from a frame of products, one per vector length."""
+    packs = [(pblock, rows["product_id"].tolist(), [rows[f].tolist() for f in filters],
+              rows[extra_col].astype("float64").tolist() if extra_col else [], mat.tobytes(), mat.shape[1])
+             for rows, mat in _length_groups(pdf)]
+    return pd.DataFrame(packs, columns=["pblock", "p_ids", "p_keys", "p_extra", "p_mat", "p_dim"])
 
 
 def _pack_products(block_rows: int, extra_col: str | None, filters: tuple):
@@ -105,23 +96,17 @@ def _pack_products(block_rows: int, extra_col: str | None, filters: tuple):
                 n += take
                 start += take
                 if n >= block_rows:
-                    out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
+                    yield _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
                     seq, buf, n = seq + 1, [], 0
-                    if out is not None:
-                        yield out
         if buf:
-            out = _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
-            if out is not None:
-                yield out
+            yield _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
     return pack
 
 
 def _pack_group(extra_col: str | None, filters: tuple):
-    """applyInPandas body for the grid path: one bounded hash group -> one pack."""
+    """applyInPandas body for the grid path: one bounded hash group -> one pack per vector length."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _pack_frame(pdf, int(pdf["pgroup"].iloc[0]), extra_col, filters)
-        return out if out is not None else pd.DataFrame(
-            {c: [] for c in ["pblock", "p_ids", "p_keys", "p_extra", "p_mat", "p_dim"]})
+        return _pack_frame(pdf, int(pdf["pgroup"].iloc[0]), extra_col, filters)
     return pack
 
 
@@ -132,18 +117,10 @@ def _pack_queries(filters: tuple):
 
 
 def _pack_query_frame(pdf: pd.DataFrame, filters: tuple) -> pd.DataFrame:
-    mat, ok = _unit_rows(pdf["embedding"])
-    pdf, mat = pdf[ok], mat[ok]
-    if not len(pdf):
-        return pd.DataFrame({c: [] for c in ["qblock", "q_ids", "q_keys", "q_limits", "q_mat", "q_dim"]})
-    return pd.DataFrame({
-        "qblock": [int(pdf["qblock"].iloc[0])],
-        "q_ids": [pdf["query_id"].astype("int64").tolist()],
-        "q_keys": [[pdf[f"f_{f}"].tolist() for f in filters]],
-        "q_limits": [pdf["q_limit"].astype("int64").tolist()],
-        "q_mat": [mat.tobytes()],
-        "q_dim": [mat.shape[1]],
-    })
+    packs = [(int(rows["qblock"].iloc[0]), rows["query_id"].astype("int64").tolist(),
+              [rows[f"f_{f}"].tolist() for f in filters], rows["q_limit"].astype("int64").tolist(),
+              mat.tobytes(), mat.shape[1]) for rows, mat in _length_groups(pdf)]
+    return pd.DataFrame(packs, columns=["qblock", "q_ids", "q_keys", "q_limits", "q_mat", "q_dim"])
 
 
 def _local_topk(S, valid, k, ids, q_ids, q_lim, path, extra, order_extra):
@@ -187,7 +164,7 @@ def _score(cfg: MatchConfig):
     def score(it):
         for pdf in it:
             for row in pdf.itertuples(index=False):
-                if row.p_dim != row.q_dim:
+                if row.p_dim != row.q_dim:  # no cosine between vectors of different lengths
                     continue
                 P = np.frombuffer(row.p_mat, dtype=np.float64).reshape(-1, row.p_dim)
                 Q = np.frombuffer(row.q_mat, dtype=np.float64).reshape(-1, row.q_dim)
@@ -364,3 +341,28 @@ def empty_queries(queries: DataFrame) -> DataFrame:
     return (queries.where((F.coalesce(F.col("query"), F.lit("")) == "") | (F.size("embedding") <= 0))
                    .select(F.col("query_id").cast("long").alias("query_id"),
                            F.lit("empty_query").alias("reason")))
+
+
+def with_vector_reason(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``reason``: why the vector cannot be scored, null if it can.
+
+    First that holds: missing_vector (null or empty), not_finite (a null, NaN or infinite
+    element), zero_vector, odd_length (not the most common length of the scorable rows; of
+    equally common ones the shorter). The exact search still matches odd lengths with
+    vectors of their own length.
+    """
+    v = F.col("embedding")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = (F.when(F.coalesce(F.size(v), F.lit(0)) <= 0, F.lit("missing_vector"))
+               .when(bad, F.lit("not_finite"))
+               .when(~F.exists(v, lambda x: x != 0), F.lit("zero_vector")))
+    usual = (rows.where(reason.isNull()).groupBy(F.size(v).alias("_len")).agg(F.count("*").alias("_n"))
+                 .agg(F.max_by("_len", F.struct("_n", -F.col("_len"))).alias("_usual")))
+    return (rows.join(F.broadcast(usual))  # one row
+                .withColumn("reason", F.coalesce(reason, F.when(F.size(v) != F.col("_usual"), F.lit("odd_length"))))
+                .drop("_usual"))
+
+
+def vector_rejects(rows: DataFrame, id_col: str = "product_id") -> DataFrame:
+    """(id, reason) of the rows whose vector cannot be scored."""
+    return with_vector_reason(rows).where(F.col("reason").isNotNull()).select(id_col, "reason")

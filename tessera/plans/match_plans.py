@@ -164,7 +164,49 @@ SELECT p.region, {OV.tier('m.sim')} AS confidence_tier, count(*) AS n_results,
 FROM m_ranked m JOIN v_products p USING (product_id) GROUP BY 1, 2"""
 
 
+def _spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with some vectors missing, empty, zero, not finite or one element too long."""
+    v, k = F.col("embedding"), F.col("partkey") % 13
+    zero = F.transform(v, lambda x: x * 0)
+    return views.products(spark, sf_dir).withColumn(
+        "embedding", F.when(k == 0, F.lit(None)).when(k == 1, F.slice(v, 1, 0)).when(k == 2, zero)
+                      .when(k == 3, F.transform(v, lambda x, i: F.when(i == 0, F.lit("NaN").cast("float")).otherwise(x)))
+                      .when(k == 4, F.concat(v, F.slice(v, 1, 1))).otherwise(v))
+
+
+def match_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose vector cannot be scored, with the reason."""
+    return M.vector_rejects(_spoiled(spark, sf_dir))
+
+
+def match_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-5 against a catalog with unusable vectors: every usable product is found, the others are not."""
+    cat = _spoiled(spark, sf_dir)
+    return M.attach_products(M.top_k(views.queries(spark, sf_dir), cat), cat).select(*TOPK_COLUMNS)
+
+
+_SPOIL = "partkey % 13"
+
+
+def _rejects_sql() -> str:
+    return f"""WITH {OV.products()}
+SELECT product_id, CASE {_SPOIL} WHEN 0 THEN 'missing_vector' WHEN 1 THEN 'missing_vector' WHEN 2 THEN 'zero_vector'
+       WHEN 3 THEN 'not_finite' ELSE 'odd_length' END AS reason
+FROM v_products WHERE {_SPOIL} < 5"""
+
+
+def _mixed_sql() -> str:
+    usable = f"v_usable AS (SELECT * FROM v_products WHERE {_SPOIL} >= 5)"
+    ranked = OV.ranked_matches(products_cte="v_usable")
+    return f"""WITH {OV.products()}, {usable}, {OV.queries()}, {ranked}
+SELECT m.query_id, m.rank, m.product_id, p.material_name, p.unit_price, p.unit, p.region, p.vendor,
+       round(m.sim, 4) AS similarity_score, {OV.tier('m.sim')} AS confidence_tier, m.degraded
+FROM m_ranked m JOIN v_usable p USING (product_id)"""
+
+
 QUERIES = {
+    "match_rejects": match_rejects,
+    "match_mixed": match_mixed,
     "match_topk": match_topk,
     "match_display": match_display,
     "match_best": match_best,
@@ -176,6 +218,8 @@ QUERIES = {
 }
 
 SQL = {
+    "match_rejects": _rejects_sql(),
+    "match_mixed": _mixed_sql(),
     "match_topk": _topk_sql(),
     "match_display": _display_sql(),
     "match_best": _best_sql(),

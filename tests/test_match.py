@@ -133,3 +133,30 @@ def test_plan_cuts_topk_map_side_and_keeps_catalog_in_place(spark):
     assert "WindowGroupLimit" in plan                    # partial top-k before the shuffle
     assert "hashpartitioning(product_id" not in plan     # the catalog is never shuffled
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unusable_vectors_leave_their_neighbours_alone(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    odd = [("x0", [1.0] * 99, "EU", "v"), ("x1", [0.0] * 16, "EU", "v"), ("x2", None, "EU", "v"), ("x3", [], "EU", "v"),
+           ("x4", [float("nan")] + [1.0] * 15, "EU", "v"), ("x5", [None] + [1.0] * 15, "EU", "v"),
+           ("x6", [float("inf")] + [1.0] * 15, "EU", "v")]
+    spoiled = cat.unionByName(spark.createDataFrame(odd, cat.schema)).coalesce(1)
+    asked = q.unionByName(spark.createDataFrame([(1000, [1.0] * 99, None, None, 5), (1001, [1.0] * 50, None, None, 5)], q.schema))
+    want = brute(P, Q, prods, qs)
+    for cfg in (M.MatchConfig(), M.MatchConfig(max_broadcast_bytes=0, block_rows=50, query_block_rows=7)):
+        got = collect(M.top_k(asked, spoiled, cfg))
+        assert got.pop(1000)[0] == ["x0"]  # the only product of its length
+        assert got == want
+    reasons = {r["product_id"]: r["reason"] for r in M.vector_rejects(spoiled).collect()}
+    assert reasons == {"x0": "odd_length", "x1": "zero_vector", "x2": "missing_vector", "x3": "missing_vector",
+                       "x4": "not_finite", "x5": "not_finite", "x6": "not_finite"}
+
+
+def test_index_over_unusable_vectors_and_all_cells_equals_exact(spark):
+    from tessera.operators import ann
+    P, Q, prods, qs, cat, q = _data(spark)
+    odd = spark.createDataFrame([("x0", [1.0] * 9, "EU", "v"), ("x1", [0.0] * 16, "EU", "v"), ("x2", None, "EU", "v")], cat.schema)
+    cfg = M.MatchConfig(use_filters=False, degrade=False, filters=())
+    full = ann.ann_top_k(q, cat.unionByName(odd), k=5, nlist=6, nprobe=6)
+    exact = M.top_k(q, cat, cfg)
+    assert ann.recall_at_k(full, exact).where("recall < 1").count() == 0
