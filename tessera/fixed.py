@@ -57,6 +57,16 @@ RATE_CARD = [
     ("disposal_fee", "job", 50.0),
 ]
 
+# Task templates: task name, default hours, default material, default quantity.
+TASK_TEMPLATES = [
+    ("Floor Tiling (ceramic)", 3.5, "tiles_ceramic_m2", 4.0),
+    ("Repaint Walls", 4.0, "paint_litre", 5.0),
+    ("Shower Plumbing (redo)", 6.0, "plumbing_parts", 1.0),
+    ("Replace Toilet", 2.0, "toilet_standard", 1.0),
+    ("Install Vanity", 2.0, "vanity_basic", 1.0),
+    ("Demolition & Disposal", 2.0, "disposal_fee", 1.0),
+]
+
 # Task rules in fixed order: (needles, task name, carries the area).
 TASK_RULES = [
     (["tile"], "Floor Tiling (ceramic)", True),

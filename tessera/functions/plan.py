@@ -16,6 +16,15 @@ def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
 
 
+def join_keeping_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the other columns of ``right`` on ``keys``, null keys meeting null keys."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least the cluster's default parallelism.
 

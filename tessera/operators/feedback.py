@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions.numeric import mean_rounded, ratio_rounded
+from tessera.functions.plan import join_keeping_nulls
 from tessera.functions.vectors import confidence_tier
 
 # Prior for the smoothed acceptance rate (ours): (accepted + a) / (n + a + b).
@@ -96,7 +97,7 @@ def price_zscores(products: DataFrame) -> DataFrame:
     stats = products.groupBy("category", "region").agg(F.avg("price_value").alias("_mean"),
                                                        F.stddev_samp("price_value").alias("_sd"))
     z = F.round(F.try_divide(F.col("price_value") - F.col("_mean"), F.col("_sd")), 4)
-    return products.join(stats, ["category", "region"], "left").withColumn("z", z).drop("_mean", "_sd")
+    return join_keeping_nulls(products, stats, ["category", "region"], "left").withColumn("z", z).drop("_mean", "_sd")
 
 
 def price_anomalies(products: DataFrame, z: float = ANOMALY_Z) -> DataFrame:
@@ -131,13 +132,13 @@ def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
         F.count("*").alias("_n"),
         F.percentile_approx(value, [0.5 - band, 0.5 + band], accuracy).alias("_q"))
     q = q.select(group, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    j = base.select(group, value).join(q, group)
+    j = join_keeping_nulls(base.select(group, value), q, [group])
     below = j.where(v < F.col("_lo")).groupBy(group).agg(F.count("*").alias("_below"))
     band_rows = j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
     # distinct values in the band with their counts: a run of equal prices is one row
     vals = band_rows.groupBy(group, value, "_n").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (vals.join(below, group, "left")
+    ranked = (join_keeping_nulls(vals, below, [group], "left")
                   .withColumn("_last", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(w))
                   .withColumn("_first", F.col("_last") - F.col("_c") + 1))
     mid_lo = F.floor((F.col("_n") + 1) / 2)
@@ -153,7 +154,7 @@ def vendor_price_ratio(products: DataFrame) -> DataFrame:
     vm = products.groupBy("vendor", "category").agg(F.avg("price_value").alias("_mean"),
                                                     mean_rounded("price_value", 4, 2).alias("vendor_mean"),
                                                     F.count("*").alias("n"))
-    return (vm.join(med, "category")
+    return (join_keeping_nulls(vm, med, ["category"])
               .select("vendor", "category", "n", "vendor_mean",
                       F.round("category_median", 4).alias("category_median"),
                       F.round(F.try_divide(F.col("_mean"), F.col("category_median")), 6).alias("ratio")))
@@ -185,7 +186,7 @@ def adjust_confidence(quote_lines: DataFrame, multipliers: DataFrame) -> DataFra
     """Fold feedback back into confidence: score x (region, vendor) multiplier, capped at 1,
     with the tier recomputed; pairs without feedback keep their score."""
     m = multipliers.select("region", "vendor", "multiplier")
-    j = quote_lines.join(m, ["region", "vendor"], "left")
+    j = join_keeping_nulls(quote_lines, m, ["region", "vendor"], "left")
     adj = F.round(F.least(F.lit(1.0), F.col("similarity_score") * F.coalesce(F.col("multiplier"), F.lit(1.0))), 4)
     return j.select("quote_id", "product_id", "similarity_score", adj.alias("adjusted_score"),
                     confidence_tier(adj).alias("adjusted_tier"))

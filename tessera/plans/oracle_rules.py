@@ -131,13 +131,7 @@ def rate_card_values() -> str:
 
 
 def templates_values() -> str:
-    import csv
-    import os
-    from tessera.sources.reference_data import DATA_DIR
-    with open(os.path.join(DATA_DIR, "task_templates.csv"), encoding="utf-8", newline="") as fh:
-        rows = list(csv.DictReader(fh))
-    return ", ".join(f"({q(r['task_name'])}, {d(r['default_hours'])}, {q(r['default_material'])}, "
-                     f"{d(r['default_qty'])})" for r in rows)
+    return ", ".join(f"({q(t)}, {d(h)}, {q(m)}, {d(n)})" for t, h, m, n in fixed.TASK_TEMPLATES)
 
 
 def parsed_cte(src: str = "v_transcripts", name: str = "v_parsed") -> str:

@@ -15,7 +15,7 @@ from tessera.session import scratch_path
 from tessera.sources import views
 from tessera.streaming import jobs
 
-N_FILES = 4
+DELIVERIES = 4
 
 
 def _dirs(spark, name):
@@ -26,8 +26,8 @@ def _dirs(spark, name):
 def stream_feedback_daily(spark, sf_dir):
     src, out, ckpt, _ = _dirs(spark, "stream-daily")
     fb = views.feedback(spark, sf_dir)
-    jobs.stage_in_order(fb, src, "created_at", N_FILES)
-    res = jobs.daily_feedback_counts(spark, src, fb.schema, out, ckpt)
+    for _ in jobs.deliveries(fb, src, "created_at", DELIVERIES):
+        res = jobs.daily_feedback_counts(spark, src, fb.schema, out, ckpt, files_per_batch=None)
     return res.select("day", "verdict", "n")
 
 
@@ -36,28 +36,37 @@ def stream_dedup(spark, sf_dir):
     fb = views.feedback(spark, sf_dir)
     # every fifth event is delivered twice
     dup = fb.unionByName(fb.where(F.col("event_id") % 5 == 0))
-    jobs.stage_in_order(dup, src, "created_at", N_FILES)
-    res = jobs.dedup_valid_feedback(spark, src, fb.schema, out, ckpt)
+    for _ in jobs.deliveries(dup, src, "created_at", DELIVERIES):
+        res = jobs.dedup_valid_feedback(spark, src, fb.schema, out, ckpt, files_per_batch=None)
     return res.select("event_id", "quote_id", "user_type", "verdict", "status")
 
 
 def stream_upsert(spark, sf_dir):
     src, _, ckpt, base = _dirs(spark, "stream-upsert")
     b0, b1 = CP._batches(spark, sf_dir)
-    b1.write.mode("append").parquet(src)
-    res = jobs.upsert_stream(spark, src, b1.schema, f"{base}/table", ckpt, b0)
+    # three overlapping deliveries: the last one repeats all updates, the ones before hold parts of them
+    initial = b0
+    for share in (b1.where("seq % 3 = 0"), b1.where("seq % 2 = 0"), b1):
+        share.write.mode("append").parquet(src)
+        res = jobs.upsert_stream(spark, src, b1.schema, f"{base}/table", ckpt, initial)
+        initial = None
     return res.select("product_id", "unit_price", "batch_id")
 
 
 def stream_lookups(spark, sf_dir):
     src, out, ckpt, _ = _dirs(spark, "stream-lookups")
     q = views.queries(spark, sf_dir)
-    jobs.stage_in_order(q, src, "query_id", N_FILES)
     cat = views.products(spark, sf_dir)
+    packed = M.PackedCatalog(cat)
 
     def finish(hits):
         return M.attach_products(hits, cat).select(*MP.TOPK_COLUMNS)
-    return jobs.lookup_stream(spark, src, q.schema, cat, out, ckpt, finish=finish).select(*MP.TOPK_COLUMNS)
+    try:
+        for _ in jobs.deliveries(q, src, "query_id", DELIVERIES):
+            res = jobs.lookup_stream(spark, src, q.schema, packed, out, ckpt, finish=finish, files_per_batch=None)
+    finally:
+        packed.unpersist()
+    return res.select(*MP.TOPK_COLUMNS)
 
 
 QUERIES = {
