@@ -1,100 +1,24 @@
 """Catalog build: stored robots files, sitemaps and product pages -> keyed product rows.
 
-Everything is a column expression over (url, body) rows, so a crawl of any
-size is one scan plus narrow projections; the only shuffles are the de-dup
-by product id and the per-sitemap budget window.
+Pages are read once: an Arrow-batched UDF gives the facts of a page, the rest are column
+expressions, so a crawl of any size is one scan plus narrow projections; the only shuffles
+are the de-dup by product id, the sitemap joins and the per-sitemap budget window.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.html import html_unescape
-from tessera.functions.plan import materialize
+from tessera.functions.html import page_facts
 from tessera.functions.text import title_words
+from tessera.session import scratch_path
 
 WS = r"[\s\x{00A0}]"
 PRICE_RE = fixed.PRICE_PATTERN.replace(r"\s", WS)
 
-# HTML entities decoded in page text (the ones the page store uses plus the
-# XML basics); '&amp;' goes last so the decode is a single pass.
-ENTITIES = [("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
-def _class_token(name: str) -> str:
-    return r"""\bclass\s*=\s*"(?:[^"]*\s)?""" + name + r"""(?:\s[^"]*)?\""""
-
-
-def selector_regex(sel: str) -> tuple[str, str]:
-    """(exists pattern, inner-text pattern with group 1) for the selectors in use.
-
-    Inner text runs to the next tag, which is exact for leaf elements.
-    """
-    if sel == "title" or sel == "h1":
-        return rf"(?is)<{sel}\b", rf"(?is)<{sel}\b[^>]*>(.*?)</{sel}>"
-    if sel.startswith("[data-testid="):
-        val = sel.split("=")[1].strip("]'\"")
-        open_ = rf"""(?is)<[a-z0-9]+\b[^>]*\bdata-testid\s*=\s*["']{val}["'][^>]*>"""
-    elif sel.startswith("div[data-"):
-        attr = sel[len("div["):-1]
-        open_ = rf"(?is)<div\b[^>]*\b{attr}\b[^>]*>"
-    elif sel.startswith("meta["):
-        attr, val = sel[len("meta["):-1].split("=")
-        open_ = rf"""(?is)<meta\b[^>]*\b{attr}\s*=\s*["']{val.strip("'")}["'][^>]*>"""
-    elif "." in sel:
-        tag, cls = sel.split(".", 1)
-        tag = tag or "[a-z0-9]+"
-        open_ = rf"(?is)<{tag}\b[^>]*" + _class_token(cls) + r"[^>]*>"
-    else:
-        open_ = rf"(?is)<{sel}\b[^>]*>"
-    return open_, open_ + r"([^<]*)"
-
-
-def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
-def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"<[^>]*>", "")
-
-
-def plain_text(html: Column) -> Column:
-    """Page text: script/style blocks, comments and tags removed with no separator."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>", "")
-    t = F.regexp_replace(t, r"(?is)<style\b.*?</style>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    return decode_entities(strip_tags(t))
-
-
-def clean_text(raw: Column) -> Column:
-    """Element text as shown: inner tags removed, entities decoded, trimmed."""
-    return F.trim(decode_entities(strip_tags(raw)))
-
-
-def element_text(html: Column, sel: str) -> Column:
-    _, inner = selector_regex(sel)
-    return clean_text(F.regexp_extract(html, inner, 1))
-
-
-def first_selector_text(html: Column, selectors: list[str]) -> Column:
-    """Text of the first selector that matches an element (possibly ''), else null.
-
-    The CASE picks the raw inner markup; cleaning runs once on the pick, which
-    keeps the generated code small.
-    """
-    raw = None
-    for sel in selectors:
-        exists, inner = selector_regex(sel)
-        cond = F.regexp_like(html, F.lit(exists))
-        val = F.regexp_extract(html, inner, 1)
-        raw = F.when(cond, val) if raw is None else raw.when(cond, val)
-    return clean_text(raw)
-
-
 def base_url(u: Column) -> Column:
     """scheme (default https) + '://' + host."""
     return F.concat(F.coalesce(F.nullif(F.try_parse_url(u, F.lit("PROTOCOL")), F.lit("")), F.lit("https")),
@@ -119,73 +43,80 @@ def robots_sitemaps(robots: DataFrame, body_col: str = "body") -> DataFrame:
 
 
 
-def sitemap_children(body: Column) -> Column:
-    """<sitemap><loc> entries of a sitemap index (namespaced or not)."""
-    return F.regexp_extract_all(body, F.lit(r"(?is)<sitemap>\s*<loc>\s*([^<]*?)\s*</loc>"), 1)
+SITEMAP_SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
 
 
-def sitemap_locs(body: Column) -> Column:
-    """<url><loc> entries of a sitemap (malformed input gives an empty list)."""
-    return F.regexp_extract_all(body, F.lit(r"(?is)<url>\s*<loc>\s*([^<]*?)\s*</loc>"), 1)
+def _sitemap(body: Column) -> Column:
+    """A sitemap or sitemap index read as XML, whatever its prefixes, element order or CDATA."""
+    return F.from_xml(body, SITEMAP_SCHEMA, {"ignoreNamespace": "true"})
 
 
-def expand_sitemaps(sitemaps: DataFrame, bodies: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Follow sitemap indexes down to url sitemaps; returns (root, sitemap, url, seq).
+def _locs(entries: Column) -> Column:
+    locs = F.transform(entries, lambda e: F.trim(e["loc"]))
+    return F.filter(locs, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def sitemap_children(body: Column) -> Column:
+    """<sitemap><loc> entries of a sitemap index."""
+    return _locs(_sitemap(body)["sitemap"])
 
-    sitemaps: (supplier, root, sitemap_url, sitemap_order); bodies: (url, body) of fetched sitemaps.
-    Iterative join, bounded depth; the recursion the source intends.
-    """
-    b = bodies.select(F.col("url").alias("_surl"), F.col("body").alias("_body"))
-    frontier = sitemaps.select("supplier", "sitemap_order", F.col("sitemap_url"))
-    leaves = []
-    for _ in range(max_depth):
-        j = frontier.join(b, frontier.sitemap_url == b._surl)
-        leaves.append(j.select("supplier", "sitemap_order", "sitemap_url",
-                               F.posexplode(sitemap_locs(F.col("_body"))).alias("seq", "url")))
-        frontier = j.select("supplier", "sitemap_order",
-                            F.explode(sitemap_children(F.col("_body"))).alias("sitemap_url"))
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def is_product_page(url: Column, html: Column) -> Column:
-    has_h1 = F.regexp_like(html, F.lit(r"(?is)<h1\b"))
-    has_price = F.lit(False)
-    for sel in fixed.PRICE_ELEMENT_SELECTORS:
-        has_price = has_price | F.regexp_like(html, F.lit(selector_regex(sel)[0]))
-    url_hit = F.coalesce(F.regexp_like(url, F.lit("(?i)" + fixed.PRODUCT_URL_PATTERN)), F.lit(False))
-    cart = F.regexp_like(html, F.lit("(?i)" + fixed.ADD_TO_CART_PATTERN))
-    return url_hit | (has_h1 & has_price) | cart
 
+def sitemap_locs(body: Column) -> Column:
+    """<url><loc> entries of a sitemap (malformed input: null; ``sitemap_rejects`` lists it)."""
+    return _locs(_sitemap(body)["url"])
 
-def product_title_raw(html: Column) -> Column:
-    """First existing title selector's text (tags removed, entities kept); when empty, the page title."""
-    raw = None
-    for sel in fixed.TITLE_SELECTORS:
-        exists, inner = selector_regex(sel)
-        cond = F.regexp_like(html, F.lit(exists))
-        val = F.regexp_extract(html, inner, 1)
-        raw = F.when(cond, val) if raw is None else raw.when(cond, val)
-    first = F.trim(strip_tags(raw))
-    page_title = F.trim(strip_tags(F.regexp_extract(html, selector_regex("title")[1], 1)))
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(page_title, F.lit("")))
 
+def sitemap_rejects(bodies: DataFrame) -> DataFrame:
+    """(url, reason) of the stored sitemaps that are empty or no well-formed XML."""
+    empty = F.trim(F.coalesce("body", F.lit(""))) == ""
+    reason = F.when(empty, F.lit("empty_body")).when(_sitemap(F.col("body"))["_corrupt_record"].isNotNull(), F.lit("malformed_xml"))
+    return bodies.select("url", reason.alias("reason")).where(F.col("reason").isNotNull())
 
-def decode_title(raw: Column) -> Column:
-    """Entities decoded with the full HTML5 table (Python, on the short title only)."""
-    return F.trim(html_unescape(raw))
+
+def expand_sitemaps(sitemaps: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Follow sitemap indexes down to url sitemaps of any depth: (supplier, sitemap_order, sitemap_url, seq, url).
+
+    sitemaps: (supplier, sitemap_order, sitemap_url); bodies: (url, body) of fetched sitemaps.
+    Every level is a join, written once; a sitemap met again under the same supplier and order
+    is not followed again, so cycles end.
+    """
+    spark = sitemaps.sparkSession
+    base = scratch_path(spark, f"sitemaps-{uuid.uuid4().hex}")
+    b = bodies.select(F.col("url").alias("sitemap_url"), sitemap_locs(F.col("body")).alias("locs"),
+                      sitemap_children(F.col("body")).alias("children"))
+    key = ["supplier", "sitemap_order", "sitemap_url"]
+    frontier, levels, level = sitemaps.select(*key).distinct(), None, 0
+    while True:
+        path = f"{base}/level={level}"
+        frontier.join(b, "sitemap_url").write.parquet(path)
+        found = spark.read.parquet(path)
+        levels = found if levels is None else levels.unionByName(found)
+        frontier = (found.select("supplier", "sitemap_order", F.explode("children").alias("sitemap_url")).distinct()
+                         .join(levels.select(*key), key, "left_anti"))
+        if frontier.isEmpty():
+            break
+        level += 1
+    return levels.select(*key, F.posexplode("locs").alias("seq", "url"))
+
+
+def is_product_page(url: Column, facts: Column) -> Column:
+    """By its address, by a main heading with a price element, or by a text node with the cart text."""
+    url_hit = F.coalesce(F.regexp_like(url, F.lit("(?i)" + fixed.PRODUCT_URL_PATTERN)), F.lit(False))
+    return url_hit | (facts["has_h1"] & facts["has_price"]) | facts["has_cart"]
 
 
 def product_title(html: Column) -> Column:
-    """Title text: ``product_title_raw`` then the full entity decode."""
-    return decode_title(product_title_raw(html))
+    return page_facts(html)["title"]
 
 
 def price_text(html: Column) -> Column:
-    """Text of the first price selector that matches (possibly ''), else null."""
-    return first_selector_text(html, fixed.PRICE_SELECTORS)
+    """Text of the first price selector that has an element (possibly ''), else null."""
+    return page_facts(html)["price_text"]
+
+
+def plain_text(html: Column) -> Column:
+    """Page text: script and style bodies, comments and tags left out, no separator."""
+    return page_facts(html)["page_text"]
 
 
 def clean_unit(u: Column) -> Column:
@@ -220,20 +151,14 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
     name, price and url must be non-empty, the rest go to rejects.
     """
     sup = F.broadcast(suppliers.select("supplier", F.col("url").alias("supplier_url")))
-    html, url = F.col("html"), F.col("url")
-    # Each large-text step runs once per page (``materialize``); later steps
-    # work on the short match strings.
-    p = pages.where(is_product_page(url, html)).join(sup, "supplier", "left")
-    p = materialize(p, _sel_m=F.regexp_extract(F.coalesce(price_text(html), F.lit("")), PRICE_RE, 0),
-                    _title_raw=product_title_raw(html))
-    p = materialize(p, _m=F.when(F.col("_sel_m") != "", F.col("_sel_m"))
-                           .otherwise(F.regexp_extract(plain_text(html), PRICE_RE, 0)))
-    p = materialize(p, _price=price_from_match(F.col("_m")))
+    url = F.col("url")
+    p = pages.withColumn("_f", page_facts(F.col("html"))).where(is_product_page(url, F.col("_f"))).join(sup, "supplier", "left")
+    p = p.withColumn("_price", price_from_match(F.col("_f.price_match")))
     amount, unit = price_parts(F.col("_price"))
     rows = (p
               .select("page_id", "supplier", "sitemap", "sitemap_no", "seq",
                       F.concat_ws("|", F.col("supplier"), F.md5(url)).alias("product_id"),
-                      decode_title(F.col("_title_raw")).alias("material_name"),
+                      F.col("_f.title").alias("material_name"),
                       F.lit(None).cast("string").alias("description"),
                       amount.alias("unit_price"), unit.alias("unit"),
                       region_from_host(F.col("supplier_url")).alias("region"),
@@ -251,7 +176,7 @@ def extract_products(pages: DataFrame, suppliers: DataFrame) -> tuple[DataFrame,
 
 
 def dedup_last(df: DataFrame, key: str = "product_id", order: list[str] | None = None) -> DataFrame:
-    """One row per key, the last in ``order`` wins.
+    """One row per key, the last in ``order`` wins; rows without a key are left out.
 
     A ``max_by`` aggregation rather than a ranking window: it combines map-side,
     so a key repeated in a third of the rows is reduced in every task before
@@ -260,7 +185,7 @@ def dedup_last(df: DataFrame, key: str = "product_id", order: list[str] | None =
     order = order or ["seq"]
     cols = df.columns
     last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(key).agg(last.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
 
 
 def row_budget(products: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -270,12 +195,10 @@ def row_budget(products: DataFrame, budgets: DataFrame) -> DataFrame:
     products: (supplier, sitemap, sitemap_order, seq, product_id, ...)
     budgets: (supplier, min_products)
     """
-    from tessera.operators.pricing import bounded_rows
-    # budgets are configuration (one row per supplier): the largest one is a literal bound,
-    # which lets Spark cut each sitemap's rows map-side (WindowGroupLimit) before the shuffle
-    top = max([r["min_products"] for r in bounded_rows(budgets.select("min_products"))] or [0])
-    b = F.broadcast(budgets.select("supplier", "min_products"))
-    p = products.join(b, "supplier")
+    # the largest budget is a literal bound, which lets Spark cut each sitemap's rows
+    # map-side (WindowGroupLimit) before the shuffle
+    top = budgets.agg(F.max("min_products")).first()[0] or 0
+    p = products.join(budgets.select("supplier", "min_products"), "supplier")
     w = Window.partitionBy("supplier", "sitemap").orderBy("seq")
     kept = (p.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(top))
              .where(F.col("_rn") <= F.col("min_products")))
@@ -296,13 +219,24 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "product_id") -> Data
     return dedup_last(both, key, ["batch_id", "seq"])
 
 
+def _load_reason() -> Column:
+    return (F.when(F.coalesce("product_id", F.lit("")) == "", F.lit("missing_id"))
+             .when(F.coalesce("material_name", F.lit("")) == "", F.lit("missing_name")))
+
+
+def load_rejects(rows: DataFrame) -> DataFrame:
+    """The rows that a bulk load leaves out, with ``reject_reason``."""
+    return rows.withColumn("reject_reason", _load_reason()).where(F.col("reject_reason").isNotNull())
+
+
 def load_products(rows: DataFrame, target: DataFrame | None, batch_id: int, encode=None) -> DataFrame:
     """Bulk load: embed each record (name + ':' + description), stamp the load time and
     upsert into the catalog by product id, in one job.
 
     rows: product records (``catalog_io.PRODUCT_SCHEMA``) with a ``seq`` column in
     file order; target: the current catalog (or None). ``encode(df, text_col)``
-    adds ``embedding``; the default is the hashing encoder.
+    adds ``embedding``; the default is the hashing encoder. Rows without an id or a
+    name are not loaded; ``load_rejects`` lists them.
     """
     from tessera.operators import embed as E
     from tessera.sources import catalog_io as IO
@@ -310,7 +244,8 @@ def load_products(rows: DataFrame, target: DataFrame | None, batch_id: int, enco
     text = E.embedding_text(F.col("material_name"), F.col("description"))
     if "seq" not in rows.columns:
         raise ValueError("rows need a 'seq' column (file order) so the last duplicate wins")
-    staged = encode(rows.withColumn("_text", text), "_text").drop("_text")
+    usable = rows.where(_load_reason().isNull())
+    staged = encode(usable.withColumn("_text", text), "_text").drop("_text")
     staged = IO.conform(staged.withColumn("updated_at", F.current_timestamp()),
                         extra=[F.lit(batch_id).alias("batch_id"), F.col("seq")])
     if target is None:

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.html import page_facts
 from tessera.operators import catalog as C
 from tessera.operators import embed as E
 from tessera.plans import oracle_catalog as OC
@@ -43,15 +44,15 @@ def sitemap_locs(spark, sf_dir):
     roots = robots.select("supplier", F.col("line_no").alias("sitemap_order"), "sitemap_url")
     files = views.sitemap_files(spark, sf_dir)
     locs = C.expand_sitemaps(roots, files)
-    locs = locs.withColumn("url", C.decode_entities(F.col("url")))
-    # seen-URL skip per sitemap, then distinct URLs per supplier
-    return (locs.dropDuplicates(["sitemap_url", "url"])
-                .select("supplier", F.col("sitemap_url").alias("sitemap"), "url", F.col("seq").cast("int").alias("seq")))
+    # a URL of a supplier counts where it stands first
+    first = F.min(F.struct("sitemap_order", "sitemap_url", "seq")).alias("f")
+    return (locs.groupBy("supplier", "url").agg(first)
+                .select("supplier", F.col("f.sitemap_url").alias("sitemap"), "url", F.col("f.seq").cast("int").alias("seq")))
 
 
 def product_page_filter(spark, sf_dir):
     p = _ok_pages(spark, sf_dir)
-    return p.select("page_id", C.is_product_page(F.col("url"), F.col("html")).alias("is_product"))
+    return p.select("page_id", C.is_product_page(F.col("url"), page_facts(F.col("html"))).alias("is_product"))
 
 
 def product_title(spark, sf_dir):

@@ -6,6 +6,40 @@ from tessera.operators import catalog as C
 from tessera.plans.oracle_rules import q
 
 
+# HTML entities of the page views; '&amp;' goes last so the decode is a single pass.
+ENTITIES = [("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _class_token(name: str) -> str:
+    return r"""\bclass\s*=\s*"(?:[^"]*\s)?""" + name + r"""(?:\s[^"]*)?\""""
+
+
+def selector_regex(sel: str) -> tuple[str, str]:
+    """(exists pattern, inner-text pattern with group 1) for the selectors in use.
+
+    Inner text runs to the next tag, which is exact for leaf elements.
+    """
+    if sel == "title" or sel == "h1":
+        return rf"(?is)<{sel}\b", rf"(?is)<{sel}\b[^>]*>(.*?)</{sel}>"
+    if sel.startswith("[data-testid="):
+        val = sel.split("=")[1].strip("]'\"")
+        open_ = rf"""(?is)<[a-z0-9]+\b[^>]*\bdata-testid\s*=\s*["']{val}["'][^>]*>"""
+    elif sel.startswith("div[data-"):
+        attr = sel[len("div["):-1]
+        open_ = rf"(?is)<div\b[^>]*\b{attr}\b[^>]*>"
+    elif sel.startswith("meta["):
+        attr, val = sel[len("meta["):-1].split("=")
+        open_ = rf"""(?is)<meta\b[^>]*\b{attr}\s*=\s*["']{val.strip("'")}["'][^>]*>"""
+    elif "." in sel:
+        tag, cls = sel.split(".", 1)
+        tag = tag or "[a-z0-9]+"
+        open_ = rf"(?is)<{tag}\b[^>]*" + _class_token(cls) + r"[^>]*>"
+    else:
+        open_ = rf"(?is)<{sel}\b[^>]*>"
+    return open_, open_ + r"([^<]*)"
+
+
 def pick(options, key):
     items = ", ".join(q(o) for o in options)
     return f"([{items}])[({key} % {len(options)}) + 1]"
@@ -49,7 +83,7 @@ def regexp_like(col: str, pattern: str) -> str:
 
 
 def decode(c: str) -> str:
-    for ent, ch in C.ENTITIES:
+    for ent, ch in ENTITIES:
         c = f"replace({c}, {q(ent)}, {q(ch)})"
     return c
 
@@ -70,18 +104,18 @@ def clean_text(raw: str) -> str:
 
 
 def element_text(h: str, sel: str) -> str:
-    _, inner = C.selector_regex(sel)
+    _, inner = selector_regex(sel)
     return clean_text(f"regexp_extract({h}, {q(inner)}, 1)")
 
 
 def first_selector_text(h: str, selectors) -> str:
-    whens = " ".join(f"WHEN {regexp_like(h, C.selector_regex(s)[0])} THEN regexp_extract({h}, {q(C.selector_regex(s)[1])}, 1)"
+    whens = " ".join(f"WHEN {regexp_like(h, selector_regex(s)[0])} THEN regexp_extract({h}, {q(selector_regex(s)[1])}, 1)"
                      for s in selectors)
     return clean_text(f"CASE {whens} END")
 
 
 def is_product(url: str, h: str) -> str:
-    has_price = " OR ".join(regexp_like(h, C.selector_regex(s)[0]) for s in fixed.PRICE_ELEMENT_SELECTORS)
+    has_price = " OR ".join(regexp_like(h, selector_regex(s)[0]) for s in fixed.PRICE_ELEMENT_SELECTORS)
     return (f"(coalesce({regexp_like(url, '(?i)' + fixed.PRODUCT_URL_PATTERN)}, false) OR "
             f"({regexp_like(h, '(?is)<h1\\b')} AND ({has_price})) OR "
             f"{regexp_like(h, '(?i)' + fixed.ADD_TO_CART_PATTERN)})")

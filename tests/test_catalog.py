@@ -70,3 +70,52 @@ def test_title_entities_full_table_single_pass(spark):
     df = spark.createDataFrame([(html,)], "html string")
     got = df.select(C.product_title(F.col("html")).alias("t")).first()["t"]
     assert got == "Carrelage émaillé &eacute; 2 m"
+
+
+def _facts(spark, *pages):
+    from tessera.functions.html import page_facts
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    return [r["f"] for r in df.select("i", page_facts(F.col("html")).alias("f")).orderBy("i").collect()]
+
+
+def test_page_facts_follow_the_markup(spark):
+    nested, single, meta, attribute, title, empty, odd, script = _facts(
+        spark,
+        "<p>Livraison 50 €</p><div class=\"product-price\"><span>12,99</span> € / m2</div>",
+        "<p>50 €</p><span class='old price'>9,50&nbsp;&#8364;</span>",
+        "<meta itemprop='price' content='3'>Livraison 5 €",
+        "<img alt='Ajouter au panier'><p>x</p>",
+        "<title>Shop</title><div class=\"product-title\"><span> Tile</span> <b>A</b></div>",
+        "", "<h1>a</h1><![foo <b>x</b></i>", "<script>var x = '8 €'</script><!-- 9 € --><p>7 €</p>")
+    assert (nested["price_text"], nested["price_match"]) == ("12,99€ / m2", "12,99€ / m2")
+    assert single["price_match"] == "9,50\xa0€" and single["has_price"]
+    assert meta["price_text"] == "" and meta["price_match"] == "5 €"
+    assert not attribute["has_cart"]
+    assert title["title"] == "TileA"
+    assert empty["title"] is None and empty["price_text"] is None and not empty["has_h1"]
+    assert odd["title"] == "a"
+    assert script["price_match"] == "7 €" and script["page_text"] == "7 €"
+
+
+def test_sitemaps_of_any_shape_and_depth(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = lambda *u: f"<sitemapindex {ns}>" + "".join(f"<sitemap><lastmod>x</lastmod><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    bodies = spark.createDataFrame([
+        *[(f"i{d}", index(f"i{d + 1}", "i0")) for d in range(5)],  # five levels and a cycle
+        ("i5", f"<urlset {ns}><url><lastmod>2024</lastmod><loc> https://x.fr/a?b=1&amp;c=2 </loc></url>"
+               "<url><loc><![CDATA[https://x.fr/c]]></loc></url></urlset>"),
+        ("bad", "<urlset><url>"), ("none", None),
+        ("s:p", '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc>https://x.fr/d</s:loc></s:url></s:urlset>'),
+    ], "url string, body string")
+    roots = spark.createDataFrame([("x", 0, "i0"), ("x", 1, "s:p"), ("x", 2, "bad"), ("x", 3, "none"), ("x", 4, "lost")],
+                                  "supplier string, sitemap_order long, sitemap_url string")
+    got = sorted((r["sitemap_url"], r["seq"], r["url"]) for r in C.expand_sitemaps(roots, bodies).collect())
+    assert got == [("i5", 0, "https://x.fr/a?b=1&c=2"), ("i5", 1, "https://x.fr/c"), ("s:p", 0, "https://x.fr/d")]
+    assert {tuple(r) for r in C.sitemap_rejects(bodies).collect()} == {("bad", "malformed_xml"), ("none", "empty_body")}
+
+
+def test_rows_without_an_id_are_rejects(spark):
+    rows = spark.createDataFrame([(None, "a", None, 0), (None, "b", None, 1), ("p", None, None, 2), ("q", "c", None, 3)],
+                                 "product_id string, material_name string, description string, seq long")
+    assert [r["product_id"] for r in C.load_products(rows, None, 0).collect()] == ["q"]
+    assert sorted(r["reject_reason"] for r in C.load_rejects(rows).collect()) == ["missing_id", "missing_id", "missing_name"]
