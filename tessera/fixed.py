@@ -91,6 +91,15 @@ PLUMB_REDO_HOURS = 6.0
 PLUMB_OTHER_HOURS = 4.0
 SMALL_TASK_HOURS = 2.0
 FALLBACK_HOURS = 3.0
+# The same as a table, first match wins: groups of words of which each must have one in the
+# name; hours an m2 as (numerator, denominator), if any; least hours; hours without an area.
+HOURS_RULES = [
+    ([["til"]], (TILING_HOURS_PER_M2, 1.0), 0.0, TILING_DEFAULT_HOURS),
+    ([["paint"]], (1.0, PAINT_M2_PER_HOUR), PAINT_MIN_HOURS, PAINT_DEFAULT_HOURS),
+    ([["plumb"], ["redo", "replace"]], None, 0.0, PLUMB_REDO_HOURS),
+    ([["plumb"]], None, 0.0, PLUMB_OTHER_HOURS),
+    ([["demol", "disposal", "remove", "toilet", "vanity"]], None, 0.0, SMALL_TASK_HOURS),
+]
 COMPLEXITY_FACTORS = [("high", 1.25), ("low", 0.9)]
 
 # Proposal constants.
@@ -107,6 +116,8 @@ TIER_MEDIUM = 0.6
 # Region from a host suffix, first match wins, else "Unknown".
 HOST_REGIONS = [(".fr", "France"), (".be", "Belgium"), (".it", "Italy")]
 
+# Area in square metres, in lower-cased text.
+AREA_PATTERN = r"(\d+)\s?m[²2]"
 # Product-page URL pattern (case-insensitive).
 PRODUCT_URL_PATTERN = r"\.prd(?:$|[^a-zA-Z0-9])|/p/|/prd|/produit|/product"
 # Add-to-cart text (case-insensitive).

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.text import capitalize
+from tessera.functions.text import capitalize, contains_any
 
 
 MAX_LOOKUP_ROWS = 10_000  # size bound for lookup tables folded into expressions
@@ -47,26 +47,20 @@ def hourly_rate(multiplier: Column) -> Column:
 
 def estimate_hours(task_name: Column, area: Column, complexity: Column | None = None) -> Column:
     """Hours for a task: first matching rule, complexity factor, then up to the quarter hour."""
-    t = F.lower(task_name)
-    has_area = area.isNotNull() & (area > 0)
-    base = (F.when(F.contains(t, F.lit("til")) | F.contains(t, F.lit("tile")),
-                   F.when(has_area, F.lit(fixed.TILING_HOURS_PER_M2) * area)
-                    .otherwise(F.lit(fixed.TILING_DEFAULT_HOURS)))
-             .when(F.contains(t, F.lit("paint")),
-                   F.when(has_area, F.greatest(F.lit(fixed.PAINT_MIN_HOURS), area / fixed.PAINT_M2_PER_HOUR))
-                    .otherwise(F.lit(fixed.PAINT_DEFAULT_HOURS)))
-             .when(F.contains(t, F.lit("plumb")),
-                   F.when(F.contains(t, F.lit("redo")) | F.contains(t, F.lit("replace")),
-                          F.lit(fixed.PLUMB_REDO_HOURS)).otherwise(F.lit(fixed.PLUMB_OTHER_HOURS)))
-             .when(F.contains(t, F.lit("demol")) | F.contains(t, F.lit("disposal")) | F.contains(t, F.lit("remove")),
-                   F.lit(fixed.SMALL_TASK_HOURS))
-             .when(F.contains(t, F.lit("toilet")), F.lit(fixed.SMALL_TASK_HOURS))
-             .when(F.contains(t, F.lit("vanity")), F.lit(fixed.SMALL_TASK_HOURS))
-             .otherwise(F.lit(fixed.FALLBACK_HOURS)))
+    name = F.lower(task_name)
+    base = F.lit(fixed.FALLBACK_HOURS)
+    for groups, per_m2, least, default in reversed(fixed.HOURS_RULES):
+        hours = F.lit(default)
+        if per_m2:
+            hours = F.when(area > 0, F.greatest(F.lit(least), F.lit(per_m2[0]) * area / per_m2[1])).otherwise(hours)
+        hit = F.lit(True)
+        for words in groups:
+            hit = hit & contains_any(name, words)
+        base = F.when(hit, hours).otherwise(base)
     if complexity is not None:
         factor = F.lit(1.0)
-        for name, f in reversed(fixed.COMPLEXITY_FACTORS):
-            factor = F.when(complexity == F.lit(name), F.lit(f)).otherwise(factor)
+        for level, f in reversed(fixed.COMPLEXITY_FACTORS):
+            factor = F.when(complexity == F.lit(level), F.lit(f)).otherwise(factor)
         base = base * factor
     return F.round(F.ceil(base * 4).cast("double") / F.lit(4.0), 2)
 

@@ -2,51 +2,30 @@
 
 Plan shape::
 
-    parsed --explode tasks--> hours, labour, VAT --groupBy(proposal_id)--> task totals
+    parsed --task array expressions--> hours, labour, VAT of each proposal (no explode)
     parsed --explode materials--> lookup key (vendor + material, region)
-           --distinct--> lookups --encode--> best product (matcher, k = 1)
-           --join back on the lookup key--> matched lines --dedup--> line totals
-    task totals LEFT JOIN line totals on proposal_id --> proposal row
+           --distinct, written once--> lookups --encode--> best product (matcher, k = 1)
+           --join back on the lookup key--> lines --groupBy(proposal_id)--> de-dup, totals
 
 Lookups are made distinct before scoring: the same phrase in many
-transcripts is scored once. Both branches aggregate on ``proposal_id``.
+transcripts is scored once.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.operators import match as M
 from tessera.operators import pricing as P
-from tessera.operators import transcript as TR
+from tessera.session import scratch_path
 
 LOOKUP_SEP = "\u001f"
 
 
-def task_totals(parsed: DataFrame, vat_rules=None) -> DataFrame:
-    """Per proposal: task count, hours, labour cost and the highest task VAT (floor 0)."""
-    tasks = TR.explode_tasks(parsed, ["proposal_id"])
-    city = F.coalesce(F.col("city"), F.lit(fixed.PROPOSAL_DEFAULT_CITY))
-    hours = P.estimate_hours(F.col("task_name"), F.col("area_m2"))
-    t = tasks.select("proposal_id", hours.alias("hours"),
-                     P.labour_cost(hours, P.city_multiplier(city)).alias("labor_cost"),
-                     P.vat_rate(F.col("task_name"), vat_rules).alias("vat_rate"))
-    return t.groupBy("proposal_id").agg(
-        F.count("*").alias("n_tasks"),
-        F.sum("hours").alias("total_hours"),
-        F.sum("labor_cost").alias("labor_cost"),
-        F.greatest(F.max("vat_rate"), F.lit(0.0)).alias("vat_rate"))
-
-
-def material_lines(parsed: DataFrame) -> DataFrame:
-    """One row per (proposal, material phrase) with the lookup text and region."""
-    mats = parsed.select("proposal_id", "region", "vendor",
-                         F.posexplode("materials").alias("mat_pos", "material"))
-    return mats.withColumn("lookup_text", F.concat_ws(" ", F.col("vendor"), F.col("material")))
-
-
 def lookup_key(text, region):
     return F.concat_ws(LOOKUP_SEP, text, F.coalesce(region, F.lit("")))
 
@@ -59,12 +38,10 @@ def best_products(lines: DataFrame, catalog: DataFrame, encode) -> DataFrame:
     """
     lookups = (lines.select(lookup_key(F.col("lookup_text"), F.col("region")).alias("lookup"),
                             "lookup_text", "region").dropDuplicates(["lookup"]))
-    lookups = encode(lookups, "lookup_text").withColumn("query_id", F.xxhash64("lookup")) \
-                     .persist(StorageLevel.MEMORY_AND_DISK)
-    # 64-bit ids for the distinct lookups: refuse to go on if two lookups ever share one
-    ids = lookups.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("d")).first()
-    if ids["n"] != ids["d"]:
-        raise RuntimeError("lookup id collision; use a wider key")
+    # written once: the ids given here stay the same however often the table is read
+    path = scratch_path(lines.sparkSession, f"lookups-{uuid.uuid4().hex}")
+    encode(lookups, "lookup_text").withColumn("query_id", F.monotonically_increasing_id()).write.parquet(path)
+    lookups = lines.sparkSession.read.parquet(path)
     cfg = M.MatchConfig(cap=1, fallback_k=1, filters=("region",))
     hits = M.top_k(lookups.select("query_id", "embedding", "region"), catalog, cfg)
     best = (hits.join(lookups.select("query_id", "lookup"), "query_id")
@@ -79,39 +56,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bound is not None and bound <= M.MAX_BROADCAST_HITS else df
 
 
-def matched_lines(parsed: DataFrame, catalog: DataFrame, encode) -> DataFrame:
-    """Material lines with their best product and its display fields."""
-    lines = material_lines(parsed)
-    best = best_products(lines, catalog, encode)
-    keyed = lines.withColumn("lookup", lookup_key(F.col("lookup_text"), F.col("region")))
-    prod = catalog.select("product_id", "material_name", "unit_price", "price_value",
-                          F.col("region").alias("product_region"), F.col("vendor").alias("product_vendor"))
-    return (keyed.join(best, "lookup").join(prod, "product_id")
-                 .select("proposal_id", "mat_pos", "material", "product_id", "sim", "degraded",
-                         "material_name", "unit_price", "price_value", "product_region", "product_vendor"))
-
-
-def dedup_lines(lines: DataFrame) -> DataFrame:
-    """First line per (proposal, product) in material order."""
-    w = Window.partitionBy("proposal_id", "product_id").orderBy("mat_pos")
-    return lines.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def line_totals(lines: DataFrame) -> DataFrame:
-    """Per proposal: matched material count (before de-dup), distinct products,
-    price sum, confidence and the material names in material order."""
-    counts = lines.groupBy("proposal_id").agg(F.count("*").alias("n_materials"))
-    uniq = dedup_lines(lines)
-    agg = uniq.groupBy("proposal_id").agg(
-        F.count("*").alias("n_products"),
-        F.sum("price_value").alias("prices_sum"),
-        F.max(F.col("price_value").isNull()).alias("price_missing"),
-        (F.round(F.avg(F.round(F.col("sim") * 10000).cast("long")) / 100.0) / 100.0).alias("confidence_score"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mat_pos", "material_name"))),
-                                 lambda x: x["material_name"]), "|").alias("materials"))
-    return counts.join(agg, "proposal_id")
-
-
 def quote_id(proposal_id):
     return F.md5(F.concat(F.lit("quote:"), proposal_id.cast("string")))
 

@@ -25,7 +25,6 @@ CLAUSE_SPLIT = r"[,.;:!?]| and | from | for | with | in | at | on | near | et |
 QUALITY_WORDS = [("high", ["better quality", "premium", "high-end"]), ("low", ["budget", "cheap"])]
 UNIT_WORDS = [("€/m²", ["m2", "m²", "sqm"]), ("€/litre", ["litre", "liter"])]
 
-AREA_PATTERN = r"(\d+)\s?m[²2]"
 # any material keyword as a substring (keywords are plain words, quoted for safety)
 MATERIAL_RE = "|".join("\\Q" + w + "\\E" for w in fixed.MATERIAL_KEYWORDS)
 CITY_PATTERN = "(" + "|".join(fixed.LABOUR_CITIES) + ")"
@@ -78,7 +77,7 @@ def zone(text: Column) -> Column:
 
 def area_m2(text: Column) -> Column:
     """First integer before m2/m²; ``12.5 m2`` gives 5, as the pattern reads it."""
-    return F.nullif(F.regexp_extract(F.lower(text), AREA_PATTERN, 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.lower(text), fixed.AREA_PATTERN, 1), F.lit("")).try_cast("double")
 
 
 def labour_city(text: Column, word_boundary: bool = False) -> Column:

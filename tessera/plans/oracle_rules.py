@@ -32,7 +32,7 @@ def vendor(t: str) -> str:
 
 
 def area(t: str) -> str:
-    return f"TRY_CAST(NULLIF(regexp_extract(lower({t}), '{TR.AREA_PATTERN}', 1), '') AS DOUBLE)"
+    return f"TRY_CAST(NULLIF(regexp_extract(lower({t}), '{fixed.AREA_PATTERN}', 1), '') AS DOUBLE)"
 
 
 def capitalize(x: str) -> str:
