@@ -199,6 +199,8 @@ SQL = {
         WHERE r2 = 1""",
     "catalog_roundtrip": _PROD + ", " + _PROD_DEDUP + f" SELECT {_PCOLS} FROM v_prod_last",
     "catalog_preview": _PROD + ", " + _PROD_DEDUP + f" SELECT {_PCOLS} FROM v_prod_last ORDER BY product_id LIMIT 3",
+    # the encoder itself has no SQL form: every product has a vector of the fixed length and norm 1
+    "embed_catalog": _w(OV.products()) + " SELECT product_id, 256 AS dim, CAST(1 AS DOUBLE) AS norm FROM v_products",
     "catalog_upsert": _w(OV.products()) + f""", u AS (
           SELECT product_id, unit_price, 0 AS batch_id, partkey * 2 AS seq FROM v_products
           UNION ALL
