@@ -255,6 +255,40 @@ def test_line_chunks_awkward_rows(spark, nothing):
     assert line_chunks.line_dedup(nothing).count() == 0
 
 
+def brute_passages(rows, n=line_chunks.LONG_WORDS):
+    """Lines that a repeated run of n words in two lines or more removes: every run compared with every earlier one."""
+    lines, first, gone = {d: t.split("\n") for d, t in rows}, {}, collections.defaultdict(set)
+    for d in sorted(lines):
+        for s in range(len(lines[d])):
+            for e in range(s + 1, len(lines[d])):
+                run = tuple(lines[d][s:e + 1])
+                if sum(len(x.split()) for x in run) >= n and run[0] and run[-1]:
+                    at = first.setdefault(run, (d, s))
+                    if at != (d, s):
+                        gone[d].update(range(max(s, at[1] + len(run)) if at[0] == d else s, e + 1))
+    return lines, gone
+
+
+def test_cleaned_removes_whole_passages(spark):
+    rng, word = random.Random(5), iter(range(10**6))
+    line = lambda n: " ".join(f"t{next(word)}" for _ in range(n))
+    planted = [[line(60 // k + 1) for _ in range(k)] for k in range(2, 11)] + [[line(30), "", line(30)], [line(4), line(80)], [line(48), "a", "b", "c"]]
+    rows = []
+    for d in range(60):  # a passage between lines that stand nowhere else
+        rows.append((d, "\n".join([line(rng.randint(1, 9)), *planted[d % len(planted)], line(rng.randint(1, 9))])))
+    rows += [(100, "\n".join(["r " * 9 + "r"] * 30)), (101, "\n".join(planted[3][1:] + [line(5)] + planted[8][:9])), (102, "\n" * 200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.text.split("\n") for r in line_chunks.cleaned(df).collect()}
+    lines, gone = brute_passages(rows)
+    for d in range(60):
+        assert got[d] == [x for i, x in enumerate(lines[d]) if i not in gone[d]], d
+        assert (d < len(planted)) == (len(got[d]) > 2)
+    # The chunk pass may take more of these three: no line may be left that a passage removes, none may vanish everywhere.
+    assert len(got[100]) <= 5 and 102 in got
+    assert got[101] == [x for i, x in enumerate(lines[101]) if i not in gone[101]]
+    assert {x for d in got for x in got[d]} >= {x for d in lines for x in lines[d]}
+
+
 # ---- licence scan
 
 def brute_license(text):
