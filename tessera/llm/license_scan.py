@@ -9,10 +9,13 @@ expression grants: all operands of ``and``, the first (preferred) operand of
 
 Defined results: a null text is empty: no words, no labels, score 0. Each input
 row gives one row, repeated rows and null ids too. Malformed expressions give
-the labels of the known identifiers in them.
+the labels of the known identifiers in them. Known are those of the SPDX list and
+``LicenseRef-`` names; one without a label in IDENTIFIERS is its own label, in
+lower case, and comes after all of those in the order of permissiveness.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_texts
+from tessera.llm.spdx import NAMES
 
 # Phrases of the base scan and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -52,6 +56,7 @@ IDENTIFIERS = {
     "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "gpl-2.0": "gpl", "gpl-3.0": "gpl", "agpl-3.0": "agpl", "cc-by-nc-4.0": "cc-by-nc",
 }
 RANK = {name: i for i, name in enumerate(IDENTIFIERS)}
+OWN_NAME = r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 # Weights of the evidence of one place of each kind in the score.
 WEIGHT = {"tag": 0.9, "notice": 0.5, "base": 0.5}
@@ -80,9 +85,14 @@ def tokens(expression: str) -> list[str]:
 
 
 def known(name: str) -> str:
+    short = name
     for suffix in ("-only", "-or-later", "+"):
-        name = name.removesuffix(suffix)
-    return name
+        short = short.removesuffix(suffix)
+    return short if short in NAMES else name
+
+
+def label_of(name: str) -> str | None:
+    return IDENTIFIERS.get(name) or (name if name in NAMES or re.fullmatch(OWN_NAME, name) else None)
 
 
 def postfix(expression: str) -> list[str]:
@@ -126,7 +136,7 @@ def granted(expression: str) -> frozenset[str]:
                 worst = [max((RANK.get(n, len(RANK)) for n in side), default=len(RANK)) for side in (left, right)]
                 stack.append(left if worst[0] <= worst[1] else right)
     names = frozenset().union(*stack) if stack else frozenset()
-    return frozenset(IDENTIFIERS[n] for n in names if n in IDENTIFIERS)
+    return frozenset(filter(None, map(label_of, names)))
 
 
 def expressions(text: bytes) -> Iterator[str]:

@@ -326,6 +326,15 @@ def test_license_expressions(expression, labels):
     assert set(filter(None, row[5].split(","))) == labels
 
 
+@pytest.mark.parametrize("expression,labels", [
+    ("Zlib", {"zlib"}), ("BSL-1.0 AND MIT", {"bsl-1.0", "mit"}), ("CDDL-1.0 OR GPL-2.0-only", {"gpl"}), ("Zlib OR CDDL-1.0", {"zlib"}),
+    ("GFDL-1.3-or-later", {"gfdl-1.3"}), ("LicenseRef-Own.1", {"licenseref-own.1"}), ("see LICENSE", set())])
+def test_license_every_spdx_identifier(expression, labels):
+    row = license_scan.scan(f"# SPDX-License-Identifier: {expression}\nx".encode(), license_scan.automaton())
+    assert set(filter(None, row[5].split(","))) == labels
+    assert all(license_scan.granted(n) for n in license_scan.NAMES)
+
+
 # ---- byte-level BPE
 
 ENC = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
