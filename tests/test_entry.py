@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tessera.plans import registry
 from conftest import SF_CHECK
 
-ROWS_ONLY = {"ann_topk", "ann_recall", "embed_catalog"}
+ROWS_ONLY = {"ann_topk", "ann_recall"}
 
 
 def test_entry_runs(spark):
