@@ -1,7 +1,9 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 from __future__ import annotations
 
-SQL = {}
+from tessera.llm.oracle_vectors import CLUSTERING
+
+SQL = {"op11_subvector_kmeans": CLUSTERING}
 
 SQL["op1_chat_collapse"] = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -14,6 +14,7 @@ from tessera.llm.line_chunks import line_dedup
 from tessera.llm.neural_lm import lm_scores
 from tessera.llm.oracles import SQL
 from tessera.llm.quality import quality_scores
+from tessera.llm.subvectors import clustered
 from tessera.llm.warc import archive_pages, revisit_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +60,10 @@ def op10_neural_lm(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_subvector_kmeans(spark, sf_dir):
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_collapse, op2_jaccard_tiles, op3_block_names, op4_edit_matches, op5_quality, op6_line_chunks, op7_license_scan,
-    op8_byte_bpe, op9_warc_revisits, op10_neural_lm)}
+    op8_byte_bpe, op9_warc_revisits, op10_neural_lm, op11_subvector_kmeans)}
