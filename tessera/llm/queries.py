@@ -8,6 +8,7 @@ from tessera.llm.bpe import read_ranks, token_digests
 from tessera.llm.chat import chat_format
 from tessera.llm.common import table
 from tessera.llm.decontaminate import edit_matches
+from tessera.llm.dimension_scan import nearest_neighbours
 from tessera.llm.divergence import divergences
 from tessera.llm.jaccard import linked_components
 from tessera.llm.license_scan import license_scan
@@ -69,6 +70,10 @@ def op12_source_divergence(spark, sf_dir):
     return divergences(table(spark, sf_dir, "documents"))
 
 
+def op13_dimension_scan(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_collapse, op2_jaccard_tiles, op3_block_names, op4_edit_matches, op5_quality, op6_line_chunks, op7_license_scan,
-    op8_byte_bpe, op9_warc_revisits, op10_neural_lm, op11_subvector_kmeans, op12_source_divergence)}
+    op8_byte_bpe, op9_warc_revisits, op10_neural_lm, op11_subvector_kmeans, op12_source_divergence, op13_dimension_scan)}
