@@ -35,7 +35,7 @@ SHARD = 1 << 17  # terms of a transducer, about
 DRAWN = 64  # sampled terms for each shard
 TABLES = 96 << 20  # bytes of walking tables held by a task
 PIECE = 1 << 20  # bytes of text walked at once
-HELD = 1_000_000  # entries a task holds before it gives them on
+HELD = 300_000  # entries a task holds before it gives them on
 TILE = 256  # sources
 SLICE = 4096  # ordinals
 
@@ -46,10 +46,11 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """(lang, term, n): documents of the language that hold the term."""
-    def rows(counts: Counter):
-        lang, term = zip(*counts)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(counts.values(), pa.int64())],
-                                          ["lang", "term", "n"])
+    def rows(held: dict[str, Counter]):
+        for lang, counts in held.items():
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()),
+                                                  pa.array(counts.values(), pa.int64())], ["lang", "term", "n"])
 
     def run(batches):
         held: dict[str, Counter] = {}
@@ -64,9 +65,9 @@ def document_counts(docs: DataFrame) -> DataFrame:
                 own.update(seen)
                 size += len(own)
                 if size > HELD:
-                    yield from (rows(Counter({(k, t): n for t, n in c.items()})) for k, c in held.items() if c)
+                    yield from rows(held)
                     held, size = {}, 0
-        yield from (rows(Counter({(k, t): n for t, n in c.items()})) for k, c in held.items() if c)
+        yield from rows(held)
 
     found = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, n bigint")
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n"))
@@ -174,7 +175,7 @@ def recounted(docs: DataFrame, tables: list[tuple[str, int, bytes]]) -> DataFram
                     held[2] += len(piece)
                     if held[2] >= PIECE:
                         walk(lang)
-                        if sum(map(len, fresh)) > 4 * HELD:
+                        if sum(map(len, fresh)) > 8 * HELD:
                             keys, n = merged()
                             fresh.clear()
                             if len(keys) > HELD:
