@@ -1,9 +1,13 @@
 """Plan helpers."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_path
+
 
 def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns evaluated once per row.
@@ -37,3 +41,26 @@ def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int |
     if (probe if probe is not None else df).rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back; ``discard`` deletes it.
+
+    Cuts lineage, and the planner knows the size of what it reads.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored``; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

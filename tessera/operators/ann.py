@@ -1,100 +1,313 @@
-"""Approximate nearest neighbours: an inverted-file (IVF) index built with MLlib KMeans.
+"""Approximate nearest neighbours: an inverted-file index over compressed vectors (IVF with product quantisation).
 
-Plan shape::
+Build::
 
-    catalog --KMeans (unit vectors)--> centroids (nlist rows) and a cell per product
-    queries x centroids --exact matcher, k = nprobe--> probed cells per query
-    products --groupBy(cell, sub)--> packs of bounded size (big cells split by hash)
-    queries  --explode probed cells, (cell, sub)--> query packs
-    packs JOIN on (cell, sub) --score--> local top-k --window--> top-k per query
+    catalog --bounded sample--> cells (spherical k-means) and codebooks of the residuals, in numpy
+            --every row--> its cell --> packs clustered by cell (``packs``): distinct vectors, their codes, the rows behind
+    a stated set of lookups --exact search of the packs--> ranks of the cells that hold the true results
+            --> least number of probes that reaches the wanted recall
 
-Only products in the probed cells are scored. A cell holding a large share of
-the catalog is split into ``sub`` blocks, so no task holds more than about
-``block_rows`` products whatever the skew.
+Search::
+
+    lookups --nearest cells--> routes of the packs --> codes alone are read: tables of inner products with the codewords,
+            summed by code --> short list of each lookup (window)
+    short list --packs that it names--> exact cosine from the stored vectors --> top-k
+
+A vector is its cell's centroid and a residual, whose parts are each replaced by the nearest of WORDS codewords, so a row takes
+one byte a part. An inner product is then linear in the parts: lookup . centroid + sum over parts of table[part][code]. Cells
+are routed like filter values, so a cell that holds a large share of the catalog is many packs of bounded size.
+
+The index is a folder with two tables, ``packs`` and ``model``; ``AnnIndex.open`` reads it again.
 """
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.plan import stored
 from tessera.operators import match as M
+from tessera.operators import packs as PK
+from tessera.session import scratch_path
+
+SAMPLE_ROWS = 8192  # vectors that cells and codebooks are fitted on; every row is indexed
+WORDS = 256  # codewords of a part
+PART = 4  # dimensions of a part
+ROUNDS = 8  # of k-means
+LOOKUPS = 256  # of the set that probes are chosen on, at most
+RECALL = 0.97  # share of the true results that the probed cells hold
+SHORT = 20  # short list, in multiples of k
+KEEP = 16  # rows kept behind one vector: the largest k of a search
+
+CODED_FIELDS = "pblock long, dim int, n_rows int, n_vectors int, vectors binary, codes binary, ids array<string>, owner binary, cells binary"
+HIT_FIELDS = "query_id long, pblock long, vector int, near double, first_id string"
+
+
+def lloyd(x: np.ndarray, k: int, rng, spherical: bool) -> np.ndarray:
+    """Centroids of ``k`` clusters of the rows of ``x``."""
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(ROUNDS):
+        near = assigned(x, c)
+        count = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
+        if spherical:
+            norm = np.linalg.norm(c, axis=1, keepdims=True)
+            c /= np.where(norm > 0, norm, 1)
+    return c
+
+
+def assigned(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+
+
+class Quantizer:
+    """Cells, codebooks and the number of probes."""
+
+    def __init__(self, centres: np.ndarray, books: list[np.ndarray], probes: int = 0, recall: float = 0.0):
+        self.centres, self.books, self.probes, self.recall = centres, books, probes, recall
+        self.dim = centres.shape[1]
+        self.cuts = [(a, min(self.dim, a + PART)) for a in range(0, self.dim, PART)]
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int, seed: int = 7) -> "Quantizer":
+        rng = np.random.default_rng(seed)
+        made = cls(lloyd(x, cells, rng, True), [])
+        rest = x - made.centres[assigned(x, made.centres)]
+        made.books = [lloyd(rest[:, a:b], WORDS, rng, False) for a, b in made.cuts]
+        return made
+
+    def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """One byte for each part of each residual."""
+        rest = x - self.centres[cell]
+        return np.stack([assigned(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
+
+    def near(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Approximate inner products of lookups with the vectors of a cell, from their codes."""
+        out = np.repeat((q @ self.centres[cell])[:, None], len(codes), axis=1)
+        for j, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
+            out += (q[:, a:b] @ book.T)[:, codes[:, j]]
+        return out
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Cells of each lookup, the most similar centroid first."""
+        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+
+    def row(self) -> tuple:
+        return (self.dim, self.centres.tobytes(), [b.tobytes() for b in self.books], self.probes, self.recall)
+
+    @classmethod
+    def of_row(cls, r) -> "Quantizer":
+        centres = np.frombuffer(r["centres"]).reshape(-1, r["dim"])
+        made = cls(centres, [], r["probes"], r["recall"])
+        made.books = [np.frombuffer(b).reshape(-1, z - a) for b, (a, z) in zip(r["books"], made.cuts)]
+        return made
+
+
+class AnnIndex:
+    """A saved index. ``build`` makes one, ``open`` reads one."""
+
+    def __init__(self, spark: SparkSession, path: str, model: Quantizer):
+        self.spark, self.path, self.model = spark, path, model
+        self.packs = spark.read.schema(CODED_FIELDS).parquet(f"{path}/packs")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "AnnIndex":
+        return cls(spark, path, Quantizer.of_row(spark.read.parquet(f"{path}/model").first()))
+
+    @classmethod
+    def build(cls, catalog: DataFrame, lookups: DataFrame, path: str | None = None, k: int = 5, recall: float = RECALL,
+              cells: int | None = None, probes: int | None = None, dim: int | None = None, block_rows: int = 4096) -> "AnnIndex":
+        """Index ``catalog`` (product_id, embedding); probes are chosen on the LOOKUPS rows of ``lookups`` with the smallest id hashes.
+
+        Vectors of length ``dim`` (by default the most common of the sample) are indexed; others, and those without a
+        direction, are in no cell (``match.vector_rejects`` lists them).
+        """
+        spark = catalog.sparkSession
+        path = path or scratch_path(spark, f"ann-{uuid.uuid4().hex}")
+        rows = catalog.select("product_id", F.col("embedding").cast("array<double>").alias("embedding")).where(PK.usable(F.col("embedding")))
+        rows = rows.withColumn("dim", F.size("embedding"))
+        drawn = [r["embedding"] for r in rows.orderBy(F.xxhash64("product_id")).limit(SAMPLE_ROWS).select("embedding").collect()]
+        lengths = pd.Series([len(v) for v in drawn])
+        dim = dim or (int(lengths.mode()[0]) if drawn else 1)
+        x = np.array([v for v in drawn if len(v) == dim], np.float64).reshape(-1, dim)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.eye(1, dim)
+        if cells is None:
+            n = rows.count() if len(drawn) == SAMPLE_ROWS else len(x)
+            cells = max(1, min(round(math.sqrt(n)), len(x) // 32))
+        model = Quantizer.fit(x, cells)
+        placed = PK.with_cell(rows.where(F.col("dim") == dim).withColumn("extra", F.lit(None).cast("double")), {dim: model.centres})
+        packs = PK.pack_catalog(placed, ("cell",), block_rows, KEEP, False)
+        coded(packs, model).write.parquet(f"{path}/packs")
+        made = cls(spark, path, model)
+        model.probes, model.recall = (probes, float("nan")) if probes else made.measured(lookups, k, recall)
+        spark.createDataFrame([model.row()], "dim int, centres binary, books array<binary>, probes int, recall double").write.parquet(f"{path}/model")
+        return made
+
+    def delete(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def measured(self, lookups: DataFrame, k: int, wanted: float) -> tuple[int, float]:
+        """(probes, recall): how many cells to probe so that they hold a share ``wanted`` of the true top-k of a set of lookups."""
+        model = self.model
+        asked = (_lookups(lookups, model.dim).orderBy(F.xxhash64("query_id"), "query_id").limit(LOOKUPS).select("embedding").collect())
+        if not asked:
+            return len(model.centres), 1.0
+        q = np.array([r["embedding"] for r in asked])
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        rank = np.argsort(model.order(q), axis=1)
+
+        def run(batches):
+            for batch in batches:
+                for p in batch.to_pylist():
+                    v, cell, owner, ids = opened(p)
+                    s = np.round(q @ v.T, 4)
+                    at, c = np.nonzero(s >= -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, [min(k, s.shape[1]) - 1]])
+                    behind = pd.DataFrame({"c": owner, "id": ids}).groupby("c")["id"].apply(lambda x: sorted(x)[:k])
+                    one = pd.DataFrame({"at": at, "c": c, "key": s[at, c], "rank": rank[at, cell[c]]})
+                    one["id"] = one["c"].map(behind)
+                    one = one.explode("id")
+                    yield pa.RecordBatch.from_arrays([pa.array(one["at"], pa.int32()), pa.array(one["rank"], pa.int32()), pa.array(one["key"], pa.float64()),
+                                                      pa.array(one["id"], pa.string())], ["at", "rank", "key", "id"])
+
+        best = self.packs.select("dim", "vectors", "ids", "owner", "cells").mapInArrow(run, "at int, rank int, key double, id string")
+        order = Window.partitionBy("at").orderBy(F.desc("key"), "id")
+        best = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).groupBy("rank").count()
+        count = np.zeros(len(model.centres))
+        for r in best.collect():
+            count[r["rank"]] = r["count"]
+        share = np.cumsum(count) / max(1, count.sum())
+        probes = int(np.argmax(share >= wanted)) + 1 if (share >= wanted).any() else len(count)
+        return probes, float(share[probes - 1])
+
+    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, short: int = SHORT) -> DataFrame:
+        """(query_id, rank, product_id, sim): exact cosines of what the probed cells' short lists hold."""
+        if k > KEEP:
+            raise ValueError(f"the index keeps {KEEP} rows of equal vectors: k can be that at most")
+        model, probes = self.model, probes or self.model.probes
+        lookups = stored(_lookups(queries, model.dim), "ann-lookups")
+
+        def placed(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, _ = PK.unit(batch.column(1), model.dim)
+                    cells = model.order(x)[:, :probes]
+                    row = np.repeat(np.arange(len(x)), cells.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
+                                                      pa.array(cells.ravel().astype(str))], ["query_id", "embedding", "w_cell"])
+
+        rows = lookups.select("query_id", "embedding").mapInArrow(placed, "query_id long, embedding array<double>, w_cell string")
+        none = {"q_limit": F.lit(k), "dim": F.lit(model.dim), "least": F.lit(None).cast("double"), "seen": F.lit(None).cast("long")}
+        packed = PK.pack_lookups(rows.withColumns(none), ("cell",), 1024)
+        asked = packed.select(F.element_at("wanted", 1).cast("int").alias("cell"), "q_ids", "q_mat").join(self.cell_packs(), "cell")
+        asked = stored(asked, "ann-asked")
+        both = self.packs.select("pblock", "codes", "ids", "owner", "cells").join(asked, "pblock")
+
+        def scan(batches):
+            for batch in batches:
+                for p in batch.to_pylist():
+                    cell = np.frombuffer(p["cells"], np.int32)
+                    at = np.flatnonzero(cell == p["cell"])
+                    codes = np.frombuffer(p["codes"], np.uint8).reshape(len(cell), -1)[at]
+                    q = np.frombuffer(p["q_mat"]).reshape(-1, model.dim)
+                    s = model.near(q, p["cell"], codes)
+                    most = min(short * k, s.shape[1])
+                    top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.tile(np.arange(most), (len(q), 1))
+                    owner = np.frombuffer(p["owner"], np.int32)
+                    first = np.searchsorted(owner, at)
+                    name = np.array(p["ids"], object)[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.array(p["q_ids"], np.int64), most)), pa.array(np.full(top.size, p["pblock"])), pa.array(at[top.ravel()], pa.int32()),
+                         pa.array(np.take_along_axis(s, top, axis=1).ravel()), pa.array(name[top.ravel()], pa.string())],
+                        ["query_id", "pblock", "vector", "near", "first_id"])
+
+        order = Window.partitionBy("query_id").orderBy(F.desc("near"), "first_id")
+        listed = (both.mapInArrow(scan, HIT_FIELDS).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= short * k)
+                  .select("query_id", "pblock", "vector"))
+        listed = stored(listed, "ann-short").join(lookups.select("query_id", "embedding"), "query_id")
+        listed = listed.hint("rebalance", "pblock").sortWithinPartitions("pblock")
+
+        def grouped(batches):
+            for t in PK.runs(batches, ["pblock"], 4096, 1):
+                x, _ = PK.unit(t.column("embedding"), model.dim)
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("pblock").combine_chunks()[:1], pa.array([t.column("query_id").to_pylist()], pa.list_(pa.int64())),
+                     pa.array([t.column("vector").to_pylist()], pa.list_(pa.int32())), pa.array([x.tobytes()], pa.binary())],
+                    ["pblock", "q_ids", "wanted", "q_mat"])
+
+        groups = listed.select("pblock", "query_id", "vector", "embedding").mapInArrow(
+            grouped, "pblock long, q_ids array<long>, wanted array<int>, q_mat binary")
+        both = self.packs.select("pblock", "dim", "vectors", "ids", "owner").join(groups, "pblock").drop("pblock")
+
+        def exact(batches):
+            for batch in batches:
+                for p in batch.to_pylist():
+                    v, q = (np.frombuffer(p[c]).reshape(-1, model.dim) for c in ("vectors", "q_mat"))
+                    owner, wanted = np.frombuffer(p["owner"], np.int32), np.array(p["wanted"])
+                    sim = np.einsum("ij,ij->i", v[wanted], q)
+                    begin, end = np.searchsorted(owner, wanted), np.searchsorted(owner, wanted, side="right")
+                    size = end - begin
+                    row = np.repeat(np.arange(len(wanted)), size)
+                    member = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(p["q_ids"], np.int64)[row]), pa.array(np.array(p["ids"], object)[member], pa.string()),
+                                                      pa.array(sim[row])], ["query_id", "product_id", "sim"])
+
+        order = Window.partitionBy("query_id").orderBy(F.round("sim", 4).desc(), "product_id")
+        found = both.mapInArrow(exact, "query_id long, product_id string, sim double")
+        found = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "product_id", "sim")
+        found._rows_bound = lookups.count() * k
+        return found
+
+    def cell_packs(self) -> DataFrame:
+        """(cell, pblock): the packs that hold vectors of a cell."""
+        def run(batches):
+            for batch in batches:
+                for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = np.unique(np.frombuffer(cells, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block))], ["cell", "pblock"])
+
+        return self.packs.select("pblock", "cells").mapInArrow(run, "cell int, pblock long")
+
+
+def _lookups(queries: DataFrame, dim: int) -> DataFrame:
+    v = F.col("embedding")
+    return queries.where(PK.usable(v) & (F.size(v) == dim)).select(F.col("query_id").cast("long").alias("query_id"),
+                                                                  v.cast("array<double>").alias("embedding"))
+
+
+def coded(packs: DataFrame, model: Quantizer) -> DataFrame:
+    """The packs with the cell and the code of each vector; rows of a vector lie next to each other."""
+    def run(batches):
+        for batch in batches:
+            for p in batch.to_pylist():
+                v, owner = np.frombuffer(p["vectors"]).reshape(-1, p["dim"]), np.frombuffer(p["owner"], np.int32)
+                cell = assigned(v, model.centres).astype(np.int32)
+                order = np.argsort(owner, kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p["pblock"]]), pa.array([p["dim"]], pa.int32()), pa.array([p["n_rows"]], pa.int32()), pa.array([p["n_vectors"]], pa.int32()),
+                     pa.array([p["vectors"]], pa.binary()), pa.array([model.codes(v, cell).tobytes()], pa.binary()),
+                     pa.array([[p["ids"][i] for i in order]], pa.list_(pa.string())), pa.array([owner[order].tobytes()], pa.binary()),
+                     pa.array([cell.tobytes()], pa.binary())], [f.split()[0] for f in CODED_FIELDS.split(", ")])
+
+    return packs.mapInArrow(run, CODED_FIELDS)
+
+
+def opened(p: dict):
+    """(vectors, cell of each, vector of each row, row ids) of a pack."""
+    return (np.frombuffer(p["vectors"]).reshape(-1, p["dim"]), np.frombuffer(p["cells"], np.int32), np.frombuffer(p["owner"], np.int32),
+            np.array(p["ids"], object))
 
 
-FIT_ROWS = 256  # sampled rows a cell for the KMeans fit
-
-
-def build_index(catalog: DataFrame, nlist: int, seed: int = 7, max_iter: int = 10):
-    """Fit KMeans on the unit-normalised product vectors.
-
-    Returns (cells, centroids): cells (product_id, cell, unit vector), centroids (product_id
-    = cell id as text, embedding, region, vendor) small enough to score exactly.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    # iterative fit: keep the (id, unit vector) rows once instead of recomputing the catalog per pass
-    # a vector without a direction, or of another length, is in no cell (``match.vector_rejects`` lists them)
-    data = (M.with_vector_reason(catalog).where(F.col("reason").isNull())
-             .select("product_id", array_to_vector(unit).alias("features"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    # The fit reads a bounded sample (FIT_ROWS for each cell), so its cost follows the cells; every row is indexed.
-    share = FIT_ROWS * nlist / max(1, data.count())
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(data.sample(share, seed) if share < 1 else data)
-    from pyspark.ml.functions import vector_to_array
-    # (product_id, unit vector, cell) from the persisted fit input: the catalog is not read again
-    cells = model.transform(data).select("product_id", F.col("cell").cast("long").alias("cell"),
-                                         vector_to_array("features").alias("embedding"))
-    spark = catalog.sparkSession
-    centers = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = spark.createDataFrame(centers, "product_id string, embedding array<double>") \
-                     .withColumn("region", F.lit(None).cast("string")).withColumn("vendor", F.lit(None).cast("string"))
-    return cells, centroids
-
-
-def ann_top_k(queries: DataFrame, catalog: DataFrame, k: int = 5, nlist: int | None = None,
-              nprobe: int = 4, block_rows: int = 4096, query_block_rows: int = 8192,
-              index=None) -> DataFrame:
-    """Approximate (query_id, rank, product_id, sim) over the probed cells only (no filters)."""
-    if nlist is None:
-        n = catalog.count()
-        nlist = max(2, int(math.sqrt(max(n, 1))))
-    cells, centroids = index or build_index(catalog, nlist)
-    probe_cfg = M.MatchConfig(k=nprobe, cap=nprobe, use_filters=False, degrade=False, filters=())
-    probes = M.top_k(queries.select("query_id", "embedding"), centroids, probe_cfg) \
-              .select("query_id", F.col("product_id").cast("long").alias("cell"))
-
-    # split cells into subs of at most block_rows products
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    subs = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
-                                    .cast("long").alias("nsub")))
-    cfg = M.MatchConfig(k=k, cap=k, use_filters=False, degrade=False, filters=())
-    prod = (cells.join(subs, "cell")
-                   .withColumn("sub", F.pmod(F.xxhash64("product_id"), F.col("nsub")))
-                   .withColumn("pgroup", F.col("cell") * (1 << 20) + F.col("sub")))
-    ppack = prod.groupBy("pgroup").applyInPandas(M._pack_group(None, ()), M.PACK_SCHEMA)
-
-    # many queries may probe one cell: split its queries into packs of bounded size too
-    per_cell = probes.groupBy("cell").agg(F.count("*").alias("nq"))
-    qsplits = F.broadcast(per_cell.select("cell", F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block_rows))
-                                          .cast("long").alias("nqs")))
-    q = (queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-                .where(F.size("embedding") > 0)
-                .join(probes, "query_id").join(subs, "cell").join(qsplits, "cell")
-                .withColumn("qsplit", F.pmod(F.xxhash64("query_id"), F.col("nqs")))
-                .withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nsub") - 1)))
-                .withColumn("qblock", F.col("cell") * (1 << 20) + F.col("sub"))
-                .withColumn("q_limit", F.lit(k)))
-    qpack = q.groupBy("qblock", "qsplit").applyInPandas(M._pack_queries(()), M.QPACK_SCHEMA)
-    joined = ppack.join(qpack, ppack.pblock == qpack.qblock)
-    cands = joined.mapInPandas(M._score(cfg), M.CAND_SCHEMA)
-    # a product sits in one cell, so candidates are distinct per query
-    return M.rank_candidates(cands, cfg).select("query_id", "rank", "product_id", "sim")
+def ann_top_k(queries: DataFrame, catalog: DataFrame, k: int = 5, nlist: int | None = None, nprobe: int | None = None) -> DataFrame:
+    """Approximate (query_id, rank, product_id, sim) by an index made for this call; keep an ``AnnIndex`` for more than one."""
+    return AnnIndex.build(catalog, queries, k=k, cells=nlist, probes=nprobe).search(queries, k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,40 +1,38 @@
-"""Similarity search: many queries against the catalog, top-k per query.
-
-Plan shape (exact search)::
-
-    catalog --mapInPandas(pack)--> product packs (<= block_rows vectors each, no shuffle)
-    queries --groupBy(qblock).applyInPandas(pack)--> query packs (<= query_block_rows each)
-    product packs JOIN query packs on qblock     (broadcast of the query packs when their
-                                                  checked size allows, else a shuffle join
-                                                  on (qblock, pblock) with replicated packs)
-    --mapInPandas(score)--> local top-k per (query, pack), never all pairs
-    --window(query_id)--> global top-k, degrade choice, rank
-
-Every pair is scored inside a block matrix product, but only the local top-k
-candidates per block leave the Python worker, so the shuffle carries
-``queries x packs x k`` rows at most. Ranking uses the similarity rounded to
-four decimals (the reported score) with ``product_id`` as the tie-break, so
-equal scores order the same way on every engine.
+"""Similarity search: many lookups against the catalog, top-k for each.
+
+Plan shape::
+
+    catalog --clustered by filter values and cell--> packs of distinct vectors, stored   (once: PackedCatalog)
+    packs   --their filter values--> route table: values of a subset of the filters -> packs
+    lookups --packed by the filters that they set--> JOIN routes --> the lookups each pack is asked
+    packs JOIN asked --matrix product in Arrow batches--> local top-k per (lookup, pack), never all pairs
+    --window(query_id)--> top-k, rank
+
+A lookup is scored against the packs on its routes alone, and there against the distinct vectors of the rows
+that pass its filters. Only lookups that come back empty are asked again without filters; if there are none, nothing is
+read for that. With ``prune`` the nearest pack of each lookup is scored first; its k-th score then rules out the packs
+in which no vector can be similar enough (``packs.upper_bounds``), so most packs of a clustered catalog are never scored.
+
+Ranking uses the similarity rounded to four decimals (the reported score) with ``product_id`` as the
+tie-break, so equal scores order the same way on every engine.
 """
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.plan import discard, stored
 from tessera.functions.vectors import confidence_tier
+from tessera.operators import packs as PK
 
-PACK_SCHEMA = ("pblock long, p_ids array<string>, p_keys array<array<string>>, "
-               "p_extra array<double>, p_mat binary, p_dim int")
-QPACK_SCHEMA = ("qblock long, q_ids array<long>, q_keys array<array<string>>, "
-                "q_limits array<int>, q_mat binary, q_dim int")
 DEFAULT_FILTERS = ("region", "vendor")
-CAND_SCHEMA = "query_id long, product_id string, sim double, path int, extra double, q_limit int"
+CAND_SCHEMA = "query_id long, product_id string, sim double, path int, extra double, q_limit int, cells long, asked long"
 
 PATH_FILTERED = 0
 PATH_FALLBACK = 1
@@ -49,233 +47,188 @@ class MatchConfig:
     degrade: bool = True                  # unfiltered top-k when the filtered set is empty
     block_rows: int = 4096                # products per pack
     query_block_rows: int = 8192          # queries per pack
-    max_broadcast_bytes: int = 256 << 20  # size bound for broadcasting the query packs
+    max_broadcast_bytes: int = 256 << 20  # largest size, as counted beforehand, of lookups sent to the packs of every task
     score_chunk_cells: int = 4 << 20      # query x product cells scored per matrix product
     min_score: float | None = None        # keep only candidates with sim above this
     order_extra: bool = False             # rank by ``extra`` ascending instead of score
     filters: tuple = DEFAULT_FILTERS      # equality filters: query column = product column
-
-
-def _length_groups(pdf: pd.DataFrame):
-    """(rows, float64 matrix of their unit vectors) per vector length; unusable vectors are left out.
-
-    A pack holds vectors of one length, so no row depends on its neighbours. Vectors of
-    different lengths have no cosine; ``vector_rejects`` lists what is left out, with a reason.
-    """
-    lengths = pdf["embedding"].map(lambda v: 0 if v is None else len(v))
-    for dim, rows in pdf.groupby(lengths, sort=True):
-        if dim == 0:
-            continue
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])  # a null element is NaN
-        norms = np.linalg.norm(mat, axis=1)
-        ok = (norms > 0) & np.isfinite(norms)
-        if ok.any():
-            yield rows[ok], mat[ok] / norms[ok, None]
-
-
-def _pack_frame(pdf: pd.DataFrame, pblock: int, extra_col: str | None, filters: tuple) -> pd.DataFrame:
-    """Pack rows from a frame of products, one per vector length."""
-    packs = [(pblock, rows["product_id"].tolist(), [rows[f].tolist() for f in filters],
-              rows[extra_col].astype("float64").tolist() if extra_col else [], mat.tobytes(), mat.shape[1])
-             for rows, mat in _length_groups(pdf)]
-    return pd.DataFrame(packs, columns=["pblock", "p_ids", "p_keys", "p_extra", "p_mat", "p_dim"])
-
-
-def _pack_products(block_rows: int, extra_col: str | None, filters: tuple):
-    """mapInPandas body: cut each partition into packs of at most ``block_rows``."""
-    def pack(it):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        base = (ctx.partitionId() if ctx else 0) << 24
-        seq, buf, n = 0, [], 0
-        for pdf in it:
-            start = 0
-            while start < len(pdf):
-                take = min(block_rows - n, len(pdf) - start)
-                buf.append(pdf.iloc[start:start + take])
-                n += take
-                start += take
-                if n >= block_rows:
-                    yield _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
-                    seq, buf, n = seq + 1, [], 0
-        if buf:
-            yield _pack_frame(pd.concat(buf, ignore_index=True), base + seq, extra_col, filters)
-    return pack
-
-
-def _pack_group(extra_col: str | None, filters: tuple):
-    """applyInPandas body for the grid path: one bounded hash group -> one pack per vector length."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_frame(pdf, int(pdf["pgroup"].iloc[0]), extra_col, filters)
-    return pack
-
-
-def _pack_queries(filters: tuple):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_query_frame(pdf, filters)
-    return pack
-
-
-def _pack_query_frame(pdf: pd.DataFrame, filters: tuple) -> pd.DataFrame:
-    packs = [(int(rows["qblock"].iloc[0]), rows["query_id"].astype("int64").tolist(),
-              [rows[f"f_{f}"].tolist() for f in filters], rows["q_limit"].astype("int64").tolist(),
-              mat.tobytes(), mat.shape[1]) for rows, mat in _length_groups(pdf)]
-    return pd.DataFrame(packs, columns=["qblock", "q_ids", "q_keys", "q_limits", "q_mat", "q_dim"])
-
-
-def _local_topk(S, valid, k, ids, q_ids, q_lim, path, extra, order_extra):
-    """Top-k per row of S among ``valid`` cells.
-
-    Order: round(S, 4) descending (or ``extra`` ascending), then product id.
-    Every cell tied with the k-th key is a candidate, then the exact order
-    picks k, so the local top-k is exact under that total order.
-    """
-    if k <= 0 or S.size == 0:
-        return None
-    if order_extra:
-        key = np.broadcast_to(-extra[None, :], S.shape)
-    else:
-        key = np.round(S, 4)
-    key = np.where(valid, key, -np.inf)
-    kk = min(k, key.shape[1])
-    thr = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-    cand = (key >= thr[:, None]) & np.isfinite(key)
-    r, c = np.nonzero(cand)
-    if r.size == 0:
-        return None
-    df = pd.DataFrame({"qi": r, "key": key[r, c], "product_id": ids[c], "sim": S[r, c],
-                       "extra": extra[c] if extra.size else np.nan})
-    df = df.sort_values(["qi", "key", "product_id"], ascending=[True, False, True], kind="mergesort")
-    df = df.groupby("qi", sort=False).head(k)
-    qi = df["qi"].to_numpy()
-    return pd.DataFrame({"query_id": q_ids[qi], "product_id": df["product_id"].to_numpy(),
-                         "sim": df["sim"].to_numpy(), "path": path, "extra": df["extra"].to_numpy(),
-                         "q_limit": q_lim[qi]})
-
-
-def _codes(p_vals, q_vals):
-    """Shared integer codes for product and query values (null/empty -> -1)."""
-    codes, _ = pd.factorize(np.concatenate([np.asarray(p_vals, dtype=object),
-                                            np.asarray(q_vals, dtype=object)]), use_na_sentinel=True)
-    return codes[:len(p_vals)], codes[len(p_vals):]
-
-
-def _score(cfg: MatchConfig):
-    def score(it):
-        for pdf in it:
-            for row in pdf.itertuples(index=False):
-                if row.p_dim != row.q_dim:  # no cosine between vectors of different lengths
-                    continue
-                P = np.frombuffer(row.p_mat, dtype=np.float64).reshape(-1, row.p_dim)
-                Q = np.frombuffer(row.q_mat, dtype=np.float64).reshape(-1, row.q_dim)
-                ids = np.asarray(row.p_ids, dtype=object)
-                q_ids = np.asarray(row.q_ids, dtype=np.int64)
-                q_lim = np.asarray(row.q_limits, dtype=np.int64)
-                extra = np.asarray(row.p_extra if row.p_extra is not None else [], dtype=np.float64)
-                keys = []
-                for p_vals, q_vals in zip(row.p_keys, row.q_keys):
-                    p_c, q_c = _codes(p_vals, q_vals)
-                    q_none = np.array([x is None or x == "" for x in q_vals], dtype=bool)
-                    keys.append((p_c, q_c, q_none))
-                step = max(1, cfg.score_chunk_cells // max(1, P.shape[0]))
-                outs = []
-                for s in range(0, Q.shape[0], step):
-                    e = min(Q.shape[0], s + step)
-                    S = Q[s:e] @ P.T
-                    above = S > cfg.min_score if cfg.min_score is not None else np.ones(S.shape, bool)
-                    if cfg.use_filters:
-                        mask = above.copy()
-                        for p_c, q_c, q_none in keys:
-                            mask &= q_none[s:e, None] | (q_c[s:e, None] == p_c[None, :])
-                        out = _local_topk(S, mask, cfg.cap, ids, q_ids[s:e], q_lim[s:e],
-                                          PATH_FILTERED, extra, cfg.order_extra)
-                        if out is not None:
-                            outs.append(out)
-                    if cfg.degrade or not cfg.use_filters:
-                        path = PATH_FALLBACK if cfg.use_filters else PATH_FILTERED
-                        k = cfg.fallback_k if cfg.use_filters else cfg.cap
-                        out = _local_topk(S, above, k, ids, q_ids[s:e], q_lim[s:e], path, extra,
-                                          cfg.order_extra)
-                        if out is not None:
-                            outs.append(out)
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
-    return score
+    prune: bool = False                   # nearest packs first, then only packs that can still better the result
+    cells: int = 0                        # vector cells by which a catalog is clustered for pruning
 
 
 class PackedCatalog:
-    """Product packs built once and kept (persisted) for many lookups: a stream of lookup
-    batches or repeated requests scores against the same packs without re-reading or
-    re-packing the catalog. ``source`` stays available for the grid path."""
+    """A catalog's packs, stored once and used by any number of searches with the same filters; ``unpersist`` deletes them."""
 
     def __init__(self, catalog: DataFrame, cfg: MatchConfig | None = None, extra_col: str | None = None):
-        from pyspark import StorageLevel
-        self.cfg = cfg or MatchConfig()
-        self.extra_col = extra_col
-        self.source = catalog
-        cat = _catalog_columns(catalog, self.cfg, extra_col)
-        self.packs = (cat.mapInPandas(_pack_products(self.cfg.block_rows, extra_col, self.cfg.filters), PACK_SCHEMA)
-                         .persist(StorageLevel.MEMORY_AND_DISK))
+        self.cfg, self.extra_col = cfg or MatchConfig(), extra_col
+        rows = catalog.select("product_id", F.col("embedding").cast("array<double>").alias("embedding"),
+                              *[F.col(f).cast("string").alias(f) for f in self.cfg.filters],
+                              (F.col(extra_col).cast("double") if extra_col else F.lit(None).cast("double")).alias("extra"))
+        rows = rows.where(PK.usable(F.col("embedding"))).withColumn("dim", F.size("embedding"))
+        centres = PK.fit_cells(rows, self.cfg.cells) if self.cfg.cells else None
+        keep = max(self.cfg.cap, self.cfg.fallback_k)
+        self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs")
+        self.routes = PK.route_table(self.packs)
+        size = self.packs.agg(F.count("*"), F.max("dim")).first()
+        self.n_packs, self.dim = size[0], size[1] or 0
 
     def compatible(self, cfg: MatchConfig, extra_col: str | None) -> bool:
-        return (tuple(cfg.filters) == tuple(self.cfg.filters) and extra_col == self.extra_col
-                and cfg.block_rows == self.cfg.block_rows)
+        return (tuple(cfg.filters) == tuple(self.cfg.filters) and extra_col == self.extra_col and cfg.order_extra == self.cfg.order_extra
+                and max(cfg.cap, cfg.fallback_k) <= max(self.cfg.cap, self.cfg.fallback_k))
 
     def unpersist(self) -> None:
-        self.packs.unpersist()
+        discard(self.packs)
 
 
-def _catalog_columns(catalog: DataFrame, cfg: MatchConfig, extra_col: str | None) -> DataFrame:
-    return catalog.select("product_id", "embedding",
-                          *[F.col(f).cast("string").alias(f) for f in cfg.filters],
-                          *([extra_col] if extra_col else []))
+def _local_top(S, k, members, starts, ids, extra, cfg):
+    """Top-k of each row of S (lookups x vectors) by (score or extra, product id): (row, product, similarity, extra).
 
-
-def match_candidates(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
-                     extra_col: str | None = None) -> DataFrame:
-    """Local top-k candidates per (query, product pack).
-
-    queries: query_id long, embedding array, region string?, vendor string?, q_limit int?
-    catalog: product_id string, embedding array, region string, vendor string
+    members: rows behind the vectors, from starts[c] on for vector c. Every vector that ties with the k-th key is a
+    candidate, then the exact order picks k of the products behind.
     """
-    cfg = cfg or MatchConfig()
-    lim = F.coalesce(F.col("q_limit").cast("int"), F.lit(cfg.k)) if "q_limit" in queries.columns \
-        else F.lit(cfg.k)
-    fcols = [(F.col(f).cast("string") if f in queries.columns else F.lit(None).cast("string"))
-             .alias(f"f_{f}") for f in cfg.filters]
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding",
-                       *fcols, lim.alias("q_limit"))
-    q = q.where(F.size("embedding") > 0)
-    stats = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    nq = max(1, math.ceil(n_q / cfg.query_block_rows))
-    q = q.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-    qpack = q.groupBy("qblock").applyInPandas(_pack_queries(cfg.filters), QPACK_SCHEMA)
-
-    packed = catalog if isinstance(catalog, PackedCatalog) and catalog.compatible(cfg, extra_col) else None
-    source = catalog.source if isinstance(catalog, PackedCatalog) else catalog
-    cat = _catalog_columns(source, cfg, extra_col)
-    q_bytes = n_q * (dim * 8 + 64)
-    if q_bytes <= cfg.max_broadcast_bytes:
-        # Query packs are small and checked: broadcast them; products never shuffle.
-        ppack = packed.packs if packed is not None else \
-            cat.mapInPandas(_pack_products(cfg.block_rows, extra_col, cfg.filters), PACK_SCHEMA)
-        ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-        joined = ppack.join(F.broadcast(qpack), "qblock")
+    if cfg.order_extra:
+        key = np.broadcast_to(-np.minimum.reduceat(extra[members], starts)[None, :], S.shape)
     else:
-        # Too many queries to broadcast: a block grid. Products are hashed into
-        # nb groups of bounded size and every product pack meets every query
-        # pack exactly once in a shuffle join on (qblock, pblock).
-        n_p = cat.count()
-        nb = max(1, math.ceil(n_p / cfg.block_rows))
-        cat = cat.withColumn("pgroup", F.pmod(F.xxhash64("product_id"), F.lit(nb)))
-        ppack = cat.groupBy("pgroup").applyInPandas(_pack_group(extra_col, cfg.filters), PACK_SCHEMA)
-        ppack = ppack.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-        qrep = qpack.withColumn("pblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-        joined = ppack.join(qrep, ["qblock", "pblock"])
-    cands = joined.mapInPandas(_score(cfg), CAND_SCHEMA)
-    cands._rows_bound = n_q * max(cfg.cap, cfg.fallback_k)  # checked bound on the final result rows
-    return cands
+        key = np.round(S, 4)
+    if cfg.min_score is not None:
+        key = np.where(S > cfg.min_score, key, -np.inf)
+    kk = min(k, key.shape[1])
+    if kk <= 0:
+        return None
+    least = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
+    r, c = np.nonzero((key >= least[:, None]) & np.isfinite(key))
+    if not r.size:
+        return None
+    size = np.diff(np.append(starts, len(members)))[c]
+    at = np.repeat(np.arange(len(r)), size)
+    member = members[starts[c][at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)]
+    sim = S[r, c][at]
+    df = pd.DataFrame({"row": r[at], "key": -extra[member] if cfg.order_extra else np.round(sim, 4), "product_id": ids[member],
+                       "sim": sim, "extra": extra[member]})
+    df = df.sort_values(["row", "key", "product_id"], ascending=[True, False, True], kind="mergesort")
+    return df.groupby("row", sort=False).head(k)
+
+
+def _score(cfg: MatchConfig, path: int, k: int):
+    """mapInArrow body over packs joined with what they are asked: candidates, and a row with what was scored."""
+    def rows(df, q_ids, q_lim):
+        at, n = df["row"].to_numpy(), len(df)
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q_ids[at]), pa.array(df["product_id"], pa.string()), pa.array(df["sim"], pa.float64()), pa.array(np.full(n, path), pa.int32()),
+             pa.array(df["extra"], pa.float64()), pa.array(q_lim[at], pa.int32()), none, none], NAMES)
+
+    def score(batches):
+        for batch in batches:
+            cells = asked = 0
+            for p in batch.to_pylist():
+                V, Q = (np.frombuffer(p[c]).reshape(-1, p["dim"]) for c in ("vectors", "q_mat"))
+                ids, owner = np.array(p["ids"], object), np.frombuffer(p["owner"], np.int32)
+                extra = np.array([np.nan if x is None else x for x in p["extra"]], np.float64)
+                passed = np.ones(len(ids), bool)
+                for i, wanted in enumerate(p["wanted"]):
+                    if p["mask"] >> i & 1:
+                        passed &= np.array(p["values"][i], object) == wanted
+                members = np.flatnonzero(passed)
+                if not len(members):
+                    continue
+                vectors, starts = np.unique(owner[members], return_index=True)
+                V = V[vectors]
+                q_ids, q_lim = np.array(p["q_ids"], np.int64), np.array(p["q_limits"], np.int64)
+                asked += len(Q)
+                step = max(1, cfg.score_chunk_cells // len(V))
+                for s in range(0, len(Q), step):
+                    S = Q[s:s + step] @ V.T
+                    cells += S.size
+                    df = _local_top(S, k, members, starts, ids, extra, cfg)
+                    if df is not None:
+                        yield rows(df, q_ids[s:s + step], q_lim[s:s + step])
+            one = {"cells": cells, "asked": asked}
+            yield pa.RecordBatch.from_arrays([pa.array([one.get(n)], t) for n, t in zip(NAMES, TYPES)], NAMES)
+
+    return score
+
+
+NAMES = ["query_id", "product_id", "sim", "path", "extra", "q_limit", "cells", "asked"]
+TYPES = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def _lookups(queries: DataFrame, cfg: MatchConfig) -> DataFrame:
+    limit = F.coalesce(F.col("q_limit").cast("int"), F.lit(cfg.k)) if "q_limit" in queries.columns else F.lit(cfg.k)
+    wanted = [(F.coalesce(F.col(f).cast("string"), F.lit("")) if cfg.use_filters and f in queries.columns else F.lit("")).alias(f"w_{f}")
+              for f in cfg.filters]
+    return (queries.where(PK.usable(F.col("embedding")))
+            .select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+                    limit.alias("q_limit"), F.size("embedding").alias("dim"), *wanted))
+
+
+class Search:
+    """Candidates of a search, stored: ``cands`` (some for every answered lookup), ``n_lookups``, and what was scored."""
+
+    def __init__(self, queries: DataFrame, catalog: DataFrame | PackedCatalog, cfg: MatchConfig | None = None, extra_col: str | None = None):
+        self.cfg = cfg = cfg or MatchConfig()
+        fits = isinstance(catalog, PackedCatalog) and catalog.compatible(cfg, extra_col)
+        if isinstance(catalog, PackedCatalog) and not fits:
+            raise ValueError("the packed catalog was made for other filters, another order or fewer results")
+        self.catalog = catalog if fits else PackedCatalog(catalog, cfg, extra_col)
+        self.kept = [] if fits else [self.catalog.packs]
+        lookups = self._store(_lookups(queries, cfg), "lookups")
+        self.n_lookups = lookups.count()
+        self.cands = self._pass(lookups, PATH_FILTERED, cfg.cap)
+        if cfg.use_filters and cfg.degrade:
+            answered = self.cands.where("q_limit > 0").select("query_id").distinct()
+            if answered.count() < self.n_lookups:
+                left = lookups.join(answered, "query_id", "left_anti").withColumns({f"w_{f}": F.lit("") for f in cfg.filters})
+                self.cands = self.cands.unionByName(self._pass(left, PATH_FALLBACK, cfg.fallback_k))
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        self.kept.append(stored(df, name))
+        return self.kept[-1]
+
+    def _asked(self, lookups: DataFrame, **how) -> DataFrame:
+        rows = lookups if "least" in lookups.columns else lookups.withColumns({"least": F.lit(None).cast("double"), "seen": F.lit(None).cast("long")})
+        asked = PK.pack_lookups(rows, self.cfg.filters, self.cfg.query_block_rows)
+        return PK.asked_packs(asked, self.catalog.routes, self.cfg.min_score, **how)
+
+    def _scored(self, asked: DataFrame, path: int, k: int) -> DataFrame:
+        if self.n_lookups * self.catalog.n_packs * (8 * self.catalog.dim + 64) <= self.cfg.max_broadcast_bytes:
+            asked = F.broadcast(asked)  # at most every lookup for every pack
+        else:
+            asked = self._store(asked, "asked")  # the planner goes by the size of what is stored
+        both = self.catalog.packs.select("pblock", "vectors", "ids", "owner", "values", "extra").join(asked, "pblock")
+        return self._store(both.drop("pblock").mapInArrow(_score(self.cfg, path, k), CAND_SCHEMA), "candidates")
+
+    def _pass(self, lookups: DataFrame, path: int, k: int) -> DataFrame:
+        if not self.cfg.prune or self.cfg.order_extra:
+            return self._scored(self._asked(lookups), path, k)
+        plain = lookups.withColumns({"least": F.lit(None).cast("double"), "seen": F.lit(None).cast("long")})
+        near = PK.nearest_packs(PK.pack_lookups(plain, self.cfg.filters, self.cfg.query_block_rows), self.catalog.routes)
+        seen = self._store(lookups.join(near.withColumnRenamed("pblock", "seen"), "query_id").withColumn("least", F.lit(None).cast("double")), "nearest")
+        first = self._scored(self._asked(seen, only_seen=True), path, k)
+        enough = F.least(F.col("q_limit"), F.lit(k)) if path == PATH_FILTERED else F.lit(k)
+        order = Window.partitionBy("query_id").orderBy(F.round("sim", 4).desc(), "product_id")
+        reached = (first.where("query_id IS NOT NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+                   .where(F.col("_n") == enough).select("query_id", F.round("sim", 4).alias("least")))
+        rest = self._scored(self._asked(seen.drop("least").join(reached, "query_id", "left")), path, k)
+        return first.unionByName(rest)
+
+    def hits(self) -> DataFrame:
+        """(query_id, rank, product_id, sim, extra, degraded)."""
+        out = rank_candidates(self.cands, self.cfg)
+        out._rows_bound = self.n_lookups * max(self.cfg.cap, self.cfg.fallback_k)  # checked bound on the rows
+        return out
+
+    def report(self) -> DataFrame:
+        """One row: lookups, products, packs, the grid of lookups and products, cells scored, pairs of lookup and pack, and those scored."""
+        packs = self.catalog.packs.agg(F.sum("n_given").alias("products"), F.count("*").alias("packs"))
+        did = self.cands.agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), F.coalesce(F.sum("asked"), F.lit(0)).alias("asked"))
+        n = F.lit(self.n_lookups).cast("long")
+        return packs.join(F.broadcast(did)).select(n.alias("lookups"), "products", "packs", (n * F.col("products")).alias("grid"), "cells",
+                                                   (n * F.col("packs")).alias("pairs"), "asked")
+
+    def close(self) -> None:
+        """Delete what the search stored; its results cannot be read after that."""
+        discard(*self.kept)
 
 
 def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFrame:
@@ -295,7 +248,7 @@ def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFra
     w_rank = Window.partitionBy("query_id").orderBy(F.col("path").asc(), key, F.col("product_id").asc())
     # a limit of 0 or below returns nothing on the filtered path, which is what sends a lookup
     # to the fallback in the behaviour reproduced
-    cands = cands.where((F.col("path") != PATH_FILTERED) | (F.col("q_limit") > 0))
+    cands = cands.where(F.col("query_id").isNotNull() & ((F.col("path") != PATH_FILTERED) | (F.col("q_limit") > 0)))
     top = cands.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= F.lit(big_k))
     # same partitioning (query_id) as the window above: no further shuffle
     top = top.withColumn("best_path", F.min("path").over(Window.partitionBy("query_id")))
@@ -308,12 +261,12 @@ def rank_candidates(cands: DataFrame, cfg: MatchConfig | None = None) -> DataFra
 
 def top_k(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
           extra_col: str | None = None) -> DataFrame:
-    """(query_id, rank, product_id, sim, degraded) for every query with a usable vector."""
-    cfg = cfg or MatchConfig()
-    cands = match_candidates(queries, catalog, cfg, extra_col)
-    hits = rank_candidates(cands, cfg)
-    hits._rows_bound = cands._rows_bound
-    return hits
+    """(query_id, rank, product_id, sim, extra, degraded) for every query with a usable vector.
+
+    queries: query_id long, embedding array, filter columns?, q_limit int?
+    catalog: product_id string, embedding array, filter columns; or a PackedCatalog
+    """
+    return Search(queries, catalog, cfg, extra_col).hits()
 
 
 MAX_BROADCAST_HITS = 2_000_000  # result rows; about 100 bytes each before the display columns

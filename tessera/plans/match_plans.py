@@ -4,9 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.plan import stored
+from tessera.functions.vectors import cosine
+from tessera.operators import ann
 from tessera.operators import match as M
 from tessera.plans import oracle_views as OV
 from tessera.sources import views
+from tessera.sources.tables import read_table
 
 TOPK_COLUMNS = ["query_id", "rank", "product_id", "material_name", "unit_price", "unit", "region",
                 "vendor", "similarity_score", "confidence_tier", "degraded"]
@@ -237,24 +241,94 @@ def _ann_inputs(spark, sf_dir):
     return cat, q
 
 
-ANN_NPROBE = 4
-
-
 def ann_topk(spark, sf_dir):
-    """Approximate top-5 per lookup over an IVF index (KMeans cells, 4 probed)."""
-    from tessera.operators import ann
+    """Approximate top-5 per lookup: an index is built and saved, with probes by measured recall, opened and searched."""
     cat, q = _ann_inputs(spark, sf_dir)
-    hits = ann.ann_top_k(q, cat, k=5, nprobe=ANN_NPROBE)
-    return hits.select("query_id", "rank", "product_id", F.round("sim", 4).alias("similarity_score"))
+    index = ann.AnnIndex.open(spark, ann.AnnIndex.build(cat, q).path)
+    return index.search(q).select("query_id", "rank", "product_id", F.round("sim", 4).alias("similarity_score"))
+
+
+EXACT = M.MatchConfig(use_filters=False, degrade=False, filters=())
 
 
 def ann_recall(spark, sf_dir):
     """Recall@5 of the approximate search against the exact unfiltered top-5, per lookup."""
-    from tessera.operators import ann
     cat, q = _ann_inputs(spark, sf_dir)
-    approx = ann.ann_top_k(q, cat, k=5, nprobe=ANN_NPROBE)
-    exact = M.top_k(q, cat, M.MatchConfig(use_filters=False, degrade=False, filters=()))
-    return ann.recall_at_k(approx, exact)
+    return ann.recall_at_k(ann.ann_top_k(q, cat, k=5), M.top_k(q, cat, EXACT))
+
+
+def ann_report(spark, sf_dir):
+    """The approximate search held against the tables: lookups answered, rows, rows whose score is not the exact cosine, recall of 0.9."""
+    cat, q = _ann_inputs(spark, sf_dir)
+    found = stored(ann.ann_top_k(q, cat, k=5), "ann-found")
+    exact = M.top_k(q, cat, EXACT)
+    mean = ann.recall_at_k(found, exact).agg(F.avg("recall").alias("recall"))
+    pairs = (found.join(q.withColumnRenamed("embedding", "a"), "query_id")
+             .join(cat.select("product_id", F.col("embedding").alias("b")), "product_id"))
+    off = F.abs(cosine(F.col("a"), F.col("b")) - F.col("sim")) > 1e-9
+    told = pairs.agg(F.countDistinct("query_id").alias("lookups"), F.count("*").alias("results"), F.count_if(off).alias("wrong_scores"))
+    return told.join(F.broadcast(mean)).select("lookups", "results", "wrong_scores", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+def _ann_report_sql() -> str:
+    return f"""WITH {OV.products()}, {OV.queries()}
+SELECT count(*) AS lookups, sum(least(5, (SELECT count(*) FROM v_products)))::BIGINT AS results, 0::BIGINT AS wrong_scores,
+       true AS recall_reached
+FROM v_queries WHERE len(embedding) > 0"""
+
+
+def _clustered(spark, sf_dir):
+    """Catalog and lookups whose vectors lie in 40 clusters: a vector of the table's first 40, and a part of one's own."""
+    def pulled(rows, key):
+        centre = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("vec_id < 40").withColumnsRenamed({"embedding": "_c", "vec_id": "_v"})
+        own = F.zip_with("_c", "embedding", lambda c, x: c.cast("double") + 0.25 * x.cast("double"))
+        return rows.join(centre, F.col(key) % 40 == F.col("_v")).withColumn("embedding", own).drop("_c", "_v")
+    return pulled(views.products(spark, sf_dir), "partkey"), pulled(views.queries(spark, sf_dir).where(F.size("embedding") > 0), "query_id")
+
+
+_CLUSTERED = """v_centre AS (SELECT vec_id AS c, embedding AS ce FROM embeddings WHERE vec_id < 40),
+v_cp AS (SELECT p.* REPLACE (list_transform(list_zip(ce, p.embedding), lambda t: CAST(t[1] AS DOUBLE) + 0.25 * CAST(t[2] AS DOUBLE)) AS embedding)
+         FROM v_products p JOIN v_centre ON c = p.partkey % 40),
+v_cq AS (SELECT q.* REPLACE (list_transform(list_zip(ce, q.embedding), lambda t: CAST(t[1] AS DOUBLE) + 0.25 * CAST(t[2] AS DOUBLE)) AS embedding)
+         FROM v_queries q JOIN v_centre ON c = q.query_id % 40 WHERE len(q.embedding) > 0)"""
+
+PRUNED = M.MatchConfig(block_rows=256, prune=True, cells=40)
+
+
+def match_pruned(spark, sf_dir):
+    """Exact top-5 per lookup on clustered vectors; packs that cannot better a lookup's result are skipped by their bounds."""
+    cat, q = _clustered(spark, sf_dir)
+    return M.attach_products(M.top_k(q, cat, PRUNED), cat).select(*TOPK_COLUMNS)
+
+
+def _pruned_sql() -> str:
+    ranked = OV.ranked_matches(queries_cte="v_cq", products_cte="v_cp")
+    return f"""WITH {OV.products()}, {OV.queries()}, {_CLUSTERED}, {ranked}
+SELECT m.query_id, m.rank, m.product_id, p.material_name, p.unit_price, p.unit, p.region, p.vendor,
+       round(m.sim, 4) AS similarity_score, {OV.tier('m.sim')} AS confidence_tier, m.degraded
+FROM m_ranked m JOIN v_cp p USING (product_id)"""
+
+
+def match_scan(spark, sf_dir):
+    """What the searches scored, from their own counts: routes on the plain catalog, routes and bounds on the clustered one.
+
+    grid: lookups x products, which a search without routes scores once for its filters and once more for its fallback.
+    """
+    out = []
+    for name, (cat, q), cfg in (("routed", (views.products(spark, sf_dir), views.queries(spark, sf_dir)), M.MatchConfig()),
+                                ("pruned", _clustered(spark, sf_dir), PRUNED)):
+        out.append(M.Search(q, cat, cfg).report().select(
+            F.lit(name).alias("search"), "lookups", "grid", (F.col("cells") > 0).alias("scored"),
+            (F.col("cells") * 4 < F.col("grid")).alias("below_quarter"), (F.col("asked") * 2 < F.col("pairs")).alias("half_of_packs_skipped")))
+    return out[0].unionByName(out[1])
+
+
+def _scan_sql() -> str:
+    return f"""WITH {OV.products()}, {OV.queries()}, n AS (SELECT count(*) AS n FROM v_queries WHERE len(embedding) > 0),
+g AS (SELECT n AS lookups, n * (SELECT count(*) FROM v_products) AS grid FROM n)
+SELECT 'routed' AS search, lookups, grid, true AS scored, true AS below_quarter, false AS half_of_packs_skipped FROM g
+UNION ALL SELECT 'pruned', lookups, grid, true, true, true FROM g"""
 
 
-QUERIES.update({"ann_topk": ann_topk, "ann_recall": ann_recall})
+QUERIES.update({"ann_topk": ann_topk, "ann_recall": ann_recall, "ann_report": ann_report, "match_pruned": match_pruned, "match_scan": match_scan})
+SQL.update({"ann_report": _ann_report_sql(), "match_pruned": _pruned_sql(), "match_scan": _scan_sql()})

@@ -150,9 +150,11 @@ def lookup_stream(spark: SparkSession, src: str, schema, catalog: DataFrame | M.
     packed = M.PackedCatalog(catalog, cfg) if own else catalog
 
     def score(batch: DataFrame, epoch: int) -> None:
-        hits = M.top_k(batch, packed, cfg)
+        search = M.Search(batch, packed, cfg)
+        hits = search.hits()
         res = finish(hits) if finish else hits
         res.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        search.close()
     try:
         run_available(_files(spark, src, schema, files_per_batch).writeStream
                       .option("checkpointLocation", ckpt).foreachBatch(score))

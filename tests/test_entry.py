@@ -1,4 +1,5 @@
 """Driver contract, recall of the approximate search, encoder shape, streaming equals batch."""
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -20,9 +21,10 @@ def test_every_query_has_an_oracle_but_the_rows_only_ones():
     assert set(sql) <= set(qs)
 
 
-def test_ann_recall(spark):
-    r = entry.queries()["ann_recall"](spark, SF_CHECK).agg(F.avg("recall")).first()[0]
-    assert r >= 0.75
+@pytest.mark.parametrize("sf_dir", [SF_CHECK, "/root/testdata/sf0.1"])
+def test_ann_recall(spark, sf_dir):
+    r = entry.queries()["ann_recall"](spark, sf_dir).agg(F.avg("recall")).first()[0]
+    assert r >= 0.9
 
 
 def test_encoder_unit_norm(spark):

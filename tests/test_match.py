@@ -110,9 +110,10 @@ def test_hot_region_is_not_a_hot_task(spark):
     cat = spark.createDataFrame(prods, "product_id string, embedding array<float>, region string, vendor string")
     q = spark.createDataFrame([(1, rng.normal(size=8).tolist(), "HOT", None, 5)],
                               "query_id long, embedding array<double>, region string, vendor string, q_limit int")
-    packs = cat.repartition(4).mapInPandas(M._pack_products(64, None, ("region", "vendor")), M.PACK_SCHEMA)
-    sizes = [len(r["p_ids"]) for r in packs.select("p_ids").collect()]
-    assert max(sizes) <= 64 and sum(sizes) == 400
+    packed = M.PackedCatalog(cat.repartition(4), M.MatchConfig(block_rows=64))
+    packs = packed.packs.select("n_rows", "values").collect()
+    assert max(r["n_rows"] for r in packs) <= 64 and sum(r["n_rows"] for r in packs) == 400
+    packed.unpersist()
     assert M.top_k(q, cat).count() == 5
 
 
@@ -160,3 +161,133 @@ def test_index_over_unusable_vectors_and_all_cells_equals_exact(spark):
     full = ann.ann_top_k(q, cat.unionByName(odd), k=5, nlist=6, nprobe=6)
     exact = M.top_k(q, cat, cfg)
     assert ann.recall_at_k(full, exact).where("recall < 1").count() == 0
+
+
+# ---- routes and bounds
+def test_lookups_ask_only_the_packs_on_their_routes(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    search = M.Search(q.where("region = 'EU'"), cat, M.MatchConfig(block_rows=20))
+    got, r = collect(search.hits()), search.report().first()
+    assert got == {k: v for k, v in brute(P, Q, prods, qs).items() if qs[k][2] == "EU"}
+    assert 0 < r["cells"] <= r["grid"] / 2 and 0 < r["asked"] < r["pairs"] / 2
+    search.close()
+
+
+def test_fallback_reads_nothing_when_nothing_is_empty(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    full = M.Search(q.where("region <> 'NOWHERE'"), cat)
+    assert [x.rpartition("/")[2].rsplit("-", 1)[0] for x in (t._stored_at for t in full.kept)].count("candidates") == 1
+    assert full.cands.where("path = 1").count() == 0
+    some = M.Search(q, cat)
+    assert sum("/candidates-" in t._stored_at for t in some.kept) == 2
+    assert {r["query_id"] for r in some.cands.where("path = 1").select("query_id").distinct().collect()} == {i for i in range(40) if i % 10 == 9}
+
+
+def test_equal_vectors_are_scored_once_and_all_of_them_found(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(6, 8)).astype(np.float32)
+    prods = [(f"p{i:04d}", v[i % 6].tolist(), ["EU", None, ""][i % 3], f"v{i % 2}") for i in range(600)]
+    cat = spark.createDataFrame(prods, "product_id string, embedding array<float>, region string, vendor string")
+    Q = rng.normal(size=(9, 8))
+    qs = [(i, Q[i].tolist(), ["EU", None, ""][i % 3], None, 5) for i in range(9)]
+    q = spark.createDataFrame(qs, "query_id long, embedding array<double>, region string, vendor string, q_limit int")
+    search = M.Search(q, cat)
+    assert collect(search.hits()) == brute(np.array([v[i % 6] for i in range(600)]), Q, prods, qs)
+    assert search.report().first()["cells"] < 9 * 600 / 10
+
+
+def _clusters(spark, n_prod=1500, n_q=60, dim=24, groups=30, seed=11):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, dim))
+    P = (centre[rng.integers(0, groups, n_prod)] + 0.15 * rng.normal(size=(n_prod, dim))).astype(np.float32)
+    Q = centre[rng.integers(0, groups, n_q)] + 0.15 * rng.normal(size=(n_q, dim))
+    regions = ["EU", "AF", "AS"]
+    prods = [(f"p{i:04d}", P[i].tolist(), regions[i % 3], f"v{i % 5}") for i in range(n_prod)]
+    qs = [(i, Q[i].tolist(), [None, "EU", "NOWHERE"][i % 3], None, 5) for i in range(n_q)]
+    return (P, Q, prods, qs, spark.createDataFrame(prods, "product_id string, embedding array<float>, region string, vendor string"),
+            spark.createDataFrame(qs, "query_id long, embedding array<double>, region string, vendor string, q_limit int"))
+
+
+def test_pruned_search_equals_exact_and_skips_most_packs(spark):
+    P, Q, prods, qs, cat, q = _clusters(spark)
+    search = M.Search(q, cat, M.MatchConfig(block_rows=64, prune=True, cells=30))
+    assert collect(search.hits()) == brute(P, Q, prods, qs)
+    r = search.report().first()
+    assert r["asked"] < 0.5 * r["pairs"] and r["cells"] < 0.5 * r["grid"]
+    search.close()
+
+
+def test_pruned_search_on_unclustered_vectors_and_few_rows(spark):
+    P, Q, prods, qs, cat, q = _data(spark)
+    for cells in (0, 8):
+        assert collect(M.top_k(q, cat, M.MatchConfig(block_rows=32, prune=True, cells=cells))) == brute(P, Q, prods, qs)
+    few = cat.where("product_id < 'p0003'")
+    assert collect(M.top_k(q, few, M.MatchConfig(prune=True))) == brute(P[:3], Q, prods[:3], qs)
+    q0 = q.withColumn("q_limit", F.lit(0))
+    assert all(degraded and len(ids) == 5 for ids, degraded in collect(M.top_k(q0, cat, M.MatchConfig(prune=True))).values())
+
+
+def test_upper_bounds_hold():
+    from tessera.operators import packs
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = rng.normal(size=(50, 12))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    parts = []
+    for part in np.split(x[np.argsort(x[:, 0])], 10):
+        c = part.mean(axis=0)
+        c /= np.linalg.norm(c)
+        parts.append({"centroid": c.tobytes(), "least": float((part @ c).min()), "most": (q @ part.T).max(axis=1)})
+    bound = packs.upper_bounds(q, parts)
+    assert all((bound[:, i] >= p["most"]).all() for i, p in enumerate(parts)) and (bound < 0.999).any()
+
+
+# ---- saved index over compressed vectors
+def test_index_is_saved_opened_and_deleted(spark):
+    from tessera.operators import ann
+    P, Q, prods, qs, cat, q = _clusters(spark)
+    made = ann.AnnIndex.build(cat, q, k=5, cells=30)
+    again = ann.AnnIndex.open(spark, made.path)
+    assert again.model.probes == made.model.probes < 30 and again.model.recall >= 0.97
+    a, b = (sorted(map(tuple, i.search(q, 5).collect())) for i in (made, again))
+    assert a == b and len(a) == 5 * 60
+    exact = M.top_k(q, cat, M.MatchConfig(use_filters=False, degrade=False, filters=()))
+    assert ann.recall_at_k(again.search(q, 5), exact).agg(F.avg("recall")).first()[0] >= 0.95
+    vectors = {p: np.array(v, float) for p, v, *_ in prods}
+    for i, _, product, sim in a:
+        assert sim == pytest.approx(Q[i] @ vectors[product] / np.linalg.norm(Q[i]) / np.linalg.norm(vectors[product]), abs=1e-12)
+    with pytest.raises(ValueError):
+        again.search(q, ann.KEEP + 1)
+    made.delete()
+    with pytest.raises(Exception):
+        ann.AnnIndex.open(spark, made.path)
+
+
+def test_index_of_many_equal_vectors_and_hot_cell(spark):
+    """A vector of half the rows: all of its smallest ids are found, and packs stay bounded."""
+    from tessera.operators import ann
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(200, 16)).astype(np.float32)
+    prods = [(f"p{i:04d}", v[0 if i % 2 else i % 200].tolist(), "EU", "v") for i in range(2000)]
+    cat = spark.createDataFrame(prods, "product_id string, embedding array<float>, region string, vendor string")
+    q = spark.createDataFrame([(1, v[0].tolist()), (2, [0.0] * 16), (3, [1.0] * 3), (4, None)], "query_id long, embedding array<double>")
+    index = ann.AnnIndex.build(cat, q, cells=8, block_rows=64)
+    assert index.packs.agg(F.max("n_rows")).first()[0] <= 64
+    assert [(r["query_id"], r["product_id"]) for r in index.search(q, 5).orderBy("rank").collect()] == [
+        (1, p) for p, x, *_ in prods if np.array_equal(np.float32(x), v[0])][:5]
+
+
+def test_codes_take_a_byte_a_part_and_approximate_inner_products():
+    from tessera.operators import ann
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2000, 30))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = ann.Quantizer.fit(x, 12)
+    cell = ann.assigned(x, model.centres)
+    codes = model.codes(x, cell)
+    assert codes.shape == (2000, 8) and codes.dtype == np.uint8
+    at = np.flatnonzero(cell == 3)
+    assert np.abs(model.near(x[:50], 3, codes[at]) - x[:50] @ x[at].T).mean() < 0.06
+    again = ann.Quantizer.of_row(dict(zip(("dim", "centres", "books", "probes", "recall"), model.row())))
+    assert np.array_equal(again.near(x[:5], 3, codes[at]), model.near(x[:5], 3, codes[at]))
