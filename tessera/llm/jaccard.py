@@ -8,7 +8,9 @@ their symmetric difference are bounded. Candidates are found without loss:
   when a set of that band could link to it.
 - In a band any two linked sets differ in at most D hashes. The hash range is cut
   into D + 1 + e parts, so in at least e + 1 of them the two sets agree. A set's keys
-  are the hashes of its non-empty parts, and each choice of e + 1 of its empty ones.
+  are the hashes of its non-empty parts, and each choice of e + 1 of its empty ones. So many
+  spare parts (e) are taken that sets hardly ever have e + 1 empty ones: keys stay in proportion to a
+  set's size, and unrelated sets meet only where they hold the same n-grams.
 - Sets that share a key (a tile) are candidates. Copies of one set are one class
   with one representative, so only different sets meet.
 
@@ -38,8 +40,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import is_empty, utf8, written
 
-RATIO = 1.4  # of a band's upper to its lower size
-SPREAD = 20  # choices of empty parts a set may have on average
+RATIO = 1.2  # of a band's upper to its lower size
+SPREAD = 0.02  # choices of empty parts a set may have on average
+SMALL_SPREAD = 20  # the same where sets are too small for that
 STAR = 64  # sets of one star
 TILE = 4096  # sets of a block in the exact round
 SKETCH = 4  # 64-bit words of the short signature that travels with a key
@@ -112,14 +115,16 @@ class Bands:
         d = self.differ(high + high * self.den // self.num)
         if d == 0:
             return 0, 0
-        best = 1
-        for e in (2, 3):
-            m = d + 1 + e
-            empty = m * math.exp(-self.lower(band) / m)
-            if empty ** (e + 1) / math.factorial(e + 1) <= SPREAD:
-                best = e
-                break
-        return d + 1 + best, best + 1
+        low = self.lower(band)
+
+        def choices(e: int) -> float:
+            empty = (d + 1 + e) * math.exp(-low / (d + 1 + e))
+            return math.exp(min(300.0, (e + 1) * math.log(empty) - math.lgamma(e + 2)))
+
+        spare = next((e for e in range(2 * d) if choices(e) <= SPREAD), None)
+        if spare is None:
+            spare = next((e for e in (2, 3) if choices(e) <= SMALL_SPREAD), 1)
+        return d + 1 + spare, spare + 1
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Keys of a set (sorted hashes)."""
@@ -381,6 +386,8 @@ def linked_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = written(sets_of(docs, nodes, n), "jaccard-sets")
         found = written(verified(pairs, sets, bands), "jaccard-links")
+        if is_empty(found):
+            continue
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
     named = classes.select(*own, "node")
