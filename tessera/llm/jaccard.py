@@ -128,7 +128,7 @@ class Bands:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Keys of a set (sorted hashes)."""
-        out = []
+        out, x = [], np.sort(mixed(x))  # even over the hash range, whatever the hashes given
         for band in self.bands(len(x)):
             m, clean = self.parts(band)
             if not m:
