@@ -67,16 +67,17 @@ def rollup(fl: DataFrame) -> DataFrame:
                    ratio_rounded(F.sum(accepted(F.col("verdict"))), F.count("*"), 6).alias("acceptance_rate")))
 
 
+def smoothed(counts: DataFrame, a: float = PRIOR_ACCEPT, b: float = PRIOR_REJECT) -> DataFrame:
+    """Counts (region, vendor, n, n_accepted) with the smoothed acceptance rate and the confidence multiplier it implies."""
+    n, yes = F.col("n") + F.lit(a + b), F.col("n_accepted") + F.lit(a)
+    return counts.select("region", "vendor", "n", F.col("n_accepted").cast("long").alias("n_accepted"),
+                         ratio_rounded(yes, n, 6).alias("smoothed_rate"), ratio_rounded(yes * F.lit(a + b), n * F.lit(a), 6).alias("multiplier"))
+
+
 def adaptive_multiplier(fl: DataFrame, a: float = PRIOR_ACCEPT, b: float = PRIOR_REJECT) -> DataFrame:
     """Smoothed acceptance per (region, vendor) and the confidence multiplier it implies."""
-    g = fl.groupBy("region", "vendor").agg(F.count("*").alias("n"),
-                                           F.sum(accepted(F.col("verdict"))).alias("n_accepted"))
-    rate = (F.col("n_accepted") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    prior = F.lit(a / (a + b))
-    return g.select("region", "vendor", "n", F.col("n_accepted").cast("long").alias("n_accepted"),
-                    ratio_rounded(F.col("n_accepted") + F.lit(a), F.col("n") + F.lit(a + b), 6).alias("smoothed_rate"),
-                    ratio_rounded((F.col("n_accepted") + F.lit(a)) * F.lit(a + b), (F.col("n") + F.lit(a + b)) * F.lit(a),
-                                  6).alias("multiplier"))
+    g = fl.groupBy("region", "vendor").agg(F.count("*").alias("n"), F.sum(accepted(F.col("verdict"))).alias("n_accepted"))
+    return smoothed(g, a, b)
 
 
 def calibration_curve(fl: DataFrame) -> DataFrame:
