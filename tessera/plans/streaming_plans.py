@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions.plan import stored
 from tessera.operators import match as M
 from tessera.plans import catalog_plans as CP
 from tessera.plans import feedback_plans as FP
 from tessera.plans import match_plans as MP
 from tessera.plans import oracle_views as OV
+from tessera.plans import proposal_plans as PP
 from tessera.session import scratch_path
 from tessera.sources import views
 from tessera.streaming import jobs
+from tessera.streaming.acceptance import acceptance_stream
 
 DELIVERIES = 4
 
@@ -69,7 +72,24 @@ def stream_lookups(spark, sf_dir):
     return res.select(*MP.TOPK_COLUMNS)
 
 
+def stream_multiplier(spark, sf_dir):
+    """Acceptance by (region, vendor) kept in a stream's state over four deliveries: every tenth event first comes with another
+    verdict and is corrected later."""
+    src, out, ckpt, _ = _dirs(spark, "stream-multiplier")
+    lines = stored(PP.build(spark, sf_dir)[1], "quote-lines")
+    fb = views.feedback(spark, sf_dir)
+    wrong = fb.where("event_id % 10 = 3 AND verdict IS NOT NULL").withColumn(
+        "verdict", F.when(F.col("verdict") == "accepted", F.lit("rejected")).otherwise(F.lit("accepted")))
+    last = fb.select(F.max("event_id") + 1).scalar()
+    told = wrong.withColumn("seq", F.col("event_id")).unionByName(
+        fb.withColumn("seq", F.col("event_id") + F.when(F.col("event_id") % 10 == 3, last).otherwise(F.lit(0))))
+    for _ in jobs.deliveries(told, src, "seq", DELIVERIES):
+        res = acceptance_stream(spark, src, told.schema, lines, out, ckpt)
+    return res
+
+
 QUERIES = {
+    "stream_multiplier": stream_multiplier,
     "stream_feedback_daily": stream_feedback_daily,
     "stream_dedup": stream_dedup,
     "stream_upsert": stream_upsert,
@@ -77,6 +97,7 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_multiplier": FP.SQL["adaptive_multiplier"],
     "stream_feedback_daily": "WITH " + OV.feedback().strip() + """
         SELECT CAST(created_at AS DATE) AS day, verdict, count(*) AS n FROM v_feedback GROUP BY ALL""",
     "stream_dedup": FP.SQL["feedback_valid"].split(" SELECT event_id, quote_id")[0] + """
