@@ -6,13 +6,14 @@ on quote_id followed by grouping. No rollup collects a group's rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions.numeric import mean_rounded, ratio_rounded
 from tessera.functions.plan import join_keeping_nulls
 from tessera.functions.vectors import confidence_tier
+from tessera.operators.selection import medians
 
 # Prior for the smoothed acceptance rate (ours): (accepted + a) / (n + a + b).
 PRIOR_ACCEPT = 1.0
@@ -116,37 +117,9 @@ def rejection_signals(fl: DataFrame, products: DataFrame) -> DataFrame:
                     (confidence_tier(F.col("similarity_score")) == "high").alias("confidence_miscalibrated"))
 
 
-def exact_median(df: DataFrame, group: str, value: str, alias: str = "median",
-                 band: float = 0.001, accuracy: int = 1_000_000) -> DataFrame:
-    """Exact median (mean of the two middle values for even counts) per group, distributed.
-
-    1. approximate quantiles at 0.5 +- band bracket the median (the rank
-       error of ``percentile_approx`` is below n / accuracy < band * n);
-    2. rows below the bracket are only counted; the distinct values inside it
-       (at most about 2 * band of the group, fewer with ties) are ranked by a
-       running count;
-    3. the values at the middle positions are read off. No step holds a whole group.
-    """
-    v = F.col(value)
-    base = df.where(v.isNotNull() & ~F.isnan(v))
-    q = base.groupBy(group).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(value, [0.5 - band, 0.5 + band], accuracy).alias("_q"))
-    q = q.select(group, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    j = join_keeping_nulls(base.select(group, value), q, [group])
-    below = j.where(v < F.col("_lo")).groupBy(group).agg(F.count("*").alias("_below"))
-    band_rows = j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
-    # distinct values in the band with their counts: a run of equal prices is one row
-    vals = band_rows.groupBy(group, value, "_n").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (join_keeping_nulls(vals, below, [group], "left")
-                  .withColumn("_last", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(w))
-                  .withColumn("_first", F.col("_last") - F.col("_c") + 1))
-    mid_lo = F.floor((F.col("_n") + 1) / 2)
-    mid_hi = F.ceil((F.col("_n") + 1) / 2)
-    lo_val = F.max(F.when((F.col("_first") <= mid_lo) & (mid_lo <= F.col("_last")), v))
-    hi_val = F.max(F.when((F.col("_first") <= mid_hi) & (mid_hi <= F.col("_last")), v))
-    return ranked.groupBy(group).agg(((lo_val + hi_val) / 2).alias(alias))
+def exact_median(df: DataFrame, group: str, value: str, alias: str = "median") -> DataFrame:
+    """Exact median (mean of the two middle values for even counts) per group; no step sorts or holds a group."""
+    return medians(df, [group], value, alias)
 
 
 def vendor_price_ratio(products: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import feedback as FB
+from tessera.operators.selection import medians, robust_scores
 from tessera.plans import oracle_rules as R
 from tessera.plans import oracle_views as OV
 from tessera.plans import proposal_plans as PP
@@ -49,6 +50,18 @@ def price_anomaly(spark, sf_dir):
     return p.select("product_id", "category", "region", "price_value", "z", "is_anomaly")
 
 
+def robust_price(spark, sf_dir):
+    """Robust z-score of each price in its (category, region): by median and median absolute deviation."""
+    p = robust_scores(views.products(spark, sf_dir), ["category", "region"], "price_value")
+    return p.select("product_id", "category", "region", "price_value", "median", "mad", "robust_z")
+
+
+def price_median_parts(spark, sf_dir):
+    """Median price of nine tenths of the products, one group, and of the others."""
+    p = views.products(spark, sf_dir)
+    return medians(p.withColumn("part", F.when(F.col("partkey") % 10 > 0, F.lit("most"))), ["part"], "price_value", "median_price")
+
+
 def vendor_price_ratio(spark, sf_dir):
     return FB.vendor_price_ratio(views.products(spark, sf_dir))
 
@@ -82,6 +95,8 @@ QUERIES = {
     "adjusted_confidence": adjusted_confidence,
     "rejection_signals": rejection_signals,
     "price_anomaly": price_anomaly,
+    "robust_price": robust_price,
+    "price_median_parts": price_median_parts,
     "vendor_price_ratio": vendor_price_ratio,
     "unit_normalize": unit_normalize,
     "region_price": region_price,
@@ -139,6 +154,12 @@ SQL = {
         FROM v_fl f LEFT JOIN v_z z USING (product_id) WHERE f.verdict = 'rejected'""",
     "price_anomaly": _P + ", " + _Z + f""" SELECT product_id, category, region, price_value, z,
         coalesce(abs(z) > {R.d(2)}, false) AS is_anomaly FROM v_z""",
+    "robust_price": _P + """, m AS (SELECT *, median(price_value) OVER (PARTITION BY category, region) AS median FROM v_products),
+        d AS (SELECT *, median(abs(price_value - median)) OVER (PARTITION BY category, region) AS mad FROM m)
+        SELECT product_id, category, region, price_value, median, mad,
+               CASE WHEN mad > 0 THEN round(0.6745::DOUBLE * (price_value - median) / mad, 4) END AS robust_z FROM d""",
+    "price_median_parts": _P + """ SELECT CASE WHEN partkey % 10 > 0 THEN 'most' END AS part, median(price_value) AS median_price
+        FROM v_products GROUP BY 1""",
     "vendor_price_ratio": _P + """, med AS (SELECT category, median(price_value) AS category_median FROM v_products GROUP BY 1),
         vm AS (SELECT vendor, category, avg(price_value) AS m,
                       round(avg(CAST(round(price_value * 100) AS BIGINT)) * 100) / 10000.0 AS vendor_mean,
