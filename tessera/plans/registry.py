@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["match_plans", "rules_plans", "proposal_plans", "catalog_plans", "feedback_plans", "history_plans", "streaming_plans"]
+PLAN_MODULES = ["match_plans", "rules_plans", "proposal_plans", "catalog_plans", "feedback_plans", "history_plans", "ingest_plans",
+                "streaming_plans"]
 
 
 def _modules():
