@@ -219,6 +219,11 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "product_id") -> Data
     return dedup_last(both, key, ["batch_id", "seq"])
 
 
+def upsert_rejects(batch: DataFrame, key: str = "product_id") -> DataFrame:
+    """The rows of a batch that an upsert leaves out, with ``reject_reason``: those without a key."""
+    return batch.where(F.col(key).isNull()).withColumn("reject_reason", F.lit("missing_key"))
+
+
 def _load_reason() -> Column:
     return (F.when(F.coalesce("product_id", F.lit("")) == "", F.lit("missing_id"))
              .when(F.coalesce("material_name", F.lit("")) == "", F.lit("missing_name")))

@@ -49,6 +49,16 @@ def append(fb: DataFrame, path: str) -> None:
     v.where("status = 'rejected'").write.mode("append").parquet(path.rstrip("/") + "_rejects")
 
 
+def append_batch(fb: DataFrame, path: str, batch: str, received_at) -> None:
+    """Append a batch of feedback, stamped with the server's time, in one write; written again, it replaces itself.
+
+    Accepted records and rejects (with reason) lie in folders of their own under ``path``: ``status=.../batch=...``.
+    """
+    rows = validate(fb).select("task_id", "quote_id", "user_type", "verdict", F.col("comment").alias("comments"), "created_at", "reason",
+                               F.lit(received_at).cast("timestamp").alias("received_at"), "status", F.lit(batch).alias("batch"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch").parquet(path)
+
+
 def with_lines(fb: DataFrame, quote_lines: DataFrame) -> DataFrame:
     """Valid feedback joined to the products of its quote."""
     v = validate(fb).where("status = 'accepted'")

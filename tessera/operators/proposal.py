@@ -139,6 +139,7 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
         F.round(prices_raw, 2).alias("prices_sum"),
         conf.alias("confidence_score"),
         F.array_join(F.transform("uniq", lambda x: x["material_name"]), "|").alias("materials"),
+        F.transform("uniq", lambda x: x["material_name"]).alias("material_list"),
         days.alias("duration_days"),
         F.concat(days.cast("string"), F.lit(" day")).alias("estimated_duration"),
         # the exact total is a multiple of 0.01: round away summation noise before the ceiling
@@ -156,8 +157,10 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
 
 
 def nested(proposals: DataFrame) -> DataFrame:
-    """The response record: tasks array of one struct and the integer total."""
-    task = F.struct(F.col("label"), F.split(F.col("materials"), r"\|").alias("materials"),
+    """The response record: tasks array of one struct and the integer total. Names come from ``material_list``, whatever they contain;
+    rows without that column have their ``materials`` split at bars."""
+    names = F.col("material_list") if "material_list" in proposals.columns else F.split(F.col("materials"), r"\|")
+    task = F.struct(F.col("label"), names.alias("materials"),
                     F.col("estimated_duration"), F.col("margin_protected_price"), F.col("confidence_score"))
     return proposals.select("proposal_id", "quote_id", F.array(task).alias("tasks"), "total_estimate")
 

@@ -128,6 +128,37 @@ def catalog_upsert(spark, sf_dir):
     return C.upsert(b0, b1).select("product_id", "unit_price", "batch_id")
 
 
+def upsert_rejects(spark, sf_dir):
+    """Rows of the update batch without a key, which the upsert leaves out."""
+    b1 = _batches(spark, sf_dir)[1]
+    keyless = b1.withColumn("product_id", F.when(F.col("seq") % 17 != 0, F.col("product_id")))
+    return C.upsert_rejects(keyless).select("seq", "unit_price", "batch_id", "reject_reason")
+
+
+def _records(spark, sf_dir):
+    """Product records in file order, every third twice with another price; some without id or name."""
+    p = views.products(spark, sf_dir).select(
+        F.when(F.col("partkey") % 19 != 0, F.col("product_id")).alias("product_id"), F.when(F.col("partkey") % 29 != 0, F.col("material_name")).alias("material_name"),
+        "description", "unit_price", "partkey")
+    later = p.where(F.col("partkey") % 3 == 0).withColumn("unit_price", F.concat(F.lit("1"), "unit_price"))
+    return (p.withColumn("seq", F.col("partkey") * 2).unionByName(later.withColumn("seq", F.col("partkey") * 2 + 1))).drop("partkey")
+
+
+def product_load(spark, sf_dir):
+    """Bulk load in two batches: records embedded and put into the catalog by id, the last one of an id stays."""
+    rows = _records(spark, sf_dir)
+    first = C.load_products(rows.where("seq % 2 = 0"), None, 0)
+    loaded = C.load_products(rows.where("seq % 2 = 1"), first, 1)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return loaded.select("product_id", "material_name", "description", "unit_price", "batch_id", "seq", F.size("embedding").alias("dim"),
+                         F.round(length, 5).alias("norm"))
+
+
+def load_rejects(spark, sf_dir):
+    """Records that the bulk load leaves out, with the reason."""
+    return C.load_rejects(_records(spark, sf_dir)).select("seq", "product_id", "material_name", "reject_reason")
+
+
 def embed_catalog(spark, sf_dir):
     cat = views.products(spark, sf_dir)
     t = cat.select("product_id", E.embedding_text(F.col("material_name"), F.col("description")).alias("text"))
@@ -151,6 +182,9 @@ QUERIES = {
     "catalog_roundtrip": catalog_roundtrip,
     "catalog_preview": catalog_preview,
     "catalog_upsert": catalog_upsert,
+    "upsert_rejects": upsert_rejects,
+    "product_load": product_load,
+    "load_rejects": load_rejects,
     "embed_catalog": embed_catalog,
 }
 
@@ -212,3 +246,17 @@ SQL = {
           SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY batch_id DESC, seq DESC) AS rn FROM u)
         WHERE rn = 1""",
 }
+
+_RECORDS = """rec AS (SELECT CASE WHEN partkey % 19 <> 0 THEN product_id END AS product_id, CASE WHEN partkey % 29 <> 0 THEN material_name END AS material_name,
+          description, unit_price, partkey FROM v_products),
+        r AS (SELECT product_id, material_name, description, unit_price, partkey * 2 AS seq FROM rec
+              UNION ALL SELECT product_id, material_name, description, '1' || unit_price, partkey * 2 + 1 FROM rec WHERE partkey % 3 = 0),
+        rr AS (SELECT *, CASE WHEN coalesce(product_id, '') = '' THEN 'missing_id' WHEN coalesce(material_name, '') = '' THEN 'missing_name' END AS reject_reason FROM r)"""
+SQL["upsert_rejects"] = _w(OV.products()) + f""", u AS (
+          SELECT {OC.price_display('price_value * 1.1')} AS unit_price, partkey * 2 AS seq FROM v_products WHERE partkey % 3 = 0
+          UNION ALL SELECT {OC.price_display('price_value * 1.2')}, partkey * 2 + 1 FROM v_products WHERE partkey % 3 = 0)
+        SELECT seq, unit_price, 1 AS batch_id, 'missing_key' AS reject_reason FROM u WHERE seq % 17 = 0"""
+SQL["product_load"] = _w(OV.products(), _RECORDS) + """
+        SELECT product_id, material_name, description, unit_price, CAST(seq % 2 AS INTEGER) AS batch_id, seq, 256 AS dim, 1.0::DOUBLE AS norm FROM (
+          SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq % 2 DESC, seq DESC) AS n FROM rr WHERE reject_reason IS NULL) WHERE n = 1"""
+SQL["load_rejects"] = _w(OV.products(), _RECORDS) + " SELECT seq, product_id, material_name, reject_reason FROM rr WHERE reject_reason IS NOT NULL"

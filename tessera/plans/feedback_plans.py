@@ -1,6 +1,9 @@
 """Registered feedback and documented-analytics queries and their DuckDB oracles."""
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import feedback as FB
@@ -8,6 +11,7 @@ from tessera.operators.selection import medians, robust_scores
 from tessera.plans import oracle_rules as R
 from tessera.plans import oracle_views as OV
 from tessera.plans import proposal_plans as PP
+from tessera.session import scratch_path
 from tessera.sources import views
 
 
@@ -22,6 +26,16 @@ def feedback_valid(spark, sf_dir):
                     "created_at", "status", "reason")
 
 
+def feedback_append(spark, sf_dir):
+    """The stored feedback after two batches, the second delivered twice."""
+    fb = views.feedback(spark, sf_dir)
+    path = scratch_path(spark, f"feedback-{uuid.uuid4().hex}")
+    for batch, part in (("0", "event_id % 2 = 0"), ("1", "event_id % 2 = 1"), ("1", "event_id % 2 = 1")):
+        FB.append_batch(fb.where(part), path, batch, datetime.datetime(2024, 2, 1, tzinfo=datetime.UTC))
+    return spark.read.parquet(path).select("task_id", "quote_id", "user_type", "verdict", "comments", "created_at", "reason", "status",
+                                           F.col("batch").cast("int").alias("batch"), F.year("received_at").alias("year_received"))
+
+
 def feedback_rollup(spark, sf_dir):
     return FB.rollup(_fl(spark, sf_dir))
 
@@ -89,6 +103,7 @@ def schema_validate(spark, sf_dir):
 
 QUERIES = {
     "feedback_valid": feedback_valid,
+    "feedback_append": feedback_append,
     "feedback_rollup": feedback_rollup,
     "adaptive_multiplier": adaptive_multiplier,
     "calibration_curve": calibration_curve,
@@ -127,6 +142,10 @@ SQL = {
     "feedback_valid": "WITH " + OV.feedback().strip() + ", " + _VALID + """
         SELECT event_id, quote_id, task_id, user_type, verdict, comment AS comments, created_at,
                CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM v_fbv""",
+    "feedback_append": "WITH " + OV.feedback().strip() + ", " + _VALID + """
+        SELECT task_id, quote_id, user_type, verdict, comment AS comments, created_at, reason,
+               CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, CAST(event_id % 2 AS INTEGER) AS batch,
+               CAST(2024 AS INTEGER) AS year_received FROM v_fbv""",
     "feedback_rollup": _FL + f""" SELECT material, region, vendor, user_type, count(*) AS n,
         round(sum({_ACC}) * {R.d(1000000)} / CAST(count(*) AS DOUBLE)) / {R.d(1000000)} AS acceptance_rate
         FROM v_fl GROUP BY ROLLUP (material, region, vendor, user_type)""",

@@ -45,6 +45,14 @@ def proposal_confidence(spark, sf_dir):
     return p.select("proposal_id", "confidence_score", "n_materials", "materials")
 
 
+def proposal_nested(spark, sf_dir):
+    """The nested response record, read back field by field."""
+    t = F.element_at("tasks", 1)
+    return PR.nested(build(spark, sf_dir)[0]).select("proposal_id", "quote_id", F.size("tasks").alias("n_tasks"), t["label"].alias("label"),
+                                                     F.array_join(t["materials"], ", ").alias("materials"), t["confidence_score"].alias("confidence_score"),
+                                                     t["margin_protected_price"].alias("margin_protected_price"), "total_estimate")
+
+
 def vat_documented(spark, sf_dir):
     parsed = TR.parse(views.transcripts(spark, sf_dir))
     return parsed.select("proposal_id", "renovation_type",
@@ -159,6 +167,7 @@ QUERIES = {
     "proposal_total": proposal_total,
     "proposal_lines": proposal_lines,
     "proposal_confidence": proposal_confidence,
+    "proposal_nested": proposal_nested,
     "vat_documented": vat_documented,
     "margin_documented": margin_documented,
     "needs_clarification": needs_clarification,
@@ -176,6 +185,8 @@ SQL = {
         round(sim, 4) AS similarity_score, price_value, product_region AS region, product_vendor AS vendor, degraded
         FROM v_qlines""",
     "proposal_confidence": _W + " SELECT proposal_id, confidence_score, n_materials, materials FROM v_props",
+    "proposal_nested": _W + """ SELECT proposal_id, quote_id, 1 AS n_tasks, label, replace(materials, '|', ', ') AS materials, confidence_score,
+        margin_protected_price, total_estimate FROM v_props""",
     "vat_documented": "WITH " + ", ".join(c.strip() for c in [OV.transcripts(), R.parsed_cte()]) +
         f" SELECT proposal_id, renovation_type, {doc_vat_sql('renovation_type')} AS vat_documented FROM v_parsed",
     "margin_documented": _W + f""" SELECT proposal_id, prices_sum, {doc_vat_sql('renovation_type')} AS vat_documented,

@@ -102,3 +102,29 @@ def test_nested_proposal_record(spark):
 def test_unknown_items_are_rejects(spark):
     items = spark.createDataFrame([("paint_litre",), ("gold_tap",)], "item string")
     assert [r["item"] for r in P.unknown_items(items, RD.rate_card(spark)).collect()] == ["gold_tap"]
+
+
+def test_nested_names_with_a_bar_stay_whole(spark):
+    df = spark.createDataFrame([(1, "q", "bathroom", "A|B|C", ["A|B", "C"], "1 day", 26.4, 0.9, 100)],
+                               "proposal_id long, quote_id string, label string, materials string, material_list array<string>, "
+                               "estimated_duration string, margin_protected_price double, confidence_score double, total_estimate long")
+    assert PR.nested(df).first()["tasks"][0]["materials"] == ["A|B", "C"]
+
+
+def test_feedback_batch_is_one_write_and_replaces_itself(spark):
+    import datetime
+    path = os.path.join(_tmp(), "feedback")
+    schema = "task_id string, quote_id string, user_type string, verdict string, comment string, created_at timestamp"
+    rows = [("t1", "q1", "client", "accepted", "fine", None), ("t2", "q2", "supplier", "rejected", None, None)]
+    at = datetime.datetime(2024, 2, 1, 12, tzinfo=datetime.UTC)
+    for batch in ("a", "b", "b"):
+        FB.append_batch(spark.createDataFrame(rows, schema), path, batch, at)
+    got = spark.read.parquet(path)
+    assert sorted((r["status"], r["batch"], r["reason"]) for r in got.collect()) == [
+        ("accepted", "a", None), ("accepted", "b", None), ("rejected", "a", "bad_user_type"), ("rejected", "b", "bad_user_type")]
+    assert got.select("received_at").distinct().count() == 1
+
+
+def test_upsert_rejects_rows_without_a_key(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "product_id string, seq int")
+    assert [(r["seq"], r["reject_reason"]) for r in C.upsert_rejects(df).collect()] == [(2, "missing_key")]
