@@ -48,7 +48,7 @@ def nothing(spark):
 @pytest.mark.parametrize("name", sorted(corpus.SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = corpus.QUERIES[name](spark, SF)
     rel = con.execute(corpus.SQL[name])
