@@ -3,14 +3,14 @@
 Plan shape::
 
     catalog --clustered by filter values and cell--> packs of distinct vectors, stored   (once: PackedCatalog)
-    packs   --their filter values--> route table: values of a subset of the filters -> packs
-    lookups --packed by the filters that they set--> JOIN routes --> the lookups each pack is asked
-    packs JOIN asked --matrix product in Arrow batches--> local top-k per (lookup, pack), never all pairs
+    lookups --packed by the filters that they set-->
+    groups of packs x parts of the lookups --a task each: matrix products--> local top-k per (lookup, group), never all pairs
     --window(query_id)--> top-k, rank
 
-A lookup is scored against the packs on its routes alone, and there against the distinct vectors of the rows
-that pass its filters. Only lookups that come back empty are asked again without filters; if there are none, nothing is
-read for that. With ``prune`` the nearest pack of each lookup is scored first; its k-th score then rules out the packs
+A group's packs state their routes: values of a subset of the filters -> packs. A lookup is scored against the packs on its
+routes alone, and there against the distinct vectors of the rows that pass its filters. What moves is each pack once for
+every part of the lookups and each lookup once for every group. Only lookups that come back empty are asked again without filters; if there are none, nothing is
+read for that. With ``prune`` the nearest pack of each lookup in a group is scored first; the k-th score so far then rules out the packs
 in which no vector can be similar enough (``packs.upper_bounds``), so most packs of a clustered catalog are never scored.
 
 Ranking uses the similarity rounded to four decimals (the reported score) with ``product_id`` as the
@@ -47,7 +47,7 @@ class MatchConfig:
     degrade: bool = True                  # unfiltered top-k when the filtered set is empty
     block_rows: int = 4096                # products per pack
     query_block_rows: int = 8192          # queries per pack
-    max_broadcast_bytes: int = 256 << 20  # largest size, as counted beforehand, of lookups sent to the packs of every task
+    max_broadcast_bytes: int = 256 << 20  # without effect: lookups are never sent to every task
     score_chunk_cells: int = 4 << 20      # query x product cells scored per matrix product
     min_score: float | None = None        # keep only candidates with sim above this
     order_extra: bool = False             # rank by ``extra`` ascending instead of score
@@ -68,9 +68,10 @@ class PackedCatalog:
         centres = PK.fit_cells(rows, self.cfg.cells) if self.cfg.cells else None
         keep = max(self.cfg.cap, self.cfg.fallback_k)
         self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs")
-        self.routes = PK.route_table(self.packs)
-        size = self.packs.agg(F.count("*"), F.max("dim")).first()
-        self.n_packs, self.dim = size[0], size[1] or 0
+        names = sum((F.length(F.array_join(v, "")) for v in (F.col("values")[i] for i in range(len(self.cfg.filters)))), F.lit(0))
+        size = self.packs.agg(F.sum(F.length("vectors") + 16 * F.col("n_rows") + F.length(F.array_join("ids", "")) + names
+                                    + 64 * F.size("routes"))).first()
+        self.n_bytes = size[0] or 0
 
     def compatible(self, cfg: MatchConfig, extra_col: str | None) -> bool:
         return (tuple(cfg.filters) == tuple(self.cfg.filters) and extra_col == self.extra_col and cfg.order_extra == self.cfg.order_extra
@@ -80,37 +81,112 @@ class PackedCatalog:
         discard(self.packs)
 
 
-def _local_top(S, k, members, starts, ids, extra, cfg):
-    """Top-k of each row of S (lookups x vectors) by (score or extra, product id): (row, product, similarity, extra).
-
-    members: rows behind the vectors, from starts[c] on for vector c. Every vector that ties with the k-th key is a
-    candidate, then the exact order picks k of the products behind.
+class Group:
+    """The packs that a task holds: their rows and vectors one after another, and their routes."""
+
+    def __init__(self, packs, cfg: MatchConfig):
+        self.cfg, self.packs, self.routes, ids, extra, values = cfg, [], {}, [], [], []
+        rows = vectors = 0
+        for p in packs:
+            owner = np.frombuffer(p["owner"], np.int32) + vectors
+            ids.append(pa.array(p["ids"], pa.string()))
+            extra.append(np.array([np.nan if x is None else x for x in p["extra"]], np.float64))
+            values.append([pa.array(v, pa.string()).dictionary_encode() for v in p["values"]])
+            for r in p["routes"]:
+                self.routes.setdefault((p["dim"], r["mask"], tuple(r["wanted"])), []).append(len(self.packs))
+            self.packs.append({"at": rows, "first": vectors, "vectors": np.frombuffer(p["vectors"]).reshape(-1, p["dim"]), "owner": owner,
+                               "centroid": p["centroid"], "least": p["least"]})
+            rows, vectors = rows + len(owner), vectors + p["n_vectors"]
+        self.ids = pa.concat_arrays(ids) if ids else None
+        self.extra = np.concatenate(extra) if extra else None
+        self.values = [[(v.indices.to_numpy(zero_copy_only=False), v.dictionary.to_pylist()) for v in of] for of in values]
+        self.route, self.chosen = None, None
+
+    def choose(self, dim: int, mask: int, wanted: tuple):
+        """The packs on a route, with the rows that pass and the vectors that these share; kept for the next lookups."""
+        if self.route == (dim, mask, wanted):
+            return self.chosen
+        self.route, self.chosen = (dim, mask, wanted), []
+        for j in self.routes.get((dim, mask, wanted), []):
+            p = self.packs[j]
+            passed = np.ones(len(p["owner"]), bool)
+            for i, w in enumerate(wanted):
+                if mask >> i & 1:
+                    codes, names = self.values[j][i]
+                    passed &= codes == names.index(w) if w in names else False
+            members = np.flatnonzero(passed)
+            if len(members):
+                own, starts = np.unique(p["owner"][members], return_index=True)
+                self.chosen.append((p, p["vectors"][own - p["first"]], members + p["at"], starts))
+        return self.chosen
+
+
+class Top:
+    """The best vectors of each of some lookups: all that tie with or beat the k-th by rounded similarity (or, by_key, by a key of the vector)."""
+
+    def __init__(self, n: int, k: int, above: float | None):
+        self.k, self.above, self.found = k, above, []
+        self.best, self.least = np.full((n, k), -np.inf), np.full(n, -np.inf)
+
+    def offer(self, rows: np.ndarray, S: np.ndarray, first: int) -> None:
+        """Similarities of lookups ``rows`` with the vectors from ``first`` on."""
+        if self.above is not None:
+            S = np.where(S > self.above, S, -np.inf)
+        better = np.flatnonzero(S.max(axis=1) >= self.least[rows] - NEARLY)
+        if not len(better):
+            return
+        rows, S = rows[better], S[better]
+        both = np.concatenate([self.best[rows], S], axis=1)
+        best = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
+        self.best[rows], self.least[rows] = best, np.round(best.min(axis=1), 4)
+        r, c = np.nonzero((S >= self.least[rows, None] - NEARLY) & (S > -np.inf))
+        self.found.append((rows[r], c + first, S[r, c]))
+
+    def offer_keyed(self, S: np.ndarray, first: int, key: np.ndarray) -> None:
+        """Similarities of all lookups with vectors that are ranked by ``key``, given in falling order of it."""
+        r, c = np.nonzero((S > (-np.inf if self.above is None else self.above)) & (key[None, :] >= self.least[:, None]))
+        if len(r):
+            n = np.searchsorted(r, np.arange(len(self.least) + 1))
+            upto = np.arange(len(r)) - n[r]  # keys fall with c, so each row's come in order
+            both = np.concatenate([self.best, np.full_like(self.best, -np.inf)], axis=1)
+            new = upto < self.k
+            both[r[new], self.k + upto[new]] = key[c[new]]
+            self.best = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
+            self.least = self.best.min(axis=1)
+            stay = key[c] >= self.least[r]
+            self.found.append((r[stay], c[stay] + first, S[r[stay], c[stay]]))
+
+    def kept(self):
+        """(lookup, vector, similarity) of what has been found."""
+        if not self.found:
+            return None
+        return tuple(np.concatenate(x) for x in zip(*self.found))
+
+
+def _k_rows(r, c, sim, k: int, members, starts, group: Group, by_extra: bool):
+    """Top-k of each lookup by (score or extra, product id): (row, product, similarity, extra); c: vectors, members: rows behind them.
+
+    Every vector that ties with the k-th key is a candidate, then the exact order picks k of the products behind.
     """
-    if cfg.order_extra:
-        key = np.broadcast_to(-np.minimum.reduceat(extra[members], starts)[None, :], S.shape)
-    else:
-        key = np.round(S, 4)
-    if cfg.min_score is not None:
-        key = np.where(S > cfg.min_score, key, -np.inf)
-    kk = min(k, key.shape[1])
-    if kk <= 0:
-        return None
-    least = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-    r, c = np.nonzero((key >= least[:, None]) & np.isfinite(key))
-    if not r.size:
-        return None
+    key = -np.minimum.reduceat(group.extra[members], starts)[c] if by_extra else np.round(sim, 4)
+    order = np.lexsort((-key, r))
+    r, c, sim, key = r[order], c[order], sim[order], key[order]
+    begin = np.searchsorted(r, r)
+    last = np.minimum(begin + k, np.searchsorted(r, r, side="right")) - 1
+    ok = key >= key[last]
+    r, c, sim = r[ok], c[ok], sim[ok]
     size = np.diff(np.append(starts, len(members)))[c]
     at = np.repeat(np.arange(len(r)), size)
     member = members[starts[c][at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)]
-    sim = S[r, c][at]
-    df = pd.DataFrame({"row": r[at], "key": -extra[member] if cfg.order_extra else np.round(sim, 4), "product_id": ids[member],
-                       "sim": sim, "extra": extra[member]})
+    extra = group.extra[member]
+    df = pd.DataFrame({"row": r[at], "key": -extra if by_extra else np.round(sim[at], 4), "product_id": group.ids.take(pa.array(member)).to_pylist(),
+                       "sim": sim[at], "extra": extra})
     df = df.sort_values(["row", "key", "product_id"], ascending=[True, False, True], kind="mergesort")
     return df.groupby("row", sort=False).head(k)
 
 
 def _score(cfg: MatchConfig, path: int, k: int):
-    """mapInArrow body over packs joined with what they are asked: candidates, and a row with what was scored."""
+    """Body of a ``grid`` of packs and lookups: the best k of each group for each lookup, and a row with what was scored."""
     def rows(df, q_ids, q_lim):
         at, n = df["row"].to_numpy(), len(df)
         none = pa.nulls(n, pa.int64())
@@ -118,37 +194,83 @@ def _score(cfg: MatchConfig, path: int, k: int):
             [pa.array(q_ids[at]), pa.array(df["product_id"], pa.string()), pa.array(df["sim"], pa.float64()), pa.array(np.full(n, path), pa.int32()),
              pa.array(df["extra"], pa.float64()), pa.array(q_lim[at], pa.int32()), none, none], NAMES)
 
+    def scored(Q, chosen, V, key):
+        """(top, pairs of lookup and pack, cells) of some lookups."""
+        top = Top(len(Q), k, cfg.min_score)
+        if key is not None or not cfg.prune:
+            for a in range(0, len(V), SCORE_VECTORS):
+                S = Q @ V[a:a + SCORE_VECTORS].T
+                if key is not None:
+                    top.offer_keyed(S, a, key[a:a + SCORE_VECTORS])
+                else:
+                    top.offer(np.arange(len(Q)), S, a)
+            return top, len(Q) * len(chosen), len(Q) * len(V)
+        bound = PK.upper_bounds(Q, [c[0] for c in chosen])
+        near = (Q @ np.frombuffer(b"".join(c[0]["centroid"] for c in chosen)).reshape(-1, Q.shape[1]).T).argmax(axis=1)
+        first = np.cumsum([0] + [len(c[1]) for c in chosen])
+        asked = cells = 0
+        for seen in (True, False):
+            for j, c in enumerate(chosen):
+                need = near == j
+                if not seen:
+                    need = ~need & (np.round(bound[:, j], 4) >= top.least)
+                    if cfg.min_score is not None:
+                        need &= bound[:, j] > cfg.min_score
+                at = np.flatnonzero(need)
+                if len(at):
+                    top.offer(at, Q[at] @ c[1].T, first[j])
+                    asked, cells = asked + len(at), cells + len(at) * len(c[1])
+        return top, asked, cells
+
     def score(batches):
-        for batch in batches:
-            cells = asked = 0
-            for p in batch.to_pylist():
-                V, Q = (np.frombuffer(p[c]).reshape(-1, p["dim"]) for c in ("vectors", "q_mat"))
-                ids, owner = np.array(p["ids"], object), np.frombuffer(p["owner"], np.int32)
-                extra = np.array([np.nan if x is None else x for x in p["extra"]], np.float64)
-                passed = np.ones(len(ids), bool)
-                for i, wanted in enumerate(p["wanted"]):
-                    if p["mask"] >> i & 1:
-                        passed &= np.array(p["values"][i], object) == wanted
-                members = np.flatnonzero(passed)
-                if not len(members):
+        cells = asked = 0
+        for kinds in PK.cells(batches):
+            group = None
+            for kind, of_kind in kinds:
+                if kind == 0:
+                    group = Group(of_kind, cfg)
                     continue
-                vectors, starts = np.unique(owner[members], return_index=True)
-                V = V[vectors]
-                q_ids, q_lim = np.array(p["q_ids"], np.int64), np.array(p["q_limits"], np.int64)
-                asked += len(Q)
-                step = max(1, cfg.score_chunk_cells // len(V))
-                for s in range(0, len(Q), step):
-                    S = Q[s:s + step] @ V.T
-                    cells += S.size
-                    df = _local_top(S, k, members, starts, ids, extra, cfg)
-                    if df is not None:
-                        yield rows(df, q_ids[s:s + step], q_lim[s:s + step])
-            one = {"cells": cells, "asked": asked}
-            yield pa.RecordBatch.from_arrays([pa.array([one.get(n)], t) for n, t in zip(NAMES, TYPES)], NAMES)
+                route = None
+                for q in of_kind if group and k > 0 else ():
+                    wanted = tuple(q["wanted"])
+                    chosen = group.choose(q["dim"], q["mask"], wanted)
+                    if not chosen:
+                        continue
+                    if route != (q["dim"], q["mask"], wanted):
+                        route = (q["dim"], q["mask"], wanted)
+                        V = np.concatenate([c[1] for c in chosen]) if len(chosen) > 1 else chosen[0][1]
+                        members = np.concatenate([c[2] for c in chosen])
+                        before = np.cumsum([0] + [len(c[2]) for c in chosen])
+                        starts = np.concatenate([c[3] + b for c, b in zip(chosen, before)])
+                        key = None
+                        if cfg.order_extra:
+                            V, members, starts, key = _by_extra(V, members, starts, group.extra)
+                    Q, q_ids, q_lim = (np.frombuffer(q["q_mat"]).reshape(-1, q["dim"]), np.array(q["q_ids"], np.int64), np.array(q["q_limits"], np.int64))
+                    step = max(1, cfg.score_chunk_cells // max(SCORE_VECTORS, len(chosen)))
+                    for s in range(0, len(Q), step):
+                        top, pairs, done = scored(Q[s:s + step], chosen, V, key)
+                        asked, cells = asked + pairs, cells + done
+                        kept = top.kept()
+                        if kept is not None:
+                            yield rows(_k_rows(*kept, k, members, starts, group, cfg.order_extra), q_ids[s:s + step], q_lim[s:s + step])
+        one = {"cells": cells, "asked": asked}
+        yield pa.RecordBatch.from_arrays([pa.array([one.get(n)], t) for n, t in zip(NAMES, TYPES)], NAMES)
 
     return score
 
 
+def _by_extra(V, members, starts, extra):
+    """The vectors, the rows behind them, their starts and the falling keys: by the least extra of a vector."""
+    key = -np.minimum.reduceat(extra[members], starts)
+    order = np.argsort(-key, kind="stable")
+    size = np.diff(np.append(starts, len(members)))[order]
+    ends = np.cumsum(size)
+    at = np.arange(len(members)) - np.repeat(ends - size, size)
+    return V[order], members[np.repeat(starts[order], size) + at], ends - size, key[order]
+
+
+SCORE_VECTORS = 2048  # vectors of a matrix product
+NEARLY = 0.5e-4 + 1e-9  # a similarity so much below a rounded one may round to it
 NAMES = ["query_id", "product_id", "sim", "path", "extra", "q_limit", "cells", "asked"]
 TYPES = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -185,32 +307,11 @@ class Search:
         self.kept.append(stored(df, name))
         return self.kept[-1]
 
-    def _asked(self, lookups: DataFrame, **how) -> DataFrame:
-        rows = lookups if "least" in lookups.columns else lookups.withColumns({"least": F.lit(None).cast("double"), "seen": F.lit(None).cast("long")})
-        asked = PK.pack_lookups(rows, self.cfg.filters, self.cfg.query_block_rows)
-        return PK.asked_packs(asked, self.catalog.routes, self.cfg.min_score, **how)
-
-    def _scored(self, asked: DataFrame, path: int, k: int) -> DataFrame:
-        if self.n_lookups * self.catalog.n_packs * (8 * self.catalog.dim + 64) <= self.cfg.max_broadcast_bytes:
-            asked = F.broadcast(asked)  # at most every lookup for every pack
-        else:
-            asked = self._store(asked, "asked")  # the planner goes by the size of what is stored
-        both = self.catalog.packs.select("pblock", "vectors", "ids", "owner", "values", "extra").join(asked, "pblock")
-        return self._store(both.drop("pblock").mapInArrow(_score(self.cfg, path, k), CAND_SCHEMA), "candidates")
-
     def _pass(self, lookups: DataFrame, path: int, k: int) -> DataFrame:
-        if not self.cfg.prune or self.cfg.order_extra:
-            return self._scored(self._asked(lookups), path, k)
-        plain = lookups.withColumns({"least": F.lit(None).cast("double"), "seen": F.lit(None).cast("long")})
-        near = PK.nearest_packs(PK.pack_lookups(plain, self.cfg.filters, self.cfg.query_block_rows), self.catalog.routes)
-        seen = self._store(lookups.join(near.withColumnRenamed("pblock", "seen"), "query_id").withColumn("least", F.lit(None).cast("double")), "nearest")
-        first = self._scored(self._asked(seen, only_seen=True), path, k)
-        enough = F.least(F.col("q_limit"), F.lit(k)) if path == PATH_FILTERED else F.lit(k)
-        order = Window.partitionBy("query_id").orderBy(F.round("sim", 4).desc(), "product_id")
-        reached = (first.where("query_id IS NOT NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-                   .where(F.col("_n") == enough).select("query_id", F.round("sim", 4).alias("least")))
-        rest = self._scored(self._asked(seen.drop("least").join(reached, "query_id", "left")), path, k)
-        return first.unionByName(rest)
+        asked = PK.pack_lookups(lookups, self.cfg.filters, min(self.cfg.query_block_rows, PK.LOOKUP_ROWS))
+        packs = self.catalog.packs.select("pblock", "dim", "n_vectors", "vectors", "ids", "owner", "values", "extra", "centroid", "least", "routes")
+        shape = PK.grid_shape(packs.sparkSession, self.catalog.n_bytes, self.n_lookups)
+        return self._store(PK.grid(packs, asked, shape, _score(self.cfg, path, k), CAND_SCHEMA), "candidates")
 
     def hits(self) -> DataFrame:
         """(query_id, rank, product_id, sim, extra, degraded)."""
@@ -269,7 +370,7 @@ def top_k(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
     return Search(queries, catalog, cfg, extra_col).hits()
 
 
-MAX_BROADCAST_HITS = 2_000_000  # result rows; about 100 bytes each before the display columns
+MAX_BROADCAST_HITS = 200_000  # result rows; about 100 bytes each before the display columns
 
 DISPLAY_COLUMNS = ["material_name", "description", "unit_price", "unit", "region", "vendor",
                    "vat_rate", "quality_score", "updated_at", "source"]

@@ -5,8 +5,8 @@ cell: the distinct unit vectors as one matrix, and behind each vector the rows t
 equal vector and equal filter values only the first ``keep`` in ranking order can be in any result, so no more are kept.
 
 A pack also states its routes: every combination of filter values found in it, for every subset of the
-filters. Lookups are packed by the filters they set, and an equi-join with the routes (an inverted table from filter values to
-packs) gives the packs that each has to ask; all others are never read for it. With a centroid and the least
+filters. Lookups are packed by the filters they set. Groups of packs of bounded size meet parts of the lookups (``grid``), and
+in a group the routes give the packs that each lookup has to ask; no other is scored for it. With a centroid and the least
 cosine to it, a pack bounds the similarity that a lookup can find in it: the angle between the two is at least the angle to the
 centroid less the pack's widest angle.
 """
@@ -17,18 +17,19 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 4096  # vectors that the cells of an index are fitted on
+GROUP_BYTES = 48 << 20  # of packs that a task holds
+PART_LOOKUPS = 1 << 17  # lookups that a task takes, about
+LOOKUP_ROWS = 1024  # lookups of a pack, at most
 BUCKETS = 16  # parts over which the rows of one combination of filter values are dealt
 
 PACK_FIELDS = ("pblock long, dim int, n_given int, n_rows int, n_vectors int, vectors binary, ids array<string>, owner binary, "
                "values array<array<string>>, extra array<double>, centroid binary, least double, "
                "routes array<struct<mask:int,wanted:array<string>>>")
-ASK_FIELDS = "pblock long, dim int, mask int, wanted array<string>, q_ids array<long>, q_limits array<int>, q_mat binary"
-LOOKUP_PACK_FIELDS = ("dim int, mask int, wanted array<string>, q_ids array<long>, q_limits array<int>, q_mat binary, "
-                      "q_least array<double>, q_seen array<long>")
+LOOKUP_PACK_FIELDS = "dim int, mask int, wanted array<string>, q_ids array<long>, q_limits array<int>, q_mat binary"
 
 
 def usable(v) -> F.Column:
@@ -176,28 +177,17 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
     return rows.mapInArrow(run, PACK_FIELDS)
 
 
-def route_table(packs: DataFrame) -> DataFrame:
-    """Per length, subset of the filters and their values: the packs that hold such rows, with centroid and least cosine.
-
-    In parts of the packs of 16 tasks, so that a list stays short.
-    """
-    return (packs.select("pblock", "dim", "centroid", "least", F.explode("routes").alias("r"))
-            .groupBy("dim", F.col("r.mask").alias("mask"), F.col("r.wanted").alias("wanted"), F.shiftright("pblock", 28).alias("part"))
-            .agg(F.collect_list(F.struct("pblock", "centroid", "least")).alias("packs")).drop("part"))
-
-
 # ---- lookups
 def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFrame:
     """Packs of lookups that set the same filters to the same values.
 
-    lookups: query_id, embedding, q_limit, dim, w_<filter> (empty: not set) and, from an earlier pass, least (the similarity that a
-    candidate must reach) and seen (a pack asked already).
+    lookups: query_id, embedding, q_limit, dim, w_<filter> (empty: not set).
     """
     names = [f"w_{f}" for f in filters]
     mask = F.lit(0)
     for i, n in enumerate(names):
         mask = mask + F.when(F.col(n) != "", F.lit(1 << i)).otherwise(F.lit(0))
-    rows = lookups.select("query_id", "embedding", "q_limit", "dim", mask.alias("mask"), *names, "least", "seen")
+    rows = lookups.select("query_id", "embedding", "q_limit", "dim", mask.alias("mask"), *names)
     rows = rows.hint("rebalance", "dim", *names).sortWithinPartitions("dim", "mask", *names, "query_id")
     lead = ["dim", "mask", *names]
 
@@ -211,13 +201,48 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
                     [pa.array([dim], pa.int32()), pa.array([t.column("mask")[0].as_py()], pa.int32()),
                      pa.array([[t.column(n)[0].as_py() for n in names]], pa.list_(pa.string())),
                      pa.array([t.column("query_id").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("q_limit").to_pylist()], pa.list_(pa.int32())),
-                     pa.array([x[ok].tobytes()], pa.binary()), pa.array([t.column("least").to_pylist()], pa.list_(pa.float64())),
-                     pa.array([t.column("seen").to_pylist()], pa.list_(pa.int64()))],
-                    ["dim", "mask", "wanted", "q_ids", "q_limits", "q_mat", "q_least", "q_seen"])
+                     pa.array([x[ok].tobytes()], pa.binary())],
+                    ["dim", "mask", "wanted", "q_ids", "q_limits", "q_mat"])
 
     return rows.mapInArrow(run, LOOKUP_PACK_FIELDS)
 
 
+# ---- packs and lookups together
+def grid_shape(spark: SparkSession, held_bytes: int, lookups: int) -> tuple[int, int]:
+    """(groups of packs, parts of the lookups): a group is what a task holds, a part what streams past it."""
+    groups = max(1, -(-held_bytes // GROUP_BYTES))
+    wanted = max(-(-2 * spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS))
+    return groups, max(1, min(wanted, -(-lookups // LOOKUP_ROWS)))
+
+
+def grid(packs: DataFrame, lookup_packs: DataFrame, shape: tuple[int, int], work, fields: str) -> DataFrame:
+    """Every group of packs with every part of the lookups in one task: ``work(cells)`` as in mapInArrow, over ``cells(batches)``.
+
+    A pack moves once for each part and a lookup once for each group, whatever the number of pairs. Rows of a group and part
+    come together, its packs first; a task holds those and takes the lookups one pack after another.
+    """
+    groups, parts = shape
+    held = packs.withColumns({"_group": F.pmod(F.xxhash64("pblock"), F.lit(groups)).cast("int"), "_kind": F.lit(0)})
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = lookup_packs.withColumns({"_part": F.pmod(F.xxhash64("q_ids"), F.lit(parts)).cast("int"), "_kind": F.lit(1)})
+    asked = asked.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = held.unionByName(asked, allowMissingColumns=True)
+    both = both.repartition(min(4 * groups * parts, 4096), "_group", "_part").sortWithinPartitions(
+        "_group", "_part", "_kind", *[c for c in ("dim", "mask", "wanted") if c in lookup_packs.columns])
+    return both.mapInArrow(work, fields)
+
+
+def cells(batches):
+    """(rows of the packs, iterator over the rows of the lookups) of each group and part of a ``grid``."""
+    def rows():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1).to_pylist()[0]
+
+    for _, mine in itertools.groupby(rows(), key=lambda r: (r["_group"], r["_part"])):
+        yield itertools.groupby(mine, key=lambda r: r["_kind"])
+
+
 def upper_bounds(q: np.ndarray, packs: list[dict]) -> np.ndarray:
     """Largest cosine that each lookup can have with a vector of each pack."""
     dim = q.shape[1]
@@ -225,54 +250,3 @@ def upper_bounds(q: np.ndarray, packs: list[dict]) -> np.ndarray:
     wide = np.arccos(np.clip([p["least"] for p in packs], -1, 1))
     gap = np.arccos(np.clip(q @ centre.T, -1, 1)) - wide
     return np.where(~centre.any(axis=1), 1.0, np.cos(np.maximum(gap, 0))) + 1e-9
-
-
-def nearest_packs(lookup_packs: DataFrame, routes: DataFrame) -> DataFrame:
-    """(query_id, pblock): of the packs on each lookup's routes, the one with the most similar centroid."""
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q = np.frombuffer(r["q_mat"]).reshape(-1, r["dim"])
-                cos = q @ np.frombuffer(b"".join(p["centroid"] for p in r["packs"])).reshape(-1, r["dim"]).T
-                best = cos.argmax(axis=1)
-                block = np.array([p["pblock"] for p in r["packs"]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(r["q_ids"], pa.int64()), pa.array(block[best]), pa.array(cos[np.arange(len(q)), best])],
-                                                 ["query_id", "pblock", "cos"])
-
-    both = lookup_packs.join(routes, ["dim", "mask", "wanted"]).select("dim", "q_ids", "q_mat", "packs")
-    found = both.mapInArrow(run, "query_id long, pblock long, cos double")
-    return found.groupBy("query_id").agg(F.max_by("pblock", F.struct("cos", "pblock")).alias("pblock"))
-
-
-def asked_packs(lookup_packs: DataFrame, routes: DataFrame, above: float | None, only_seen: bool = False) -> DataFrame:
-    """The lookups that each pack is asked.
-
-    All on the pack's routes; less those that cannot find there what they need (q_least, rounded as scores are,
-    or ``above``), and those that have seen it. ``only_seen``: those that name the pack as seen instead.
-    """
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q = np.frombuffer(r["q_mat"]).reshape(-1, r["dim"])
-                least = np.array([-np.inf if x is None else x for x in r["q_least"]])
-                seen = np.array([-1 if x is None else x for x in r["q_seen"]], np.int64)
-                bounded = not only_seen and (above is not None or np.isfinite(least).any())
-                top = upper_bounds(q, r["packs"]) if bounded else None
-                for j, p in enumerate(r["packs"]):
-                    if only_seen:
-                        need = seen == p["pblock"]
-                    else:
-                        need = seen != p["pblock"]
-                        if bounded:
-                            need &= np.round(top[:, j], 4) >= least
-                            if above is not None:
-                                need &= top[:, j] > above
-                    at = np.flatnonzero(need)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([p["pblock"]], pa.int64()), pa.array([r["dim"]], pa.int32()), pa.array([r["mask"]], pa.int32()),
-                             pa.array([r["wanted"]], pa.list_(pa.string())), pa.array([[r["q_ids"][i] for i in at]], pa.list_(pa.int64())),
-                             pa.array([[r["q_limits"][i] for i in at]], pa.list_(pa.int32())), pa.array([q[at].tobytes()], pa.binary())],
-                            ["pblock", "dim", "mask", "wanted", "q_ids", "q_limits", "q_mat"])
-
-    return lookup_packs.join(routes, ["dim", "mask", "wanted"]).mapInArrow(run, ASK_FIELDS)
