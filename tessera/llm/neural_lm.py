@@ -9,7 +9,7 @@ weighed by position; its product with a class's vector plus a bias is that class
 score. It is trained by noise-contrastive estimation in numpy: the counts of all
 class triples of the training texts are a table of at most classes**3 rows, dealt
 into a fixed number of parts; each epoch trains every part from the same
-parameters by draws in proportion to the counts, and averages the parts' results.
+parameters on all of its counts, each with its whole weight, and averages the parts' results.
 Then one matrix product gives the normaliser of every context. A word outside the
 classes has the probability of its class times its smoothed share in it.
 
@@ -121,15 +121,25 @@ def sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, values.ravel(), n * d).reshape(n, d).astype(np.float32)
 
 
+def pieces(times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, weight): every count cut into equal pieces of at most ``most``-th of the sum, so that no step is one count's."""
+    cuts = np.maximum(np.ceil(times * (most / times.sum())).astype(np.int64), 1)
+    return np.repeat(np.arange(len(times)), cuts), np.repeat(times / cuts, cuts)
+
+
 def train_part(model: dict[str, np.ndarray], triple: np.ndarray, times: np.ndarray, share: np.ndarray, steps: int, seed: int):
-    """Noise-contrastive steps (AdaGrad) on draws from one part of the counts."""
+    """Noise-contrastive steps (AdaGrad) over all counts of one part, each with its whole weight; ``steps`` at least."""
     rng = np.random.default_rng(seed)
     model = {k: v.copy() for k, v in model.items()}
     square = {k: np.full_like(v, 1e-3) for k, v in model.items()}
-    upto, noise_upto, n = np.cumsum(times / times.sum()), np.cumsum(share), len(share)
+    noise_upto, n = np.cumsum(share), len(share)
     log_noise = np.log(NOISE * share).astype(np.float32)
-    for _ in range(steps):
-        drawn = triple[np.minimum(np.searchsorted(upto, rng.random(DRAW)), len(triple) - 1)]
+    index, weight = pieces(times, max(len(times), steps * DRAW))
+    order = rng.permutation(len(index))
+    steps = max(steps, -(-len(index) // DRAW))
+    weight = (weight * (steps / times.sum())).astype(np.float32)  # a step's weights sum to 1 on average
+    for of_step in np.array_split(order, steps):
+        drawn, part = triple[index[of_step]], weight[of_step]
         a, b, w = drawn // (n * n), drawn // n % n, drawn % n
         noise = np.minimum(np.searchsorted(noise_upto, rng.random(NOISE)), n - 1)
         context, target, place, bias = (model[k] for k in ("context", "target", "place", "bias"))
@@ -137,8 +147,8 @@ def train_part(model: dict[str, np.ndarray], triple: np.ndarray, times: np.ndarr
         h = place[0] * ca + place[1] * cb
         good = np.einsum("ij,ij->i", h, target[w]) + bias[w] - log_noise[w]
         bad = h @ target[noise].T + bias[noise] - log_noise[noise]
-        g = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / DRAW
-        gn = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / DRAW
+        g = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) * part
+        gn = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) * part[:, None]
         back = g[:, None] * target[w] + gn @ target[noise]
         grads = {
             "context": sums(a, place[0] * back, n) + sums(b, place[1] * back, n),
@@ -168,7 +178,7 @@ def part_trainer(model: dict[str, np.ndarray], share: np.ndarray, epoch: int):
     def work(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         triple, times = group.column("triple").to_numpy(), group.column("times").to_numpy()
-        order = np.argsort(triple)  # the same draws in whatever order the rows come
+        order = np.argsort(triple)  # the same steps in whatever order the rows come
         got = train_part(model, triple[order], times[order], share, STEPS, seed=1000 * epoch + part)
         return pa.table({"weight": [float(times.sum())], "values": [flat(got).tobytes()]},
                         pa.schema([("weight", pa.float64()), ("values", pa.binary())]))

@@ -461,3 +461,21 @@ def test_pipeline_stages(spark):
             assert {d: r.decoded_sha256 for d, r in got.items()} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in seen.items()}
             break
         seen = {d: r.text for d, r in got.items()}
+
+
+def test_lm_training_uses_every_count():
+    rng = np.random.default_rng(8)
+    n = neural_lm.CLASSES
+    triple = np.unique(rng.integers(0, n, 20_000) * n * n + rng.integers(0, n * n, 20_000))
+    times = rng.integers(1, 5, len(triple))
+    times[0] = 50_000
+    index, weight = neural_lm.pieces(times, 1000)
+    assert np.allclose(np.bincount(index, weight), times) and weight.max() <= times.sum() / 1000
+    first = neural_lm.first_model(np.full(n, 1 / n))
+    got = neural_lm.train_part(first, triple, times, np.full(n, 1 / n), 1, 0)
+    used = np.unique(np.concatenate([triple // (n * n), triple // n % n]))
+    assert (got["context"][used] != first["context"][used]).any(axis=1).all()
+    # a count of one more changes the model
+    more = times.copy()
+    more[-1] += 1
+    assert not np.array_equal(neural_lm.train_part(first, triple, more, np.full(n, 1 / n), 1, 0)["target"], got["target"])
