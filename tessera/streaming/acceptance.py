@@ -1,13 +1,16 @@
 """Acceptance of each (region, vendor) kept live in a stream's keyed state, with changed and repeated verdicts taken back.
 
 State, per (region, vendor) and one of SALTS parts of the line ids (so that a hot pair is not one task): how many lines count and how many of
-them are accepted, and what each line last said. A line that comes again with the same verdict changes nothing; with another one
+them are accepted, and what each line last said (in buckets of lines, so that calls to the state do not grow with the lines). A line that comes again with the same verdict changes nothing; with another one
 its old verdict is taken back first; with none it is taken out. The watermark runs ``horizon_days`` behind the newest event. What is older comes
 too late and is left out, and a timer on event time forgets what the lines of a day said once the day is behind the watermark: they still
 count, but can no longer be changed. The state lives in the RocksDB store and so outlasts a restart.
 """
 from __future__ import annotations
 
+import json
+import zlib
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ from tessera.operators import feedback as FB
 from tessera.streaming.jobs import run_available
 
 SALTS = 4
+BUCKETS = 512  # of the lines of a key: what they said is read and written a bucket at a time
 DAY_MS = 86_400_000
 OUT = "region string, vendor string, salt int, n long, n_accepted long"
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -30,34 +34,44 @@ class Acceptance(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counts = handle.getValueState("counts", "n long, n_accepted long")
-        self.said = handle.getMapState("said", "line string", "accepted boolean, day long")
+        self.said = handle.getMapState("said", "bucket int", "lines string")
 
     def handleInputRows(self, key, rows, timerValues):
         n, yes = self.counts.get() if self.counts.exists() else (0, 0)
-        days = set()
+        days, told = set(), {}
         for pdf in rows:
             for line, verdict, day in zip(pdf["line"], pdf["verdict"], pdf["day_ms"]):
-                known = self.said.containsKey((line,))
-                if known:
-                    old, _ = self.said.getValue((line,))
-                    n, yes = n - 1, yes - int(old)
+                told.setdefault(zlib.crc32(line.encode()) % BUCKETS, []).append((line, verdict, int(day)))
+        for bucket, lines in told.items():  # a bucket is read and written once
+            said = json.loads(self.said.getValue((bucket,))[0]) if self.said.containsKey((bucket,)) else {}
+            for line, verdict, day in lines:
+                if line in said:
+                    n, yes = n - 1, yes - said.pop(line)[0]
                 if verdict is None or verdict == "":
-                    if known:
-                        self.said.removeKey((line,))
                     continue
-                accepted = verdict == "accepted"
-                n, yes = n + 1, yes + int(accepted)
-                self.said.updateValue((line,), (accepted, int(day)))
-                days.add(int(day))
+                accepted = int(verdict == "accepted")
+                n, yes = n + 1, yes + accepted
+                said[line] = (accepted, day)
+                days.add(day)
+            self._keep(bucket, said)
         self.counts.update((n, yes))
         for day in days:
             self.handle.registerTimer(max(day + DAY_MS, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame([(*key, n, yes)], columns=["region", "vendor", "salt", "n", "n_accepted"])
 
+    def _keep(self, bucket: int, said: dict) -> None:
+        if said:
+            self.said.updateValue((bucket,), (json.dumps(said),))
+        else:
+            self.said.removeKey((bucket,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = expiredTimerInfo.getExpiryTimeInMs()
-        for line in [k for k, (_, day) in self.said.iterator() if day + DAY_MS <= until]:
-            self.said.removeKey(line)
+        for (bucket,), (lines,) in list(self.said.iterator()):
+            said = json.loads(lines)
+            left = {k: x for k, x in said.items() if x[1] + DAY_MS > until}
+            if len(left) < len(said):
+                self._keep(bucket, left)
         return iter(())
 
     def close(self) -> None:
