@@ -29,16 +29,16 @@ def join_keeping_nulls(left: DataFrame, right: DataFrame, keys: list[str], how:
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least the cluster's default parallelism.
+def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None, rows_each: int = 50_000) -> DataFrame:
+    """Round-robin ``df`` over at least the cluster's default parallelism, and over so many partitions that one has about
+    ``rows_each`` rows of its driving input (``probe``, a plain scan, counted from its footers; else ``df`` itself).
 
-    Only when its driving input (``probe``, a plain scan; else ``df`` itself)
-    has fewer partitions than that (a small table in one file): CPU-heavy row
-    work after it then uses every core. A large input already has more
-    partitions than cores and passes through untouched, no shuffle.
+    Only when that input has fewer partitions: narrow rows pack by the million into one file split, and
+    CPU-heavy row work after it would run in few long tasks. Otherwise it passes through untouched, no shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if (probe if probe is not None else df).rdd.getNumPartitions() < target:
+    given = probe if probe is not None else df
+    target = max(min_partitions or df.sparkSession.sparkContext.defaultParallelism, -(-given.count() // rows_each))
+    if given.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 

@@ -19,6 +19,7 @@ from tessera.sources.tables import read_table
 SHOP_URL = "https://shop.example.com/p/"
 UNITS = ["€", "€/m²", "€/sqm"]
 UNKNOWN_REGION = "ATLANTIS"
+PAGES_EACH = 1000  # pages of a task, about: Python takes in those of a task at once
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> Column:
@@ -184,7 +185,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera import fixed
     pg = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
-    p = spread(pg.join(part, pg.page_id == part.p_partkey, "left"), probe=pg)
+    p = spread(pg.join(part, pg.page_id == part.p_partkey, "left"), probe=pg, rows_each=PAGES_EACH)
     i = F.col("page_id")
     txt = price_display(F.col("p_retailprice"))
     block = (F.when(i % 4 == 0, F.concat(F.lit('<span class="price">'), txt, F.lit(" €/m2</span>")))
