@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.functions.plan import materialize
 from tessera.operators import match as M
 from tessera.operators import pricing as P
 from tessera.session import scratch_path
@@ -89,7 +90,9 @@ def assemble(parsed: DataFrame, catalog: DataFrame, encode, margin: float = fixe
     (1 + margin) x (1 + task VAT), before de-dup and without the price.
     Total = ceil(prices + margin term + labour).
     """
-    tt = task_totals_expr(F.col("tasks"), F.col("city"), vat_rules)
+    tt = task_totals_expr(F.col("_tasks"), F.col("_city"), vat_rules)
+    # the totals refer to the task list many times: it is worked out once
+    parsed = materialize(parsed, _tasks=F.col("tasks"), _city=F.col("city"))
     base = parsed.select("proposal_id", "renovation_type", "region", "vendor", "materials",
                          *[v.alias(k) for k, v in tt.items()])
     # one row per (proposal, material); proposals without materials keep one null row

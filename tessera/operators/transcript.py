@@ -25,8 +25,6 @@ CLAUSE_SPLIT = r"[,.;:!?]| and | from | for | with | in | at | on | near | et |
 QUALITY_WORDS = [("high", ["better quality", "premium", "high-end"]), ("low", ["budget", "cheap"])]
 UNIT_WORDS = [("€/m²", ["m2", "m²", "sqm"]), ("€/litre", ["litre", "liter"])]
 
-# any material keyword as a substring (keywords are plain words, quoted for safety)
-MATERIAL_RE = "|".join("\\Q" + w + "\\E" for w in fixed.MATERIAL_KEYWORDS)
 CITY_PATTERN = "(" + "|".join(fixed.LABOUR_CITIES) + ")"
 
 
@@ -43,32 +41,35 @@ def vendor_mention(text: Column) -> Column:
 def place_mention(text: Column) -> Column:
     """Earliest gazetteer place in the text (case-sensitive), ties to list order: struct(place, region).
 
-    Positions are combined with ``least`` (nulls ignored), so the rule is plain
-    generated code with no lambda functions.
+    A place's key is its position (none: beyond all others) and its number; the least key is evaluated once.
     """
-    keys = [F.when(F.instr(text, F.lit(p)) > 0, F.instr(text, F.lit(p)).cast("long") * 1000 + i)
-            for i, (p, _) in enumerate(GAZETTEER)]
-    best = F.least(*keys)
-    idx = (best % 1000).cast("int") + 1
-    places = F.array(*[F.lit(p) for p, _ in GAZETTEER])
-    regions = F.array(*[F.lit(r) for _, r in GAZETTEER])
-    return F.when(best.isNotNull(), F.struct(F.element_at(places, idx).alias("place"),
-                                             F.element_at(regions, idx).alias("region")))
+    keys = [(F.instr(text, F.lit(p)) - 1).bitwiseAND(_FAR).cast("long") * 1000 + i for i, (p, _) in enumerate(GAZETTEER)]
+    best = F.least(*keys, F.lit((_FAR - 1) * 1000 + len(GAZETTEER)).cast("long"))
+    places = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(r).alias("region")) for p, r in GAZETTEER])
+    return F.get(places, (best % 1000).cast("int"))  # no place: beyond the array
 
 
-# Clause boundary marker used after normalising every separator.
+_FAR = 0x7FFFFFFF
+
+# Always a clause boundary, too.
 _SEP = "\u0001"
+# The same boundaries, their blanks tried once.
+_BOUNDARY = "[,.;:!?" + _SEP + "]| (?:and|from|for|with|in|at|on|near|et|de|pour) "
+_SPACE = " \t\n\x0b\f\r"
+_LINE_ENDS = ("\u0085", "\u2028", "\u2029")  # besides the white space: one at the end of the text is no part of a clause
 
 
 def material_phrases(text: Column) -> Column:
     """Distinct, sorted clauses of the lowercased text that contain a material word.
 
-    Separators become one marker, then a single regex extracts every clause
-    holding a keyword, trimmed; no lambda functions, so it stays in generated code.
+    The text is split once at the separators; a clause is trimmed and kept if one of the words is in it (plain
+    substring tests, where one regex over clauses and words would try every word at every place).
     """
-    marked = F.regexp_replace(F.lower(text), CLAUSE_SPLIT, _SEP)
-    clause = ("(?:^|" + _SEP + ")\\s*([^" + _SEP + "]*?(?:" + MATERIAL_RE + ")[^" + _SEP + "]*?)\\s*(?=" + _SEP + "|$)")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(marked, F.lit(clause), 1)))
+    t = F.lower(text)
+    ended = F.endswith(t, F.lit(_LINE_ENDS[0])) | F.endswith(t, F.lit(_LINE_ENDS[1])) | F.endswith(t, F.lit(_LINE_ENDS[2]))
+    t = F.when(ended, F.left(t, F.length(t) - 1)).otherwise(t)
+    clauses = F.filter(F.split(t, _BOUNDARY), lambda c: contains_any(c, fixed.MATERIAL_KEYWORDS))
+    return F.sort_array(F.array_distinct(F.transform(clauses, lambda c: F.btrim(c, F.lit(_SPACE)))))
 
 
 def zone(text: Column) -> Column:
