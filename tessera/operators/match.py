@@ -21,8 +21,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +61,7 @@ class PackedCatalog:
 
     def __init__(self, catalog: DataFrame, cfg: MatchConfig | None = None, extra_col: str | None = None):
         self.cfg, self.extra_col = cfg or MatchConfig(), extra_col
-        rows = catalog.select("product_id", F.col("embedding").cast("array<double>").alias("embedding"),
+        rows = catalog.select("product_id", PK.vector_column(catalog).alias("embedding"),
                               *[F.col(f).cast("string").alias(f) for f in self.cfg.filters],
                               (F.col(extra_col).cast("double") if extra_col else F.lit(None).cast("double")).alias("extra"))
         rows = rows.where(PK.usable(F.col("embedding"))).withColumn("dim", F.size("embedding"))
@@ -82,28 +82,36 @@ class PackedCatalog:
 
 
 class Group:
-    """The packs that a task holds: their rows and vectors one after another, and their routes."""
+    """The packs that a task holds: their rows and, by length, their vectors one after another, once; and their routes."""
 
     def __init__(self, packs, cfg: MatchConfig):
-        self.cfg, self.packs, self.routes, ids, extra, values = cfg, [], {}, [], [], []
-        rows = vectors = 0
+        self.cfg, self.packs, self.routes, ids, extra, values, held = cfg, [], {}, [], [], [], {}
+        rows, vectors = 0, {}
         for p in packs:
-            owner = np.frombuffer(p["owner"], np.int32) + vectors
+            owner = np.frombuffer(p["owner"], np.int32) + vectors.setdefault(p["dim"], 0)
+            held.setdefault(p["dim"], []).append(PK.matrix(p["vectors"], p["n_vectors"], p["dim"]))
             ids.append(pa.array(p["ids"], pa.string()))
             extra.append(np.array([np.nan if x is None else x for x in p["extra"]], np.float64))
             values.append([pa.array(v, pa.string()).dictionary_encode() for v in p["values"]])
             for r in p["routes"]:
                 self.routes.setdefault((p["dim"], r["mask"], tuple(r["wanted"])), []).append(len(self.packs))
-            self.packs.append({"at": rows, "first": vectors, "vectors": np.frombuffer(p["vectors"]).reshape(-1, p["dim"]), "owner": owner,
-                               "centroid": p["centroid"], "least": p["least"]})
-            rows, vectors = rows + len(owner), vectors + p["n_vectors"]
+            self.packs.append({"at": rows, "owner": owner, "centroid": p["centroid"], "least": p["least"]})
+            rows += len(owner)
+            vectors[p["dim"]] += p["n_vectors"]
+        self.held = {dim: np.concatenate(held.pop(dim)) for dim in vectors}
         self.ids = pa.concat_arrays(ids) if ids else None
         self.extra = np.concatenate(extra) if extra else None
         self.values = [[(v.indices.to_numpy(zero_copy_only=False), v.dictionary.to_pylist()) for v in of] for of in values]
+        # places of the rows by product id, equal ids at one place
+        self.place = pc.rank(self.ids, tiebreaker="dense").to_numpy() if ids else None
         self.route, self.chosen = None, None
 
+    def units(self, dim: int, own: np.ndarray) -> np.ndarray:
+        """Unit vectors of the given numbers."""
+        return PK.units(self.held[dim][own])
+
     def choose(self, dim: int, mask: int, wanted: tuple):
-        """The packs on a route, with the rows that pass and the vectors that these share; kept for the next lookups."""
+        """The packs on a route, with the numbers of the vectors that the rows that pass share, and these rows; kept for the next lookups."""
         if self.route == (dim, mask, wanted):
             return self.chosen
         self.route, self.chosen = (dim, mask, wanted), []
@@ -117,7 +125,7 @@ class Group:
             members = np.flatnonzero(passed)
             if len(members):
                 own, starts = np.unique(p["owner"][members], return_index=True)
-                self.chosen.append((p, p["vectors"][own - p["first"]], members + p["at"], starts))
+                self.chosen.append((p, own, members + p["at"], starts))
         return self.chosen
 
 
@@ -164,7 +172,7 @@ class Top:
 
 
 def _k_rows(r, c, sim, k: int, members, starts, group: Group, by_extra: bool):
-    """Top-k of each lookup by (score or extra, product id): (row, product, similarity, extra); c: vectors, members: rows behind them.
+    """Top-k of each lookup by (score or extra, product id), some lookups at a time: (row, member, similarity); c: vectors, members: rows behind them.
 
     Every vector that ties with the k-th key is a candidate, then the exact order picks k of the products behind.
     """
@@ -176,35 +184,40 @@ def _k_rows(r, c, sim, k: int, members, starts, group: Group, by_extra: bool):
     ok = key >= key[last]
     r, c, sim = r[ok], c[ok], sim[ok]
     size = np.diff(np.append(starts, len(members)))[c]
-    at = np.repeat(np.arange(len(r)), size)
-    member = members[starts[c][at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)]
-    extra = group.extra[member]
-    df = pd.DataFrame({"row": r[at], "key": -extra if by_extra else np.round(sim[at], 4), "product_id": group.ids.take(pa.array(member)).to_pylist(),
-                       "sim": sim[at], "extra": extra})
-    df = df.sort_values(["row", "key", "product_id"], ascending=[True, False, True], kind="mergesort")
-    return df.groupby("row", sort=False).head(k)
+    upto, a = np.cumsum(size), 0
+    while a < len(r):
+        # whole lookups with TIED_ROWS rows behind their vectors, or one with more
+        b = max(a + 1, np.searchsorted(upto, upto[a] - size[a] + TIED_ROWS, side="right"))
+        b = np.searchsorted(r, r[b - 1], side="right")
+        at = np.repeat(np.arange(a, b), size[a:b])
+        member = members[starts[c[at]] + np.arange(len(at)) - np.repeat(upto[a:b] - size[a:b] - (upto[a] - size[a]), size[a:b])]
+        order = np.lexsort((group.place[member], group.extra[member] if by_extra else -np.round(sim[at], 4), r[at]))
+        at, member = at[order], member[order]
+        ok = np.arange(len(at)) - np.searchsorted(r[at], r[at]) < k
+        yield r[at[ok]], member[ok], sim[at[ok]]
+        a = b
 
 
 def _score(cfg: MatchConfig, path: int, k: int):
     """Body of a ``grid`` of packs and lookups: the best k of each group for each lookup, and a row with what was scored."""
-    def rows(df, q_ids, q_lim):
-        at, n = df["row"].to_numpy(), len(df)
+    def rows(at, member, sim, group, q_ids, q_lim):
+        n = len(at)
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(q_ids[at]), pa.array(df["product_id"], pa.string()), pa.array(df["sim"], pa.float64()), pa.array(np.full(n, path), pa.int32()),
-             pa.array(df["extra"], pa.float64()), pa.array(q_lim[at], pa.int32()), none, none], NAMES)
+            [pa.array(q_ids[at]), group.ids.take(pa.array(member)), pa.array(sim, pa.float64()), pa.array(np.full(n, path), pa.int32()),
+             pa.array(group.extra[member], pa.float64(), from_pandas=True), pa.array(q_lim[at], pa.int32()), none, none], NAMES)
 
-    def scored(Q, chosen, V, key):
+    def scored(Q, chosen, own, key, group):
         """(top, pairs of lookup and pack, cells) of some lookups."""
         top = Top(len(Q), k, cfg.min_score)
         if key is not None or not cfg.prune:
-            for a in range(0, len(V), SCORE_VECTORS):
-                S = Q @ V[a:a + SCORE_VECTORS].T
+            for a in range(0, len(own), SCORE_VECTORS):
+                S = Q @ group.units(Q.shape[1], own[a:a + SCORE_VECTORS]).T
                 if key is not None:
                     top.offer_keyed(S, a, key[a:a + SCORE_VECTORS])
                 else:
                     top.offer(np.arange(len(Q)), S, a)
-            return top, len(Q) * len(chosen), len(Q) * len(V)
+            return top, len(Q) * len(chosen), len(Q) * len(own)
         bound = PK.upper_bounds(Q, [c[0] for c in chosen])
         near = (Q @ np.frombuffer(b"".join(c[0]["centroid"] for c in chosen)).reshape(-1, Q.shape[1]).T).argmax(axis=1)
         first = np.cumsum([0] + [len(c[1]) for c in chosen])
@@ -218,7 +231,7 @@ def _score(cfg: MatchConfig, path: int, k: int):
                         need &= bound[:, j] > cfg.min_score
                 at = np.flatnonzero(need)
                 if len(at):
-                    top.offer(at, Q[at] @ c[1].T, first[j])
+                    top.offer(at, Q[at] @ group.units(Q.shape[1], c[1]).T, first[j])
                     asked, cells = asked + len(at), cells + len(at) * len(c[1])
         return top, asked, cells
 
@@ -238,38 +251,41 @@ def _score(cfg: MatchConfig, path: int, k: int):
                         continue
                     if route != (q["dim"], q["mask"], wanted):
                         route = (q["dim"], q["mask"], wanted)
-                        V = np.concatenate([c[1] for c in chosen]) if len(chosen) > 1 else chosen[0][1]
+                        own = np.concatenate([c[1] for c in chosen])
                         members = np.concatenate([c[2] for c in chosen])
                         before = np.cumsum([0] + [len(c[2]) for c in chosen])
                         starts = np.concatenate([c[3] + b for c, b in zip(chosen, before)])
                         key = None
                         if cfg.order_extra:
-                            V, members, starts, key = _by_extra(V, members, starts, group.extra)
+                            own, members, starts, key = _by_extra(own, members, starts, group.extra)
                     Q, q_ids, q_lim = (np.frombuffer(q["q_mat"]).reshape(-1, q["dim"]), np.array(q["q_ids"], np.int64), np.array(q["q_limits"], np.int64))
-                    step = max(1, cfg.score_chunk_cells // max(SCORE_VECTORS, len(chosen)))
+                    step = max(1, min(SCORE_LOOKUPS, cfg.score_chunk_cells // max(SCORE_VECTORS, len(chosen))))
                     for s in range(0, len(Q), step):
-                        top, pairs, done = scored(Q[s:s + step], chosen, V, key)
+                        top, pairs, done = scored(Q[s:s + step], chosen, own, key, group)
                         asked, cells = asked + pairs, cells + done
                         kept = top.kept()
                         if kept is not None:
-                            yield rows(_k_rows(*kept, k, members, starts, group, cfg.order_extra), q_ids[s:s + step], q_lim[s:s + step])
+                            for best in _k_rows(*kept, k, members, starts, group, cfg.order_extra):
+                                yield rows(*best, group, q_ids[s:s + step], q_lim[s:s + step])
         one = {"cells": cells, "asked": asked}
         yield pa.RecordBatch.from_arrays([pa.array([one.get(n)], t) for n, t in zip(NAMES, TYPES)], NAMES)
 
     return score
 
 
-def _by_extra(V, members, starts, extra):
-    """The vectors, the rows behind them, their starts and the falling keys: by the least extra of a vector."""
+def _by_extra(own, members, starts, extra):
+    """The vectors' numbers, the rows behind them, their starts and the falling keys: by the least extra of a vector."""
     key = -np.minimum.reduceat(extra[members], starts)
     order = np.argsort(-key, kind="stable")
     size = np.diff(np.append(starts, len(members)))[order]
     ends = np.cumsum(size)
     at = np.arange(len(members)) - np.repeat(ends - size, size)
-    return V[order], members[np.repeat(starts[order], size) + at], ends - size, key[order]
+    return own[order], members[np.repeat(starts[order], size) + at], ends - size, key[order]
 
 
 SCORE_VECTORS = 2048  # vectors of a matrix product
+SCORE_LOOKUPS = 256  # lookups of a matrix product, at most
+TIED_ROWS = 1 << 17  # rows behind tying vectors that are put in order at once
 NEARLY = 0.5e-4 + 1e-9  # a similarity so much below a rounded one may round to it
 NAMES = ["query_id", "product_id", "sim", "path", "extra", "q_limit", "cells", "asked"]
 TYPES = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
@@ -311,7 +327,8 @@ class Search:
         asked = PK.pack_lookups(lookups, self.cfg.filters, min(self.cfg.query_block_rows, PK.LOOKUP_ROWS))
         packs = self.catalog.packs.select("pblock", "dim", "n_vectors", "vectors", "ids", "owner", "values", "extra", "centroid", "least", "routes")
         shape = PK.grid_shape(packs.sparkSession, self.catalog.n_bytes, self.n_lookups)
-        return self._store(PK.grid(packs, asked, shape, _score(self.cfg, path, k), CAND_SCHEMA), "candidates")
+        with PK.small_batches(packs.sparkSession):
+            return self._store(PK.grid(packs, asked, shape, _score(self.cfg, path, k), CAND_SCHEMA), "candidates")
 
     def hits(self) -> DataFrame:
         """(query_id, rank, product_id, sim, extra, degraded)."""
@@ -327,6 +344,12 @@ class Search:
         return packs.join(F.broadcast(did)).select(n.alias("lookups"), "products", "packs", (n * F.col("products")).alias("grid"), "cells",
                                                    (n * F.col("packs")).alias("pairs"), "asked")
 
+    def trim(self) -> None:
+        """Delete the packs and lookups that the search stored; its results can still be read, its report not."""
+        gone = [x for x in self.kept if not x._stored_at.rsplit("/", 1)[-1].startswith("candidates-")]
+        self.kept = [x for x in self.kept if all(x is not y for y in gone)]
+        discard(*gone)
+
     def close(self) -> None:
         """Delete what the search stored; its results cannot be read after that."""
         discard(*self.kept)
@@ -367,7 +390,9 @@ def top_k(queries: DataFrame, catalog, cfg: MatchConfig | None = None,
     queries: query_id long, embedding array, filter columns?, q_limit int?
     catalog: product_id string, embedding array, filter columns; or a PackedCatalog
     """
-    return Search(queries, catalog, cfg, extra_col).hits()
+    search = Search(queries, catalog, cfg, extra_col)
+    search.trim()
+    return search.hits()
 
 
 MAX_BROADCAST_HITS = 200_000  # result rows; about 100 bytes each before the display columns

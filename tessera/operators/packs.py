@@ -1,7 +1,7 @@
 """Packs of catalog vectors, their routes, and the lookups that each pack is asked.
 
 A pack holds up to ``block_rows`` catalog rows that lie next to each other by filter values and vector
-cell: the distinct unit vectors as one matrix, and behind each vector the rows that share it. Of rows with
+cell: the distinct vectors as one matrix (float elements as they are given, doubles as unit vectors), and behind each vector the rows that share it. Of rows with
 equal vector and equal filter values only the first ``keep`` in ranking order can be in any result, so no more are kept.
 
 A pack also states its routes: every combination of filter values found in it, for every subset of the
@@ -13,15 +13,18 @@ centroid less the pack's widest angle.
 from __future__ import annotations
 
 import itertools
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096  # vectors that the cells of an index are fitted on
-GROUP_BYTES = 48 << 20  # of packs that a task holds
+GROUP_BYTES = 24 << 20  # of packs that a task holds
+BATCH_BYTES = 8 << 20  # of packs and lookups that pass from the JVM to Python at once, about
 PART_LOOKUPS = 1 << 17  # lookups that a task takes, about
 LOOKUP_ROWS = 1024  # lookups of a pack, at most
 BUCKETS = 16  # parts over which the rows of one combination of filter values are dealt
@@ -47,6 +50,38 @@ def unit(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(ok, norm, 1.0)[:, None], ok
 
 
+def vector_column(rows: DataFrame) -> F.Column:
+    """The ``embedding`` of ``rows``: floats as they are, half as wide as doubles; other elements as doubles."""
+    kind = rows.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col("embedding") if single else F.col("embedding").cast("array<double>")
+
+
+def matrix(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The ``n`` vectors of a pack as they are stored: floats as given, or doubles of length 1."""
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * dim else np.float64).reshape(-1, dim)
+
+
+def units(stored: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows of a ``matrix``, in doubles; the same as ``unit`` gives."""
+    if stored.dtype == np.float64:
+        return stored
+    x = stored.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of rows of up to megabytes, as those of a ``grid``, are cut by bytes while this is open, not by 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def runs(batches, lead: list[str], most: int, least: int):
     """Tables of consecutive rows: at most ``most``, cut where column lead[0] changes and, from ``least`` rows on, where any does."""
     held, n, last = [], 0, None
@@ -139,6 +174,7 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
             return None
         frame = pd.DataFrame({"id": table.column("product_id").to_pylist(), "extra": table.column("extra").to_numpy(),
                               **{n: table.column(n).to_pylist() for n in names}}, columns=["id", "extra", *names])[ok]
+        given = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[ok]
         x = np.ascontiguousarray(x[ok])
         _, first, owner = np.unique(x.view(np.dtype((np.void, x.strides[0]))).ravel(), return_index=True, return_inverse=True)
         frame["owner"] = owner.ravel()
@@ -150,6 +186,7 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
             return None
         kept, owner = np.unique(frame["owner"].to_numpy(), return_inverse=True)
         v = x[first[kept]]
+        held = given[first[kept]] if given.dtype == np.float32 else v
         middle = v.mean(axis=0)
         norm = np.linalg.norm(middle)
         centre = middle / norm if norm > 0 else middle
@@ -157,7 +194,7 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
         tuples = set(zip(*values)) if names else {()}
         routes = {(m, tuple("" if not m >> i & 1 else t for i, t in enumerate(row))) for row in tuples for m in range(1 << len(names))
                   if all(t is not None for i, t in enumerate(row) if m >> i & 1)}
-        return {"pblock": pblock, "dim": dim, "n_given": int(ok.sum()), "n_rows": len(frame), "n_vectors": len(v), "vectors": v.tobytes(), "ids": frame["id"].tolist(),
+        return {"pblock": pblock, "dim": dim, "n_given": int(ok.sum()), "n_rows": len(frame), "n_vectors": len(v), "vectors": held.tobytes(), "ids": frame["id"].tolist(),
                 "owner": owner.astype(np.int32).tobytes(), "values": values, "extra": frame["extra"].to_numpy(np.float64),
                 "centroid": centre.tobytes(), "least": float((v @ centre).min()) if norm > 0 else -1.0,
                 "routes": [{"mask": m, "wanted": list(w)} for m, w in sorted(routes)]}
@@ -211,7 +248,7 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
 def grid_shape(spark: SparkSession, held_bytes: int, lookups: int) -> tuple[int, int]:
     """(groups of packs, parts of the lookups): a group is what a task holds, a part what streams past it."""
     groups = max(1, -(-held_bytes // GROUP_BYTES))
-    wanted = max(-(-2 * spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS))
+    wanted = max(-(-spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS))
     return groups, max(1, min(wanted, -(-lookups // LOOKUP_ROWS)))
 
 
@@ -219,7 +256,8 @@ def grid(packs: DataFrame, lookup_packs: DataFrame, shape: tuple[int, int], work
     """Every group of packs with every part of the lookups in one task: ``work(cells)`` as in mapInArrow, over ``cells(batches)``.
 
     A pack moves once for each part and a lookup once for each group, whatever the number of pairs. Rows of a group and part
-    come together, its packs first; a task holds those and takes the lookups one pack after another.
+    come together, its packs first; a task holds those and takes the lookups one pack after another. Run it with
+    ``small_batches``: else a batch is as large as all that a task reads.
     """
     groups, parts = shape
     held = packs.withColumns({"_group": F.pmod(F.xxhash64("pblock"), F.lit(groups)).cast("int"), "_kind": F.lit(0)})

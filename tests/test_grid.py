@@ -33,3 +33,36 @@ def test_many_groups_and_parts_give_the_same_rows(spark, monkeypatch):
     assert collect(M.top_k(q, cat, M.MatchConfig(prune=True, cells=30, **small))) == brute(P, Q, prods, qs)
     assert [sorted(map(tuple, M.top_k(q, cat, M.MatchConfig(**by_price, **small), "price").drop("sim").collect())),
             sorted(map(tuple, ann.AnnIndex.build(cat, q, cells=20, probes=20, block_rows=64).search(q, 5).drop("sim").collect()))] == whole
+
+
+def test_packs_hold_floats_as_given_and_doubles_as_unit_vectors(spark):
+    *_, cat, q = _data(spark)
+    sizes = []
+    for rows in (cat, cat.withColumn("embedding", F.col("embedding").cast("array<double>"))):
+        packed = M.PackedCatalog(rows, M.MatchConfig())
+        sizes.append(packed.packs.agg(F.sum(F.length("vectors"))).first()[0])
+        packed.unpersist()
+    assert sizes == [299 * 16 * 4, 299 * 16 * 8]
+
+
+def test_large_rows_reach_python_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(PK, "BATCH_BYTES", 100_000)
+    rows = spark.range(40).coalesce(1).select(F.repeat(F.lit("x"), 50_000).cast("binary").alias("b"))
+
+    def counted(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in batches])], ["n"])
+
+    with PK.small_batches(spark):
+        sizes = [r["n"] for r in rows.mapInArrow(counted, "n long").collect()]
+    assert max(sizes) <= 3 and sum(sizes) == 40
+    assert "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll
+
+
+def test_tying_rows_are_ordered_some_lookups_at_a_time(spark, monkeypatch):
+    P, Q, prods, qs, cat, q = _data(spark)
+    same = cat.withColumn("embedding", F.expr("transform(embedding, x -> float(1))"))
+    whole = collect(M.top_k(q, same))
+    monkeypatch.setattr(M, "TIED_ROWS", 7)
+    assert collect(M.top_k(q, same)) == whole
+    assert whole[0][0] == [f"p{i:04d}" for i in range(5)]
