@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.plan import stored
 from tessera.functions.vectors import cosine
 from tessera.operators import ann
 from tessera.operators import match as M
@@ -260,7 +259,7 @@ def ann_recall(spark, sf_dir):
 def ann_report(spark, sf_dir):
     """The approximate search held against the tables: lookups answered, rows, rows whose score is not the exact cosine, recall of 0.9."""
     cat, q = _ann_inputs(spark, sf_dir)
-    found = stored(ann.ann_top_k(q, cat, k=5), "ann-found")
+    found = ann.ann_top_k(q, cat, k=5)
     exact = M.top_k(q, cat, EXACT)
     mean = ann.recall_at_k(found, exact).agg(F.avg("recall").alias("recall"))
     pairs = (found.join(q.withColumnRenamed("embedding", "a"), "query_id")

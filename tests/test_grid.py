@@ -66,3 +66,14 @@ def test_tying_rows_are_ordered_some_lookups_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(M, "TIED_ROWS", 7)
     assert collect(M.top_k(q, same)) == whole
     assert whole[0][0] == [f"p{i:04d}" for i in range(5)]
+
+
+def test_a_search_leaves_no_packs_lookups_or_index(spark):
+    from tessera.session import scratch_path
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(scratch_path(spark, ""))
+    left = lambda: {str(f.getPath().getName()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+    *_, cat, q = _data(spark)
+    before = left()
+    assert M.top_k(q, cat).count() and ann.ann_top_k(q, cat).count()
+    assert {name.rsplit("-", 1)[0] for name in left() - before if not name.startswith(".")} == {"candidates", "ann-found"}
