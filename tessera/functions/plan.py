@@ -29,16 +29,20 @@ def join_keeping_nulls(left: DataFrame, right: DataFrame, keys: list[str], how:
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None, rows_each: int = 50_000) -> DataFrame:
+def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int | None = None, rows_each: int = 50_000,
+           merged: bool = False) -> DataFrame:
     """Round-robin ``df`` over at least the cluster's default parallelism, and over so many partitions that one has about
     ``rows_each`` rows of its driving input (``probe``, a plain scan, counted from its footers; else ``df`` itself).
 
     Only when that input has fewer partitions: narrow rows pack by the million into one file split, and
     CPU-heavy row work after it would run in few long tasks. Otherwise it passes through untouched, no shuffle.
+    ``merged``: ``df`` is a join of narrow rows whose shuffled partitions are merged by size, a few for millions of rows, however many
+    its input had; it is dealt out whenever its rows are more than one task's.
     """
     given = probe if probe is not None else df
-    target = max(min_partitions or df.sparkSession.sparkContext.defaultParallelism, -(-given.count() // rows_each))
-    if given.rdd.getNumPartitions() < target:
+    rows = given.count()
+    target = max(min_partitions or df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each))
+    if (merged and rows > rows_each) or given.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 

@@ -147,7 +147,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.lit(" on a tight budget")).otherwise(F.lit("")),
         F.lit("."))
     base = spread(orders.join(cust, orders.o_custkey == cust.c_custkey)
-                        .select("o_orderkey", "o_custkey", "c_nationkey"), probe=orders)
+                        .select("o_orderkey", "o_custkey", "c_nationkey"), probe=orders, merged=True)
     return materialize(base, transcript=text).select(k.alias("proposal_id"), "transcript")
 
 

@@ -69,3 +69,13 @@ def test_calls_to_the_state_do_not_grow_with_the_lines():
     assert handle.said.calls <= 3 * BUCKETS
     gone = lines.assign(verdict=None)[:20_000]
     assert next(made.handleInputRows(("EU", "v", 0), iter([gone]), handle)).iloc[0]["n"] == 0 and not handle.said
+
+
+def test_a_join_is_dealt_out_though_its_scan_has_many_partitions(spark, tmp_path):
+    for name, n, key in (("orders", 400, "o_orderkey"), ("customer", 40, "c_custkey")):
+        spark.range(n).withColumnRenamed("id", key).repartition(12).write.parquet(str(tmp_path / name))
+    orders, customer = spark.read.parquet(str(tmp_path / "orders")), spark.read.parquet(str(tmp_path / "customer"))
+    joined = orders.join(customer.hint("merge"), orders["o_orderkey"] % 40 == customer["c_custkey"])
+    assert spread(orders, min_partitions=2, rows_each=100).rdd.getNumPartitions() == orders.rdd.getNumPartitions() > 4
+    out = spread(joined, probe=orders, min_partitions=2, rows_each=100, merged=True)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 400
