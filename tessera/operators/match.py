@@ -7,8 +7,8 @@ Plan shape::
     groups of packs x parts of the lookups --a task each: matrix products--> local top-k per (lookup, group), never all pairs
     --window(query_id)--> top-k, rank
 
-A group's packs state their routes: values of a subset of the filters -> packs. A lookup is scored against the packs on its
-routes alone, and there against the distinct vectors of the rows that pass its filters. What moves is each pack once for
+A lookup is scored against the packs on its route alone, those that hold all the filter values it sets, and there against the
+distinct vectors of the rows that pass its filters. What moves is each pack once for
 every part of the lookups and each lookup once for every group. Only lookups that come back empty are asked again without filters; if there are none, nothing is
 read for that. With ``prune`` the nearest pack of each lookup in a group is scored first; the k-th score so far then rules out the packs
 in which no vector can be similar enough (``packs.upper_bounds``), so most packs of a clustered catalog are never scored.
@@ -67,10 +67,10 @@ class PackedCatalog:
         rows = rows.where(PK.usable(F.col("embedding"))).withColumn("dim", F.size("embedding"))
         centres = PK.fit_cells(rows, self.cfg.cells) if self.cfg.cells else None
         keep = max(self.cfg.cap, self.cfg.fallback_k)
-        self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs")
+        with PK.small_batches(catalog.sparkSession):
+            self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs")
         names = sum((F.length(F.array_join(v, "")) for v in (F.col("values")[i] for i in range(len(self.cfg.filters)))), F.lit(0))
-        size = self.packs.agg(F.sum(F.length("vectors") + 16 * F.col("n_rows") + F.length(F.array_join("ids", "")) + names
-                                    + 64 * F.size("routes"))).first()
+        size = self.packs.agg(F.sum(F.length("vectors") + 16 * F.col("n_rows") + F.length(F.array_join("ids", "")) + names)).first()
         self.n_bytes = size[0] or 0
 
     def compatible(self, cfg: MatchConfig, extra_col: str | None) -> bool:
@@ -82,10 +82,10 @@ class PackedCatalog:
 
 
 class Group:
-    """The packs that a task holds: their rows and, by length, their vectors one after another, once; and their routes."""
+    """The packs that a task holds: their rows and, by length, their vectors one after another, once."""
 
     def __init__(self, packs, cfg: MatchConfig):
-        self.cfg, self.packs, self.routes, ids, extra, values, held = cfg, [], {}, [], [], [], {}
+        self.cfg, self.packs, ids, extra, values, held = cfg, [], [], [], [], {}
         rows, vectors = 0, {}
         for p in packs:
             owner = np.frombuffer(p["owner"], np.int32) + vectors.setdefault(p["dim"], 0)
@@ -93,15 +93,13 @@ class Group:
             ids.append(pa.array(p["ids"], pa.string()))
             extra.append(np.array([np.nan if x is None else x for x in p["extra"]], np.float64))
             values.append([pa.array(v, pa.string()).dictionary_encode() for v in p["values"]])
-            for r in p["routes"]:
-                self.routes.setdefault((p["dim"], r["mask"], tuple(r["wanted"])), []).append(len(self.packs))
-            self.packs.append({"at": rows, "owner": owner, "centroid": p["centroid"], "least": p["least"]})
+            self.packs.append({"dim": p["dim"], "at": rows, "owner": owner, "centroid": p["centroid"], "least": p["least"]})
             rows += len(owner)
             vectors[p["dim"]] += p["n_vectors"]
         self.held = {dim: np.concatenate(held.pop(dim)) for dim in vectors}
         self.ids = pa.concat_arrays(ids) if ids else None
         self.extra = np.concatenate(extra) if extra else None
-        self.values = [[(v.indices.to_numpy(zero_copy_only=False), v.dictionary.to_pylist()) for v in of] for of in values]
+        self.values = [[(v.indices.to_numpy(zero_copy_only=False), {w: c for c, w in enumerate(v.dictionary.to_pylist())}) for v in of] for of in values]
         # places of the rows by product id, equal ids at one place
         self.place = pc.rank(self.ids, tiebreaker="dense").to_numpy() if ids else None
         self.route, self.chosen = None, None
@@ -115,13 +113,14 @@ class Group:
         if self.route == (dim, mask, wanted):
             return self.chosen
         self.route, self.chosen = (dim, mask, wanted), []
-        for j in self.routes.get((dim, mask, wanted), []):
-            p = self.packs[j]
+        asked = [(i, w) for i, w in enumerate(wanted) if mask >> i & 1]
+        for p, values in zip(self.packs, self.values):
+            if p["dim"] != dim or any(w not in values[i][1] for i, w in asked):
+                continue
             passed = np.ones(len(p["owner"]), bool)
-            for i, w in enumerate(wanted):
-                if mask >> i & 1:
-                    codes, names = self.values[j][i]
-                    passed &= codes == names.index(w) if w in names else False
+            for i, w in asked:
+                codes, names = values[i]
+                passed &= codes == names[w]
             members = np.flatnonzero(passed)
             if len(members):
                 own, starts = np.unique(p["owner"][members], return_index=True)
@@ -311,22 +310,24 @@ class Search:
         self.catalog = catalog if fits else PackedCatalog(catalog, cfg, extra_col)
         self.kept = [] if fits else [self.catalog.packs]
         lookups = self._store(_lookups(queries, cfg), "lookups")
-        self.n_lookups = lookups.count()
-        self.cands = self._pass(lookups, PATH_FILTERED, cfg.cap)
+        self.n_lookups, size = lookups.agg(F.count("*"), F.sum(8 * F.col("dim") + 12)).first()
+        self.lookup_bytes = (size or 0) / max(1, self.n_lookups)
+        self.cands = self._pass(lookups, self.n_lookups, PATH_FILTERED, cfg.cap)
         if cfg.use_filters and cfg.degrade:
             answered = self.cands.where("q_limit > 0").select("query_id").distinct()
-            if answered.count() < self.n_lookups:
+            n_left = self.n_lookups - answered.count()
+            if n_left > 0:
                 left = lookups.join(answered, "query_id", "left_anti").withColumns({f"w_{f}": F.lit("") for f in cfg.filters})
-                self.cands = self.cands.unionByName(self._pass(left, PATH_FALLBACK, cfg.fallback_k))
+                self.cands = self.cands.unionByName(self._pass(left, n_left, PATH_FALLBACK, cfg.fallback_k))
 
     def _store(self, df: DataFrame, name: str) -> DataFrame:
         self.kept.append(stored(df, name))
         return self.kept[-1]
 
-    def _pass(self, lookups: DataFrame, path: int, k: int) -> DataFrame:
+    def _pass(self, lookups: DataFrame, n: int, path: int, k: int) -> DataFrame:
         asked = PK.pack_lookups(lookups, self.cfg.filters, min(self.cfg.query_block_rows, PK.LOOKUP_ROWS))
-        packs = self.catalog.packs.select("pblock", "dim", "n_vectors", "vectors", "ids", "owner", "values", "extra", "centroid", "least", "routes")
-        shape = PK.grid_shape(packs.sparkSession, self.catalog.n_bytes, self.n_lookups)
+        packs = self.catalog.packs.select("pblock", "dim", "n_vectors", "vectors", "ids", "owner", "values", "extra", "centroid", "least")
+        shape = PK.grid_shape(packs.sparkSession, self.catalog.n_bytes, n, int(n * self.lookup_bytes))
         with PK.small_batches(packs.sparkSession):
             return self._store(PK.grid(packs, asked, shape, _score(self.cfg, path, k), CAND_SCHEMA), "candidates")
 

@@ -1,12 +1,11 @@
-"""Packs of catalog vectors, their routes, and the lookups that each pack is asked.
+"""Packs of catalog vectors, and the lookups that each pack is asked.
 
 A pack holds up to ``block_rows`` catalog rows that lie next to each other by filter values and vector
 cell: the distinct vectors as one matrix (float elements as they are given, doubles as unit vectors), and behind each vector the rows that share it. Of rows with
 equal vector and equal filter values only the first ``keep`` in ranking order can be in any result, so no more are kept.
 
-A pack also states its routes: every combination of filter values found in it, for every subset of the
-filters. Lookups are packed by the filters they set. Groups of packs of bounded size meet parts of the lookups (``grid``), and
-in a group the routes give the packs that each lookup has to ask; no other is scored for it. With a centroid and the least
+Lookups are packed by the filters they set. Groups of packs of bounded size meet parts of the lookups (``grid``), and in a group
+the filter values found in each pack tell which packs a lookup has to ask; no other is scored for it. With a centroid and the least
 cosine to it, a pack bounds the similarity that a lookup can find in it: the angle between the two is at least the angle to the
 centroid less the pack's widest angle.
 """
@@ -16,22 +15,23 @@ import itertools
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096  # vectors that the cells of an index are fitted on
 GROUP_BYTES = 24 << 20  # of packs that a task holds
-BATCH_BYTES = 8 << 20  # of packs and lookups that pass from the JVM to Python at once, about
+BATCH_BYTES = 2 << 20  # of packs and lookups that pass from the JVM to Python at once, about
 PART_LOOKUPS = 1 << 17  # lookups that a task takes, about
+PART_BYTES = 64 << 20  # of lookups that a task takes, about
 LOOKUP_ROWS = 1024  # lookups of a pack, at most
+MOST_TASKS = 4096  # of a grid; with more groups and parts, a task takes several one after another
 BUCKETS = 16  # parts over which the rows of one combination of filter values are dealt
 
 PACK_FIELDS = ("pblock long, dim int, n_given int, n_rows int, n_vectors int, vectors binary, ids array<string>, owner binary, "
-               "values array<array<string>>, extra array<double>, centroid binary, least double, "
-               "routes array<struct<mask:int,wanted:array<string>>>")
+               "values array<array<string>>, extra array<double>, centroid binary, least double")
 LOOKUP_PACK_FIELDS = "dim int, mask int, wanted array<string>, q_ids array<long>, q_limits array<int>, q_mat binary"
 
 
@@ -172,37 +172,39 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
         x, ok = unit(table.column("embedding"), dim)
         if not ok.any():
             return None
-        frame = pd.DataFrame({"id": table.column("product_id").to_pylist(), "extra": table.column("extra").to_numpy(),
-                              **{n: table.column(n).to_pylist() for n in names}}, columns=["id", "extra", *names])[ok]
         given = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[ok]
-        x = np.ascontiguousarray(x[ok])
+        x, table = np.ascontiguousarray(x[ok]), table.filter(pa.array(ok))
         _, first, owner = np.unique(x.view(np.dtype((np.void, x.strides[0]))).ravel(), return_index=True, return_inverse=True)
-        frame["owner"] = owner.ravel()
-        if by_extra:
-            frame = frame[frame["extra"].notna()]
-        frame = frame.sort_values(["owner", *(["extra"] if by_extra else []), "id"], kind="mergesort")
-        frame = frame.groupby(["owner", *names], sort=False, dropna=False).head(keep)
-        if frame.empty:
+        owner, extra = owner.ravel(), table.column("extra").to_numpy()
+        place = pc.rank(table.column("product_id"), tiebreaker="dense").to_numpy()
+        # rows of one vector by (extra,) id, of those with equal filter values the first ``keep``
+        rows = np.flatnonzero(~np.isnan(extra)) if by_extra else np.arange(len(owner))
+        rows = rows[np.lexsort((place[rows], *([extra[rows]] if by_extra else []), owner[rows]))]
+        codes = [pc.fill_null(table.column(n).combine_chunks().dictionary_encode().indices, -1).to_numpy()[rows] for n in names]
+        alike = np.lexsort((*codes, owner[rows]))  # stable: rows alike stay in order
+        key = np.stack([owner[rows], *codes])[:, alike]
+        begins = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[:len(rows)]
+        nth = np.empty(len(rows), np.int64)
+        nth[alike] = np.arange(len(rows)) - np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
+        rows = rows[nth < keep]
+        if not len(rows):
             return None
-        kept, owner = np.unique(frame["owner"].to_numpy(), return_inverse=True)
+        kept, owner = np.unique(owner[rows], return_inverse=True)
         v = x[first[kept]]
         held = given[first[kept]] if given.dtype == np.float32 else v
         middle = v.mean(axis=0)
         norm = np.linalg.norm(middle)
         centre = middle / norm if norm > 0 else middle
-        values = [frame[n].where(frame[n].notna(), None).tolist() for n in names]
-        tuples = set(zip(*values)) if names else {()}
-        routes = {(m, tuple("" if not m >> i & 1 else t for i, t in enumerate(row))) for row in tuples for m in range(1 << len(names))
-                  if all(t is not None for i, t in enumerate(row) if m >> i & 1)}
-        return {"pblock": pblock, "dim": dim, "n_given": int(ok.sum()), "n_rows": len(frame), "n_vectors": len(v), "vectors": held.tobytes(), "ids": frame["id"].tolist(),
-                "owner": owner.astype(np.int32).tobytes(), "values": values, "extra": frame["extra"].to_numpy(np.float64),
-                "centroid": centre.tobytes(), "least": float((v @ centre).min()) if norm > 0 else -1.0,
-                "routes": [{"mask": m, "wanted": list(w)} for m, w in sorted(routes)]}
+        table = table.take(pa.array(rows))
+        values = [table.column(n).to_pylist() for n in names]
+        return {"pblock": pblock, "dim": dim, "n_given": int(ok.sum()), "n_rows": len(rows), "n_vectors": len(v), "vectors": held.tobytes(),
+                "ids": table.column("product_id").to_pylist(),
+                "owner": owner.astype(np.int32).tobytes(), "values": values, "extra": extra[rows],
+                "centroid": centre.tobytes(), "least": float((v @ centre).min()) if norm > 0 else -1.0}
 
     schema = pa.schema([("pblock", pa.int64()), ("dim", pa.int32()), ("n_given", pa.int32()), ("n_rows", pa.int32()), ("n_vectors", pa.int32()), ("vectors", pa.binary()),
                         ("ids", pa.list_(pa.string())), ("owner", pa.binary()), ("values", pa.list_(pa.list_(pa.string()))),
-                        ("extra", pa.list_(pa.float64())), ("centroid", pa.binary()), ("least", pa.float64()),
-                        ("routes", pa.list_(pa.struct([("mask", pa.int32()), ("wanted", pa.list_(pa.string()))])))])
+                        ("extra", pa.list_(pa.float64())), ("centroid", pa.binary()), ("least", pa.float64())])
 
     def run(batches):
         numbers = numbered()
@@ -245,10 +247,10 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
 
 
 # ---- packs and lookups together
-def grid_shape(spark: SparkSession, held_bytes: int, lookups: int) -> tuple[int, int]:
-    """(groups of packs, parts of the lookups): a group is what a task holds, a part what streams past it."""
+def grid_shape(spark: SparkSession, held_bytes: int, lookups: int, asked_bytes: int = 0) -> tuple[int, int]:
+    """(groups of packs, parts of the lookups): a group is what a task holds, a part what streams past it. The JVM sorts both."""
     groups = max(1, -(-held_bytes // GROUP_BYTES))
-    wanted = max(-(-spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS))
+    wanted = max(-(-spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS), -(-asked_bytes // PART_BYTES))
     return groups, max(1, min(wanted, -(-lookups // LOOKUP_ROWS)))
 
 
@@ -265,7 +267,8 @@ def grid(packs: DataFrame, lookup_packs: DataFrame, shape: tuple[int, int], work
     asked = lookup_packs.withColumns({"_part": F.pmod(F.xxhash64("q_ids"), F.lit(parts)).cast("int"), "_kind": F.lit(1)})
     asked = asked.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     both = held.unionByName(asked, allowMissingColumns=True)
-    both = both.repartition(min(4 * groups * parts, 4096), "_group", "_part").sortWithinPartitions(
+    # by number, not by hash: else some tasks get two or three of them at once, and others none
+    both = both.repartitionById(min(groups * parts, MOST_TASKS), F.col("_group") * parts + F.col("_part")).sortWithinPartitions(
         "_group", "_part", "_kind", *[c for c in ("dim", "mask", "wanted") if c in lookup_packs.columns])
     return both.mapInArrow(work, fields)
 

@@ -1,4 +1,5 @@
 """Groups of packs and parts of lookups: results as from one task, and what moves does not grow with their pairs."""
+import numpy as np
 from pyspark.sql import functions as F
 from test_match import _clusters, _data, brute, collect
 
@@ -77,3 +78,65 @@ def test_a_search_leaves_no_packs_lookups_or_index(spark):
     before = left()
     assert M.top_k(q, cat).count() and ann.ann_top_k(q, cat).count()
     assert {name.rsplit("-", 1)[0] for name in left() - before if not name.startswith(".")} == {"candidates", "ann-found"}
+
+
+def test_each_group_and_part_is_a_task_of_its_own(spark):
+    from pyspark.sql.types import StructType
+    packs = spark.range(200).select(F.col("id").alias("pblock"), F.lit("p").alias("b"))
+    asked = spark.range(300).select(F.array("id").alias("q_ids"))
+
+    def told(batches):
+        import pyarrow as pa
+        met = [len({k for k, _ in kinds if k in (0, 1)}) for kinds in PK.cells(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(met)]), pa.array([sum(met)])], ["cells", "kinds"])
+
+    out = [tuple(r) for r in PK.grid(packs, asked, (7, 3), told, StructType().add("cells", "long").add("kinds", "long")).collect()]
+    assert out == [(1, 2)] * 21
+
+
+def test_parts_grow_with_the_bytes_of_the_lookups(spark):
+    assert PK.grid_shape(spark, 100 * PK.GROUP_BYTES, 1 << 16, 8 * PK.PART_BYTES) == (100, 8)
+    assert PK.grid_shape(spark, 100 * PK.GROUP_BYTES, 1 << 16, PK.PART_BYTES // 2) == (100, 1)
+
+
+def test_tasks_of_a_search_do_without_pandas(spark):
+    def told(batches):
+        import pyarrow as pa
+        next(PK.cells([]), None)
+        yield pa.RecordBatch.from_arrays([pa.array([hasattr(PK, "pd")])], ["pandas"])
+
+    assert not spark.range(1).mapInArrow(told, "pandas boolean").first()[0]
+
+
+def test_a_pack_grows_with_its_rows_not_with_combinations_of_filters(spark):
+    from pyspark.sql import types as T
+    rows = spark.range(600).select(
+        F.format_string("p%04d", "id").alias("product_id"), F.array(*[(F.sin(F.col("id") * (i + 1)) + 0.1).cast("float") for i in range(4)]).alias("embedding"),
+        *[F.concat(F.lit(f"{n}-"), (F.col("id") * m % 97).cast("string")).alias(n) for n, m in (("a", 1), ("b", 5), ("c", 11), ("d", 23))])
+    packed = M.PackedCatalog(rows, M.MatchConfig(filters=("a", "b", "c", "d")))
+    lists = [f.name for f in packed.packs.schema.fields if isinstance(f.dataType, T.ArrayType) and f.name != "values"]
+    most = packed.packs.select(F.max(F.greatest(*[F.size(n) for n in lists], F.lit(0)) / F.col("n_rows"))).first()[0]
+    packed.unpersist()
+    assert most <= 1
+
+
+def test_of_equal_vectors_and_filters_the_first_rows_stay_nulls_too(spark):
+    import random
+    random.seed(3)
+    data = [(f"p{i:03d}", [1.0, float(i % 3)], random.choice(["r", None, "s"]), random.choice(["v", None]), random.choice([1.0, 2.0, None])) for i in range(300)]
+    random.shuffle(data)
+    rows = spark.createDataFrame(data, "product_id string, embedding array<float>, region string, vendor string, price double")
+    for by_price in (False, True):
+        cfg = M.MatchConfig(cap=3, fallback_k=3, order_extra=by_price)
+        packed = M.PackedCatalog(rows, cfg, "price")
+        got = []
+        for p in packed.packs.collect():
+            v = PK.matrix(p["vectors"], p["n_vectors"], p["dim"])
+            owner = np.frombuffer(p["owner"], np.int32)
+            got += [(tuple(v[o].tolist()), a, b, i) for o, i, a, b in zip(owner, p["ids"], *p["values"])]
+        packed.unpersist()
+        want = {}
+        for i, e, a, b, x in sorted(data, key=lambda r: (r[4] if by_price and r[4] is not None else 0, r[0])):
+            if not by_price or x is not None:
+                want.setdefault((tuple(e), a, b), []).append(i)
+        assert sorted(map(repr, got)) == sorted(repr((*k, i)) for k, v in want.items() for i in v[:3])
