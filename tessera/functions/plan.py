@@ -47,14 +47,14 @@ def spread(df: DataFrame, probe: DataFrame | None = None, min_partitions: int |
     return df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under the shared checkpoint folder and read back; ``discard`` deletes it.
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back; ``discard`` deletes it. ``options``: of the write.
 
     Cuts lineage, and the planner knows the size of what it reads.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -45,7 +45,7 @@ class MatchConfig:
     fallback_k: int = fixed.RESULT_CAP    # results on the degraded (unfiltered) path
     use_filters: bool = True              # apply the per-query region / vendor filters
     degrade: bool = True                  # unfiltered top-k when the filtered set is empty
-    block_rows: int = 4096                # products per pack
+    block_rows: int = 4096                # products per pack, at most
     query_block_rows: int = 8192          # queries per pack
     max_broadcast_bytes: int = 256 << 20  # without effect: lookups are never sent to every task
     score_chunk_cells: int = 4 << 20      # query x product cells scored per matrix product
@@ -68,7 +68,7 @@ class PackedCatalog:
         centres = PK.fit_cells(rows, self.cfg.cells) if self.cfg.cells else None
         keep = max(self.cfg.cap, self.cfg.fallback_k)
         with PK.small_batches(catalog.sparkSession):
-            self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs")
+            self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs", PK.PAGES)
         names = sum((F.length(F.array_join(v, "")) for v in (F.col("values")[i] for i in range(len(self.cfg.filters)))), F.lit(0))
         size = self.packs.agg(F.sum(F.length("vectors") + 16 * F.col("n_rows") + F.length(F.array_join("ids", "")) + names)).first()
         self.n_bytes = size[0] or 0
@@ -89,14 +89,16 @@ class Group:
         rows, vectors = 0, {}
         for p in packs:
             owner = np.frombuffer(p["owner"], np.int32) + vectors.setdefault(p["dim"], 0)
-            held.setdefault(p["dim"], []).append(PK.matrix(p["vectors"], p["n_vectors"], p["dim"]))
+            # one buffer that grows in place: joining arrays at the end would hold every vector twice
+            kind, of = held.setdefault(p["dim"], (PK.matrix(p["vectors"], p["n_vectors"], p["dim"]).dtype, bytearray()))
+            of += p["vectors"]
             ids.append(pa.array(p["ids"], pa.string()))
             extra.append(np.array([np.nan if x is None else x for x in p["extra"]], np.float64))
             values.append([pa.array(v, pa.string()).dictionary_encode() for v in p["values"]])
             self.packs.append({"dim": p["dim"], "at": rows, "owner": owner, "centroid": p["centroid"], "least": p["least"]})
             rows += len(owner)
             vectors[p["dim"]] += p["n_vectors"]
-        self.held = {dim: np.concatenate(held.pop(dim)) for dim in vectors}
+        self.held = {dim: np.frombuffer(of, kind).reshape(-1, dim) for dim, (kind, of) in held.items()}
         self.ids = pa.concat_arrays(ids) if ids else None
         self.extra = np.concatenate(extra) if extra else None
         self.values = [[(v.indices.to_numpy(zero_copy_only=False), {w: c for c, w in enumerate(v.dictionary.to_pylist())}) for v in of] for of in values]
@@ -282,7 +284,7 @@ def _by_extra(own, members, starts, extra):
     return own[order], members[np.repeat(starts[order], size) + at], ends - size, key[order]
 
 
-SCORE_VECTORS = 2048  # vectors of a matrix product
+SCORE_VECTORS = 512  # vectors of a matrix product
 SCORE_LOOKUPS = 256  # lookups of a matrix product, at most
 TIED_ROWS = 1 << 17  # rows behind tying vectors that are put in order at once
 NEARLY = 0.5e-4 + 1e-9  # a similarity so much below a rounded one may round to it
@@ -328,7 +330,7 @@ class Search:
         asked = PK.pack_lookups(lookups, self.cfg.filters, min(self.cfg.query_block_rows, PK.LOOKUP_ROWS))
         packs = self.catalog.packs.select("pblock", "dim", "n_vectors", "vectors", "ids", "owner", "values", "extra", "centroid", "least")
         shape = PK.grid_shape(packs.sparkSession, self.catalog.n_bytes, n, int(n * self.lookup_bytes))
-        with PK.small_batches(packs.sparkSession):
+        with PK.small_batches(packs.sparkSession, stored_packs=True):
             return self._store(PK.grid(packs, asked, shape, _score(self.cfg, path, k), CAND_SCHEMA), "candidates")
 
     def hits(self) -> DataFrame:

@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096  # vectors that the cells of an index are fitted on
-GROUP_BYTES = 24 << 20  # of packs that a task holds
+GROUP_BYTES = 16 << 20  # of packs that a task holds
 BATCH_BYTES = 2 << 20  # of packs and lookups that pass from the JVM to Python at once, about
 PART_LOOKUPS = 1 << 17  # lookups that a task takes, about
 PART_BYTES = 64 << 20  # of lookups that a task takes, about
 LOOKUP_ROWS = 1024  # lookups of a pack, at most
+ROW_BYTES = 192 << 10  # of vectors, in doubles, that a pack holds: the JVM copies rows, and arrays of 512 KB or more cost it whole regions
+SCAN_ROWS = 16  # packs that a scan decodes at once
+# of stored packs: few large rows, else looked at every 100 rows, become one page, and are compressed and decompressed whole
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size": str(256 << 10), "parquet.enable.dictionary#vectors": "false",
+         "parquet.enable.dictionary#owner": "false"}
 MOST_TASKS = 4096  # of a grid; with more groups and parts, a task takes several one after another
 BUCKETS = 16  # parts over which the rows of one combination of filter values are dealt
 
@@ -71,28 +76,41 @@ def units(stored: np.ndarray) -> np.ndarray:
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Batches of rows of up to megabytes, as those of a ``grid``, are cut by bytes while this is open, not by 10,000 rows."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.getAll.get(name)
-    spark.conf.set(name, str(BATCH_BYTES))
+def small_batches(spark: SparkSession, stored_packs: bool = False):
+    """Batches of large rows, as those of a ``grid``, are cut by bytes while this is open, not by 10,000 rows.
+
+    ``stored_packs``: scans decode SCAN_ROWS rows at once, for they read packs, of which a whole file has fewer than Spark's 4096.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES} | ({"spark.sql.parquet.columnarReaderBatchSize": SCAN_ROWS} if stored_packs else {})
+    before = {name: spark.conf.getAll.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def pack_rows(dim: int, most: int, least: int) -> tuple[int, int]:
+    """(most, least) rows of a pack of vectors of length ``dim``: fewer than asked if those would be more than ROW_BYTES."""
+    most = min(most, max(1, ROW_BYTES // (8 * dim)))
+    return most, min(least, max(1, most // 8))
 
 
-def runs(batches, lead: list[str], most: int, least: int):
-    """Tables of consecutive rows: at most ``most``, cut where column lead[0] changes and, from ``least`` rows on, where any does."""
+def runs(batches, lead: list[str], block_rows: int, cut_rows: int):
+    """Tables of consecutive rows: at most ``block_rows``, cut where the length lead[0] changes and, from ``cut_rows`` rows on, where any column of
+    ``lead`` does; of long vectors fewer (``pack_rows``)."""
     held, n, last = [], 0, None
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in lead))) if batch.num_rows else []
         starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
         for a, b in zip(starts, starts[1:]):
-            if n and (keys[a][0] != last[0] or (keys[a] != last and n >= least)):
+            if n and (keys[a][0] != last[0] or (keys[a] != last and n >= pack_rows(last[0], block_rows, cut_rows)[1])):
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
             last = keys[a]
+            most, _ = pack_rows(last[0], block_rows, cut_rows)
             while a < b:
                 take = min(b - a, most - n)
                 held.append(batch.slice(a, take))

@@ -140,3 +140,35 @@ def test_of_equal_vectors_and_filters_the_first_rows_stay_nulls_too(spark):
             if not by_price or x is not None:
                 want.setdefault((tuple(e), a, b), []).append(i)
         assert sorted(map(repr, got)) == sorted(repr((*k, i)) for k, v in want.items() for i in v[:3])
+
+
+def test_long_vectors_make_packs_of_fewer_rows(spark):
+    long = "transform(sequence(1, 4096), x -> float(sin(x * (id + 1))))"
+    rows = spark.range(40).coalesce(1).select(F.format_string("p%02d", "id").alias("product_id"), F.expr(long).alias("embedding"),
+                                              F.lit("r").alias("region"), F.lit("v").alias("vendor"))
+    packed = M.PackedCatalog(rows, M.MatchConfig())
+    n, most = packed.packs.agg(F.sum("n_vectors"), F.max(F.length("vectors"))).first()
+    packed.unpersist()
+    assert n == 40 and most <= 256 << 10
+    asked = rows.select(F.expr("cast(substr(product_id, 2) as long)").alias("query_id"), "embedding", F.lit("").alias("w_region"))
+    asked = asked.withColumns({"q_limit": F.lit(5), "dim": F.size("embedding"), "embedding": F.col("embedding").cast("array<double>")})
+    n, most = PK.pack_lookups(asked, ("region",), PK.LOOKUP_ROWS).agg(F.sum(F.size("q_ids")), F.max(F.length("q_mat"))).first()
+    assert n == 40 and most <= 256 << 10
+
+
+def test_a_group_holds_its_vectors_once():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    given = rng.random((40, 400, 64), np.float32)
+
+    def pack(i):
+        return {"dim": 64, "n_vectors": 400, "vectors": given[i].tobytes(), "owner": np.arange(400, dtype=np.int32).tobytes(), "ids": [f"p{i:02d}{j:03d}" for j in range(400)],
+                "extra": [None] * 400, "values": [["r"] * 400], "centroid": b"", "least": -1.0}
+
+    M.Group([pack(0)], M.MatchConfig())
+    tracemalloc.start()
+    group = M.Group((pack(i) for i in range(40)), M.MatchConfig())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (group.held[64] == given.reshape(-1, 64)).all()
+    assert peak < 1.6 * given.nbytes
