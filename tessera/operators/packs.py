@@ -95,7 +95,7 @@ def small_batches(spark: SparkSession, stored_packs: bool = False):
 def pack_rows(dim: int, most: int, least: int) -> tuple[int, int]:
     """(most, least) rows of a pack of vectors of length ``dim``: fewer than asked if those would be more than ROW_BYTES."""
     most = min(most, max(1, ROW_BYTES // (8 * dim)))
-    return most, min(least, max(1, most // 8))
+    return most, min(least, max(1, most // 2))
 
 
 def runs(batches, lead: list[str], block_rows: int, cut_rows: int):
