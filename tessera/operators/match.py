@@ -2,17 +2,20 @@
 
 Plan shape::
 
-    catalog --clustered by filter values and cell--> packs of distinct vectors, stored   (once: PackedCatalog)
-    lookups --packed by the filters that they set-->
-    groups of packs x parts of the lookups --a task each: matrix products--> local top-k per (lookup, group), never all pairs
+    catalog --clustered by bucket of the vector, first filter and cell--> packs of distinct vectors, stored   (once: PackedCatalog)
+    lookups --packed by the filters that they set--> parts
+    parts of the lookups x groups of packs --a task each: it holds the part, the packs stream past: matrix products-->
+        top-k per (lookup, task), never all pairs
     --window(query_id)--> top-k, rank
 
-A lookup is scored against the packs on its route alone, those that hold all the filter values it sets, and there against the
-distinct vectors of the rows that pass its filters. What moves is each pack once for
-every part of the lookups and each lookup once for every group. Only lookups that come back empty are asked again without filters; if there are none, nothing is
-read for that. With ``prune`` the nearest pack of each lookup in a group is scored first; the k-th score so far then rules out the packs
+A lookup is scored against the distinct vectors of the rows that pass its filters; packs that a task looks at together share equal
+vectors. The k-th score so far is the least that any further row has to reach. Packs are read from where they are stored once for every part of the lookups, and the lookups
+are shuffled once: what is written grows with the two, not with their pairs. Only lookups that come back empty are asked again without filters; if there are none, nothing is
+read for that. With ``prune`` the nearest pack of each lookup is scored first; the k-th score so far then rules out the packs
 in which no vector can be similar enough (``packs.upper_bounds``), so most packs of a clustered catalog are never scored.
 
+Vectors are compared in single precision first, and again in double precision if they can be among the best by its bound on the error.
+
 Ranking uses the similarity rounded to four decimals (the reported score) with ``product_id`` as the
 tie-break, so equal scores order the same way on every engine.
 """
@@ -66,9 +69,10 @@ class PackedCatalog:
                               (F.col(extra_col).cast("double") if extra_col else F.lit(None).cast("double")).alias("extra"))
         rows = rows.where(PK.usable(F.col("embedding"))).withColumn("dim", F.size("embedding"))
         centres = PK.fit_cells(rows, self.cfg.cells) if self.cfg.cells else None
-        keep = max(self.cfg.cap, self.cfg.fallback_k)
+        keep, n_buckets = max(self.cfg.cap, self.cfg.fallback_k), PK.buckets(catalog.count(), self.cfg.cells)
         with PK.small_batches(catalog.sparkSession):
-            self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra), "packs", PK.PAGES)
+            self.packs = stored(PK.pack_catalog(PK.with_cell(rows, centres), self.cfg.filters, self.cfg.block_rows, keep, self.cfg.order_extra, n_buckets),
+                                "packs", PK.PAGES)
         names = sum((F.length(F.array_join(v, "")) for v in (F.col("values")[i] for i in range(len(self.cfg.filters)))), F.lit(0))
         size = self.packs.agg(F.sum(F.length("vectors") + 16 * F.col("n_rows") + F.length(F.array_join("ids", "")) + names)).first()
         self.n_bytes = size[0] or 0
@@ -81,74 +85,135 @@ class PackedCatalog:
         discard(self.packs)
 
 
+def _strings(x) -> pa.Array:
+    return x if isinstance(x, pa.Array) else pa.array(x, pa.string())
+
+
 class Group:
-    """The packs that a task holds: their rows and, by length, their vectors one after another, once."""
+    """The packs that a task looks at together: by length, their vectors one after another, once, and the rows behind."""
 
     def __init__(self, packs, cfg: MatchConfig):
-        self.cfg, self.packs, ids, extra, values, held = cfg, [], [], [], [], {}
-        rows, vectors = 0, {}
+        self.cfg, held, rows = cfg, {}, {}
         for p in packs:
-            owner = np.frombuffer(p["owner"], np.int32) + vectors.setdefault(p["dim"], 0)
             # one buffer that grows in place: joining arrays at the end would hold every vector twice
             kind, of = held.setdefault(p["dim"], (PK.matrix(p["vectors"], p["n_vectors"], p["dim"]).dtype, bytearray()))
             of += p["vectors"]
-            ids.append(pa.array(p["ids"], pa.string()))
-            extra.append(np.array([np.nan if x is None else x for x in p["extra"]], np.float64))
-            values.append([pa.array(v, pa.string()).dictionary_encode() for v in p["values"]])
-            self.packs.append({"dim": p["dim"], "at": rows, "owner": owner, "centroid": p["centroid"], "least": p["least"]})
-            rows += len(owner)
-            vectors[p["dim"]] += p["n_vectors"]
+            r = rows.setdefault(p["dim"], {"owner": [], "ids": [], "extra": [], "values": [], "packs": [], "n": 0})
+            r["owner"].append(np.frombuffer(p["owner"], np.int32) + np.int32(r["n"]))
+            r["ids"].append(_strings(p["ids"]))
+            extra = p["extra"] if isinstance(p["extra"], pa.Array) else pa.array(p["extra"], pa.float64())
+            r["extra"].append(extra.to_numpy(zero_copy_only=False).astype(np.float64))
+            r["values"].append([_strings(v.values if isinstance(v, pa.ListScalar) else v) for v in p["values"]])
+            r["packs"].append({"at": r["n"], "centroid": p["centroid"], "least": p["least"]})
+            r["n"] += p["n_vectors"]
         self.held = {dim: np.frombuffer(of, kind).reshape(-1, dim) for dim, (kind, of) in held.items()}
-        self.ids = pa.concat_arrays(ids) if ids else None
-        self.extra = np.concatenate(extra) if extra else None
-        self.values = [[(v.indices.to_numpy(zero_copy_only=False), {w: c for c, w in enumerate(v.dictionary.to_pylist())}) for v in of] for of in values]
-        # places of the rows by product id, equal ids at one place
-        self.place = pc.rank(self.ids, tiebreaker="dense").to_numpy() if ids else None
-        self.route, self.chosen = None, None
-
-    def units(self, dim: int, own: np.ndarray) -> np.ndarray:
+        self.rows = {dim: Rows(self.held[dim], r, cfg) for dim, r in rows.items()}
+
+
+class Rows:
+    """Of a group, the rows with vectors of one length."""
+
+    def __init__(self, held: np.ndarray, r: dict, cfg: MatchConfig):
+        self.held, self.cfg = held, cfg
+        self.owner, self.extra = np.concatenate(r["owner"]), np.concatenate(r["extra"])
+        self.ids = pa.concat_arrays(r["ids"])
+        self.values = [pa.concat_arrays([v[i] for v in r["values"]]).dictionary_encode() for i in range(len(r["values"][0]))]
+        self.packs, self.begin = r["packs"], np.array([p["at"] for p in r["packs"]])
+        self.same = None
+
+    def alike(self) -> np.ndarray:
+        """For each vector the number of the first one equal to it; with ``prune`` vectors of different packs stay apart."""
+        if self.same is None:
+            self.same = np.arange(len(self.held))
+            if not self.cfg.prune:
+                of = self.held.view(np.uint32)
+                odd = np.random.default_rng(1).integers(1 << 62, size=of.shape[1], dtype=np.uint64) | np.uint64(1)
+                key = np.concatenate([(of[a:a + ROWS_AT_ONCE] * odd).sum(axis=1, dtype=np.uint64) for a in range(0, len(of), ROWS_AT_ONCE)])
+                _, first, found = np.unique(key, return_index=True, return_inverse=True)
+                first = first[found.ravel()]
+                for a in range(0, len(of), ROWS_AT_ONCE):
+                    z = slice(a, a + ROWS_AT_ONCE)
+                    self.same[z] = np.where((of[z] == of[first[z]]).all(axis=1), first[z], self.same[z])
+        return self.same
+
+    def units(self, own: np.ndarray) -> np.ndarray:
         """Unit vectors of the given numbers."""
-        return PK.units(self.held[dim][own])
-
-    def choose(self, dim: int, mask: int, wanted: tuple):
-        """The packs on a route, with the numbers of the vectors that the rows that pass share, and these rows; kept for the next lookups."""
-        if self.route == (dim, mask, wanted):
-            return self.chosen
-        self.route, self.chosen = (dim, mask, wanted), []
-        asked = [(i, w) for i, w in enumerate(wanted) if mask >> i & 1]
-        for p, values in zip(self.packs, self.values):
-            if p["dim"] != dim or any(w not in values[i][1] for i, w in asked):
-                continue
-            passed = np.ones(len(p["owner"]), bool)
-            for i, w in asked:
-                codes, names = values[i]
-                passed &= codes == names[w]
-            members = np.flatnonzero(passed)
-            if len(members):
-                own, starts = np.unique(p["owner"][members], return_index=True)
-                self.chosen.append((p, own, members + p["at"], starts))
-        return self.chosen
+        return PK.units(self.held[own])
+
+    def units_as(self, own: np.ndarray, kind) -> np.ndarray:
+        out = np.empty((len(own), self.held.shape[1]), kind)
+        for a in range(0, len(own), ROWS_AT_ONCE):
+            out[a:a + ROWS_AT_ONCE] = self.units(own[a:a + ROWS_AT_ONCE])
+        return out
+
+    def codes(self, mask: int, wanted: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the values of the filters of ``mask``, for each row and each lookup; -1: none, or in no row."""
+        rows, asked = np.zeros(len(self.owner), np.int64), np.zeros(len(wanted[0]) if wanted else 0, np.int64)
+        for i, values in enumerate(self.values):
+            if mask >> i & 1:
+                code = pc.fill_null(values.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                want = pc.fill_null(pc.index_in(wanted[i], value_set=values.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                n = max(1, len(values.dictionary))
+                rows, asked = (np.where((x < 0) | (y < 0), -1, x * n + y) for x, y in ((rows, code), (asked, want)))
+                # numbers stay below the number of rows
+                known = np.unique(rows[rows >= 0])
+                rows = np.where(rows < 0, -1, np.searchsorted(known, rows))
+                at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+                asked = np.where(known[at] == asked, at, -1) if len(known) else np.full(len(asked), -1)
+        return rows, asked
+
+    def routes(self, mask: int, wanted: list, n_lookups: int, k: int):
+        """(rows in order of their route, starts of the routes, each lookup's route or -1).
+
+        Rows of a route with equal vectors lie next to each other. Those of one vector of one pack are in ranking order, so the first k will do.
+        """
+        if mask:
+            code, asked = self.codes(mask, wanted)
+            rows = np.flatnonzero(code >= 0)
+        else:
+            code, asked, rows = np.zeros(len(self.owner), np.int64), np.zeros(n_lookups, np.int64), np.arange(len(self.owner))
+        vector = self.alike()[self.owner[rows]]
+        order = np.argsort(code[rows] * len(self.held) + vector, kind="stable")
+        rows = rows[order]
+        key = np.stack([code[rows], self.owner[rows]])
+        new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[:len(rows)]
+        at = np.arange(len(rows))
+        rows = rows[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+        n = int(code.max(initial=-1)) + 1
+        return rows, np.searchsorted(code[rows], np.arange(n + 1)), asked
+
+    def vectors(self, rows: np.ndarray):
+        """(numbers of the distinct vectors of a route's rows, start of each, packs on the route)."""
+        number = self.same[self.owner[rows]]
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        packs = np.unique(np.searchsorted(self.begin, self.owner[rows], side="right") - 1)
+        return number[starts], starts, packs
 
 
 class Top:
-    """The best vectors of each of some lookups: all that tie with or beat the k-th by rounded similarity (or, by_key, by a key of the vector)."""
+    """The best vectors of each of some lookups: all that tie with or beat the k-th by rounded similarity (or, by_key, by a key of the vector).
+
+    ``least``: keys known to be reached by k rows; ``slack``: bound on the error of the similarities offered.
+    """
 
-    def __init__(self, n: int, k: int, above: float | None):
-        self.k, self.above, self.found = k, above, []
-        self.best, self.least = np.full((n, k), -np.inf), np.full(n, -np.inf)
+    def __init__(self, n: int, k: int, above: float | None, least: np.ndarray, slack: float = 0.0):
+        self.k, self.above, self.found, self.slack = k, above, [], slack
+        self.best, self.least = np.full((n, k), -np.inf), least.copy()
 
     def offer(self, rows: np.ndarray, S: np.ndarray, first: int) -> None:
         """Similarities of lookups ``rows`` with the vectors from ``first`` on."""
         if self.above is not None:
             S = np.where(S > self.above, S, -np.inf)
-        better = np.flatnonzero(S.max(axis=1) >= self.least[rows] - NEARLY)
+        near = NEARLY + self.slack
+        better = np.flatnonzero(S.max(axis=1) >= self.least[rows] - near)
         if not len(better):
             return
         rows, S = rows[better], S[better]
         both = np.concatenate([self.best[rows], S], axis=1)
         best = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
-        self.best[rows], self.least[rows] = best, np.round(best.min(axis=1), 4)
-        r, c = np.nonzero((S >= self.least[rows, None] - NEARLY) & (S > -np.inf))
+        self.best[rows] = best
+        self.least[rows] = np.maximum(self.least[rows], np.round(best.min(axis=1) - self.slack, 4))
+        r, c = np.nonzero((S >= self.least[rows, None] - near) & (S > -np.inf))
         self.found.append((rows[r], c + first, S[r, c]))
 
     def offer_keyed(self, S: np.ndarray, first: int, key: np.ndarray) -> None:
@@ -161,7 +226,7 @@ class Top:
             new = upto < self.k
             both[r[new], self.k + upto[new]] = key[c[new]]
             self.best = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
-            self.least = self.best.min(axis=1)
+            self.least = np.maximum(self.least, self.best.min(axis=1))
             stay = key[c] >= self.least[r]
             self.found.append((r[stay], c[stay] + first, S[r[stay], c[stay]]))
 
@@ -169,124 +234,219 @@ class Top:
         """(lookup, vector, similarity) of what has been found."""
         if not self.found:
             return None
-        return tuple(np.concatenate(x) for x in zip(*self.found))
-
-
-def _k_rows(r, c, sim, k: int, members, starts, group: Group, by_extra: bool):
-    """Top-k of each lookup by (score or extra, product id), some lookups at a time: (row, member, similarity); c: vectors, members: rows behind them.
-
-    Every vector that ties with the k-th key is a candidate, then the exact order picks k of the products behind.
-    """
-    key = -np.minimum.reduceat(group.extra[members], starts)[c] if by_extra else np.round(sim, 4)
-    order = np.lexsort((-key, r))
-    r, c, sim, key = r[order], c[order], sim[order], key[order]
-    begin = np.searchsorted(r, r)
-    last = np.minimum(begin + k, np.searchsorted(r, r, side="right")) - 1
-    ok = key >= key[last]
-    r, c, sim = r[ok], c[ok], sim[ok]
-    size = np.diff(np.append(starts, len(members)))[c]
-    upto, a = np.cumsum(size), 0
-    while a < len(r):
-        # whole lookups with TIED_ROWS rows behind their vectors, or one with more
-        b = max(a + 1, np.searchsorted(upto, upto[a] - size[a] + TIED_ROWS, side="right"))
-        b = np.searchsorted(r, r[b - 1], side="right")
-        at = np.repeat(np.arange(a, b), size[a:b])
-        member = members[starts[c[at]] + np.arange(len(at)) - np.repeat(upto[a:b] - size[a:b] - (upto[a] - size[a]), size[a:b])]
-        order = np.lexsort((group.place[member], group.extra[member] if by_extra else -np.round(sim[at], 4), r[at]))
-        at, member = at[order], member[order]
-        ok = np.arange(len(at)) - np.searchsorted(r[at], r[at]) < k
-        yield r[at[ok]], member[ok], sim[at[ok]]
-        a = b
+        r, c, s = (np.concatenate(x) for x in zip(*self.found))
+        if len(self.found) > 1 and self.slack:
+            ok = s >= self.least[r] - NEARLY - self.slack
+            r, c, s = r[ok], c[ok], s[ok]
+        return r, c, s
+
+
+class Part:
+    """The lookups that a task holds, and the best rows found so far for each."""
+
+    def __init__(self, packs, k: int, by_extra: bool = False, above: float | None = None):
+        self.k, self.by_extra, self.above, self.of = k, by_extra, above, {}
+        held, n, ids, limits = {}, 0, [], []
+        for q in packs:
+            one = held.setdefault((q["dim"], q["mask"]), {"Q": bytearray(), "no": [], "wanted": []})
+            m = len(q["q_ids"])
+            one["Q"] += q["q_mat"]
+            one["no"].append(np.arange(n, n + m))
+            one["wanted"].append([_strings(w.values if isinstance(w, pa.ListScalar) else w) for w in q["wanted"]])
+            ids.append(np.asarray(q["q_ids"], np.int64))
+            limits.append(np.asarray(q["q_limits"], np.int64))
+            n += m
+        self.ids, self.limits = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, limits))
+        for (dim, mask), one in held.items():
+            Q = np.frombuffer(one["Q"]).reshape(-1, dim)
+            self.of[dim, mask] = (Q, np.concatenate(one["no"]), [pa.concat_arrays(w) for w in zip(*one["wanted"])])
+        self.least = np.full(n, -np.inf)  # the k-th key of each lookup, if there are k
+        self.kept, self.n_kept, self.after = [], 0, 0
+
+    def take(self, no, rows, sim, extra, ids: pa.Array) -> None:
+        """Rows of a group for lookups; those that cannot be among the best are left out."""
+        key = -extra[rows] if self.by_extra else np.round(sim, 4)
+        ok = key >= self.least[no]
+        if self.above is not None:
+            ok &= sim > self.above
+        no, rows, sim, key = no[ok], rows[ok], sim[ok], key[ok]
+        if not len(no):
+            return
+        order = np.lexsort((-key, no))
+        no, rows, sim, key = no[order], rows[order], sim[order], key[order]
+        begin = np.searchsorted(no, no)
+        full = begin + self.k <= np.searchsorted(no, no, side="right")
+        last = key[np.minimum(begin + self.k, len(no)) - 1]
+        self.least[no[full]] = np.maximum(self.least[no[full]], last[full])
+        ok = key >= self.least[no]
+        no, rows, sim = no[ok], rows[ok], sim[ok]
+        self.kept.append((no.astype(np.int32), sim, extra[rows], ids.take(pa.array(rows))))
+        self.n_kept += len(no)
+        if self.n_kept > max(TIED_ROWS, 2 * self.after):
+            self.cut()
+
+    def cut(self):
+        """(lookup, similarity, extra, id) of the k best rows of each lookup, in order; all that is kept from now on."""
+        if not self.kept:
+            return None
+        no, sim, extra = (np.concatenate([x[i] for x in self.kept]) for i in range(3))
+        ids = pa.concat_arrays([x[3] for x in self.kept])
+        self.kept = []
+        key = -extra if self.by_extra else np.round(sim, 4)
+        at = np.flatnonzero(key >= self.least[no])
+        place = pc.rank(ids.take(pa.array(at)), tiebreaker="dense").to_numpy()
+        at = at[np.lexsort((place, -key[at], no[at]))]
+        at = at[np.arange(len(at)) - np.searchsorted(no[at], no[at]) < self.k]
+        full = np.flatnonzero(np.bincount(no[at], minlength=len(self.least)) == self.k)
+        self.least[full] = np.maximum(self.least[full], key[at][np.searchsorted(no[at], full, side="right") - 1])
+        self.kept, self.n_kept = [(no[at], sim[at], extra[at], ids.take(pa.array(at)))], len(at)
+        self.after = self.n_kept
+        return self.kept[0]
 
 
 def _score(cfg: MatchConfig, path: int, k: int):
-    """Body of a ``grid`` of packs and lookups: the best k of each group for each lookup, and a row with what was scored."""
-    def rows(at, member, sim, group, q_ids, q_lim):
-        n = len(at)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(q_ids[at]), group.ids.take(pa.array(member)), pa.array(sim, pa.float64()), pa.array(np.full(n, path), pa.int32()),
-             pa.array(group.extra[member], pa.float64(), from_pandas=True), pa.array(q_lim[at], pa.int32()), none, none], NAMES)
-
-    def scored(Q, chosen, own, key, group):
-        """(top, pairs of lookup and pack, cells) of some lookups."""
-        top = Top(len(Q), k, cfg.min_score)
+    """Body of a ``grid``: the best k of each lookup of a part among the packs of a group, and a row with what was scored."""
+    exact = cfg.order_extra or cfg.min_score is not None
+
+    def scored(at, Q, Q1, own, U, cuts, of_packs, key, no, part):
+        """(found, pairs of lookup and pack, cells) of the lookups ``at`` of a route with its vectors; Q1, U: in the precision of a first look."""
+        top = Top(len(at), k, cfg.min_score, part.least[no[at]], 0.0 if exact else (Q.shape[1] + 16) * 2.0 ** -24)
+        q = Q1[at]
         if key is not None or not cfg.prune:
             for a in range(0, len(own), SCORE_VECTORS):
-                S = Q @ group.units(Q.shape[1], own[a:a + SCORE_VECTORS]).T
+                S = q @ U[a:a + SCORE_VECTORS].T
                 if key is not None:
                     top.offer_keyed(S, a, key[a:a + SCORE_VECTORS])
                 else:
-                    top.offer(np.arange(len(Q)), S, a)
-            return top, len(Q) * len(chosen), len(Q) * len(own)
-        bound = PK.upper_bounds(Q, [c[0] for c in chosen])
-        near = (Q @ np.frombuffer(b"".join(c[0]["centroid"] for c in chosen)).reshape(-1, Q.shape[1]).T).argmax(axis=1)
-        first = np.cumsum([0] + [len(c[1]) for c in chosen])
+                    top.offer(np.arange(len(at)), S, a)
+            return top.kept(), len(at) * len(of_packs), len(at) * len(own)
+        bound = np.round(PK.upper_bounds(Q[at], of_packs), 4)
+        near = (Q[at] @ np.frombuffer(b"".join(p["centroid"] for p in of_packs)).reshape(-1, Q.shape[1]).T).argmax(axis=1)
         asked = cells = 0
         for seen in (True, False):
-            for j, c in enumerate(chosen):
-                need = near == j
-                if not seen:
-                    need = ~need & (np.round(bound[:, j], 4) >= top.least)
-                    if cfg.min_score is not None:
-                        need &= bound[:, j] > cfg.min_score
-                at = np.flatnonzero(need)
-                if len(at):
-                    top.offer(at, Q[at] @ group.units(Q.shape[1], c[1]).T, first[j])
-                    asked, cells = asked + len(at), cells + len(at) * len(c[1])
-        return top, asked, cells
+            need = bound >= top.least[:, None]
+            need &= (near[:, None] == np.arange(len(of_packs))) == seen
+            if cfg.min_score is not None:
+                need &= bound > cfg.min_score - 1e-4
+            for j in np.flatnonzero(need.any(axis=0)):
+                rows = np.flatnonzero(need[:, j])
+                rows = rows[bound[rows, j] >= top.least[rows]]
+                if len(rows):
+                    a, b = cuts[j], cuts[j + 1]
+                    top.offer(rows, q[rows] @ U[a:b].T, a)
+                    asked, cells = asked + len(rows), cells + len(rows) * (b - a)
+        return top.kept(), asked, cells
+
+    def route(g, rows, at, Q, Q1, no, part):
+        """(pairs of lookup and pack, cells) of the lookups ``at`` with the rows of their route."""
+        own, starts, packs = g.vectors(rows)
+        size, key = np.diff(np.append(starts, len(rows))), None
+        if cfg.order_extra:
+            key = -np.minimum.reduceat(g.extra[rows], starts)
+            order = np.argsort(-key, kind="stable")
+            own, starts, size, key = own[order], starts[order], size[order], key[order]
+        cuts = np.searchsorted(own, np.append(g.begin[packs], len(g.held))) if cfg.prune and key is None else None
+        U, asked, cells = g.units_as(own, Q1.dtype), 0, 0
+        step = max(1, cfg.score_chunk_cells // max(SCORE_VECTORS, len(packs)))
+        step = min(step, PRUNE_LOOKUPS if cuts is not None else SCORE_LOOKUPS)
+        for s in range(0, len(at), step):
+            some = at[s:s + step]
+            found, n_asked, n_cells = scored(some, Q, Q1, own, U, cuts, [g.packs[j] for j in packs], key, no, part)
+            asked, cells = asked + n_asked, cells + n_cells
+            if found is not None:
+                take(g, rows, some, own, starts, size, key, *found, Q, no, part)
+        return asked, cells
+
+    def take(g, rows, at, own, starts, size, key, r, c, sim, Q, no, part):
+        """Hand on the rows behind the best vectors found: exact similarities, then vectors by falling key until k rows are behind them."""
+        if not exact:
+            sim = np.concatenate([np.einsum("ij,ij->i", Q[at[r[a:a + ROWS_AT_ONCE]]], g.units(own[c[a:a + ROWS_AT_ONCE]]))
+                                  for a in range(0, len(r), ROWS_AT_ONCE)] + [np.zeros(0)])
+        by = np.round(sim, 4) if key is None else key[c]
+        order = np.lexsort((-by, r))
+        r, c, sim, by = r[order], c[order], sim[order], by[order]
+        # the key of the vector with which k rows are reached
+        rows_of = size[c] if key is None else np.ones(len(c), np.int64)
+        upto = np.cumsum(rows_of)
+        begin, end = np.searchsorted(r, r), np.searchsorted(r, r, side="right")
+        last = np.searchsorted(upto, upto[begin] - rows_of[begin] + k)
+        ok = by >= by[np.minimum(last, end - 1)]
+        r, c, sim = r[ok], c[ok], sim[ok]
+        n, a = np.cumsum(size[c]), 0
+        while a < len(r):
+            b = max(a + 1, int(np.searchsorted(n, n[a] - size[c[a]] + TIED_ROWS, side="right")))
+            m = size[c[a:b]]
+            behind = rows[np.repeat(starts[c[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            part.take(no[np.repeat(at[r[a:b]], m)], behind, np.repeat(sim[a:b], m), g.extra, g.ids)
+            a = b
+
+    def one_by_one(g, rows, starts, asked, at, Q, no, part):
+        """(pairs of lookup and pack, cells) of lookups on routes of few lookups and rows."""
+        size = (starts[1:] - starts[:-1])[asked[at]]
+        n, a, pairs, cells = np.cumsum(size), 0, 0, 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(n, n[a] - size[a] + PAIRS, side="right")))
+            m = size[a:b]
+            lookup = np.repeat(at[a:b], m)
+            row = rows[np.repeat(starts[asked[at[a:b]]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            sim = np.einsum("ij,ij->i", Q[lookup], g.units(g.owner[row]))
+            part.take(no[lookup], row, sim, g.extra, g.ids)
+            pairs += len(np.unique(lookup * len(g.packs) + np.searchsorted(g.begin, g.owner[row], side="right")))
+            a, cells = b, cells + len(row)
+        return pairs, cells
+
+    def met(g, Q, Q1, no, wanted, mask, part):
+        rows, starts, asked = g.routes(mask, wanted, len(Q), k)
+        n_rows, n_asked = np.diff(starts), np.bincount(asked[asked >= 0], minlength=len(starts) - 1)
+        few = n_rows * n_asked <= FEW_PAIRS
+        has = asked >= 0
+        pairs = cells = 0
+        at = np.flatnonzero(has)
+        at = at[few[asked[at]]]
+        if len(at):
+            pairs, cells = one_by_one(g, rows, starts, asked, at, Q, no, part)
+        for j in np.flatnonzero(~few & (n_asked > 0) & (n_rows > 0)):
+            did = route(g, rows[starts[j]:starts[j + 1]], np.flatnonzero(asked == j), Q, Q1, no, part)
+            pairs, cells = pairs + did[0], cells + did[1]
+        return pairs, cells
 
     def score(batches):
         cells = asked = 0
         for kinds in PK.cells(batches):
-            group = None
+            part, first = None, {}
             for kind, of_kind in kinds:
                 if kind == 0:
-                    group = Group(of_kind, cfg)
+                    part = Part(of_kind, k, cfg.order_extra, cfg.min_score)
+                    first = {key: Q if exact else Q.astype(np.float32) for key, (Q, *_) in part.of.items()}
                     continue
-                route = None
-                for q in of_kind if group and k > 0 else ():
-                    wanted = tuple(q["wanted"])
-                    chosen = group.choose(q["dim"], q["mask"], wanted)
-                    if not chosen:
-                        continue
-                    if route != (q["dim"], q["mask"], wanted):
-                        route = (q["dim"], q["mask"], wanted)
-                        own = np.concatenate([c[1] for c in chosen])
-                        members = np.concatenate([c[2] for c in chosen])
-                        before = np.cumsum([0] + [len(c[2]) for c in chosen])
-                        starts = np.concatenate([c[3] + b for c, b in zip(chosen, before)])
-                        key = None
-                        if cfg.order_extra:
-                            own, members, starts, key = _by_extra(own, members, starts, group.extra)
-                    Q, q_ids, q_lim = (np.frombuffer(q["q_mat"]).reshape(-1, q["dim"]), np.array(q["q_ids"], np.int64), np.array(q["q_limits"], np.int64))
-                    step = max(1, min(SCORE_LOOKUPS, cfg.score_chunk_cells // max(SCORE_VECTORS, len(chosen))))
-                    for s in range(0, len(Q), step):
-                        top, pairs, done = scored(Q[s:s + step], chosen, own, key, group)
-                        asked, cells = asked + pairs, cells + done
-                        kept = top.kept()
-                        if kept is not None:
-                            for best in _k_rows(*kept, k, members, starts, group, cfg.order_extra):
-                                yield rows(*best, group, q_ids[s:s + step], q_lim[s:s + step])
+                for some in PK.held_together(of_kind if part and k > 0 else ()):
+                    group = Group(some, cfg)
+                    for (dim, mask), (Q, no, wanted) in part.of.items():
+                        if dim in group.rows:
+                            did = met(group.rows[dim], Q, first[dim, mask], no, wanted, mask, part)
+                            asked, cells = asked + did[0], cells + did[1]
+            best = part.cut() if part else None
+            if best is not None:
+                no, sim, extra, ids = best
+                for a in range(0, len(no), ROWS_AT_ONCE):
+                    z = slice(a, a + ROWS_AT_ONCE)
+                    none = pa.nulls(len(no[z]), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part.ids[no[z]]), ids[z], pa.array(sim[z], pa.float64()), pa.array(np.full(len(no[z]), path), pa.int32()),
+                         pa.array(extra[z], pa.float64(), from_pandas=True), pa.array(part.limits[no[z]], pa.int32()), none, none], NAMES)
         one = {"cells": cells, "asked": asked}
         yield pa.RecordBatch.from_arrays([pa.array([one.get(n)], t) for n, t in zip(NAMES, TYPES)], NAMES)
 
     return score
 
 
-def _by_extra(own, members, starts, extra):
-    """The vectors' numbers, the rows behind them, their starts and the falling keys: by the least extra of a vector."""
-    key = -np.minimum.reduceat(extra[members], starts)
-    order = np.argsort(-key, kind="stable")
-    size = np.diff(np.append(starts, len(members)))[order]
-    ends = np.cumsum(size)
-    at = np.arange(len(members)) - np.repeat(ends - size, size)
-    return own[order], members[np.repeat(starts[order], size) + at], ends - size, key[order]
-
-
 SCORE_VECTORS = 512  # vectors of a matrix product
 SCORE_LOOKUPS = 256  # lookups of a matrix product, at most
-TIED_ROWS = 1 << 17  # rows behind tying vectors that are put in order at once
+PRUNE_LOOKUPS = 4096  # lookups that packs are chosen for at once
+FEW_PAIRS = 4096  # pairs of lookup and row up to which a route is no matrix product
+PAIRS = 1 << 14  # pairs of lookup and row that are worked out one by one at once
+ROWS_AT_ONCE = 1 << 13  # vectors or rows that a step copies
+TIED_ROWS = 1 << 17  # rows that are kept before they are cut to the best, and rows behind vectors that are looked at together
 NEARLY = 0.5e-4 + 1e-9  # a similarity so much below a rounded one may round to it
 NAMES = ["query_id", "product_id", "sim", "path", "extra", "q_limit", "cells", "asked"]
 TYPES = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]

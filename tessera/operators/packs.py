@@ -4,8 +4,9 @@ A pack holds up to ``block_rows`` catalog rows that lie next to each other by fi
 cell: the distinct vectors as one matrix (float elements as they are given, doubles as unit vectors), and behind each vector the rows that share it. Of rows with
 equal vector and equal filter values only the first ``keep`` in ranking order can be in any result, so no more are kept.
 
-Lookups are packed by the filters they set. Groups of packs of bounded size meet parts of the lookups (``grid``), and in a group
-the filter values found in each pack tell which packs a lookup has to ask; no other is scored for it. With a centroid and the least
+Lookups are packed by the filters they set. A task holds a part of the lookups, of bounded size, and a group of packs streams past
+them (``grid``); nothing is copied to disk for the pairs of the two. The filter values found in the packs tell which
+rows a lookup has to ask; no other is scored for it. With a centroid and the least
 cosine to it, a pack bounds the similarity that a lookup can find in it: the angle between the two is at least the angle to the
 centroid less the pack's widest angle.
 """
@@ -22,22 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096  # vectors that the cells of an index are fitted on
-GROUP_BYTES = 16 << 20  # of packs that a task holds
+GROUP_BYTES = 256 << 20  # of packs that stream through a task
+HELD_BYTES = 8 << 20  # of vectors and ids of packs that a task looks at together
 BATCH_BYTES = 2 << 20  # of packs and lookups that pass from the JVM to Python at once, about
-PART_LOOKUPS = 1 << 17  # lookups that a task takes, about
-PART_BYTES = 64 << 20  # of lookups that a task takes, about
+PART_LOOKUPS = 1 << 16  # lookups that a task holds, about
+PART_BYTES = 12 << 20  # of lookups that a task holds, about
 LOOKUP_ROWS = 1024  # lookups of a pack, at most
 ROW_BYTES = 192 << 10  # of vectors, in doubles, that a pack holds: the JVM copies rows, and arrays of 512 KB or more cost it whole regions
 SCAN_ROWS = 16  # packs that a scan decodes at once
 # of stored packs: few large rows, else looked at every 100 rows, become one page, and are compressed and decompressed whole
 PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size": str(256 << 10), "parquet.enable.dictionary#vectors": "false",
          "parquet.enable.dictionary#owner": "false"}
-MOST_TASKS = 4096  # of a grid; with more groups and parts, a task takes several one after another
-BUCKETS = 16  # parts over which the rows of one combination of filter values are dealt
+MOST_TASKS = 4096  # of a grid; with more, groups are larger
+BUCKET_ROWS = 1 << 14  # catalog rows whose equal vectors lie near each other, about: few enough for a task to look at together
 
 PACK_FIELDS = ("pblock long, dim int, n_given int, n_rows int, n_vectors int, vectors binary, ids array<string>, owner binary, "
                "values array<array<string>>, extra array<double>, centroid binary, least double")
-LOOKUP_PACK_FIELDS = "dim int, mask int, wanted array<string>, q_ids array<long>, q_limits array<int>, q_mat binary"
+LOOKUP_PACK_FIELDS = "dim int, mask int, wanted array<array<string>>, q_ids array<long>, q_limits array<int>, q_mat binary"
 
 
 def usable(v) -> F.Column:
@@ -176,14 +178,19 @@ def with_cell(rows: DataFrame, centres: dict[int, np.ndarray] | None) -> DataFra
 
 
 # ---- packs of the catalog
-def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by_extra: bool) -> DataFrame:
-    """Packs of ``rows`` (product_id, embedding, filters, extra, dim, cell), clustered by filter values and cell."""
+def buckets(n_rows: int, cells: int = 0) -> int:
+    """Buckets over which the vectors (of each cell) are dealt by their hash."""
+    return max(1, -(-n_rows // (BUCKET_ROWS * max(1, cells))))
+
+
+def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by_extra: bool, n_buckets: int = 1) -> DataFrame:
+    """Packs of ``rows`` (product_id, embedding, filters, extra, dim, cell), clustered by bucket of the vector, first filter and cell."""
     names = [f"v_{f}" for f in filters]
     rows = rows.select("product_id", "embedding", "extra", "dim", "cell", *[F.col(f).cast("string").alias(n) for f, n in zip(filters, names)])
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("embedding"), F.lit(BUCKETS)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("embedding"), F.lit(n_buckets)))
     lead = ["dim", *names[:1], "cell"]
-    rows = (rows.hint("rebalance", *names, "cell", "_bucket")
-            .sortWithinPartitions(*lead, *names[1:], "_bucket", F.xxhash64("embedding"), "product_id").drop("_bucket"))
+    rows = (rows.hint("rebalance", "cell", "_bucket")
+            .sortWithinPartitions("dim", "_bucket", *lead[1:], F.xxhash64("embedding"), *names[1:], "product_id").drop("_bucket"))
 
     def make(table: pa.Table, pblock: int) -> dict | None:
         dim = table.column("dim")[0].as_py()
@@ -236,7 +243,7 @@ def pack_catalog(rows: DataFrame, filters: tuple, block_rows: int, keep: int, by
 
 # ---- lookups
 def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFrame:
-    """Packs of lookups that set the same filters to the same values.
+    """Packs of lookups that set the same filters, with the values that each wants.
 
     lookups: query_id, embedding, q_limit, dim, w_<filter> (empty: not set).
     """
@@ -244,9 +251,9 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
     mask = F.lit(0)
     for i, n in enumerate(names):
         mask = mask + F.when(F.col(n) != "", F.lit(1 << i)).otherwise(F.lit(0))
-    rows = lookups.select("query_id", "embedding", "q_limit", "dim", mask.alias("mask"), *names)
-    rows = rows.hint("rebalance", "dim", *names).sortWithinPartitions("dim", "mask", *names, "query_id")
-    lead = ["dim", "mask", *names]
+    rows = lookups.where(F.col("query_id").isNotNull()).select("query_id", "embedding", "q_limit", "dim", mask.alias("mask"), *names)
+    rows = rows.hint("rebalance", "query_id").sortWithinPartitions("dim", "mask", "query_id")
+    lead = ["dim", "mask"]
 
     def run(batches):
         for table in runs(batches, lead, block_rows, 1):
@@ -256,7 +263,7 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
             if t.num_rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([dim], pa.int32()), pa.array([t.column("mask")[0].as_py()], pa.int32()),
-                     pa.array([[t.column(n)[0].as_py() for n in names]], pa.list_(pa.string())),
+                     pa.array([[t.column(n).to_pylist() for n in names]], pa.list_(pa.list_(pa.string()))),
                      pa.array([t.column("query_id").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("q_limit").to_pylist()], pa.list_(pa.int32())),
                      pa.array([x[ok].tobytes()], pa.binary())],
                     ["dim", "mask", "wanted", "q_ids", "q_limits", "q_mat"])
@@ -266,40 +273,85 @@ def pack_lookups(lookups: DataFrame, filters: tuple, block_rows: int) -> DataFra
 
 # ---- packs and lookups together
 def grid_shape(spark: SparkSession, held_bytes: int, lookups: int, asked_bytes: int = 0) -> tuple[int, int]:
-    """(groups of packs, parts of the lookups): a group is what a task holds, a part what streams past it. The JVM sorts both."""
+    """(groups of packs, parts of the lookups): a part is what a task holds, a group what streams past it."""
     groups = max(1, -(-held_bytes // GROUP_BYTES))
     wanted = max(-(-spark.sparkContext.defaultParallelism // groups), -(-lookups // PART_LOOKUPS), -(-asked_bytes // PART_BYTES))
-    return groups, max(1, min(wanted, -(-lookups // LOOKUP_ROWS)))
+    parts = max(1, min(wanted, -(-lookups // LOOKUP_ROWS)))
+    return min(groups, max(1, MOST_TASKS // parts)), parts
 
 
 def grid(packs: DataFrame, lookup_packs: DataFrame, shape: tuple[int, int], work, fields: str) -> DataFrame:
-    """Every group of packs with every part of the lookups in one task: ``work(cells)`` as in mapInArrow, over ``cells(batches)``.
+    """Every group of packs with every part of the lookups in one task: ``work(batches)`` as in mapInArrow, over ``cells(batches)``.
 
-    A pack moves once for each part and a lookup once for each group, whatever the number of pairs. Rows of a group and part
-    come together, its packs first; a task holds those and takes the lookups one pack after another. Run it with
+    A task reads its part of the lookups, then the packs of its group one after another. Groups are read again from
+    where the packs are stored for each part, and parts from one shuffle of the lookups, so what is written does not grow with the pairs
+    of the two. Of the pairs of rows that the join stands for, only those with a first pack or first lookups leave it. Run it with
     ``small_batches``: else a batch is as large as all that a task reads.
     """
     groups, parts = shape
-    held = packs.withColumns({"_group": F.pmod(F.xxhash64("pblock"), F.lit(groups)).cast("int"), "_kind": F.lit(0)})
-    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = lookup_packs.withColumns({"_part": F.pmod(F.xxhash64("q_ids"), F.lit(parts)).cast("int"), "_kind": F.lit(1)})
-    asked = asked.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = held.unionByName(asked, allowMissingColumns=True)
-    # by number, not by hash: else some tasks get two or three of them at once, and others none
-    both = both.repartitionById(min(groups * parts, MOST_TASKS), F.col("_group") * parts + F.col("_part")).sortWithinPartitions(
-        "_group", "_part", "_kind", *[c for c in ("dim", "mask", "wanted") if c in lookup_packs.columns])
+    if packs.rdd.getNumPartitions() >= groups:
+        held = packs.coalesce(groups)  # stored packs: no shuffle
+    else:
+        held = packs.repartitionById(groups, F.pmod(F.xxhash64("pblock"), F.lit(groups)).cast("int"))
+    asked = lookup_packs.repartitionById(parts, F.pmod(F.xxhash64("q_ids"), F.lit(parts)).cast("int"))
+    place = F.expr("monotonically_increasing_id() & 8589934591")  # among the rows of a partition
+    held = held.select(F.struct(*packs.columns).alias("_pack"), place.alias("_nth_pack"))
+    asked = asked.select(F.struct(*lookup_packs.columns).alias("_lookups"), place.alias("_nth_lookups"))
+    # a cartesian product takes the first pack with all lookups, then each further pack with all lookups
+    both = held.hint("shuffle_replicate_nl").join(asked, (F.col("_nth_pack") == 0) | (F.col("_nth_lookups") == 0))
+    both = both.select(F.when(F.col("_nth_pack") == 0, F.col("_lookups")).alias("_lookups"), F.when(F.col("_nth_lookups") == 0, F.col("_pack")).alias("_pack"))
     return both.mapInArrow(work, fields)
 
 
 def cells(batches):
-    """(rows of the packs, iterator over the rows of the lookups) of each group and part of a ``grid``."""
+    """(0, iterator over the lookups) and (1, iterator over the packs) of a task of a ``grid``, as dicts of Arrow scalars' values.
+
+    The first pack comes beside lookups; it is kept until these are through.
+    """
     def rows():
+        kept = None
         for batch in batches:
+            of = {name: batch.column(name) for name in ("_lookups", "_pack")}
             for i in range(batch.num_rows):
-                yield batch.slice(i, 1).to_pylist()[0]
+                asked, pack = (of[name].slice(i, 1) for name in ("_lookups", "_pack"))
+                if asked.null_count == 0:
+                    yield 0, fields_of(asked)
+                    kept = pack if pack.null_count == 0 else kept
+                    continue
+                if kept is not None:
+                    yield 1, fields_of(kept)
+                    kept = None
+                yield 1, fields_of(pack)
+        if kept is not None:
+            yield 1, fields_of(kept)
+
+    found = rows()
+    first = next(found, None)
+    if first is not None:
+        yield ((kind, (r for _, r in mine)) for kind, mine in itertools.groupby(itertools.chain([first], found), key=lambda r: r[0]))
+
+
+def fields_of(one: pa.StructArray) -> dict:
+    """The fields of the only row: lists as Arrow arrays, the rest as Python values."""
+    out = {}
+    for f in one.type:
+        x = pc.struct_field(one, f.name)
+        out[f.name] = x[0].values if pa.types.is_list(f.type) and x[0].is_valid else x[0].as_py()
+    return out
+
 
-    for _, mine in itertools.groupby(rows(), key=lambda r: (r["_group"], r["_part"])):
-        yield itertools.groupby(mine, key=lambda r: r["_kind"])
+def held_together(packs, size: int | None = None):
+    """Lists of consecutive packs, of about HELD_BYTES of vectors and ids each."""
+    size, some, n = size or HELD_BYTES, [], 0
+    for p in packs:
+        some.append(p)
+        n += len(p["vectors"]) + (p["ids"].nbytes if isinstance(p["ids"], pa.Array) else 0)
+        if n >= size:
+            full, some, n = some, [], 0
+            yield full
+            full.clear()  # what the caller made of them stays, they do not
+    if some:
+        yield some
 
 
 def upper_bounds(q: np.ndarray, packs: list[dict]) -> np.ndarray:
